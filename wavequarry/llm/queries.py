@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from wavequarry.llm.byte_bpe import op5_byte_bpe
 from wavequarry.llm.packing import op2_packing
+from wavequarry.llm.quality import op9_quality
 from wavequarry.llm.sharding import op3_shards
 from wavequarry.llm.simhash import op6_near_duplicates
+from wavequarry.llm.suffix_dedup import op8_repeats
 
 QUERIES = {
     "op2_bound_certified_packing": op2_packing,
     "op3_lpt_shards": op3_shards,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_suffix_dedup": op8_repeats,
+    "op9_quality_rules": op9_quality,
 }
 
 ORACLE: dict[str, str] = {}
