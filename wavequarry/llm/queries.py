@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wavequarry.llm.byte_bpe import op5_byte_bpe
 from wavequarry.llm.packing import op2_packing
+from wavequarry.llm.pii import op10_personal_data
 from wavequarry.llm.quality import op9_quality
 from wavequarry.llm.sharding import op3_shards
 from wavequarry.llm.simhash import op6_near_duplicates
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op8_suffix_dedup": op8_repeats,
     "op9_quality_rules": op9_quality,
+    "op10_information_pii": op10_personal_data,
 }
 
 ORACLE: dict[str, str] = {}
