@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wavequarry.llm.byte_bpe import op5_byte_bpe
+from wavequarry.llm.media_webp import op1_webp
 from wavequarry.llm.packing import op2_packing
 from wavequarry.llm.pii import op10_personal_data
 from wavequarry.llm.quality import op9_quality
@@ -11,6 +12,7 @@ from wavequarry.llm.simhash import op6_near_duplicates
 from wavequarry.llm.suffix_dedup import op8_repeats
 
 QUERIES = {
+    "op1_lossless_webp": op1_webp,
     "op2_bound_certified_packing": op2_packing,
     "op3_lpt_shards": op3_shards,
     "op5_byte_bpe": op5_byte_bpe,
