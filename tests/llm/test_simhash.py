@@ -99,5 +99,25 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
     kept = keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert kept.count() == len(set(label.values()))
+    words = {" ".join((t or "").lower().split()) for _, t in docs}  # no two of these are similar without being equal
+    assert kept.count() == len({w for w in words if w}) + 1
     assert keep_one(no_docs).count() == 0
+
+
+def test_similar_texts_leave_one(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    docs, want = [], set()
+    for g in range(12):
+        base = [word() for _ in range(rng.randrange(100, 300))]
+        want.add(10 * g)
+        docs.append((10 * g, " ".join(base)))
+        for k in range(1, 6 if g % 2 else 1):
+            near = list(base)
+            near[rng.randrange(len(near))] = word()
+            docs.append((10 * g + k, " ".join(near)))
+    far = docs[0][1].split()
+    docs.append((900, " ".join(far[:len(far) // 2] + [word() for _ in range(len(far) // 2)])))
+    want.add(900)
+    got = {r["doc_id"] for r in keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == want

@@ -21,15 +21,15 @@ TREE_LIMIT = 4096
 _CHUNK = 65_536
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
-    """The unsigned 64-bit fingerprint of one text; 0 for a text without words.
+def shingles(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; none for a text without words.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased.
     A text shorter than ``width`` words is one shingle.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) < width:
         grams: Iterable[bytes] = [b" ".join(words)]
@@ -37,7 +37,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
         n = len(words) - width + 1
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
+    return np.fromiter((digest(g, seed) for g in grams), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
+    """The unsigned 64-bit fingerprint of one text; 0 for a text without words."""
+    return fingerprint_of(shingles(text, width, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
         part = hashes[at:at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -206,29 +215,138 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component, one row of the least id stays.
+#: For groups by similarity: five-word shingles, Jaccard similarity, and the fingerprint distance at which similar texts are looked for.
+WIDTH, SIMILARITY, REACH = 5, 0.8, 18
+#: Sketch values; the first 2 * BANDS of them make the shard keys.
+SKETCH, BANDS = 128, 10
+#: Texts of one shard that a full tree takes.
+FULL_TREE = 2048
+_FACTORS = np.random.default_rng(19).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of SKETCH rehashings of the shingles."""
+    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        h = hashes[at:at + _CHUNK]
+        h = h ^ (h >> np.uint64(33))
+        for k, f in enumerate(_FACTORS):
+            out[k] = min(out[k], (h * f).min())
+    return out
+
+
+def similarity_keys():
+    """A column function: text to fingerprint, shard keys and a sketch of one byte per rehashing."""
+
+    @F.pandas_udf("fp bigint, bands array<bigint>, sketch binary")
+    def of(text: pd.Series) -> pd.DataFrame:
+        fps, bands, sketches = [], [], []
+        for t in text:
+            h = shingles(t, WIDTH)
+            s = sketch_of(h)
+            fps.append(_signed(fingerprint_of(h)))
+            bands.append([_signed(xxhash.xxh3_64_intdigest(s[2 * k:2 * k + 2].tobytes(), k)) for k in range(BANDS)])
+            sketches.append(((s >> np.uint64(7)) % np.uint64(251)).astype(np.uint8).tobytes())
+        return pd.DataFrame({"fp": fps, "bands": bands, "sketch": sketches})
+
+    return of
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two sketches' estimated Jaccard similarity reaches ``least``; equal bytes by chance are discounted."""
+    same = np.count_nonzero(a == b) / SKETCH
+    return (same - 1 / 251) / (1 - 1 / 251) >= least
+
+
+def shard_groups(nodes: list[int], fps: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
+    """``(node, node of its group)``: texts of a shard linked where their sketches are similar.
+
+    A BK-tree over the fingerprints gives each text the others within REACH bits. In
+    shards of more than FULL_TREE texts only those that match none before them enter the tree.
+    """
+    tree, members, out = BKTree(), [], []
+    up = list(range(len(nodes)))
+    held = [np.frombuffer(s, np.uint8) for s in sketches]
+    leaders_only = len(nodes) > FULL_TREE
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for k, v in enumerate(fps):
+        joined = False
+        for at in tree.within(v, REACH):
+            for other in members[at]:
+                a, b = root(k), root(other)
+                if a != b and similar(held[k], held[other]):
+                    up[max(a, b)] = min(a, b)
+                    joined = True
+            if joined and leaders_only:
+                break
+        if not (joined and leaders_only):
+            node = tree.add(v)
+            if node == len(members):
+                members.append([])
+            members[node].append(k)
+    for k, n in enumerate(nodes):
+        if root(k) != k:
+            out.append((n, nodes[root(k)]))
+    return out
+
+
+def _group_shards(batches):
+    key, held = None, []
+
+    def flush():
+        return shard_groups(*map(list, zip(*held, strict=True))) if len(held) > 1 else []
+
+    for batch in batches:
+        out = []
+        for k, n, f, s in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "fp", "sketch")), strict=True):
+            if k != key:
+                out += flush()
+                key, held = k, []
+            held.append((n, f & 0xFFFFFFFFFFFFFFFF, s))
+        yield _signed_edges(out)
+    yield _signed_edges(flush())
+
+
+def _signed_edges(pairs) -> pa.RecordBatch:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def similarity_groups(nodes: DataFrame) -> DataFrame:
+    """``(node, label)`` for the nodes of ``nodes(node, fp, bands, sketch)`` that have a similar one."""
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shards = keyed.join(sizes, "key", "left_semi").join(nodes.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch")
+    edges = shards.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_group_shards, "a bigint, b bigint")
+    return connected_components(edges)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group, one row of the least id stays.
 
-    Ties between rows of that id go to the least fingerprint and then the least
-    content hash, and of wholly equal rows one stays. A component without ids
-    keeps its least content hash. All columns are kept as they are.
+    Groups are components of texts whose five-word shingles have a Jaccard similarity
+    of 0.8 or more, by sketch. Texts without words are one group. Ties between rows
+    of one id go to the least content hash; of wholly equal rows one stays. An id
+    stands before none. All columns are kept as they are.
     """
     cols = docs.columns
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"),
-                        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
-                        fingerprints(width)(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("fp"))
-    full = materialise(inner.withColumn("tie", F.xxhash64("row")), "simhash-docs")
-    comps = components(full.select("doc_id", "fp"))
-    ranked = full.select("doc_id", "fp", "tie").join(comps, "fp")
-    # an id stands before none
-    best = (ranked.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tie")).alias("w"),
-                 ))
-    winners = best.select("w.doc_id", "w.fp", "w.tie").withColumnRenamed("doc_id", "w_id").withColumnRenamed("fp", "w_fp").withColumnRenamed("tie", "w_tie")
-    kept = full.join(winners, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("fp") == F.col("w_fp")) & (F.col("tie") == F.col("w_tie")), "left_semi")
-    equal = full.groupBy("doc_id", "fp", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    if equal:
-        kept = kept.groupBy("doc_id", "fp", "tie").agg(F.first("row").alias("row"))
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
+                        similarity_keys()(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("s"))
+    full = materialise(inner.select("row", "doc_id", "s", F.xxhash64("row").alias("tie"), F.xxhash64("s.fp", "s.sketch").alias("node")), "similar-docs")
+    nodes = materialise(full.groupBy("node").agg(F.min(F.struct("s.fp", "s.sketch", "s.bands")).alias("s")).select("node", "s.*"), "similar-nodes")
+    labels = similarity_groups(nodes).select("node", "label")
+    ranked = full.select("doc_id", "tie", "node").join(labels, "node", "left").select(
+        F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("w"))
+    best = materialise(ranked.groupBy("label").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.tie").alias("w_tie")), "similar-best")
+    kept = full.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie")), "left_semi")
+    if full.groupBy("doc_id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        kept = kept.groupBy("doc_id", "tie").agg(F.first("row").alias("row"))
     return kept.select("row.*")
 
 
