@@ -24,3 +24,359 @@ FROM g WHERE lk >= (SELECT thr FROM t)"""
 @query("gated_loudness", _LOUD_SQL)
 def gated_loudness(spark, sf_dir):
     return loudness.integrated_loudness(event_signal(spark, sf_dir))
+
+
+from pyspark.sql import Window as W  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from wavequarry import catalog  # noqa: E402
+from wavequarry.operators import folds, scalar, windows  # noqa: E402
+from wavequarry.signal import PAIR_SQL, stereo_pair, table  # noqa: E402
+
+
+def _sig(body: str) -> str:
+    return f"WITH {SIG_SQL} {body}"
+
+
+def _pair(body: str) -> str:
+    return f"WITH {SIG_SQL}, {PAIR_SQL} {body}"
+
+
+def _r(c, name, k=6):
+    return F.round(c, k).alias(name)
+
+
+# ---- scalar laws ----
+
+
+@query("db_convert", _sig("SELECT channel, n, round(pow(10e0, (x * 60 - 50) / 20e0), 8) AS lin, "
+                          "round(CASE WHEN x <= 0 THEN -120e0 ELSE greatest(20e0 * log10(x), -120e0) END, 6) AS db FROM sig"))
+def db_convert(spark, sf_dir):
+    x = F.col("x")
+    return event_signal(spark, sf_dir).select("channel", "n", _r(scalar.db_to_linear(x * 60 - 50), "lin", 8), _r(scalar.linear_to_db(x), "db"))
+
+
+@query("soft_limit", _sig("SELECT channel, n, round(CASE WHEN abs(x) > 5e-1 THEN sign(x) * (5e-1 + 5e-1 * tanh((abs(x) - 5e-1) / 5e-1)) ELSE x END, 6) AS y FROM sig"))
+def soft_limit(spark, sf_dir):
+    return event_signal(spark, sf_dir).select("channel", "n", _r(scalar.soft_limit(F.col("x"), 0.5), "y"))
+
+
+@query("elevation_mask", "SELECT CAST(f AS BIGINT) AS bin, round(1 / (1 + exp(-(f * 10e0 - 200) / 50e0)), 8) AS bass, "
+                         "round(1 / (1 + exp(-(f * 10e0 - 4000) / 1000e0)), 8) AS air, "
+                         "round(1 / sqrt(1 + pow(f * 10e0 / 120e0, 8e0)), 8) AS lfe FROM range(2049) t(f)")
+def elevation_mask(spark, sf_dir):
+    f = F.col("id") * 10e0
+    return spark.range(2049).select(F.col("id").alias("bin"), _r(scalar.sigmoid_mask(f, 200), "bass", 8), _r(scalar.sigmoid_mask(f, 4000), "air", 8), _r(scalar.lfe_mask(f, 120, 4), "lfe", 8))
+
+
+_FEATURES = "(p_size % 11) / 10e0 AS w, (p_size % 7) / 6e0 AS h, (p_size % 5) / 4e0 AS b, (p_size % 3) / 2e0 AS t"
+
+
+@query("content_scale", f"WITH {catalog.labels_sql()} SELECT p_partkey, label, round(CASE class WHEN 'lfe' THEN 1 + 5e-1 * (b - 2e-1) WHEN 'center' THEN 1 + 35e-2 * (5e-1 - w) "
+       "WHEN 'height' THEN 1 + 5e-1 * (greatest(6e-1 * h + 4e-1 * t, 5e-1 * w + 5e-1 * (1 - t)) - 6e-1) "
+       "WHEN 'surround' THEN 1 + 55e-2 * (6e-1 * w + 4e-1 * (1 - t) - 58e-2) ELSE 1 + 3e-1 * (55e-2 * t + 45e-2 * (1 - w) - 39e-2) END, 6) AS scale "
+       f"FROM (SELECT p_partkey, {_FEATURES} FROM part) p CROSS JOIN labels_")
+def content_scale(spark, sf_dir):
+    stems = table(spark, sf_dir, "part").selectExpr("p_partkey", *_FEATURES.split(", "))
+    scaled = stems.join(F.broadcast(catalog.labels(spark)))  # twelve labels, whatever the input
+    return scaled.select("p_partkey", "label", _r(scalar.content_scale(F.col("class"), *(F.col(c) for c in "whbt")), "scale"))
+
+
+_COMP_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS profile, channel, n, round(CASE WHEN d < {-k / 2}e0 THEN 0e0 WHEN d > {k / 2}e0 THEN s * d ELSE s * (d + {k / 2}e0) * (d + {k / 2}e0) / {2 * k}e0 END, 6) AS gain_db "
+    f"FROM (SELECT channel, n, x * 40 - 40 - ({t}e0) AS d, 1 / {r}e0 - 1 AS s FROM sig) q" for name, (t, r, _, _, k, _) in catalog.COMPRESSOR_PROFILES.items())
+
+
+@query("compressor_gain", _sig(_COMP_SQL))
+def compressor_gain(spark, sf_dir):
+    sig, out = event_signal(spark, sf_dir), None
+    for name, (t, r, _, _, k, _) in catalog.COMPRESSOR_PROFILES.items():
+        one = sig.select(F.lit(name).alias("profile"), "channel", "n", _r(scalar.compressor_gain(F.col("x") * 40 - 40, t, r, k), "gain_db"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("rebalance_ramp", _sig("SELECT channel, n, round(x * CASE WHEN n < 10 THEN 1 + (pow(10e0, 25e-1 / 20) - 1) * n / 9 ELSE pow(10e0, 25e-1 / 20) END, 6) AS y, "
+                              "round(tanh(x * CASE WHEN n < 10 THEN 1 + (pow(10e0, 4e0 / 20) - 1) * n / 9 ELSE pow(10e0, 4e0 / 20) END / 95e-2) * 95e-2, 6) AS boosted FROM sig"))
+def rebalance_ramp(spark, sf_dir):
+    x, n = F.col("x"), F.col("n")
+    return event_signal(spark, sf_dir).select("channel", "n", _r(scalar.rebalance(x, n, 2.5, 10), "y"), _r(scalar.rebalance(x, n, 4.0, 10), "boosted"))
+
+
+@query("pcm_quantize", _sig("SELECT channel, n, CAST(round_even(greatest(-1e0, least(1e0, x * 2 - 1)) * 32767, 0) AS BIGINT) AS pcm16, "
+                            "CAST(round_even(greatest(-1e0, least(1e0, x * 2 - 1)) * 8388607, 0) AS BIGINT) AS pcm24 FROM sig"))
+def pcm_quantize(spark, sf_dir):
+    x = F.col("x") * 2 - 1
+    return event_signal(spark, sf_dir).select("channel", "n", scalar.pcm(x, 16).alias("pcm16"), scalar.pcm(x, 24).alias("pcm24"))
+
+
+@query("bext_i16", _sig("SELECT channel, n, CASE WHEN n % 7 = 0 THEN 32767 ELSE CAST(round_even(greatest(-32768e-2, least(32766e-2, x * 800 - 400)) * 100, 0) AS INTEGER) END AS v FROM sig"))
+def bext_i16(spark, sf_dir):
+    v = F.when(F.col("n") % 7 != 0, F.col("x") * 800 - 400)
+    return event_signal(spark, sf_dir).select("channel", "n", scalar.centi_units(v).alias("v"))
+
+
+@query("adm_clock", "SELECT o_orderkey, lpad(CAST(t // 360000000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t // 6000000 % 60 AS VARCHAR), 2, '0') || ':' || "
+                    "lpad(CAST(t // 100000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(t % 100000 AS VARCHAR), 5, '0') AS at "
+                    "FROM (SELECT o_orderkey, CAST(round_even(o_totalprice / 4 * 100000, 0) AS BIGINT) AS t FROM orders) q")
+def adm_clock(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.clock(F.col("o_totalprice") / 4).alias("at"))
+
+
+@query("fft_resolution", "SELECT CAST(r AS BIGINT) AS rate, CASE WHEN floor(r / 108e-1) <= 1 THEN 1 ELSE least(16384, CAST(pow(2, ceil(log2(floor(r / 108e-1)))) AS INTEGER)) END AS fft, "
+                         "CASE WHEN floor(r / 108e-1) <= 1 THEN 0 ELSE least(16384, CAST(pow(2, ceil(log2(floor(r / 108e-1)))) AS INTEGER)) // 4 END AS hop "
+                         "FROM (VALUES (8000), (11025), (16000), (22050), (32000), (44100), (48000), (88200), (96000), (192000)) t(r)")
+def fft_resolution(spark, sf_dir):
+    rates = spark.createDataFrame([(r,) for r in (8000, 11025, 16000, 22050, 32000, 44100, 48000, 88200, 96000, 192000)], "rate bigint")
+    size = scalar.fft_size(F.col("rate"))
+    return rates.select("rate", size.alias("fft"), F.floor(size / 4).cast("int").alias("hop"))
+
+
+@query("source_anchor", _sig("SELECT a.channel, a.n, round(CASE WHEN b.x IS NULL THEN a.x ELSE 5e-1 * a.x + 5e-1 * b.x END, 6) AS y "
+                             "FROM sig a LEFT JOIN sig b ON b.channel = CASE a.channel WHEN 'SL' THEN 'FL' WHEN 'LFE' THEN 'FR' END AND a.n = b.n"))
+def source_anchor(spark, sf_dir):
+    sig = event_signal(spark, sf_dir)
+    native = F.when(F.col("channel") == "SL", "FL").when(F.col("channel") == "LFE", "FR")
+    src = sig.select(F.col("channel").alias("src"), F.col("n"), F.col("x").alias("sx"))
+    anchored = F.when(F.col("sx").isNull(), F.col("x")).otherwise(0.5 * F.col("x") + 0.5 * F.col("sx"))
+    return sig.withColumn("src", native).join(src, ["src", "n"], "left").select("channel", "n", _r(anchored, "y"))
+
+
+@query("wet_dry", _sig("SELECT channel, n, round(x * 7e-1 + coalesce(lag(x) OVER (PARTITION BY channel ORDER BY n), 0e0) * 3e-1, 6) AS y FROM sig"))
+def wet_dry(spark, sf_dir):
+    return windows.delay(event_signal(spark, sf_dir), 1).select("channel", "n", _r(scalar.blend(F.col("x"), F.col("y"), 0.3), "y"))
+
+
+# ---- aggregates ----
+
+
+@query("rms_by_channel", _sig("SELECT channel, round(sqrt(avg(x * x)), 6) AS rms, round(sum(x * x), 4) AS energy, round(max(abs(x)), 6) AS peak, round(quantile_cont(x, 9e-1), 6) AS p90 FROM sig GROUP BY 1"))
+def rms_by_channel(spark, sf_dir):
+    x = F.col("x")
+    return event_signal(spark, sf_dir).groupBy("channel").agg(_r(F.sqrt(F.avg(x * x)), "rms"), _r(F.sum(x * x), "energy", 4), _r(F.max(F.abs(x)), "peak"), _r(F.percentile(x, F.lit(0.9)), "p90"))
+
+
+@query("energy_match", _sig(", q AS (SELECT sum(x * x) AS ein, sum(x * x * 25e-2) AS eout FROM sig) SELECT channel, n, round(x * 5e-1 * sqrt(ein / eout), 6) AS y FROM sig CROSS JOIN q"))
+def energy_match(spark, sf_dir):
+    sig = event_signal(spark, sf_dir)
+    total = sig.agg(F.sqrt(F.sum(F.col("x") * F.col("x")) / F.sum(F.col("x") * F.col("x") * 0.25)).alias("g"))
+    return sig.join(F.broadcast(total)).select("channel", "n", _r(F.col("x") * 0.5 * F.col("g"), "y"))  # one row
+
+
+@query("stereo_width", _pair("SELECT round(least(1e0, greatest(0e0, 1 - sum(l * r) / sqrt(sum(l * l) * sum(r * r)))), 8) AS width, "
+                             "round(avg((l - r) * (l - r) / 4) / (avg((l + r) * (l + r) / 4) + avg((l - r) * (l - r) / 4) + 1e-12), 8) AS power_width FROM pair"))
+def stereo_width(spark, sf_dir):
+    l, r = F.col("l"), F.col("r")
+    side, mid = F.avg((l - r) * (l - r) / 4), F.avg((l + r) * (l + r) / 4)
+    rho = F.sum(l * r) / F.sqrt(F.sum(l * l) * F.sum(r * r))
+    return stereo_pair(event_signal(spark, sf_dir)).agg(_r(F.least(F.lit(1e0), F.greatest(F.lit(0e0), 1 - rho)), "width", 8), _r(side / (mid + side + 1e-12), "power_width", 8))
+
+
+@query("mid_side", _pair("SELECT n, round((l + r) / 2, 6) AS mid, round((l - r) / 2, 6) AS side, round((abs(l) - abs(r)) / (abs(l) + abs(r) + 1e-12), 6) AS pan FROM pair"))
+def mid_side(spark, sf_dir):
+    l, r = F.col("l"), F.col("r")
+    return stereo_pair(event_signal(spark, sf_dir)).select("n", _r((l + r) / 2, "mid"), _r((l - r) / 2, "side"), _r((F.abs(l) - F.abs(r)) / (F.abs(l) + F.abs(r) + 1e-12), "pan"))
+
+
+_SPECTRA = "spec AS (SELECT vec_id, unnest(generate_series(0, 63)) AS f, abs(unnest(embedding))::DOUBLE AS m FROM embeddings)"
+
+
+@query("spectral_shape", f"WITH {_SPECTRA} SELECT vec_id, round(sum(f * m * m) / (sum(m * m) + 1e-12), 6) AS centroid, "
+                         "round(exp(avg(ln(m + 1e-12))) / (avg(m) + 1e-12), 6) AS flatness, round(sum(CASE WHEN f >= 32 THEN m * m ELSE 0 END) / (sum(m * m) + 1e-12), 6) AS high FROM spec GROUP BY 1")
+def spectral_shape(spark, sf_dir):
+    m, f = F.col("m"), F.col("f")
+    spec = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("f", "e")).select("vec_id", "f", F.abs(F.col("e").cast("double")).alias("m"))
+    power = F.sum(m * m) + 1e-12
+    return spec.groupBy("vec_id").agg(_r(F.sum(f * m * m) / power, "centroid"), _r(F.exp(F.avg(F.ln(m + 1e-12))) / (F.avg(m) + 1e-12), "flatness"), _r(F.sum(F.when(f >= 32, m * m).otherwise(0e0)) / power, "high"))
+
+
+@query("positive_flux", f"WITH {_SPECTRA}, fl AS (SELECT vec_id, f, greatest(0e0, m - lag(m) OVER (PARTITION BY f ORDER BY vec_id)) AS x FROM spec) "
+                        "SELECT vec_id, round(coalesce(sum(x), 0e0), 6) AS flux FROM fl GROUP BY 1")
+def positive_flux(spark, sf_dir):
+    spec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("bin", "e")).withColumn("m", F.abs(F.col("e").cast("double")))
+    return windows.positive_flux(spec).groupBy(F.col("frame").alias("vec_id")).agg(_r(F.sum("flux"), "flux"))
+
+
+@query("onset_density", f"WITH {_SPECTRA}, d0 AS (SELECT vec_id, f, m - lag(m) OVER (PARTITION BY f ORDER BY vec_id) AS x FROM spec), d AS (SELECT vec_id, f, greatest(0e0, x) AS x FROM d0 WHERE x IS NOT NULL), "
+                        "fl AS (SELECT vec_id, sum(x) AS x FROM d GROUP BY 1 HAVING sum(x) IS NOT NULL), s AS (SELECT avg(x) + 2 * stddev_pop(x) AS thr, quantile_cont(x, 75e-2) AS p75 FROM fl) "
+                        "SELECT CAST(count(*) FILTER (WHERE x > thr) AS BIGINT) AS onsets, round(avg(CASE WHEN x > 15e-1 * p75 THEN 1e0 ELSE 0e0 END), 6) AS transient FROM fl CROSS JOIN s")
+def onset_density(spark, sf_dir):
+    spec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("bin", "e")).withColumn("m", F.abs(F.col("e").cast("double")))
+    before = F.lag("m").over(W.partitionBy("bin").orderBy("frame"))
+    flux = spec.withColumn("x", F.when(before.isNotNull(), F.greatest(F.lit(0e0), F.col("m") - before))).groupBy("frame").agg(F.sum("x").alias("x")).where("x IS NOT NULL")
+    limits = flux.agg((F.avg("x") + 2 * F.stddev_pop("x")).alias("thr"), F.percentile("x", F.lit(0.75)).alias("p75"))
+    return flux.join(F.broadcast(limits)).agg(F.count_if(F.col("x") > F.col("thr")).alias("onsets"), _r(F.avg(F.when(F.col("x") > 1.5 * F.col("p75"), 1e0).otherwise(0e0)), "transient"))
+
+
+_FRAMES_SQL = """fr AS (SELECT n // 25 AS k, sqrt(avg((l + r) * (l + r) / 4)) + 1e-12 AS rms,
+  least(1e0, greatest(0e0, avg((l - r) * (l - r) / 4) / (avg(l * l + r * r) / 2 + 1e-12))) AS width FROM pair GROUP BY 1 HAVING count(*) >= 8),
+ft AS (SELECT *, greatest(0e0, rms - coalesce(lag(rms) OVER (ORDER BY k), 0e0)) / (rms + coalesce(lag(rms) OVER (ORDER BY k), 0e0) + 1e-12) AS transient FROM fr),
+ff AS (SELECT k, least(1e0, rms / greatest((SELECT quantile_cont(rms, 9e-1) FROM fr), 1e-12)) AS activity, width, transient, width * (1 - transient) AS diffuse FROM ft)"""
+
+
+def _spatial_frames(spark, sf_dir):
+    """A12 without the air ratio; frames of fewer than eight samples are left out. One row a quarter second."""
+    l, r = F.col("l"), F.col("r")
+    frames = (
+        stereo_pair(event_signal(spark, sf_dir)).groupBy(F.expr("n div 25").alias("k"))
+        .agg(F.count("*").alias("c"), (F.sqrt(F.avg((l + r) * (l + r) / 4)) + 1e-12).alias("rms"),
+             F.least(F.lit(1e0), F.greatest(F.lit(0e0), F.avg((l - r) * (l - r) / 4) / (F.avg(l * l + r * r) / 2 + 1e-12))).alias("width")).where("c >= 8")
+    )
+    p90 = frames.agg(F.greatest(F.percentile("rms", F.lit(0.9)), F.lit(1e-12)).alias("p90"))
+    before = F.coalesce(F.lag("rms").over(W.orderBy("k")), F.lit(0e0))
+    rise = frames.withColumn("transient", F.greatest(F.lit(0e0), F.col("rms") - before) / (F.col("rms") + before + 1e-12))
+    return rise.join(F.broadcast(p90)).select("k", F.least(F.lit(1e0), F.col("rms") / F.col("p90")).alias("activity"), "width", "transient", (F.col("width") * (1 - F.col("transient"))).alias("diffuse"))
+
+
+@query("spatial_features", _pair(f", {_FRAMES_SQL} SELECT CAST(k AS BIGINT) AS k, round(activity, 6) AS activity, round(width, 6) AS width, round(transient, 6) AS transient, round(diffuse, 6) AS diffuse FROM ff"))
+def spatial_features(spark, sf_dir):
+    return _spatial_frames(spark, sf_dir).select("k", *(_r(F.col(c), c) for c in ("activity", "width", "transient", "diffuse")))
+
+
+_SCORES = {"intimate": "(1 - w) * 55e-2 + (1 - d) * 45e-2", "rhythmic": "t * 75e-2", "spacious": "d * 7e-1 + w * 3e-1",
+           "live": "d * 55e-2 + w * 25e-2 + (1 - t) * 2e-1", "detailed": "w * 3e-1 + (1 - t) * 25e-2"}
+_SCORE_SQL = " UNION ALL ".join(f"SELECT {k} AS ord, '{n}' AS profile, {e} AS score FROM m" for k, (n, e) in enumerate(_SCORES.items()))
+
+
+@query("profile_rank", _pair(f", {_FRAMES_SQL}, m AS (SELECT avg(width) AS w, avg(transient) AS t, avg(diffuse) AS d FROM ff), s AS ({_SCORE_SQL}), "
+                             "o AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS rk, score - lead(score) OVER (ORDER BY score DESC, ord) AS margin FROM s) "
+                             "SELECT CASE WHEN margin >= 8e-2 THEN profile ELSE 'balanced' END AS profile, round(margin, 6) AS confidence FROM o WHERE rk = 1"))
+def profile_rank(spark, sf_dir):
+    """K1, with silence for air: the best of five scores, if it leads by .08."""
+    means = _spatial_frames(spark, sf_dir).agg(F.avg("width").alias("w"), F.avg("transient").alias("t"), F.avg("diffuse").alias("d"))
+    scored = means.select(F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(n).alias("profile"), F.expr(e).alias("score")) for k, (n, e) in enumerate(_SCORES.items())))))
+    order = W.orderBy(F.desc("score"), "ord")
+    ranked = scored.withColumn("rk", F.row_number().over(order)).withColumn("margin", F.col("score") - F.lead("score").over(order)).where("rk = 1")
+    return ranked.select(F.when(F.col("margin") >= 0.08, F.col("profile")).otherwise("balanced").alias("profile"), _r(F.col("margin"), "confidence"))
+
+
+# ---- windows ----
+
+
+@query("haas_delay", _sig("SELECT channel, n, round(coalesce(lag(x, 3) OVER w, 0e0), 6) AS late, round(45e-2 * x + 55e-2 * coalesce(lag(x, 3) OVER w, 0e0), 6) AS sent FROM sig WINDOW w AS (PARTITION BY channel ORDER BY n)"))
+def haas_delay(spark, sf_dir):
+    return windows.delay(event_signal(spark, sf_dir), 3).select("channel", "n", _r(F.col("y"), "late"), _r(0.45 * F.col("x") + 0.55 * F.col("y"), "sent"))
+
+
+_PEAK_SQL = "pk AS (SELECT channel, block, max(abs(x)) AS peak FROM (SELECT channel, x, unnest(generate_series(greatest(0, n // 2 - 1), n // 2)) AS block FROM sig) q GROUP BY 1, 2 HAVING count(*) = 4)"
+
+
+@query("sliding_peak", _sig(f", {_PEAK_SQL} SELECT channel, CAST(block AS BIGINT) AS block, round(peak, 6) AS peak FROM pk"))
+def sliding_peak(spark, sf_dir):
+    return windows.block_peaks(event_signal(spark, sf_dir), 4, 2).select("channel", "block", _r(F.col("peak"), "peak"))
+
+
+_RUN_SQL = f"""{_PEAK_SQL}, loud AS (SELECT channel, block, block - row_number() OVER (PARTITION BY channel ORDER BY block) AS g FROM pk WHERE 20e0 * log10(greatest(peak, 1e-12)) > -4e0),
+ru AS (SELECT channel, min(block) AS s, max(block) AS e FROM loud GROUP BY channel, g)"""
+
+
+@query("active_runs", _sig(f", {_RUN_SQL} SELECT channel, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM ru"))
+def active_runs(spark, sf_dir):
+    loud = windows.block_peaks(event_signal(spark, sf_dir), 4, 2).where(20e0 * F.log10(F.greatest("peak", F.lit(1e-12))) > -4)
+    return windows.runs(loud)
+
+
+def _merge_sql(src: str, out: str, gap: str) -> str:
+    return (f"{out}_m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY channel ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS nw FROM {src}), "
+            f"{out}_g AS (SELECT *, sum(nw) OVER (PARTITION BY channel ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {out}_m), "
+            f"{out} AS (SELECT channel, min(s) AS s, max(e) AS e FROM {out}_g GROUP BY channel, g)")
+
+
+_SPAN_SQL = f"""{_RUN_SQL}, r2 AS (SELECT channel, s, e + 1 AS e FROM ru), {_merge_sql('r2', 'm1', '1')},
+ln AS (SELECT channel, max(n) + 1 AS len FROM sig GROUP BY 1),
+pad AS (SELECT m1.channel, greatest(0, s * 2 - 1) AS s, least(len, (e - 1) * 2 + 4 + 1) AS e FROM m1 JOIN ln USING (channel)), {_merge_sql('pad', 'm2', '0')},
+ex AS (SELECT m2.channel, CASE WHEN e - s < 12 THEN greatest(0, (s + e) // 2 - 6) ELSE s END AS s,
+       CASE WHEN e - s < 12 THEN least(len, greatest(0, (s + e) // 2 - 6) + 12) ELSE e END AS e FROM m2 JOIN ln USING (channel)), {_merge_sql('ex', 'spans', '0')}"""
+
+
+def _spans(spark, sf_dir):
+    return windows.active_spans(event_signal(spark, sf_dir), 4, 2, -4, 2, 1, 12)
+
+
+@query("silence_spans", _sig(f", {_SPAN_SQL} SELECT channel, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM spans"))
+def silence_spans(spark, sf_dir):
+    return _spans(spark, sf_dir)
+
+
+@query("crossfade_stitch", _sig(f", {_SPAN_SQL} SELECT sig.channel, n, round(x * CASE WHEN least(4, (e - s) // 2) > 1 THEN least(1e0, (n - s) / (least(4, (e - s) // 2) - 1), (e - 1 - n) / (least(4, (e - s) // 2) - 1)) ELSE 1e0 END, 6) AS y "
+                                "FROM sig JOIN spans ON sig.channel = spans.channel AND n >= s AND n < e"))
+def crossfade_stitch(spark, sf_dir):
+    return windows.crossfade(event_signal(spark, sf_dir), _spans(spark, sf_dir), 4).select("channel", "n", _r(F.col("y"), "y"))
+
+
+@query("preview_slice", _sig(", z AS (SELECT channel, count(*) AS len FROM sig GROUP BY 1) SELECT sig.channel, n, round(x, 6) AS x FROM sig JOIN z USING (channel) "
+                             "WHERE n >= least(greatest(0, len // 2 - 25), greatest(0, len - 50)) AND n < least(greatest(0, len // 2 - 25), greatest(0, len - 50)) + 50"))
+def preview_slice(spark, sf_dir):
+    return windows.preview(event_signal(spark, sf_dir), 50).select("channel", "n", _r(F.col("x"), "x"))
+
+
+_TAPS = (0.05, 0.2, 0.5, 0.2, 0.05)
+
+
+@query("fir_short", _sig("SELECT channel, n, round(" + " + ".join(f"{h}e0 * coalesce(lag(x, {k}) OVER w, 0e0)" for k, h in enumerate(_TAPS)) + ", 6) AS y FROM sig WINDOW w AS (PARTITION BY channel ORDER BY n)"))
+def fir_short(spark, sf_dir):
+    return windows.fir(event_signal(spark, sf_dir), list(_TAPS)).select("channel", "n", _r(F.col("y"), "y"))
+
+
+@query("overlap_add", "SELECT CAST(n AS BIGINT) AS n, round(sum(v), 5) AS y FROM (SELECT vec_id * 16 + unnest(generate_series(0, 63)) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings) q GROUP BY 1")
+def overlap_add(spark, sf_dir):
+    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("values"))
+    return windows.overlap_add(frames, 16).select("n", _r(F.col("y"), "y", 5))
+
+
+_GAUSS = "kern AS (SELECT d, exp(-5e-1 * (d / 3e0) * (d / 3e0)) AS w0 FROM range(-12, 13) t(d)), kn AS (SELECT d, w0 / (SELECT sum(w0) FROM kern) AS w FROM kern)"
+
+
+@query("gaussian_smooth", _pair(f", {_FRAMES_SQL}, {_GAUSS}, ix AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, width AS v FROM ff), "
+                                "s AS (SELECT a.i, d, w, least(greatest(a.i + d, 0), (SELECT max(i) FROM ix)) AS j FROM ix a CROSS JOIN kn) "
+                                "SELECT CAST(s.i AS BIGINT) AS k, round(sum(w * ix.v), 6) AS v FROM s JOIN ix ON ix.i = s.j GROUP BY s.i"))
+def gaussian_smooth(spark, sf_dir):
+    frames = _spatial_frames(spark, sf_dir).select((F.row_number().over(W.orderBy("k")) - 1).cast("bigint").alias("k"), F.col("width").alias("v"))
+    return windows.smooth(frames, 3.0).select("k", _r(F.col("v"), "v"))
+
+
+@query("control_interp", _pair(f", {_FRAMES_SQL}, c AS (SELECT row_number() OVER (ORDER BY k) - 1 AS k, width AS v FROM ff), "
+                               "c2 AS (SELECT k, v, coalesce(lead(v) OVER (ORDER BY k), v) AS nx FROM c), t AS (SELECT max(k) AS top FROM c), "
+                               "q AS (SELECT channel, n, least(n // 25, top) AS k FROM sig CROSS JOIN t) "
+                               "SELECT channel, n, round(v, 6) AS held, round(v + (nx - v) * least(1e0, n / 25 - k), 6) AS line FROM q JOIN c2 USING (k)"))
+def control_interp(spark, sf_dir):
+    controls = _spatial_frames(spark, sf_dir).select((F.row_number().over(W.orderBy("k")) - 1).cast("bigint").alias("k"), F.col("width").alias("v"))
+    lines = windows.interpolated(event_signal(spark, sf_dir).select("channel", "n"), controls, 25)
+    held = windows.stepped(event_signal(spark, sf_dir).select("channel", "n"), controls, 25).select("channel", "n", F.col("v").alias("held"))
+    return held.join(lines.select("channel", "n", F.col("v").alias("line")), ["channel", "n"]).select("channel", "n", _r(F.col("held"), "held"), _r(F.col("line"), "line"))
+
+
+# ---- folds ----
+
+
+def _recursive(init: str, step: str, cols: str) -> str:
+    return f"WITH RECURSIVE {SIG_SQL}, f AS (SELECT channel, n, x, {init} FROM sig WHERE n = 0 UNION ALL SELECT s.channel, s.n, s.x, {step} FROM f JOIN sig s ON s.channel = f.channel AND s.n = f.n + 1) SELECT channel, n, {cols} FROM f"
+
+
+@query("ema_sequence", _recursive("x AS y", "85e-2 * f.y + 15e-2 * s.x", "round(y, 6) AS y"))
+def ema_sequence(spark, sf_dir):
+    return folds.ema(event_signal(spark, sf_dir), 0.85).select("channel", "n", _r(F.col("y"), "y"))
+
+
+@query("allpass", _recursive("-7e-1 * x AS y", "-7e-1 * s.x + f.x + 7e-1 * f.y", "round(y, 6) AS y"))
+def allpass(spark, sf_dir):
+    return folds.allpass(event_signal(spark, sf_dir)).select("channel", "n", _r(F.col("y"), "y"))
+
+
+@query("comp_envelope", _recursive("4e-1 * x AS a, 5e-2 * x AS b", "f.a + 4e-1 * (s.x - f.a), f.b + 5e-2 * (s.x - f.b)", "round(greatest(a, b), 6) AS env"))
+def comp_envelope(spark, sf_dir):
+    return folds.envelope(event_signal(spark, sf_dir), 0.4, 0.05).select("channel", "n", _r(F.col("y"), "env"))
+
+
+@query("biquad_fold", _recursive("2e-1 * x AS y, 4e-1 * x + 3e-1 * 2e-1 * x AS s1, 2e-1 * x - 1e-1 * 2e-1 * x AS s2",
+                                 "2e-1 * s.x + f.s1, 4e-1 * s.x + 3e-1 * (2e-1 * s.x + f.s1) + f.s2, 2e-1 * s.x - 1e-1 * (2e-1 * s.x + f.s1)", "round(y, 6) AS y"))
+def biquad_fold(spark, sf_dir):
+    return folds.biquad(event_signal(spark, sf_dir), (0.2, 0.4, 0.2), (-0.3, 0.1)).select("channel", "n", _r(F.col("y"), "y"))
+
+
+@query("energy_controller", f"WITH RECURSIVE {SIG_SQL}, {PAIR_SQL}, t AS (SELECT n, least(pow(10e0, 6e0 / 20), greatest(1 / pow(10e0, 6e0 / 20), sqrt(l * l / (r * r)))) AS t FROM pair), "
+       "f AS (SELECT n, CASE WHEN t < 1 THEN 6e-1 + 4e-1 * t ELSE 95e-2 + 5e-2 * t END AS g FROM t WHERE n = 0 UNION ALL "
+       "SELECT t.n, CASE WHEN t.t < f.g THEN 6e-1 * f.g + 4e-1 * t.t ELSE 95e-2 * f.g + 5e-2 * t.t END FROM f JOIN t ON t.n = f.n + 1) SELECT n, round(g, 6) AS gain FROM f")
+def energy_controller(spark, sf_dir):
+    pair = stereo_pair(event_signal(spark, sf_dir)).select(F.lit("pair").alias("channel"), "n", (F.col("l") * F.col("l")).alias("src"), (F.col("r") * F.col("r")).alias("out"))
+    return folds.energy_gain(pair, 0.6, 0.95).select("n", _r(F.col("gain"), "gain"))
