@@ -29,7 +29,7 @@ def test_many_blocks_and_a_hot_text(spark):
     rows = encode_and_decode(spark.createDataFrame(docs, "doc_id bigint, text string"), block_bytes=500, keep_ids=True).collect()
     check(rows, docs)
     texts = dict(docs)
-    assert all(decode_ids(np.array(r["ids"], "<u4").tobytes(), PATH).decode() == texts[r["doc_id"]] for r in rows)
+    assert all(decode_ids(np.array(r["ids"], "<u4"), PATH).decode() == texts[r["doc_id"]] for r in rows)
 
 
 def test_every_token_of_the_table_round_trips():
