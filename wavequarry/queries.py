@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from wavequarry.plans import routing_queries, signal_queries  # noqa: F401
+    from wavequarry.plans import more_queries, routing_queries, signal_queries  # noqa: F401
