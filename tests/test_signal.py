@@ -143,3 +143,49 @@ def test_windows_of_a_stream(spark, tmp_path):
     assert got.agg(F.sum("c")).first()[0] == batch.count()
     runs = signals.to_table(signals.sessions(signals.event_stream(spark, "/root/testdata/sf0.001"), "30 minutes", "0 seconds"), "sessions", "complete", str(tmp_path / "b"))
     assert runs.agg(F.sum("c")).first()[0] == batch.count()
+
+
+def test_bed_files(spark):
+    import struct
+    import xml.etree.ElementTree as ET
+
+    from wavequarry.catalog import OUTPUT_LAYOUTS
+    from wavequarry.sources import adm
+
+    labels = OUTPUT_LAYOUTS["5.1.2"].split()
+    rows = [("a", c, n, (k + 1) / 10) for k, c in enumerate(labels) for n in range(32)]
+    df = spark.createDataFrame(rows, "asset string, channel string, n bigint, x double")
+    data = bytes(adm.package_beds(df, "5.1.2", 48000).first()["wav"])
+    assert [t for t, _ in wav.chunks_of(data)] == ["fmt ", "bext", "axml", "chna", "dbmd", "data"]
+    h = wav.parse_header(data)
+    assert np.allclose(wav.decode_pcm(data[h["start"]:], 24, 8)[5], (np.arange(8) + 1) / 10, atol=1e-6)
+    body = adm.bext_body(-23.456, None)
+    assert len(body) == 604 and struct.unpack_from("<hHh", body, 412) == (-2346, 32767, 32767) and struct.unpack_from("<H", body, 346) == (2,)
+    root = ET.fromstring(adm.axml_body([("5.1.2", labels)], 1.5, 48000, 24))
+    assert len(root.findall("audioTrackUID")) == 8 and root.find("audioProgramme").get("end") == "00:00:01.50000"
+    chna = adm.chna_body([labels])
+    assert struct.unpack_from("<HH", chna) == (8, 8) and len(chna) == 4 + 8 * 40 and b"AT_00011001_01" in chna
+    with pytest.raises(wav.WavError):
+        adm.fixed_width("too long", 3)
+    stems = spark.createDataFrame([("a", s, n, 0.5, -0.5) for s in ("Bass", "Vocals") for n in range(8)], "asset string, stem string, n bigint, l double, r double")
+    out = bytes(adm.package_stems(stems, {"Vocals": {"FL": 1.0, "C": 0.7}, "Bass": {"FR": 2.0}}, 48000).first()["wav"])
+    assert np.allclose(wav.decode_pcm(out[wav.parse_header(out)["start"]:], 24, 3)[0], [-1.0, 0.5, 0.0], atol=1e-6)
+
+
+def test_bass_and_matching(spark):
+    rate, t = 48000, np.arange(9600) / 48000
+    low, high = np.sin(2 * np.pi * 40 * t), np.sin(2 * np.pi * 5000 * t)
+    level = lambda df, c="FL": float(np.sqrt(np.mean(np.array([r["x"] for r in df.where(F.col("channel") == c).orderBy("n").collect()])[4800:] ** 2)))
+    slow = np.sin(2 * np.pi * 10 * t)
+    boosted = mastering.bass(frame(spark, slow), "boost", rate)
+    assert abs(20 * np.log10(level(boosted) / np.sqrt(0.5)) - 2) < 0.6
+    assert abs(20 * np.log10(level(mastering.bass(frame(spark, high), "boost", rate)) / np.sqrt(0.5))) < 0.05
+    pair = frame(spark, low).union(frame(spark, -low, "FR"))
+    assert level(mastering.bass(pair, "mono", rate)) < 0.1
+    assert level(mastering.derive_lfe(pair, rate), "LFE") < 1e-9
+    assert level(mastering.elevate(frame(spark, high), rate)) > 0.9
+    noise = np.random.default_rng(5).standard_normal(48000)
+    shaped = dsp.fir_filter(dsp.fir_from_breakpoints([(200, 0), (2000, 4), (20000, 0)], rate), noise)
+    curve = dict(mastering.match_curve(noise, shaped, rate))
+    near = lambda hz: curve[min(curve, key=lambda f: abs(f - hz))]
+    assert near(2000) - near(200) > 2 and all(abs(g) <= 2 for f, g in curve.items() if f < 120)

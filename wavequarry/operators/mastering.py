@@ -128,3 +128,83 @@ def resample(signal: DataFrame, old: int, new: int) -> DataFrame:
         return pd.DataFrame({"asset": pdf["asset"].iloc[0], "channel": pdf["channel"].iloc[0], "n": np.arange(len(x)), "x": x})
 
     return signal.select("asset", "channel", "n", "x").groupBy("asset", "channel").applyInPandas(run, _SIGNAL)
+
+
+# Sub and mid gain dB, mono cutoff Hz, exciter, low-frequency channel dB.
+BASS_PROFILES = {"boost": (2.0, 1.0, None, False, 1.5), "cut": (-2.5, -1.5, None, False, -1.0), "mono": (0.0, 0.0, 100.0, False, 0.0), "enhance": (1.5, 0.5, 80.0, True, 1.0)}
+SUB_HZ, MID_HZ = 80.0, 200.0
+_SIDES = {"FL": "FR", "SL": "SR", "BL": "BR", "TFL": "TFR", "TBL": "TBR"}
+
+
+def bass(signal: DataFrame, profile: str, rate: float) -> DataFrame:
+    """Band gains below 80 and from 80 to 200 Hz, a mono low end, an exciter, and the low-frequency channel's trim."""
+    sub_db, mid_db, mono_hz, excite, lfe_db = BASS_PROFILES[profile]
+    sub, mid_low, mid_high = dsp.butterworth(2, SUB_HZ, rate), dsp.butterworth(2, MID_HZ, rate), dsp.butterworth(2, SUB_HZ, rate, "high")
+    g_sub, g_mid = 10 ** (sub_db / 20) - 1, 10 ** (mid_db / 20) - 1
+
+    def shape(x: np.ndarray) -> np.ndarray:
+        if sub_db:
+            x = x + g_sub * dsp.sos_filter(sub, x)[0]
+        if mid_db:
+            x = x + g_mid * dsp.sos_filter(mid_high, dsp.sos_filter(mid_low, x)[0])[0]
+        return x
+
+    if sub_db or mid_db:
+        signal = per_channel(signal, shape)
+    if mono_hz:
+        low = dsp.butterworth(2, mono_hz, rate)
+        lows = per_channel(signal, lambda x: dsp.zero_phase(low, x)).where("channel <> 'LFE'")
+        twin = F.col("channel")
+        for a, b in _SIDES.items():
+            twin = F.when(F.col("channel") == a, b).when(F.col("channel") == b, a).otherwise(twin)
+        other = lows.select("asset", F.col("channel").alias("twin"), "n", F.col("x").alias("other"))
+        both = lows.withColumnRenamed("x", "low").withColumn("twin", twin).where("twin <> channel").join(other, ["asset", "twin", "n"])
+        signal = signal.join(both.select("asset", "channel", "n", "low", "other"), ["asset", "channel", "n"], "left").select(
+            "asset", "channel", "n", F.coalesce(F.col("x") + (F.col("other") - F.col("low")) / 2, F.col("x")).alias("x"))
+    if excite:
+        signal = per_channel(signal, lambda x: x + 0.15 * np.tanh(3 * dsp.sos_filter(sub, x)[0]))
+    if lfe_db:
+        signal = signal.withColumn("x", F.when(F.col("channel") == "LFE", F.col("x") * 10 ** (lfe_db / 20)).otherwise(F.col("x")))
+    return signal
+
+
+def elevate(signal: DataFrame, rate: float, low_hz: float = 150.0, low_gain: float = 0.15, high_hz: float = 3000.0, high_gain: float = 1.5) -> DataFrame:
+    """less below the low corner, more above the high one; for height channels."""
+    low, high = dsp.butterworth(1, low_hz, rate), dsp.butterworth(2, high_hz, rate, "high")
+
+    def shape(x: np.ndarray) -> np.ndarray:
+        thin = x - (1 - low_gain) * dsp.sos_filter(low, x)[0]
+        return thin + (high_gain - 1) * dsp.sos_filter(high, thin)[0]
+
+    return per_channel(signal, shape, ())
+
+
+def derive_lfe(signal: DataFrame, rate: float, cutoff: float = 120.0) -> DataFrame:
+    """the low-passed sum of the front pair as a channel of its own."""
+    low = dsp.butterworth(4, cutoff, rate)
+    mono = signal.where("channel IN ('FL', 'FR')").groupBy("asset", "n").agg((F.sum("x") / 2).alias("x"))
+    return per_channel(mono.select("asset", F.lit("LFE").alias("channel"), "n", "x"), lambda x: dsp.sos_filter(low, x)[0], ())
+
+
+def match_curve(target: np.ndarray, reference: np.ndarray, rate: float, most_db: float = 6.0, size: int = 8192, count: int = 40) -> list[tuple[float, float]]:
+    """Breakpoints that carry the reference's spectral shape to the target.
+
+    The dB ratio of both densities, smoothed over a quarter octave (by the first
+    step of the logarithmic axis), without its mean from 80 Hz to 8 kHz, held to the
+    limit and to 2 dB below 120 Hz.
+    """
+    f, ref = dsp.welch(reference, rate, size)
+    _, tgt = dsp.welch(target, rate, size)
+    n = min(len(ref), len(tgt))
+    f, db = f[1:n], 10 * np.log10((ref[1:n] + 1e-20) / (tgt[1:n] + 1e-20))
+    sigma = 0.25 / max(np.log2(f[1] / f[0]), 1e-10) if len(f) > 1 else 0.25
+    half = int(3 * sigma) + 1
+    kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    db = np.convolve(np.pad(db, half, mode="reflect"), kernel / kernel.sum(), mode="valid")
+    middle = (f >= 80) & (f <= 8000)
+    if middle.any():
+        db = db - db[middle].mean()
+    db = np.clip(db, -most_db, most_db)
+    db = np.where(f < 120, np.clip(db, -2, 2), db)
+    at = np.geomspace(20, rate / 2, count)
+    return list(zip(at.tolist(), np.interp(at, f, db).tolist(), strict=True))

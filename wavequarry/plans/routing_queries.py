@@ -212,10 +212,10 @@ def ordered_dedupe(spark, sf_dir):
     return planning.ordered_distinct(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey")
 
 
-@query("adm_track_ids", f"WITH {catalog.layouts_sql()} SELECT layout, label, printf('ATU_%08d', ord + 1) AS uid, 'AT_0001' || upper(lpad(to_hex(ord + 1), 4, '0')) AS track FROM layouts WHERE direction = 'out'")
+@query("adm_track_ids", f"WITH {catalog.layouts_sql()} SELECT layout, label, printf('ATU_%08d', ord + 1) AS uid, 'AT_0001' || upper(lpad(to_hex(ord + 4097), 4, '0')) || '_01' AS track FROM layouts WHERE direction = 'out'")
 def adm_track_ids(spark, sf_dir):
     k = F.col("ord") + 1
-    return catalog.layouts(spark).where("direction = 'out'").select("layout", "label", F.format_string("ATU_%08d", k).alias("uid"), F.concat(F.lit("AT_0001"), F.upper(F.lpad(F.hex(k), 4, "0"))).alias("track"))
+    return catalog.layouts(spark).where("direction = 'out'").select("layout", "label", F.format_string("ATU_%08d", k).alias("uid"), F.concat(F.lit("AT_0001"), F.upper(F.lpad(F.hex(F.col("ord") + 4097), 4, "0")), F.lit("_01")).alias("track"))
 
 
 @query("stem_name_parse", "SELECT p_partkey, regexp_extract(p_name || ' (Vocals) (' || p_type || ')', '.*\\(([^()]*)\\)', 1) AS stem FROM part")
