@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ LENGTH = 400
 #: Bytes of an anchor's seed; any window of LENGTH bytes has an anchor whose seed lies in it.
 SEED = 96
 #: Distinct contexts of a seed that are sorted in one task; seeds with more are decided by window hashes.
-GROUP_LIMIT = 2048
+GROUP_LIMIT = 16_384
 RANGES = 16
 _SEGMENT = 1 << 20
 _MULT = 0x9E3779B97F4A7C15
@@ -132,8 +132,12 @@ def reach(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int =
                             if far_l[p] < 0:
                                 far_l[p] = depth
         up[b] = a
-        large += small
-        large.sort()
+        if len(small) < 16:
+            for x in small:
+                insort(large, x)
+        else:
+            large += small
+            large.sort()
         sets[b] = None
     out: list[tuple[int, int] | None] = []
     for (x, r), c, fl, fr in zip(contexts, counts, far_l, far_r, strict=True):
