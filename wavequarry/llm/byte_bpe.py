@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from wavequarry.llm.bpe_units import load_encoding, load_ranks, segments, units
 from wavequarry.llm.common import id_and_text, parts_for, table
 
 #: Bytes of text in one block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def _split(pattern: str):
@@ -38,16 +39,18 @@ class _Block:
         of, findall = self._of, self._findall
         for s in segments(text):
             u = units(s)
-            for x in set(u) if u is not None else set(findall(s)):
-                if x not in of:
-                    of[x] = findall(x) if u is not None else [x]
+            if u is None:
+                of.update((x, [x]) for x in findall(s))
+            else:
+                of.update((x, findall(x)) for x in set(u).difference(of))
 
     def words(self) -> list[str]:
         """Sorted, so that the order depends on nothing but the block's texts."""
-        return sorted({w for ws in self._of.values() for w in ws})
+        return sorted(set(chain.from_iterable(self._of.values())))
 
     def place(self, ids: dict[str, bytes]) -> dict[str, bytes]:
-        return {u: b"".join([ids[w] for w in ws]) for u, ws in self._of.items()}
+        get = ids.__getitem__
+        return {u: b"".join(map(get, ws)) if len(ws) > 1 else get(ws[0]) if ws else b"" for u, ws in self._of.items()}
 
     def encode(self, text: str, ids_of_unit: dict[str, bytes]) -> bytes:
         get = ids_of_unit.__getitem__
@@ -55,28 +58,29 @@ class _Block:
 
 
 def _pack_strings(parts: list[bytes]) -> bytes:
-    lens = np.array([len(p) for p in parts], "<u4").tobytes()
-    return zlib.compress(len(parts).to_bytes(4, "little") + lens + b"".join(parts), 6)
+    """Lengths, one byte each where all fit, then the strings; compressed."""
+    wide = max(map(len, parts), default=0) > 255
+    lens = np.array([len(p) for p in parts], "<u4" if wide else "u1").tobytes()
+    return zlib.compress(bytes([wide]) + len(parts).to_bytes(4, "little") + lens + b"".join(parts), 6)
 
 
 def _unpack_strings(blob: bytes) -> list[bytes]:
     raw = zlib.decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)]) + 4 + 4 * n
+    kind, n = np.dtype("<u4" if raw[0] else "u1"), int.from_bytes(raw[1:5], "little")
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, kind, n, 5), dtype=np.int64)]) + 5 + kind.itemsize * n
     ends = ends.tolist()
     return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _by_class(words: list[str], classes: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
+def _by_class(words: list[str], classes: int) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
     for w in words:
-        b = w.encode("utf-8", "surrogatepass")
-        out.setdefault(zlib.crc32(b) % classes, []).append(b)
+        out.setdefault(zlib.crc32(w.encode()) % classes, []).append(w)
     return out
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_row, schema: str, blocks: int, classes: int) -> DataFrame:
-    """``per_row(doc_id, text, id bytes)`` for every row of ``docs(doc_id, text)``.
+    """``per_row(rows, their ids)`` for every block's rows of ``docs(doc_id, text)``.
 
     1. Rows are dealt to ``blocks`` by a hash of the whole row. A block explodes its
        texts into pre-tokens with positions and sends its distinct ones on, packed
@@ -99,17 +103,18 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_row, schema:
             own = _by_class(held.pop(b).words(), classes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b] * len(own), pa.int32()), pa.array(list(own), pa.int32()),
-                 pa.array([_pack_strings(w) for w in own.values()], pa.binary())], ["block", "class", "words"])
+                 pa.array([_pack_strings([w.encode() for w in ws]) for ws in own.values()], pa.binary())], ["block", "class", "words"])
 
     def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        encode = load_cached(rank_path, pattern)._core_bpe.encode_single_piece
+        encoding = load_cached(rank_path, pattern)
+        encode, kind = encoding._core_bpe.encode_single_piece, _id_kind(encoding)
         ids: dict[bytes, bytes] = {}
         out = []
         for blob in pdf["words"]:
             words = _unpack_strings(blob)
             for w in words:
                 if w not in ids:
-                    ids[w] = np.array(encode(w), "<u4").tobytes()
+                    ids[w] = np.array(encode(w), kind).tobytes()
             out.append(_pack_strings([ids[w] for w in words]))
         return pd.DataFrame({"block": pdf["block"], "class": pdf["class"], "ids": out})
 
@@ -121,11 +126,12 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_row, schema:
         for t in texts["text"]:
             block.add(t)
         own = _by_class(block.words(), classes)
-        ids = {}
+        ids: dict[str, bytes] = {}
         for c, blob in zip(found["class"], found["ids"], strict=True):
             ids.update(zip(own[c], _unpack_strings(blob), strict=True))
-        unit_ids = block.place({w: ids[w.encode("utf-8", "surrogatepass")] for w in block.words()})
-        return per_row(texts, (block.encode(t, unit_ids) for t in texts["text"]))
+        kind = _id_kind(load_cached(rank_path, pattern))
+        unit_ids = block.place(ids)
+        return per_row(texts, (np.frombuffer(block.encode(t, unit_ids), kind).astype("<u4") for t in texts["text"]))
 
     return dealt.groupBy("block").cogroup(lookups.groupBy("block")).applyInPandas(place, schema)
 
@@ -140,6 +146,11 @@ def load_cached(rank_path: str, pattern: str):
     return _cached[key]
 
 
+def _id_kind(encoding) -> str:
+    """Two bytes for an id where the vocabulary allows it."""
+    return "<u2" if encoding.n_vocab <= 1 << 16 else "<u4"
+
+
 def token_bytes(rank_path: str) -> list[bytes]:
     """The token-byte table: as many rows as the vocabulary has."""
     out: dict[int, bytes] = {v: k for k, v in load_ranks(rank_path).items()}
@@ -149,11 +160,11 @@ def token_bytes(rank_path: str) -> list[bytes]:
 _tables: dict[str, list[bytes]] = {}
 
 
-def decode_ids(raw: bytes, rank_path: str) -> bytes:
-    """Id bytes to text bytes, joined with the token-byte table."""
+def decode_ids(ids: np.ndarray, rank_path: str) -> bytes:
+    """Ids to text bytes, joined with the token-byte table."""
     if rank_path not in _tables:
         _tables[rank_path] = token_bytes(rank_path)
-    return b"".join(map(_tables[rank_path].__getitem__, np.frombuffer(raw, "<u4").tolist()))
+    return b"".join(map(_tables[rank_path].__getitem__, ids.tolist()))
 
 
 def encode_and_decode(docs: DataFrame, rank_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id",
@@ -173,17 +184,17 @@ def encode_and_decode(docs: DataFrame, rank_path: str | None = None, pattern: st
 
     def digests(texts: pd.DataFrame, encoded) -> pd.DataFrame:
         n, own, back, raws = [], [], [], []
-        for raw in encoded:
-            n.append(len(raw) // 4)
-            own.append(hashlib.sha256(raw).hexdigest())
-            back.append(hashlib.sha256(decode_ids(raw, rank_path)).hexdigest())
+        for ids in encoded:
+            n.append(len(ids))
+            own.append(hashlib.sha256(ids).hexdigest())
+            back.append(hashlib.sha256(decode_ids(ids, rank_path)).hexdigest())
             if keep_ids:
-                raws.append(np.frombuffer(raw, "<u4").astype(np.int32))
+                raws.append(ids.astype(np.int32))
         out = pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": own, "decoded_sha256": back})
         return out.assign(ids=raws) if keep_ids else out
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return encode_texts(plain, rank_path, pattern, digests, schema, blocks, max(16, blocks))
+    return encode_texts(plain, rank_path, pattern, digests, schema, blocks, max(16, blocks // 2))
 
 
 def op5_byte_bpe(spark, sf_dir):
