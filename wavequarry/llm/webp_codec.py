@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 
@@ -250,23 +251,17 @@ def _read_one_channel(bits: Bits, codes, width: int, height: int) -> np.ndarray:
         far_at[copies], at = value(np.maximum(found >> 4, 0), at)
         step = step.astype(np.int64)
         step[copies] = at - copies
-    follow = step.tolist()
-    starts, p, got = [], first, 0
-    if length_at is None:
-        for _ in range(n):
-            starts.append(p)
-            p += follow[p]
-    else:
-        run = np.ones(span, np.int64)
-        run[copies] = length_at[copies]
-        sizes = run.tolist()
-        while got < n:
-            starts.append(p)
-            got += sizes[p]
-            p += follow[p]
+    if not step.all():
+        raise WebPError("a token without bits")
+    starts = _chain(np.minimum(np.arange(span, dtype=np.int32) + step, span).astype(np.int32), first, span)
+    run = None if length_at is None else np.where(symbol[starts] >= 256, length_at[starts], 1)
+    total = len(starts) if run is None else int(run.sum())
+    if total < n:
+        raise WebPError("truncated")
+    starts = starts[: n if run is None else int(np.searchsorted(np.cumsum(run), n)) + 1]
+    p = int(starts[-1] + step[starts[-1]])
     if p > span:
         raise WebPError("truncated")
-    starts = np.array(starts, np.int64)
     if (entry[starts] < 0).any():
         raise WebPError("no such code")
     bits.at += p - first
@@ -292,6 +287,24 @@ def _read_one_channel(bits: Bits, codes, width: int, height: int) -> np.ndarray:
     return (rest | out.astype(np.uint32) << np.uint32(8)).reshape(height, width)
 
 
+def _chain(follow: np.ndarray, first: int, span: int) -> np.ndarray:
+    """first, follow[first], and so on below ``span``: every sixteenth is walked, the others are filled in together."""
+    follow = np.append(follow, np.int32(span))
+    far = follow
+    for _ in range(4):
+        far = far[far]
+    jump, marks, p = memoryview(far), [], first
+    while p < span:
+        marks.append(p)
+        p = jump[p]
+    out = np.empty((len(marks), 16), np.int32)
+    out[:, 0] = marks
+    for k in range(1, 16):
+        out[:, k] = follow[out[:, k - 1]]
+    out = out.ravel()
+    return out[out < span].astype(np.int64)
+
+
 def _channels(p: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(p).view(np.uint8).reshape(*p.shape, 4)  # B, G, R, A
 
@@ -518,22 +531,16 @@ def _put_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = lengths.tolist()
     while values and not values[-1]:
         values.pop()
-    k = 0
-    while k < len(values):
-        run = 1
-        while k + run < len(values) and values[k + run] == values[k]:
-            run += 1
-        if not values[k] and run >= 3:
-            run = min(run, 138)
-            tokens.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
-            k += run
-        elif k and values[k] == values[k - 1] and values[k] and run >= 3:
-            run = min(run, 6)
-            tokens.append((16, run - 3, 2))
-            k += run
-        else:
-            tokens.append((values[k], 0, 0))
-            k += 1
+    for value, group in groupby(values):
+        run = sum(1 for _ in group)
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            part = min(run, 6 if value else 138)
+            tokens.append((16, part - 3, 2) if value else (17, part - 3, 3) if part <= 10 else (18, part - 11, 7))
+            run -= part
+        tokens += [(value, 0, 0)] * run
     inner = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     codes = canonical(inner)
     alone = np.count_nonzero(inner) == 1
@@ -557,6 +564,8 @@ def _put_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbol, extra bits and their count, of lengths or distance codes from 1 on."""
     v = value.astype(np.int64) - 1
+    if not len(v):
+        return v, v, v
     high = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1, 0)
     extra = np.where(v < 4, 0, high - 1)
     second = np.where(v < 4, 0, v >> np.maximum(extra, 0) & 1)
@@ -568,9 +577,13 @@ def find_copies(p: np.ndarray, least: int = 12) -> list[tuple[int, int, int]]:
     n = len(p)
     if n < 2 * least:
         return []
-    h = np.zeros(n - 7, np.uint64)
-    for k in range(8):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + p[k:n - 7 + k].astype(np.uint64) + np.uint64(1)
+    if not ((p ^ p[0]) & np.uint32(0xFFFF00FF)).any():  # green alone varies: eight samples are one number
+        g = (p >> np.uint32(8)).astype(np.uint8)
+        h = np.ndarray(n - 7, "<u8", g, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    else:
+        h = np.zeros(n - 7, np.uint64)
+        for k in range(8):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + p[k:n - 7 + k].astype(np.uint64) + np.uint64(1)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     low = np.uint64(n.bit_length())  # equal windows stand together, by place
