@@ -336,15 +336,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stands before none. All columns are kept as they are.
     """
     cols = docs.columns
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
-                        similarity_keys()(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("s"))
-    full = materialise(inner.select("row", "doc_id", "s", F.xxhash64("row").alias("tie"), F.xxhash64("s.fp", "s.sketch").alias("node")), "similar-docs")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id")).withColumn("tie", F.xxhash64("row"))
+    keyed = rows.select("doc_id", "tie", similarity_keys()(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).alias("s"))
+    full = materialise(keyed.withColumn("node", F.xxhash64("s.fp", "s.sketch")), "similar-keys")  # no texts: the rows are read again at the end
     nodes = materialise(full.groupBy("node").agg(F.min(F.struct("s.fp", "s.sketch", "s.bands")).alias("s")).select("node", "s.*"), "similar-nodes")
     labels = similarity_groups(nodes).select("node", "label")
     ranked = full.select("doc_id", "tie", "node").join(labels, "node", "left").select(
         F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("w"))
     best = materialise(ranked.groupBy("label").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.tie").alias("w_tie")), "similar-best")
-    kept = full.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie")), "left_semi")
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie")), "left_semi")
     if full.groupBy("doc_id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
         kept = kept.groupBy("doc_id", "tie").agg(F.first("row").alias("row"))
     return kept.select("row.*")
