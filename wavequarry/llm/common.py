@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,8 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
-    The table outlives lost executors; it stays until the folder is emptied.
+    The table outlives lost executors; it stays until the folder is emptied. Shuffle
+    files of what was written before, and that nothing refers to any more, are let go
+    first: Spark's cleaner learns of them from a collection.
     """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     path = f"{shared_dir(df.sparkSession)}/wavequarry-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -354,13 +354,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, gro
         cut = materialise(cut, "cut")
     sorted_ = (cut.where(F.col("m") <= group_limit).repartition("kmer").sortWithinPartitions("kmer", "ctx")
                .mapInArrow(_sort_groups(length), _SPAN))
+    sorted_ = materialise(sorted_, "sorted-spans")  # the texts' and contexts' shuffles can go
     whole = (rows.where(F.col("lead") + F.col("trail") >= length)
              .join(ctx.where("n > 1").select("kmer", "ctx"), ["kmer", "ctx"], "left_semi")
              .select("t1", "t2", (F.col("pos") - F.col("lead")).alias("s"), (F.col("pos") + F.col("trail")).alias("e")).distinct())
     spans = whole.union(sorted_)
     if hot:
         spans = spans.union(_hot_spans(cut.where(F.col("m") > group_limit).dropDuplicates(["kmer", "ctx"]), length, seed, ranges))
-    return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return materialise(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def _cut(text: str, spans) -> tuple[bytes, bytes, int, int]:
