@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import xxhash
 
 from wavequarry.llm.common import connected_components
-from wavequarry.llm.simhash import BKTree, fingerprint, keep_one, link_fingerprints, near_duplicates, shard_links
+from wavequarry.llm.simhash import SKETCH, BKTree, fingerprint, keep_one, link_fingerprints, near_duplicates, shard_groups, shard_links
 
 
 def plain_fingerprint(text, width=3):
@@ -121,3 +122,19 @@ def test_similar_texts_leave_one(spark):
     want.add(900)
     got = {r["doc_id"] for r in keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == want
+
+
+def test_large_shards_keep_every_link():
+    rng = np.random.default_rng(4)
+    many = rng.integers(0, 251, (2100, SKETCH), dtype=np.uint8)
+    for k in range(0, 2100, 3):  # b is similar to a, and c to b alone
+        many[k + 1:k + 3] = many[k]
+        many[k + 1, :20] = rng.integers(0, 251, 20)
+        many[k + 2, :40] = many[k + 1, :40]
+        many[k + 2, 20:40] = rng.integers(0, 251, 20)
+    order = rng.permutation(2100)
+    got = dict(shard_groups(order.tolist(), [many[k].tobytes() for k in order]))
+    classes = {}
+    for k in range(2100):
+        classes.setdefault(got.get(k, k), set()).add(k)
+    assert sorted(map(sorted, classes.values())) == [[k, k + 1, k + 2] for k in range(0, 2100, 3)]

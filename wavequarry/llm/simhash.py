@@ -215,12 +215,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For groups by similarity: five-word shingles, Jaccard similarity, and the fingerprint distance at which similar texts are looked for.
-WIDTH, SIMILARITY, REACH = 5, 0.8, 18
+#: For groups by similarity: five-word shingles and Jaccard similarity.
+WIDTH, SIMILARITY = 5, 0.8
 #: Sketch values; the first 2 * BANDS of them make the shard keys.
 SKETCH, BANDS = 128, 10
-#: Texts of one shard that a full tree takes.
-FULL_TREE = 2048
 _FACTORS = np.random.default_rng(19).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -252,48 +250,34 @@ def similarity_keys():
     return of
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two sketches' estimated Jaccard similarity reaches ``least``; equal bytes by chance are discounted."""
-    same = np.count_nonzero(a == b) / SKETCH
-    return (same - 1 / 251) / (1 - 1 / 251) >= least
+def grouped(sketches: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """For each row of ``sketches`` the first row of its group: rows linked where their estimated Jaccard similarity reaches ``least``.
 
-
-def shard_groups(nodes: list[int], fps: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
-    """``(node, node of its group)``: texts of a shard linked where their sketches are similar.
-
-    A BK-tree over the fingerprints gives each text the others within REACH bits. In
-    shards of more than FULL_TREE texts only those that match none before them enter the tree.
+    Equal bytes by chance are discounted. Every row is held against all rows that no
+    group has yet, so the groups are those of all pairs; a group's rows leave the
+    search when they are found, so near copies cost one comparison each.
     """
-    tree, members, out = BKTree(), [], []
-    up = list(range(len(nodes)))
-    held = [np.frombuffer(s, np.uint8) for s in sketches]
-    leaders_only = len(nodes) > FULL_TREE
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for k, v in enumerate(fps):
-        joined = False
-        for at in tree.within(v, REACH):
-            for other in members[at]:
-                a, b = root(k), root(other)
-                if a != b and similar(held[k], held[other]):
-                    up[max(a, b)] = min(a, b)
-                    joined = True
-            if joined and leaders_only:
-                break
-        if not (joined and leaders_only):
-            node = tree.add(v)
-            if node == len(members):
-                members.append([])
-            members[node].append(k)
-    for k, n in enumerate(nodes):
-        if root(k) != k:
-            out.append((n, nodes[root(k)]))
-    return out
+    need = SKETCH * (least * (1 - 1 / 251) + 1 / 251)
+    first, left, held = np.arange(len(sketches)), np.arange(1, len(sketches)), sketches[1:]
+    seed, todo = 0, [0] if len(left) else []
+    while todo:
+        near = np.count_nonzero(held == sketches[todo.pop()], axis=1) >= need
+        if near.any():
+            first[left[near]] = seed
+            todo += left[near].tolist()
+            left, held = left[~near], held[~near]
+        if not todo and len(left):
+            seed, left, held = int(left[0]), left[1:], held[1:]
+            todo = [seed]
+        if not len(left):
+            break
+    return first
+
+
+def shard_groups(nodes: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
+    """``(node, node of its group)``: texts of a shard linked where their sketches are similar."""
+    first = grouped(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH))
+    return [(nodes[k], nodes[f]) for k, f in enumerate(first.tolist()) if k != f]
 
 
 def _group_shards(batches):
@@ -304,11 +288,11 @@ def _group_shards(batches):
 
     for batch in batches:
         out = []
-        for k, n, f, s in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "fp", "sketch")), strict=True):
+        for k, n, s in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch")), strict=True):
             if k != key:
                 out += flush()
                 key, held = k, []
-            held.append((n, f & 0xFFFFFFFFFFFFFFFF, s))
+            held.append((n, s))
         yield _signed_edges(out)
     yield _signed_edges(flush())
 
@@ -322,7 +306,7 @@ def similarity_groups(nodes: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``nodes(node, fp, bands, sketch)`` that have a similar one."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shards = keyed.join(sizes, "key", "left_semi").join(nodes.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch")
+    shards = keyed.join(sizes, "key", "left_semi").join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
     edges = shards.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_group_shards, "a bigint, b bigint")
     return connected_components(edges)
 
