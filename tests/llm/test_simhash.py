@@ -138,3 +138,14 @@ def test_large_shards_keep_every_link():
     for k in range(2100):
         classes.setdefault(got.get(k, k), set()).add(k)
     assert sorted(map(sorted, classes.values())) == [[k, k + 1, k + 2] for k in range(0, 2100, 3)]
+
+
+def test_repeated_words_are_no_difference(spark):
+    rng = random.Random(5)
+    docs = []
+    for k in range(6):  # the run's shingle fifty times or once: equal sets, fingerprints far apart
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+        docs += [(2 * k, " ".join(words + ["-"] * 54)), (2 * k + 1, " ".join(words + ["-"] * 5))]
+    assert any((fingerprint(a, 5) ^ fingerprint(b, 5)).bit_count() > 18 for (_, a), (_, b) in zip(docs[::2], docs[1::2]))
+    got = {r["doc_id"] for r in keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {2 * k for k in range(6)}

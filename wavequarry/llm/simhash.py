@@ -234,18 +234,18 @@ def sketch_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def similarity_keys():
-    """A column function: text to fingerprint, shard keys and a sketch of one byte per rehashing."""
+    """A column function: text to node (a hash of the distinct shingles), shard keys and a sketch of one byte per rehashing."""
 
-    @F.pandas_udf("fp bigint, bands array<bigint>, sketch binary")
+    @F.pandas_udf("node bigint, bands array<bigint>, sketch binary")
     def of(text: pd.Series) -> pd.DataFrame:
-        fps, bands, sketches = [], [], []
+        nodes, bands, sketches = [], [], []
         for t in text:
-            h = shingles(t, WIDTH)
+            h = np.unique(shingles(t, WIDTH))
             s = sketch_of(h)
-            fps.append(_signed(fingerprint_of(h)))
+            nodes.append(_signed(xxhash.xxh3_64_intdigest(h.tobytes())))
             bands.append([_signed(xxhash.xxh3_64_intdigest(s[2 * k:2 * k + 2].tobytes(), k)) for k in range(BANDS)])
             sketches.append(((s >> np.uint64(7)) % np.uint64(251)).astype(np.uint8).tobytes())
-        return pd.DataFrame({"fp": fps, "bands": bands, "sketch": sketches})
+        return pd.DataFrame({"node": nodes, "bands": bands, "sketch": sketches})
 
     return of
 
@@ -303,7 +303,7 @@ def _signed_edges(pairs) -> pa.RecordBatch:
 
 
 def similarity_groups(nodes: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of ``nodes(node, fp, bands, sketch)`` that have a similar one."""
+    """``(node, label)`` for the nodes of ``nodes(node, bands, sketch)`` that have a similar one."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     shards = keyed.join(sizes, "key", "left_semi").join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
@@ -322,8 +322,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cols = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id")).withColumn("tie", F.xxhash64("row"))
     keyed = rows.select("doc_id", "tie", similarity_keys()(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).alias("s"))
-    full = materialise(keyed.withColumn("node", F.xxhash64("s.fp", "s.sketch")), "similar-keys")  # no texts: the rows are read again at the end
-    nodes = materialise(full.groupBy("node").agg(F.min(F.struct("s.fp", "s.sketch", "s.bands")).alias("s")).select("node", "s.*"), "similar-nodes")
+    full = materialise(keyed.select("doc_id", "tie", "s.*"), "similar-keys")  # no texts: the rows are read again at the end
+    nodes = materialise(full.groupBy("node").agg(F.min(F.struct("sketch", "bands")).alias("s")).select("node", "s.*"), "similar-nodes")
     labels = similarity_groups(nodes).select("node", "label")
     ranked = full.select("doc_id", "tie", "node").join(labels, "node", "left").select(
         F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("w"))
