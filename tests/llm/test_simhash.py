@@ -149,3 +149,25 @@ def test_repeated_words_are_no_difference(spark):
     assert any((fingerprint(a, 5) ^ fingerprint(b, 5)).bit_count() > 18 for (_, a), (_, b) in zip(docs[::2], docs[1::2]))
     got = {r["doc_id"] for r in keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == {2 * k for k in range(6)}
+
+
+def test_threshold_is_exact(spark):
+    rng = random.Random(8)
+    sets = lambda t: {tuple(t[k:k + 5]) for k in range(len(t) - 4)}
+    texts = []
+    for _ in range(40):  # one changed word costs five shingles of 36 to 60: true similarities between 0.75 and 0.85
+        base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randrange(40, 65))]
+        near = list(base)
+        near[len(near) // 2] = "changed"
+        texts += [base, near]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = sets(texts[a]), sets(texts[b])
+            if len(x & y) / len(x | y) >= 0.8:
+                label = [label[b] if v == label[a] else v for v in label]
+    assert 40 < len(set(label)) < 80  # some pairs are similar, some are just not
+    want = {min(k for k, v in enumerate(label) if v == g) for g in set(label)}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    for held in (1 << 26, 64):  # in memory and in a file
+        assert {r["doc_id"] for r in keep_one(df, held_bytes=held).collect()} == want

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -215,8 +216,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For groups by similarity: five-word shingles and Jaccard similarity.
-WIDTH, SIMILARITY = 5, 0.8
+#: For groups by similarity: five-word shingles, Jaccard similarity, and the least estimate of it at which it is computed.
+WIDTH, SIMILARITY, MAYBE = 5, 0.8, 0.65
+#: Bytes of shingles of one group that a task holds in memory; more go to an unnamed local file.
+HELD_BYTES = 1 << 26
 #: Sketch values; the first 2 * BANDS of them make the shard keys.
 SKETCH, BANDS = 128, 10
 _FACTORS = np.random.default_rng(19).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -250,36 +253,100 @@ def similarity_keys():
     return of
 
 
-def grouped(sketches: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """For each row of ``sketches`` the first row of its group: rows linked where their estimated Jaccard similarity reaches ``least``.
+def grouped(sketches: np.ndarray, alike: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """For each row of ``sketches`` the first row of its group: rows linked where their estimated Jaccard similarity reaches MAYBE and ``alike(row, row)`` agrees.
 
     Equal bytes by chance are discounted. Every row is held against all rows that no
     group has yet, so the groups are those of all pairs; a group's rows leave the
     search when they are found, so near copies cost one comparison each.
     """
-    need = SKETCH * (least * (1 - 1 / 251) + 1 / 251)
+    need = SKETCH * (MAYBE * (1 - 1 / 251) + 1 / 251)
     first, left, held = np.arange(len(sketches)), np.arange(1, len(sketches)), sketches[1:]
     seed, todo = 0, [0] if len(left) else []
     while todo:
-        near = np.count_nonzero(held == sketches[todo.pop()], axis=1) >= need
+        at = todo.pop()
+        near = np.count_nonzero(held == sketches[at], axis=1) >= need
+        if alike is not None:
+            for k in np.flatnonzero(near):
+                near[k] = alike(at, int(left[k]))
         if near.any():
             first[left[near]] = seed
             todo += left[near].tolist()
             left, held = left[~near], held[~near]
-        if not todo and len(left):
-            seed, left, held = int(left[0]), left[1:], held[1:]
-            todo = [seed]
         if not len(left):
             break
+        if not todo:
+            seed, left, held = int(left[0]), left[1:], held[1:]
+            todo = [seed] if len(left) else []
     return first
 
 
+def _rows_of(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+
+
 def shard_groups(nodes: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
-    """``(node, node of its group)``: texts of a shard linked where their sketches are similar."""
-    first = grouped(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH))
+    """``(node, node of its group)``: texts of a shard linked where their sketches may belong to similar texts."""
+    first = grouped(_rows_of(sketches))
     return [(nodes[k], nodes[f]) for k, f in enumerate(first.tolist()) if k != f]
 
 
+class _Sets:
+    """The sorted distinct shingles of one group's texts, in memory up to ``held`` bytes, beyond in an unnamed local file."""
+
+    def __init__(self, held: int):
+        self.file, self.ends = tempfile.SpooledTemporaryFile(max_size=held), [0]
+
+    def add(self, text: str) -> None:
+        raw = np.unique(shingles(text, WIDTH)).tobytes()
+        self.file.seek(self.ends[-1])
+        self.file.write(raw)
+        self.ends.append(self.ends[-1] + len(raw))
+
+    def size(self, k: int) -> int:
+        return (self.ends[k + 1] - self.ends[k]) // 8
+
+    def of(self, k: int) -> np.ndarray:
+        self.file.seek(self.ends[k])
+        return np.frombuffer(self.file.read(self.ends[k + 1] - self.ends[k]), np.uint64)
+
+    def alike(self, a: int, b: int) -> bool:
+        """Whether the Jaccard similarity reaches SIMILARITY."""
+        n, m = self.size(a), self.size(b)
+        if min(n, m) < SIMILARITY * max(n, m):
+            return False
+        same = len(np.intersect1d(self.of(a), self.of(b), assume_unique=True))
+        return n + m == 0 or same / (n + m - same) >= SIMILARITY
+
+
+def _exact_groups(held_bytes: int):
+    """Rows ``(label, node, sketch, text)``, sorted, to ``(node, label)`` of the groups by true similarity within each label."""
+
+    def group(batches):
+        key, nodes, sketches, sets = None, [], [], None
+
+        def flush():
+            if len(nodes) < 2:
+                return []
+            first = grouped(_rows_of(sketches), sets.alike)
+            return [(nodes[k], nodes[f]) for k, f in enumerate(first.tolist()) if k != f]
+
+        for batch in batches:
+            out = []
+            for k, n, s, t in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "sketch", "text")), strict=True):
+                if k != key:
+                    out += flush()
+                    key, nodes, sketches, sets = k, [], [], _Sets(held_bytes)
+                if not nodes or nodes[-1] != n:  # equal rows have equal nodes
+                    nodes.append(n)
+                    sketches.append(s)
+                    sets.add(t)
+            yield _signed_edges(out)
+        yield _signed_edges(flush())
+
+    return group
+
+
 def _group_shards(batches):
     key, held = None, []
 
@@ -302,8 +369,8 @@ def _signed_edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def similarity_groups(nodes: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of ``nodes(node, bands, sketch)`` that have a similar one."""
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """``(node, label)`` for the nodes of ``nodes(node, bands, sketch)`` that may have a similar one: no similar pair is apart but by chance of the sketch."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     shards = keyed.join(sizes, "key", "left_semi").join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
@@ -311,24 +378,29 @@ def similarity_groups(nodes: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_bytes: int = HELD_BYTES) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group, one row of the least id stays.
 
-    Groups are components of texts whose five-word shingles have a Jaccard similarity
-    of 0.8 or more, by sketch. Texts without words are one group. Ties between rows
-    of one id go to the least content hash; of wholly equal rows one stays. An id
-    stands before none. All columns are kept as they are.
+    Groups are components of texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more. Sketches give candidate groups with a margin; within
+    one, pairs are decided on the whole texts' shingles. Texts without words are one
+    group. Ties between rows of one id go to the least content hash; of wholly equal
+    rows one stays. An id stands before none. All columns are kept as they are.
     """
     cols = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id")).withColumn("tie", F.xxhash64("row"))
     keyed = rows.select("doc_id", "tie", similarity_keys()(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).alias("s"))
-    full = materialise(keyed.select("doc_id", "tie", "s.*"), "similar-keys")  # no texts: the rows are read again at the end
-    nodes = materialise(full.groupBy("node").agg(F.min(F.struct("sketch", "bands")).alias("s")).select("node", "s.*"), "similar-nodes")
-    labels = similarity_groups(nodes).select("node", "label")
+    full = materialise(keyed.select("doc_id", "tie", "s.*"), "similar-keys")  # no texts: the rows are read again
+    one = F.min(F.struct(F.col("doc_id").alias("w_id"), F.col("tie").alias("w_tie")))
+    nodes = materialise(full.groupBy("node").agg(F.min(F.struct("sketch", "bands")).alias("s"), one.alias("w")).select("node", "s.*", "w.*"), "similar-nodes")
+    same_row = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))
+    maybe = materialise(candidate_groups(nodes).join(nodes, "node").select("label", "node", "sketch", "w_id", "w_tie"), "similar-maybe")
+    texts = rows.select("doc_id", "tie", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text")).join(maybe, same_row).select("label", "node", "sketch", "text")
+    labels = texts.repartition("label").sortWithinPartitions("label", "node").mapInArrow(_exact_groups(held_bytes), "node bigint, label bigint")
     ranked = full.select("doc_id", "tie", "node").join(labels, "node", "left").select(
         F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("w"))
     best = materialise(ranked.groupBy("label").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.tie").alias("w_tie")), "similar-best")
-    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie")), "left_semi")
+    kept = rows.join(best, same_row, "left_semi")
     if full.groupBy("doc_id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
         kept = kept.groupBy("doc_id", "tie").agg(F.first("row").alias("row"))
     return kept.select("row.*")
