@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from wavequarry.llm.pii import find_personal_data, sanitise
+from wavequarry.llm.pii import _with_base, find_personal_data, sanitise, term_counts, text_terms
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -70,3 +70,25 @@ def test_sanitised_rows_keep_their_columns(spark, odd_docs):
     assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
     df = spark.createDataFrame([(1, "card 4111 1111 1111 1111, a@b.cc 1.2.3.4 é")], "doc_id bigint, text string")
     assert sanitise(df).first()["text"] == "card [CARD], [EMAIL] [IP] é"
+
+
+def test_terms_go_wherever_they_stand(spark):
+    filler = ["common words here and there", "there and here common words", "words common and here there"]
+    docs = [(k, f"{filler[k % 3]} Zanzibor wrote to joe@mail.com about things") for k in range(9)]
+    docs += [(9, f"{filler[0]} wrote to ann@mail.com about Quillan, things")]
+    docs += [(10, f"{filler[0]} " * 9 + f"and (zanzibor) again {filler[1]}")]  # no entity in this text
+    docs += [(100 + k, f"{filler[k % 3]} wrote to and about the things") for k in range(600)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["spans"] for r in find_personal_data(df).collect()}
+    at = docs[10][1].index("(zanzibor)")
+    assert spans[10] == f"term_removed:{at}:{at + 10}" and "term_removed" in spans[0]
+    at = docs[9][1].index("Quillan")  # beside one address, once
+    assert f"term_general:{at}:{at + 8}" in spans[9].split(",")
+    assert all(spans[k] == "" for k, _ in docs[11:])
+    clean = {r["doc_id"]: r["text"] for r in sanitise(df).collect()}
+    assert not any("zanzibor" in t.lower() or "Quillan" in t for t in clean.values())
+    assert clean[10] == docs[10][1].replace("(zanzibor)", "") and clean[100] == docs[11][1]
+    texts = _with_base(df.select("text"))
+    every, terms = term_counts(texts), spark.createDataFrame([("zanzibor", "term_removed"), ("quillan", "term_general")], "term string, kind string")
+    want = sorted(map(str, text_terms(texts, terms, every).collect()))
+    assert len(want) == 5 and all(sorted(map(str, text_terms(texts, terms, every, k).collect())) == want for k in (0, 3))

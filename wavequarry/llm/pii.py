@@ -15,8 +15,10 @@ KINDS = ("email", "ip", "card", "phone")
 REMOVED, GENERAL = "term_removed", "term_general"
 #: Code points on either side of an entity in which its terms are looked for.
 WINDOW = 64
-#: Distinct windows that must hold a term beside an entity.
-SUPPORT = 3
+#: Occurrences apart from any entity that every term is taken to have besides its own: a term seen once is generalised, from four on it can be removed.
+PRIOR = 1
+#: Most frequent terms, by which words that can't be disclosing leave before a shuffle.
+FREQUENT = 65_536
 #: Least share of a term's occurrences that lie beside one entity: to be generalised, and to be removed.
 GENERAL_SHARE, REMOVED_SHARE = 0.5, 0.8
 #: Least disclosure in bits: share * log2(share / share of the entity among all words).
@@ -61,8 +63,8 @@ def _phone_ok(match: Column) -> Column:
     return F.length(_digits(match)).between(10, 15)
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """``array<struct<s, e, m>>``: leftmost matches with their places, in code points, end exclusive.
+def _located(text: Column, pattern: str, keep=None) -> Column:
+    """``array<struct<s, e, m>>``: leftmost matches with their places, in code points, end exclusive; of those, the ones that ``keep(m)`` names.
 
     What lies before each match is as long as the pieces and matches up to it.
     """
@@ -74,7 +76,8 @@ def _located(text: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["1"])
         e = s + F.length(x["0"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["0"].alias("m")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["0"].alias("m"))))
+        return F.struct(e.alias("at"), (more if keep is None else F.when(keep(x["0"]), more).otherwise(acc["out"])).alias("out"))
 
     named = F.transform(zipped, lambda x: F.struct(x["m"].alias("0"), x["p"].alias("1")))
     return F.when(F.size(matches) == 0, empty).otherwise(
@@ -142,38 +145,69 @@ def entity_words(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.where(apart).select("t1", "t2", "entity", "around", "term", "s", "e")
 
 
-def disclosing_terms(words: DataFrame, texts: DataFrame, support: int = SUPPORT, general: float = GENERAL_SHARE,
+def term_counts(texts: DataFrame) -> DataFrame:
+    """``(term, n_t)``: occurrences in all texts, summed in parts before they are shuffled."""
+    return (texts.select(F.explode(F.split(F.lower("text"), _SPACE)).alias("w")).select(F.btrim("w", F.lit(_EDGES)).alias("term"))
+            .where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t")))
+
+
+def disclosing_terms(words: DataFrame, every: DataFrame, prior: float = PRIOR, general: float = GENERAL_SHARE,
                      removed: float = REMOVED_SHARE, bits: float = BITS) -> DataFrame:
-    """``(term, entity, kind)`` for terms whose occurrences give an entity away.
+    """``(term, kind)`` for terms whose occurrences give an entity away.
 
-    share = occurrences of the term beside the entity / all its occurrences in
-    ``texts``; disclosure = share * log2(share / (entity's words / all words)). A term
-    counts if ``support`` distinct windows of the entity hold it. All counts are over
-    all texts, summed in parts before they are shuffled.
+    share = occurrences of the term beside the entity / (all its occurrences in
+    ``every`` + ``prior``); disclosure = share * log2(share / (entity's words / all
+    words)). A term of several entities takes the strictest kind.
     """
-    beside = (words.groupBy("term", "entity", "around").agg(F.count("*").alias("c"))
-              .groupBy("term", "entity").agg(F.sum("c").alias("n_te"), F.count("*").alias("windows")))
+    beside = words.groupBy("term", "entity").agg(F.count("*").alias("n_te"))
     entity = beside.groupBy("entity").agg(F.sum("n_te").alias("n_e"))
-    some = beside.where(F.col("windows") >= support)
-    every = (texts.select(F.explode(F.split(F.lower("text"), _SPACE)).alias("w")).select(F.btrim("w", F.lit(_EDGES)).alias("term"))
-             .where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t")))
     total = every.agg(F.sum("n_t").alias("n"))
-    share = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
+    share = F.least(F.col("n_te"), F.col("n_t")) / (F.col("n_t") + prior)
     rated = (
-        some.join(every, "term").join(entity, "entity").join(F.broadcast(total))
-        .select("term", "entity", share.alias("share"), (share * F.log2(share * F.col("n") / F.col("n_e"))).alias("bits"))
+        beside.join(every, "term").join(entity, "entity").join(F.broadcast(total))
+        .select("term", share.alias("share"), (share * F.log2(share * F.col("n") / F.col("n_e"))).alias("bits"))
     )
-    return rated.where((F.col("share") >= general) & (F.col("bits") >= bits)).select(
-        "term", "entity", F.when(F.col("share") >= removed, F.lit(REMOVED)).otherwise(F.lit(GENERAL)).alias("kind"))
+    return rated.where((F.col("share") >= general) & (F.col("bits") >= bits)).groupBy("term").agg(
+        F.max(F.when(F.col("share") >= removed, F.lit(REMOVED)).otherwise(F.lit(GENERAL))).alias("kind"))
+
 
+def text_terms(texts: DataFrame, terms: DataFrame, every: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """``(t1, t2, gone, general)``: for each text that holds any of ``terms(term, kind)``, wherever it stands, those to be removed and generalised.
 
-def term_spans(texts: DataFrame, how: dict | None = None) -> DataFrame:
-    """``(t1, t2, extra)``: the spans that the method adds to each text that has any."""
+    The ``frequent`` most frequent terms are broadcast with their kinds, so the words
+    of a text that are shuffled are the rarer ones, and no key of theirs is large.
+    """
+    top = every.orderBy(F.desc("n_t"), "term").limit(frequent).select("term").join(terms, "term", "left").select("term", F.lit(True).alias("top"), F.col("kind").alias("top_kind"))
+    held = texts.select("t1", "t2", F.explode(F.array_distinct(F.transform(F.split("text", _SPACE), _term))).alias("term")).where("term <> ''")
+    some = (held.join(F.broadcast(top), "term", "left").where("top IS NULL OR top_kind IS NOT NULL")
+            # what is decided gets a key that no term has, apart for each text
+            .withColumn("key", F.when(F.col("top").isNull(), F.col("term")).otherwise(F.concat(F.lit(" "), F.col("t1").cast("string")))))
+    rare = terms.select(F.col("term").alias("key"), "kind")
+    hits = some.join(rare, "key", "left").select("t1", "t2", "term", F.coalesce("top_kind", "kind").alias("kind")).where("kind IS NOT NULL")
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("term")))
+    return hits.groupBy("t1", "t2").agg(of(REMOVED).alias("gone"), of(GENERAL).alias("general"))
+
+
+def disclosing_hits(texts: DataFrame, how: dict | None = None) -> DataFrame:
+    """``text_terms`` of the disclosing terms of ``texts(t1, t2, text, base)``."""
     words = materialise(entity_words(texts), "entity-words")
-    terms = disclosing_terms(words, texts, **(how or {}))
-    hits = words.join(terms, ["term", "entity"]).groupBy("t1", "t2", "s", "e").agg(F.max("kind").alias("kind"))
-    shaped = F.struct("s", F.when(F.col("kind") == REMOVED, 4).otherwise(5).alias("rank"), "kind", "e", F.lit("").alias("m"))
-    return hits.groupBy("t1", "t2").agg(F.collect_list(shaped).alias("extra"))
+    every = materialise(term_counts(texts), "terms")
+    terms = materialise(disclosing_terms(words, every, **(how or {})), "disclosing-terms")
+    return text_terms(texts, terms, every)
+
+
+def _extra() -> Column:
+    """The spans of all occurrences of a text's ``gone`` and ``general`` terms; words that overlap a base span are left out."""
+    def among(kind: str):
+        return lambda m: F.array_contains(F.col(kind), _term(m))
+
+    found = F.filter(_located(F.col("text"), _WORD, lambda m: among("gone")(m) | among("general")(m)),
+                     lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
+    shaped = F.transform(found, lambda w: F.struct(
+        w["s"].alias("s"), F.when(among("gone")(w["m"]), 4).otherwise(5).alias("rank"),
+        F.when(among("gone")(w["m"]), REMOVED).otherwise(GENERAL).alias("kind"), w["e"].alias("e"), F.lit("").alias("m")))
+    none = F.array().cast("array<struct<s:int,rank:int,kind:string,e:int,m:string>>")
+    return F.when(F.col("gone").isNotNull(), shaped).otherwise(none)
 
 
 def _with_base(docs: DataFrame) -> DataFrame:
@@ -181,8 +215,7 @@ def _with_base(docs: DataFrame) -> DataFrame:
 
 
 def _all_spans() -> Column:
-    none = F.array().cast("array<struct<s:int,rank:int,kind:string,e:int,m:string>>")
-    return F.array_sort(F.concat(F.col("base"), F.coalesce(F.col("extra"), none)))
+    return F.array_sort(F.concat(F.col("base"), _extra()))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -193,10 +226,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     corpus as often as they occur. An empty table gives none.
     """
     plain = id_and_text(docs, id_col, text_col)
-    found = materialise(_with_base(plain).select("doc_id", "t1", "t2", "base"), "pii-base")
-    extra = term_spans(_with_base(plain), how)
+    keyed = _with_base(plain)
+    hits = disclosing_hits(keyed, how)
     counts = [F.size(F.filter("base", lambda x: x["kind"] == F.lit(k))).cast("bigint").alias(f"n_{k}") for k in KINDS]  # noqa: B023
-    return found.join(extra, ["t1", "t2"], "left").select(
+    return keyed.join(hits, ["t1", "t2"], "left").select(
         "doc_id", *counts, F.sha2(span_string(F.col("base")), 256).alias("base_sha256"), span_string(_all_spans()).alias("spans"))
 
 
@@ -228,8 +261,8 @@ def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     cols = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keyed = _with_base(inner)
-    extra = term_spans(_with_base(inner.select("text")), how)
-    spans = keyed.join(extra, ["t1", "t2"], "left").select("row", "text", _merged(_all_spans()).alias("spans"))
+    hits = disclosing_hits(_with_base(inner.select("text")), how)
+    spans = keyed.join(hits, ["t1", "t2"], "left").select("row", "text", _merged(_all_spans()).alias("spans"))
     new = F.when(F.size("spans") == 0, F.col(f"row.`{text_col}`")).otherwise(_rewritten(F.col("text"), F.col("spans")))
     return spans.select(*(new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in cols))
 
