@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wavequarry.llm.media_webp import decode_images, media_digests, payload_of, store, store_texts
+from wavequarry.llm.media_webp import decode_images, features_of, media_digests, payload_of, payload_size, samples_of, store, store_texts
 from wavequarry.llm.webp_codec import NEAR, WebPError, canonical, code_lengths, decode, encode
 
 #: A 1 x 1 image written by hand: no transform, five one-symbol codes (green 2, red 1, blue 3, alpha 255, distance 0).
@@ -88,3 +88,20 @@ def test_pixels(spark):
 def test_large_payload_keeps_its_size():
     p = payload_of("ab" * 700_000)
     assert (decode(store(p)) >> 8 & 255).astype(np.uint8).tobytes() == p
+
+
+@pytest.mark.parametrize("rows", [16_411, 16_417, 40_009])
+def test_large_payload_that_no_width_divides(rows):
+    text = "ab" * (32 * rows - 3)
+    p = payload_of(text)
+    assert len(p) == 64 * rows == payload_size(len(text))
+    pixels = decode(store(p))
+    assert samples_of(pixels, len(p)) == p and pixels.size > len(p)
+    got = dict(x.split("=") for x in features_of(pixels, len(p)).split(";")[1:])
+    assert float(got["zero"]) == round(6 / len(p), 6) and got["mean"] == f"{sum(p) / len(p):.6f}"
+
+
+def test_large_text_in_a_table(spark):
+    text = "ab" * (32 * 16_411)
+    r = media_digests(spark.createDataFrame([(1, text), (2, "a")], "doc_id bigint, text string")).where("doc_id = 1").first()
+    assert (r["payload_bytes"], r["payload_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())

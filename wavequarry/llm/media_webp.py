@@ -20,32 +20,44 @@ _OPAQUE = np.uint32(0xFF000000)
 def payload_of(text: str | None) -> bytes:
     """UTF-8, with zero bytes up to a positive multiple of 64."""
     raw = (text or "").encode()
-    return raw + b"\0" * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw))
+    return raw + b"\0" * (payload_size(len(raw)) - len(raw))
 
 
 def store(payload: bytes) -> bytes:
     """The payload as the green samples of an image whose rows are a multiple of 64 wide.
 
-    At most sixteen distinct bytes are bundled with a palette. An image holds at
-    most 2**28 bytes; a longer payload is an error.
+    At most sixteen distinct bytes are bundled with a palette. Where no width divides the
+    payload, zero samples fill the last row: ``samples_of`` takes the payload's length. An
+    image holds at most 2**28 bytes; a longer payload is an error.
     """
     samples = np.frombuffer(payload, np.uint8)
     rows = len(samples) // ROW
-    per = -(-rows // MAX_SIDE)
-    while rows % per:  # a width that divides the payload, so that no sample is made up
-        per += 1
-    if per * ROW > MAX_SIDE:
+    least = -(-rows // MAX_SIDE)
+    if least * ROW > MAX_SIDE:
         raise WebPError("payload too large for one image")
+    # a width that divides the payload, so that no sample is made up, if there is one
+    per = next((w for w in range(least, MAX_SIDE // ROW + 1) if rows % w == 0), least)
+    samples = np.pad(samples, (0, -rows % per * ROW))
     pixels = (_OPAQUE | samples.astype(np.uint32) << np.uint32(8)).reshape(-1, per * ROW)
     few = len(samples) >= 256 and np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
     return encode(pixels, (("palette",),) if few else ())
 
 
-def features_of(pixels: np.ndarray) -> str:
-    """Size, mean, deviation, entropy in bits, share of zero samples and a mean hash (8 columns, up to 8 rows) of the green plane."""
+def payload_size(n_bytes: int) -> int:
+    """The length of the payload of a text of ``n_bytes``."""
+    return max(ROW, -(-n_bytes // ROW) * ROW)
+
+
+def samples_of(pixels: np.ndarray, size: int) -> bytes:
+    """The payload of ``size`` bytes that an image stores."""
+    return (pixels >> 8 & 255).astype(np.uint8).tobytes()[:size]
+
+
+def features_of(pixels: np.ndarray, size: int | None = None) -> str:
+    """Size, mean, deviation, entropy in bits, share of zero samples and a mean hash (8 columns, up to 8 rows) of the green plane, of its first ``size`` samples if given."""
     g = np.ascontiguousarray(pixels).view(np.uint8)[:, 1::4]
-    count = np.bincount(g.ravel(), minlength=256)
-    n, levels = g.size, np.arange(256)
+    n, levels = g.size if size is None else size, np.arange(256)
+    count = np.bincount(g.ravel()[:n], minlength=256)
     total, squares = int(count @ levels), int(count @ levels**2)
     mean = total / n
     some = count[count > 0] / n
@@ -53,13 +65,19 @@ def features_of(pixels: np.ndarray) -> str:
     top, left = np.arange(bands) * len(g) // bands, np.arange(8) * g.shape[1] // 8
     sums = np.add.reduceat(np.add.reduceat(g, top, axis=0, dtype=np.int64), left, axis=1)
     area = np.outer(np.diff([*top, len(g)]), np.diff([*left, g.shape[1]]))
+    if n < g.size:
+        real = (np.arange(g.size) < n).reshape(g.shape)
+        area = np.add.reduceat(np.add.reduceat(real, top, axis=0, dtype=np.int64), left, axis=1)
     code = np.packbits((sums * n > total * area).ravel(), bitorder="big").tobytes().hex()
     return (f"{g.shape[1]}x{len(g)};mean={mean:.6f};std={max(0.0, squares / n - mean * mean) ** 0.5:.6f};"
             f"entropy={-(some * np.log2(some)).sum() + 0.0:.6f};zero={count[0] / n:.6f};hash={code}")
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, media)``: every text stored as an image. Null and empty texts are 64 zero bytes."""
+    """``(doc_id, n_bytes, media)``: every text stored as an image. Null and empty texts are 64 zero bytes.
+
+    The payload is the first ``payload_size(n_bytes)`` samples of the image.
+    """
 
     @F.pandas_udf("binary")
     def media(text: pd.Series) -> pd.Series:
@@ -103,11 +121,12 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def digest(text: pd.Series) -> pd.DataFrame:
         rows = []
         for t in text:
-            stored = store(payload_of(t))
+            payload = payload_of(t)
+            stored = store(payload)
             pixels = decode(stored)
-            back = (pixels >> 8 & 255).astype(np.uint8).tobytes()
+            back = samples_of(pixels, len(payload))
             rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored),
-                         hashlib.sha256(stored).hexdigest(), features_of(pixels)))
+                         hashlib.sha256(stored).hexdigest(), features_of(pixels, len(back))))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _DIGEST.split(", ")])
 
     plain = id_and_text(docs, id_col, text_col)
