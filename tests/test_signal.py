@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wavequarry.functions import dsp
 from wavequarry.operators import folds, mastering, planning, windows
 from wavequarry.sources import wav
@@ -189,3 +192,20 @@ def test_bass_and_matching(spark):
     curve = dict(mastering.match_curve(noise, shaped, rate))
     near = lambda hz: curve[min(curve, key=lambda f: abs(f - hz))]
     assert near(2000) - near(200) > 2 and all(abs(g) <= 2 for f, g in curve.items() if f < 120)
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def all_frames(spark):
+    return {r["vec_id"]: np.array(r["embedding"], np.float32).astype(float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+
+
+def test_sliding_median_of_all_frames(spark):
+    got = {(r["vec_id"], r["bin"]): (r["med"], r["mask"]) for r in entry.queries()["sliding_median_full"](spark, SF).collect()}
+    frames = all_frames(spark)
+    assert len(frames) > 100 and set(got) == {(v, k) for v in frames for k in range(64)}
+    for v, x in frames.items():
+        med = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, 8, mode="reflect"), 17), axis=1)
+        mask = np.clip((x - med) / (med + 1e-12), 0, 1)
+        assert np.allclose([got[v, k] for k in range(64)], np.stack([med, mask], axis=1), atol=2e-6)

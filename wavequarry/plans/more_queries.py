@@ -76,8 +76,19 @@ def frame_route(spark, sf_dir):
 @query("sliding_median", f"WITH {_SPEC}, w AS (SELECT a.vec_id, a.f, a.m, b.m AS near FROM spec a JOIN spec b ON a.vec_id = b.vec_id JOIN range(-8, 9) t(d) ON b.f = CASE WHEN a.f + d < 0 THEN -(a.f + d) WHEN a.f + d > 63 THEN 126 - (a.f + d) ELSE a.f + d END WHERE a.vec_id < 100) "
        "SELECT vec_id, f AS bin, round(median(near), 6) AS med, round(greatest(0e0, least(1e0, (any_value(m) - median(near)) / (median(near) + 1e-12))), 6) AS mask FROM w GROUP BY 1, 2")
 def sliding_median(spark, sf_dir):
-    """The median of 17 bins with mirrored edges, folded per row in the JVM; the first hundred frames are the fixture."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    """W5, R4 for the first hundred frames, as in its SQL; ``sliding_median_full`` has all."""
+    return _sliding_median(table(spark, sf_dir, "embeddings").where("vec_id < 100"))
+
+
+@query("sliding_median_full")
+def sliding_median_full(spark, sf_dir):
+    """W5, R4 for every frame."""
+    return _sliding_median(table(spark, sf_dir, "embeddings"))
+
+
+def _sliding_median(frames):
+    """The median of 17 bins with mirrored edges, folded per row in the JVM."""
+    e = frames.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     mirror = lambda i: F.when(i < 0, -i).when(i > 63, 126 - i).otherwise(i)
     med = lambda n: F.element_at(F.array_sort(F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda d: F.element_at(F.col("v"), (mirror(n + d) + 1).cast("int")))), 9)
     each = e.select("vec_id", F.inline(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda n: F.struct(n.alias("bin"), F.element_at(F.col("v"), n + 1).alias("m"), med(n).alias("med")))))
