@@ -209,3 +209,11 @@ def test_sliding_median_of_all_frames(spark):
         med = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, 8, mode="reflect"), 17), axis=1)
         mask = np.clip((x - med) / (med + 1e-12), 0, 1)
         assert np.allclose([got[v, k] for k in range(64)], np.stack([med, mask], axis=1), atol=2e-6)
+
+
+def test_whole_spectrum_of_all_frames(spark):
+    got = {(r["vec_id"], r["bin"]): r["m"] for r in entry.queries()["dft_magnitude_full"](spark, SF).collect()}
+    frames = all_frames(spark)
+    assert set(got) == {(v, k) for v in frames for k in range(33)}
+    for v, x in frames.items():
+        assert np.allclose([got[v, k] for k in range(33)], np.abs(np.fft.rfft(x)), atol=2e-5)

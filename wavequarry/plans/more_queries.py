@@ -27,13 +27,24 @@ _DFT_BINS = (0, 1, 2, 4, 8)
 @query("dft_magnitude", "WITH s AS (SELECT vec_id, unnest(generate_series(0, 63)) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings), k AS (SELECT unnest([0, 1, 2, 4, 8]) AS bin) "
                         "SELECT vec_id, bin, round(sqrt(pow(sum(v * cos(2 * pi() * bin * n / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * n / 64)), 2)), 5) AS m FROM s CROSS JOIN k GROUP BY 1, 2")
 def dft_magnitude(spark, sf_dir):
-    """W10 for a few bins, in the JVM: each bin is two folds over the frame."""
+    """W10 for a few bins, as in its SQL; ``dft_magnitude_full`` has all 33."""
+    return _dft_magnitude(spark, sf_dir, _DFT_BINS)
+
+
+@query("dft_magnitude_full")
+def dft_magnitude_full(spark, sf_dir):
+    """W10 for all bins of a frame of 64 samples."""
+    return _dft_magnitude(spark, sf_dir, range(33))
+
+
+def _dft_magnitude(spark, sf_dir, which):
+    """In the JVM: each bin is two folds over the frame."""
     def part(fn, k):
         terms = F.transform("embedding", lambda v, n: v.cast("double") * fn(F.lit(2) * F.pi() * k * n / 64))
         return F.aggregate(terms, F.lit(0e0), lambda a, x: a + x)
 
-    bins = F.array(*(F.struct(F.lit(k).alias("bin"), F.round(F.sqrt(F.pow(part(F.cos, k), F.lit(2)) + F.pow(part(F.sin, k), F.lit(2))), 5).alias("m")) for k in _DFT_BINS))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.inline(bins))
+    bin_of = lambda k: F.struct(k.alias("bin"), F.round(F.sqrt(F.pow(part(F.cos, k), F.lit(2)) + F.pow(part(F.sin, k), F.lit(2))), 5).alias("m"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.transform(F.array(*map(F.lit, which)), bin_of)))
 
 
 _FRAME_PAIR = "fp AS (SELECT a.vec_id // 2 AS frame, a.f AS bin, a.m AS l, b.m AS r FROM spec a JOIN spec b ON a.vec_id + 1 = b.vec_id AND a.f = b.f WHERE a.vec_id % 2 = 0)"
