@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 from wavequarry.llm.common import connected_components
-from wavequarry.llm.simhash import SKETCH, BKTree, fingerprint, keep_one, link_fingerprints, near_duplicates, shard_groups, shard_links
+from wavequarry.llm.simhash import (BANDS, REACH, ROWS, BKTree, fingerprint, fingerprint_of, keep_one, link_fingerprints, near_duplicates, shard_groups,
+                                    shard_links, sketch_of)
 
 
 def plain_fingerprint(text, width=3):
@@ -124,20 +125,61 @@ def test_similar_texts_leave_one(spark):
     assert got == want
 
 
-def test_large_shards_keep_every_link():
+def jaccard_groups(texts):
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                label = [label[b] if v == label[a] else v for v in label]
+    return label
+
+
+def test_a_large_group_of_near_copies_keeps_every_link(spark):
+    """Chains: most pairs of a group are not similar. Small limits deal it to many parts and turns."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(80)]
+    texts = []
+    for _ in range(150):
+        near = list(base)
+        for at in rng.sample(range(80), rng.randrange(0, 5)):
+            near[at] = word()
+        texts.append(near)
+    texts += [[word() for _ in range(60)] for _ in range(30)]
+    label = jaccard_groups(texts)
+    want = {min(k for k, v in enumerate(label) if v == g) for g in set(label)}
+    assert 40 < len(want) < 150
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    for how in ({}, {"shard_limit": 4, "part_texts": 10, "pivots": 3}, {"part_shingles": 400, "pivots": 1}):
+        assert {r["doc_id"] for r in keep_one(df, **how).collect()} == want
+
+
+def test_recall_of_near_copies_by_similarity():
+    """Shares of pairs at a similarity that the bands and the fingerprints' reach propose."""
+    rng = np.random.default_rng(12)
+    lost = 0
+    for _ in range(400):
+        n = int(rng.integers(20, 400))
+        same = int(np.ceil(2 * n * 0.8 / 1.8))  # of two sets of n, at a similarity of 0.8 or just above
+        h = rng.integers(0, 1 << 64, 2 * n - same, dtype=np.uint64)
+        a, b = h[:n], h[n - same:]
+        x, y = sketch_of(a).reshape(BANDS, ROWS), sketch_of(b).reshape(BANDS, ROWS)
+        lost += not (x == y).all(axis=1).any() or (fingerprint_of(a) ^ fingerprint_of(b)).bit_count() > REACH
+    assert lost <= 2
+
+
+def test_shard_groups_hold_all_pairs():
     rng = np.random.default_rng(4)
-    many = rng.integers(0, 251, (2100, SKETCH), dtype=np.uint8)
-    for k in range(0, 2100, 3):  # b is similar to a, and c to b alone
-        many[k + 1:k + 3] = many[k]
-        many[k + 1, :20] = rng.integers(0, 251, 20)
-        many[k + 2, :40] = many[k + 1, :40]
-        many[k + 2, 20:40] = rng.integers(0, 251, 20)
-    order = rng.permutation(2100)
-    got = dict(shard_groups(order.tolist(), [many[k].tobytes() for k in order]))
-    classes = {}
-    for k in range(2100):
-        classes.setdefault(got.get(k, k), set()).add(k)
-    assert sorted(map(sorted, classes.values())) == [[k, k + 1, k + 2] for k in range(0, 2100, 3)]
+    rows = []
+    for k in range(0, 900, 3):  # b is near a, and c near b alone
+        a = int(rng.integers(0, 1 << 63))
+        b, c = a ^ ((1 << 20) - 1), a ^ ((1 << 40) - 1)
+        rows += [(k, signed(a), 50), (k + 1, signed(b), 50), (k + 2, signed(c), 50)]
+    order = rng.permutation(900)
+    got = dict(shard_groups([rows[k] for k in order], reach=20))
+    for k in range(0, 900, 3):
+        assert len({got.get(k + j, k + j) for j in range(3)}) == 1
 
 
 def test_repeated_words_are_no_difference(spark):
@@ -153,21 +195,14 @@ def test_repeated_words_are_no_difference(spark):
 
 def test_threshold_is_exact(spark):
     rng = random.Random(8)
-    sets = lambda t: {tuple(t[k:k + 5]) for k in range(len(t) - 4)}
     texts = []
     for _ in range(40):  # one changed word costs five shingles of 36 to 60: true similarities between 0.75 and 0.85
         base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randrange(40, 65))]
         near = list(base)
         near[len(near) // 2] = "changed"
         texts += [base, near]
-    label = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            x, y = sets(texts[a]), sets(texts[b])
-            if len(x & y) / len(x | y) >= 0.8:
-                label = [label[b] if v == label[a] else v for v in label]
+    label = jaccard_groups(texts)
     assert 40 < len(set(label)) < 80  # some pairs are similar, some are just not
     want = {min(k for k, v in enumerate(label) if v == g) for g in set(label)}
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
-    for held in (1 << 26, 64):  # in memory and in a file
-        assert {r["doc_id"] for r in keep_one(df, held_bytes=held).collect()} == want
+    assert {r["doc_id"] for r in keep_one(df).collect()} == want

@@ -5,15 +5,18 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, it is a temporary one in local mode, where all share it, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="wavequarry-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -22,15 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
-    The table outlives lost executors; it stays until the folder is emptied. Shuffle
-    files of what was written before, and that nothing refers to any more, are let go
-    first: Spark's cleaner learns of them from a collection.
+    The table outlives lost executors; it stays until ``discard`` or until the folder is
+    emptied. Shuffle files of what was written before, and that nothing refers to any
+    more, are let go first.
     """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    let_go(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/wavequarry-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def let_go(spark: SparkSession) -> None:
+    """Spark's cleaner learns of unused shuffle files from a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_tables: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote. Only for those that nothing unwritten reads."""
+    for t in tables:
+        ref, path = _tables.pop(id(t), (None, None))
+        if ref is not None and ref() is t:
+            spark = t.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +77,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star contraction: a logarithmic number of
     rounds, each two aggregations and two joins over the edges, whose number
     never grows. A hub's edges are split by the skew join; no neighbour list is
-    gathered. Each round is written to the shared folder.
+    gathered. Each round is written to the shared folder, and the one before it deleted.
     """
     spark = edges.sparkSession
     cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
@@ -71,7 +94,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        cur = materialise(small, "cc")
+        old, cur = cur, materialise(small, "cc")
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     labels = cur.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")

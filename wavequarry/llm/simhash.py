@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wavequarry.llm.common import connected_components, id_and_text, materialise, table
+from wavequarry.llm.common import connected_components, discard, id_and_text, materialise, table
 
 RADIUS = 2
 SEED = 42
@@ -216,150 +215,192 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For groups by similarity: five-word shingles, Jaccard similarity, and the least estimate of it at which it is computed.
-WIDTH, SIMILARITY, MAYBE = 5, 0.8, 0.65
-#: Bytes of shingles of one group that a task holds in memory; more go to an unnamed local file.
-HELD_BYTES = 1 << 26
-#: Sketch values; the first 2 * BANDS of them make the shard keys.
-SKETCH, BANDS = 128, 10
-_FACTORS = np.random.default_rng(19).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For groups by similarity: five-word shingles, and the least Jaccard similarity.
+WIDTH, SIMILARITY = 5, 0.8
+#: Shard keys of a text: BANDS keys of ROWS least rehashed shingles each.
+BANDS, ROWS = 18, 4
+#: Bits in which the fingerprints of two similar texts may differ.
+REACH = 20
+#: Texts of a shard that are searched by a tree; all texts of a larger shard are proposed as one group.
+SHARD_LIMIT = 1024
+#: Texts and shingles of a candidate group that one task holds besides its guests; larger groups are dealt to several tasks.
+PART_TEXTS, PART_SHINGLES = 2048, 4 << 20
+#: Texts, about, of a dealt group that all its parts get.
+PIVOTS = 64
+_FACTORS = np.random.default_rng(19).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """The least of each of SKETCH rehashings of the shingles."""
-    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _CHUNK):
-        h = hashes[at:at + _CHUNK]
+    """The least of each of BANDS * ROWS rehashings of the shingles."""
+    out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at:at + 4096]
         h = h ^ (h >> np.uint64(33))
-        for k, f in enumerate(_FACTORS):
-            out[k] = min(out[k], (h * f).min())
+        np.minimum(out, (h[:, None] * _FACTORS).min(axis=0), out=out)
     return out
 
 
 def similarity_keys():
-    """A column function: text to node (a hash of the distinct shingles), shard keys and a sketch of one byte per rehashing."""
+    """A column function: text to node (a hash of the distinct shingles), their number, their fingerprint, and shard keys (none for a text without words)."""
 
-    @F.pandas_udf("node bigint, bands array<bigint>, sketch binary")
+    @F.pandas_udf("node bigint, n bigint, fp bigint, bands array<bigint>")
     def of(text: pd.Series) -> pd.DataFrame:
-        nodes, bands, sketches = [], [], []
+        nodes, sizes, fps, bands = [], [], [], []
         for t in text:
             h = np.unique(shingles(t, WIDTH))
             s = sketch_of(h)
             nodes.append(_signed(xxhash.xxh3_64_intdigest(h.tobytes())))
-            bands.append([_signed(xxhash.xxh3_64_intdigest(s[2 * k:2 * k + 2].tobytes(), k)) for k in range(BANDS)])
-            sketches.append(((s >> np.uint64(7)) % np.uint64(251)).astype(np.uint8).tobytes())
-        return pd.DataFrame({"node": nodes, "bands": bands, "sketch": sketches})
+            sizes.append(len(h))
+            fps.append(_signed(fingerprint_of(h)))
+            bands.append([_signed(xxhash.xxh3_64_intdigest(s[ROWS * k:ROWS * (k + 1)].tobytes(), k)) for k in range(BANDS)] if len(h) else [])
+        return pd.DataFrame({"node": nodes, "n": sizes, "fp": fps, "bands": bands})
 
     return of
 
 
-def grouped(sketches: np.ndarray, alike: Callable[[int, int], bool] | None = None) -> np.ndarray:
-    """For each row of ``sketches`` the first row of its group: rows linked where their estimated Jaccard similarity reaches MAYBE and ``alike(row, row)`` agrees.
-
-    Equal bytes by chance are discounted. Every row is held against all rows that no
-    group has yet, so the groups are those of all pairs; a group's rows leave the
-    search when they are found, so near copies cost one comparison each.
-    """
-    need = SKETCH * (MAYBE * (1 - 1 / 251) + 1 / 251)
-    first, left, held = np.arange(len(sketches)), np.arange(1, len(sketches)), sketches[1:]
-    seed, todo = 0, [0] if len(left) else []
-    while todo:
-        at = todo.pop()
-        near = np.count_nonzero(held == sketches[at], axis=1) >= need
-        if alike is not None:
-            for k in np.flatnonzero(near):
-                near[k] = alike(at, int(left[k]))
-        if near.any():
-            first[left[near]] = seed
-            todo += left[near].tolist()
-            left, held = left[~near], held[~near]
-        if not len(left):
-            break
-        if not todo:
-            seed, left, held = int(left[0]), left[1:], held[1:]
-            todo = [seed] if len(left) else []
-    return first
-
-
-def _rows_of(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+class _Groups:
+    """Union-find over rows 0 to n - 1; a group's root is its first row."""
 
+    def __init__(self, n: int):
+        self._up = list(range(n))
 
-def shard_groups(nodes: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
-    """``(node, node of its group)``: texts of a shard linked where their sketches may belong to similar texts."""
-    first = grouped(_rows_of(sketches))
-    return [(nodes[k], nodes[f]) for k, f in enumerate(first.tolist()) if k != f]
-
-
-class _Sets:
-    """The sorted distinct shingles of one group's texts, in memory up to ``held`` bytes, beyond in an unnamed local file."""
-
-    def __init__(self, held: int):
-        self.file, self.ends = tempfile.SpooledTemporaryFile(max_size=held), [0]
-
-    def add(self, text: str) -> None:
-        raw = np.unique(shingles(text, WIDTH)).tobytes()
-        self.file.seek(self.ends[-1])
-        self.file.write(raw)
-        self.ends.append(self.ends[-1] + len(raw))
+    def root(self, x: int) -> int:
+        up = self._up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    def size(self, k: int) -> int:
-        return (self.ends[k + 1] - self.ends[k]) // 8
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self._up[max(a, b)] = min(a, b)
+
+    def stars(self) -> list[tuple[int, int]]:
+        return [(k, r) for k in range(len(self._up)) if (r := self.root(k)) != k]
+
+
+def shard_groups(rows: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int]]:
+    """``(node, node of its group)`` for a shard's ``(node, fp, n)``: texts linked where a BK-tree finds their fingerprints within ``reach`` and their sizes allow the similarity."""
+    tree, groups = BKTree(), _Groups(len(rows))
+    held: list[list[int]] = []
+    for k, (_, fp, n) in enumerate(rows):
+        fp &= 0xFFFFFFFFFFFFFFFF
+        for at in tree.within(fp, reach):
+            for other in held[at]:
+                m = rows[other][2]
+                if min(n, m) >= SIMILARITY * max(n, m):
+                    groups.join(k, other)
+        at = tree.add(fp)
+        if at == len(held):
+            held.append([])
+        held[at].append(k)
+    return [(rows[k][0], rows[r][0]) for k, r in groups.stars()]
+
+
+class ShingleSets:
+    """Texts' sets of distinct shingles, numbered among themselves, in one array."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        self._words, ids = np.unique(flat, return_inverse=True)
+        self.flat, self.ends = ids.astype(np.int32), np.concatenate([[0], np.cumsum(self.sizes)])
+        self._mark = np.zeros(len(self._words), np.int32)
+
+    def numbered(self, s: np.ndarray) -> np.ndarray:
+        """The numbers of those of another set's shingles that are here."""
+        at = np.searchsorted(self._words, s)
+        at[at == len(self._words)] = 0
+        return at[self._words[at] == s] if len(self._words) else at
 
     def of(self, k: int) -> np.ndarray:
-        self.file.seek(self.ends[k])
-        return np.frombuffer(self.file.read(self.ends[k + 1] - self.ends[k]), np.uint64)
-
-    def alike(self, a: int, b: int) -> bool:
-        """Whether the Jaccard similarity reaches SIMILARITY."""
-        n, m = self.size(a), self.size(b)
-        if min(n, m) < SIMILARITY * max(n, m):
-            return False
-        same = len(np.intersect1d(self.of(a), self.of(b), assume_unique=True))
-        return n + m == 0 or same / (n + m - same) >= SIMILARITY
-
-
-def _exact_groups(held_bytes: int):
-    """Rows ``(label, node, sketch, text)``, sorted, to ``(node, label)`` of the groups by true similarity within each label."""
+        return self.flat[self.ends[k]:self.ends[k + 1]]
+
+    def alike(self, ids: np.ndarray, size: int, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which of the sets (``flat`` from each of ``starts``, none empty) have a Jaccard similarity of SIMILARITY or more with one of ``size`` shingles, ``ids`` among them."""
+        self._mark[ids] = 1
+        same = np.add.reduceat(self._mark[flat], starts)
+        self._mark[ids] = 0
+        return same / (sizes + size - same) >= SIMILARITY
+
+    def groups(self) -> np.ndarray:
+        """For each set the first of its group: the components of all pairs that are alike.
+
+        Each set is held against all that no group has yet; those that are found leave
+        and are searched from in turn, so copies cost one comparison each.
+        """
+        n = len(self.sizes)
+        first, left = np.arange(n), np.arange(n)
+        flat, starts, sizes = self.flat, self.ends[:-1], self.sizes
+        todo: list[int] = []
+        seed = 0
+        while len(left):
+            if not todo:
+                seed = int(left[0])
+                at, near = seed, np.arange(len(left)) == 0
+            else:
+                at = todo.pop()
+                near = self.alike(self.of(at), int(self.sizes[at]), flat, starts, sizes)
+                if not near.any():
+                    continue
+            first[left[near]] = seed
+            todo += left[near].tolist()
+            flat = flat[np.repeat(~near, sizes)]
+            left, sizes = left[~near], sizes[~near]
+            starts = np.cumsum(sizes) - sizes
+        return first
 
-    def group(batches):
-        key, nodes, sketches, sets = None, [], [], None
 
-        def flush():
-            if len(nodes) < 2:
-                return []
-            first = grouped(_rows_of(sketches), sets.alike)
-            return [(nodes[k], nodes[f]) for k, f in enumerate(first.tolist()) if k != f]
-
-        for batch in batches:
-            out = []
-            for k, n, s, t in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "sketch", "text")), strict=True):
-                if k != key:
-                    out += flush()
-                    key, nodes, sketches, sets = k, [], [], _Sets(held_bytes)
-                if not nodes or nodes[-1] != n:  # equal rows have equal nodes
-                    nodes.append(n)
-                    sketches.append(s)
-                    sets.add(t)
-            yield _signed_edges(out)
-        yield _signed_edges(flush())
+def _group_shards(batches):
+    key, held = None, []
+    for batch in batches:
+        out = []
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "fp", "n")), strict=True):
+            if k != key:
+                out += shard_groups(held)
+                key, held = k, []
+            held.append(row)
+        yield _signed_edges(out)
+    yield _signed_edges(shard_groups(held))
 
-    return group
 
+def _exact_links(batches):
+    """Rows ``(label, part, turn, guest, comp, node, text)``, sorted, to edges ``(a, b)`` between similar texts of a part.
 
-def _group_shards(batches):
-    key, held = None, []
+    In turn 0 all of a part's texts are grouped, guests included. In a later turn its
+    guests are held against its own texts: of several of one component that are similar, one is named.
+    """
+    key, own, guests, sets = None, [], [], {}
 
-    def flush():
-        return shard_groups(*map(list, zip(*held, strict=True))) if len(held) > 1 else []
+    def flush() -> list[tuple[int, int]]:
+        if key is None or key[2] == 0:
+            names = [n for n, _ in own] + [g for g in guests if g not in {n for n, _ in own}]
+            if len(names) < 2:
+                return []
+            return [(names[k], names[f]) for k, f in enumerate(ShingleSets([sets[x] for x in names]).groups().tolist()) if k != f]
+        if not own:
+            return []
+        held, comps = ShingleSets([sets[n] for n, _ in own]), np.array([c for _, c in own], np.int64)
+        out = []
+        for g in guests:
+            s = sets[g]
+            near = np.flatnonzero(held.alike(held.numbered(s), len(s), held.flat, held.ends[:-1], held.sizes))
+            out += [(g, own[k][0]) for k in near[np.unique(comps[near], return_index=True)[1]].tolist() if own[k][0] != g]
+        return out
 
     for batch in batches:
         out = []
-        for k, n, s in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch")), strict=True):
+        for *k, guest, comp, node, text in zip(*(batch.column(c).to_pylist() for c in ("label", "part", "turn", "guest", "comp", "node", "text")), strict=True):
             if k != key:
                 out += flush()
-                key, held = k, []
-            held.append((n, s))
+                key, own, guests, sets = k, [], [], {}
+            # equal nodes have equal shingles; a node may come from several equal rows
+            if node not in sets:
+                sets[node] = np.unique(shingles(text, WIDTH))
+            if guest and (not guests or guests[-1] != node):
+                guests.append(node)
+            elif not guest and (not own or own[-1][0] != node):
+                own.append((node, comp))
         yield _signed_edges(out)
     yield _signed_edges(flush())
 
@@ -369,39 +410,87 @@ def _signed_edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of ``nodes(node, bands, sketch)`` that may have a similar one: no similar pair is apart but by chance of the sketch."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shards = keyed.join(sizes, "key", "left_semi").join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
-    edges = shards.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_group_shards, "a bigint, b bigint")
-    return connected_components(edges)
-
+def candidate_groups(nodes: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """``(node, label)`` for the nodes of ``nodes(node, n, fp, bands)`` that may have a similar one.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_bytes: int = HELD_BYTES) -> DataFrame:
+    Shards are texts that share a band. In each, a BK-tree links texts whose
+    fingerprints are near; a shard of more than ``shard_limit`` texts is linked as a
+    whole, without a search. A label's nodes are a superset of its similar ones: no similar pair is
+    apart but by chance of the bands and the fingerprints.
+    """
+    keyed = nodes.select("node", "fp", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
+    shards = keyed.join(sizes, "key")
+    trees = (shards.where(F.col("c") <= shard_limit).select("key", "node", "fp", "n")
+             .repartition("key").sortWithinPartitions("key", "node").mapInArrow(_group_shards, "a bigint, b bigint"))
+    whole = shards.where((F.col("c") > shard_limit) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return connected_components(trees.union(whole))
+
+
+def similar_groups(maybe: DataFrame, texts: DataFrame, part_texts: int = PART_TEXTS, part_shingles: int = PART_SHINGLES, pivots: int = PIVOTS) -> DataFrame:
+    """``(node, label)`` of the components of all pairs of similar texts within each label of ``maybe(label, node, n, w_id, w_tie)``; nodes alone are left out.
+
+    ``texts(d_id, d_tie, text)`` are joined on. A label of up to ``part_texts`` texts and ``part_shingles``
+    shingles is grouped in one task. A larger one is dealt to parts by hash: each is
+    grouped with the label's pivots, which connect what is alike across parts. Texts
+    that are then not in the label's largest component, in turns of ``part_texts`` at
+    most, are held against all parts. So every pair is compared, save those that are connected already.
+    """
+    sizes = maybe.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = F.greatest(F.ceil(F.col("c") / part_texts), F.ceil(F.col("s") / part_shingles)).cast("int")
+    dealt = materialise(maybe.join(sizes, "label").select("label", "node", "w_id", "w_tie", "n", "c", parts.alias("parts"))
+                        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "similar-dealt")
+
+    def rows(df: DataFrame, part: str, turn: str, guest: bool, comp: str = "0L") -> DataFrame:
+        return df.selectExpr("label", f"{part} AS part", f"{turn} AS turn", f"{str(guest).lower()} AS guest", f"{comp} AS comp", "node", "w_id", "w_tie")
+
+    def linked(parted: DataFrame) -> DataFrame:
+        same = F.col("w_id").eqNullSafe(F.col("d_id")) & (F.col("w_tie") == F.col("d_tie"))
+        return (texts.join(parted, same).select("label", "part", "turn", "guest", "comp", "node", "text")
+                .repartition("label", "part", "turn").sortWithinPartitions("label", "part", "turn", "guest", "node").mapInArrow(_exact_links, "a bigint, b bigint"))
+
+    large = dealt.where("parts > 1")
+    chosen = large.where(F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("c") / pivots))) == 0).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    edges = materialise(linked(rows(dealt, "part", "0", False).union(rows(chosen, "to", "0", True))), "similar-edges")
+    if not large.limit(1).count():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
+    found = connected_components(edges).withColumnRenamed("label", "comp")
+    comps = materialise(large.join(found, "node", "left").select("label", "node", "w_id", "w_tie", "n", "part", "parts", F.coalesce("comp", "node").alias("comp")), "similar-comps")
+    most = comps.groupBy("label", "comp").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    apart = materialise(comps.join(most, "label").where("comp <> main").drop("main"), "similar-apart")
+    turns = apart.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / part_texts), F.ceil(F.sum("n") / part_shingles)).cast("int").alias("turns"))
+    guests = (apart.join(turns, "label").withColumn("turn", F.pmod(F.xxhash64("node", F.lit(11)), F.col("turns")).cast("int") + 1)
+              .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    own = comps.join(turns, "label").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("turns"))))
+    more = materialise(linked(rows(own, "part", "turn", False, "comp").union(rows(guests, "to", "turn", True))), "similar-edges")
+    return connected_components(edges.union(more))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_limit: int = SHARD_LIMIT, **how) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group, one row of the least id stays.
 
     Groups are components of texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more. Sketches give candidate groups with a margin; within
-    one, pairs are decided on the whole texts' shingles. Texts without words are one
-    group. Ties between rows of one id go to the least content hash; of wholly equal
-    rows one stays. An id stands before none. All columns are kept as they are.
+    similarity of 0.8 or more. BK-trees over fingerprints of the distinct shingles propose
+    groups with a margin; within one, pairs are decided on the whole texts' shingles. A
+    null text is empty; texts without words are one group. Ties between rows of one id go
+    to the least content hash; of wholly equal rows one stays. An id stands before none.
+    All columns are kept as they are. An empty table gives none.
     """
     cols = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id")).withColumn("tie", F.xxhash64("row"))
-    keyed = rows.select("doc_id", "tie", similarity_keys()(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).alias("s"))
-    full = materialise(keyed.select("doc_id", "tie", "s.*"), "similar-keys")  # no texts: the rows are read again
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    full = materialise(rows.select("doc_id", "tie", similarity_keys()(text).alias("s")).select("doc_id", "tie", "s.*"), "similar-keys")  # no texts: the rows are read again
     one = F.min(F.struct(F.col("doc_id").alias("w_id"), F.col("tie").alias("w_tie")))
-    nodes = materialise(full.groupBy("node").agg(F.min(F.struct("sketch", "bands")).alias("s"), one.alias("w")).select("node", "s.*", "w.*"), "similar-nodes")
-    same_row = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie"))
-    maybe = materialise(candidate_groups(nodes).join(nodes, "node").select("label", "node", "sketch", "w_id", "w_tie"), "similar-maybe")
-    texts = rows.select("doc_id", "tie", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text")).join(maybe, same_row).select("label", "node", "sketch", "text")
-    labels = texts.repartition("label").sortWithinPartitions("label", "node").mapInArrow(_exact_groups(held_bytes), "node bigint, label bigint")
+    nodes = materialise(full.groupBy("node").agg(F.min(F.struct("n", "fp", "bands")).alias("s"), one.alias("w")).select("node", "s.*", "w.*"), "similar-nodes")
+    maybe = candidate_groups(nodes, shard_limit).join(nodes, "node").select("label", "node", "n", "w_id", "w_tie")
+    labels = similar_groups(maybe, rows.select(F.col("doc_id").alias("d_id"), F.col("tie").alias("d_tie"), text.alias("text")), **how)
     ranked = full.select("doc_id", "tie", "node").join(labels, "node", "left").select(
         F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("w"))
     best = materialise(ranked.groupBy("label").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.tie").alias("w_tie")), "similar-best")
-    kept = rows.join(best, same_row, "left_semi")
-    if full.groupBy("doc_id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+    again = full.groupBy("doc_id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    discard(full, nodes)
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie")), "left_semi")
+    if again:
         kept = kept.groupBy("doc_id", "tie").agg(F.first("row").alias("row"))
     return kept.select("row.*")
 
