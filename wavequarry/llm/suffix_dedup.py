@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavequarry.llm.common import materialise, table
+from wavequarry.llm.common import discard, let_go, materialise, table
 from wavequarry.llm.suffix_sort import common_prefix, deep_shallow_sort
 
 LENGTH = 400
-#: Bytes of an anchor's seed; any window of LENGTH bytes has an anchor whose seed lies in it.
-SEED = 96
+#: Bytes of a repeated passage: fewer than 51 words have in the languages at hand (99 of 100 such stretches have more).
+PASSAGE = 240
+#: Bytes of an anchor's seed; any window of the least length looked for has an anchor whose seed lies in it.
+SEED = 64
 #: Distinct contexts of a seed that are sorted in one task; seeds with more are decided by window hashes.
 GROUP_LIMIT = 16_384
 RANGES = 16
@@ -84,8 +86,8 @@ class Anchors:
         return p, h[first]
 
 
-def reach(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int = LENGTH, start: int = 0) -> list[tuple[int, int] | None]:
-    """For each context ``(left, right)`` of one seed: how far left and right repeats of ``length`` bytes around it go, or None.
+def reach(contexts: list[tuple[bytes, bytes]], counts: list[int], lengths: tuple[int, ...], start: int = 0) -> list[list[tuple[int, int] | None]]:
+    """For each of ``lengths`` and each context ``(left, right)`` of one seed: how far left and right repeats of that many bytes around it go, or None.
 
     A repeat with another context reaches l bytes left and r right, where l and r are
     the pair's common suffix and prefix and l + r >= length. Right sides are sorted;
@@ -102,7 +104,7 @@ def reach(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int =
     for k, i in enumerate(by_right):
         rank[i] = k
     by_left = deep_shallow_sort(left)
-    far_l, far_r, best = [-1] * n, [-1] * n, [-1] * n
+    far_l, far_r, best = [[-1] * n for _ in lengths], [[-1] * n for _ in lengths], [-1] * n
     sets: list[list[int] | None] = [[rank[i]] for i in by_left]
     up = list(range(n))
 
@@ -112,6 +114,7 @@ def reach(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int =
             x = up[x]
         return x
 
+    least, each = min(lengths), list(zip(lengths, far_l, far_r, strict=True))
     shared = [common_prefix(left[a], left[b]) for a, b in zip(by_left, by_left[1:], strict=False)]
     for k in sorted(range(n - 1), key=shared.__getitem__, reverse=True):
         depth, a, b = shared[k], root(k), root(k + 1)
@@ -127,10 +130,12 @@ def reach(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int =
                 for p in (i, j):
                     if r > best[p]:
                         best[p] = r
-                        if depth + r >= length:
-                            far_r[p] = r
-                            if far_l[p] < 0:
-                                far_l[p] = depth
+                        if depth + r >= least:
+                            for length, fl, fr in each:
+                                if depth + r >= length:
+                                    fr[p] = r
+                                    if fl[p] < 0:
+                                        fl[p] = depth
         up[b] = a
         if len(small) < 16:
             for x in small:
@@ -139,13 +144,8 @@ def reach(contexts: list[tuple[bytes, bytes]], counts: list[int], length: int =
             large += small
             large.sort()
         sets[b] = None
-    out: list[tuple[int, int] | None] = []
-    for (x, r), c, fl, fr in zip(contexts, counts, far_l, far_r, strict=True):
-        if c > 1 and len(x) + len(r) >= length:
-            out.append((len(x), len(r)))
-        else:
-            out.append((fl, fr) if fl >= 0 else None)
-    return out
+    return [[(len(x), len(r)) if c > 1 and len(x) + len(r) >= length else (fl, fr) if fl >= 0 else None
+             for (x, r), c, fl, fr in zip(contexts, counts, left_of, right_of, strict=True)] for length, left_of, right_of in each]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,11 +169,12 @@ def _signed(x: int) -> int:
 _ANCHOR = "kmer bigint, ctx bigint, t1 bigint, t2 bigint, pos int, lead int, trail int"
 
 
-def anchor_rows(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Anchors of ``texts(t1, t2, text)`` with a hash of their context: ``length - seed`` bytes before, ``length`` from it on."""
+def anchor_rows(texts: DataFrame, lengths: tuple[int, ...], seed: int = SEED) -> DataFrame:
+    """Anchors of ``texts(t1, t2, text)`` with a hash of their context: ``least - seed`` bytes before, the greatest of ``lengths`` from it on."""
 
     def find(batches):
-        anchors, digest, before = Anchors(length, seed), xxhash.xxh3_64_intdigest, length - seed
+        least, after = min(lengths), max(lengths)
+        anchors, digest, before = Anchors(least, seed), xxhash.xxh3_64_intdigest, least - seed
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for t1, t2, text in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text")), strict=True):
@@ -182,12 +183,12 @@ def anchor_rows(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
                 n = len(raw)
                 at = at.tolist()
                 cols[0].append(h.view(np.int64))
-                cols[1] += [digest(raw[max(0, p - before):p + length], min(p, before)) for p in at]
+                cols[1] += [digest(raw[max(0, p - before):p + after], min(p, before)) for p in at]
                 cols[2] += [t1] * len(at)
                 cols[3] += [t2] * len(at)
                 cols[4] += at
                 cols[5] += [min(p, before) for p in at]
-                cols[6] += [min(n - p, length) for p in at]
+                cols[6] += [min(n - p, after) for p in at]
             kmer = np.concatenate(cols[0]) if cols[0] else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kmer), pa.array(np.array(cols[1], np.uint64).view(np.int64)), pa.array(cols[2], pa.int64()),
@@ -214,8 +215,7 @@ def _once_a_task(batches):
 _CONTEXT = "kmer bigint, ctx bigint, n bigint, m bigint, t1 bigint, t2 bigint, pos int, lft binary, rgt binary"
 
 
-def _contexts(length: int, seed: int):
-    before = length - seed
+def _contexts(before: int, after: int):
 
     def cut(batches):
         for batch in batches:
@@ -224,7 +224,7 @@ def _contexts(length: int, seed: int):
                 raw = text.encode()
                 for w in wanted:
                     p = w["pos"]
-                    out.append((w["kmer"], w["ctx"], w["n"], w["m"], t1, t2, p, raw[max(0, p - before):p], raw[p:p + length]))
+                    out.append((w["kmer"], w["ctx"], w["n"], w["m"], t1, t2, p, raw[max(0, p - before):p], raw[p:p + after]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
@@ -233,16 +233,16 @@ def _contexts(length: int, seed: int):
     return cut
 
 
-_SPAN = "t1 bigint, t2 bigint, s int, e int"
+_SPAN = "t1 bigint, t2 bigint, k int, s int, e int"
 
 
-def _sort_groups(length: int):
+def _sort_groups(lengths: tuple[int, ...]):
     """Contexts, sorted by seed, to spans of those that occur once (the others are known to repeat)."""
 
     def decide(group, out):
         if len(group) > 1:
-            found = reach([(g[6], g[7]) for g in group], [g[2] for g in group], length)
-            out += [(g[3], g[4], g[5] - f[0], g[5] + f[1]) for g, f in zip(group, found, strict=True) if f and g[2] == 1]
+            found = reach([(g[6], g[7]) for g in group], [g[2] for g in group], lengths)
+            out += [(g[3], g[4], k, g[5] - f[0], g[5] + f[1]) for k, own in enumerate(found) for g, f in zip(group, own, strict=True) if f and g[2] == 1]
 
     def run(batches):
         key, group, names = None, [], ("kmer", "ctx", "n", "t1", "t2", "pos", "lft", "rgt")
@@ -263,14 +263,14 @@ def _sort_groups(length: int):
 
 
 def _spans(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                                      ["t1", "t2", "s", "e"])
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)],
+                                      ["t1", "t2", "k", "s", "e"])
 
 
-def _range_rows(length: int, seed: int, ranges: int):
+def _range_rows(length: int, before: int, ranges: int):
     """For each range of window offsets: a hash of the bytes that all its windows share, and of all bytes they cover."""
-    step = -(-(length - seed + 1) // ranges)
+    step = -(-(before + 1) // ranges)
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -280,7 +280,7 @@ def _range_rows(length: int, seed: int, ranges: int):
                 low, high = max(0, length - len(rgt)), len(lft)  # windows start ``i`` bytes before the anchor
                 whole, at = lft + rgt, len(lft)
                 for j in range(ranges):
-                    first, last = j * step, min(length - seed, (j + 1) * step - 1)
+                    first, last = j * step, min(before, (j + 1) * step - 1)
                     a, b = max(low, first), min(high, last)  # near a text's ends some windows are missing
                     if a <= b:
                         core, cover = whole[at - first:at + length - last], whole[at - b:at + length - a]
@@ -308,14 +308,14 @@ def _window_rows(length: int):
     return run
 
 
-def _hot_spans(hot: DataFrame, length: int, seed: int, ranges: int) -> DataFrame:
+def _hot_spans(hot: DataFrame, length: int, before: int, ranges: int) -> DataFrame:
     """Spans of contexts whose seed has very many: windows are counted, no group is gathered.
 
     Ranges of window offsets whose shared bytes don't repeat are out, those whose
     covered bytes repeat are in, and of the rest each window is counted. Hashes
     stand for bytes, beside the seed's hash and the offset: 128 bits in all.
     """
-    rows = materialise(hot.mapInArrow(_range_rows(length, seed, ranges), "kmer bigint, ctx bigint, n bigint, j int, core bigint, cover bigint, a int, b int"), "ranges")
+    rows = materialise(hot.mapInArrow(_range_rows(length, before, ranges), "kmer bigint, ctx bigint, n bigint, j int, core bigint, cover bigint, a int, b int"), "ranges")
     core = rows.groupBy("kmer", "j", "core").agg(F.sum("n").alias("c")).where("c > 1").select("kmer", "j", "core")
     cover = rows.groupBy("kmer", "j", "cover").agg(F.sum("n").alias("c")).where("c > 1").select("kmer", "j", "cover", F.lit(True).alias("whole"))
     open_ = rows.join(core, ["kmer", "j", "core"], "left_semi").join(cover, ["kmer", "j", "cover"], "left")
@@ -332,88 +332,99 @@ def _hot_spans(hot: DataFrame, length: int, seed: int, ranges: int) -> DataFrame
         "t1", "t2", (F.col("pos") - F.col("far")).alias("s"), (F.col("pos") + length - F.col("near")).alias("e"))
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, group_limit: int = GROUP_LIMIT, ranges: int = RANGES) -> DataFrame:
-    """Per distinct text of ``texts(t1, t2, text)`` that has any: the byte spans covered by strings of ``length`` bytes that start elsewhere too.
+def repeated_spans(texts: DataFrame, lengths: tuple[int, ...] = (LENGTH,), seed: int = SEED, group_limit: int = GROUP_LIMIT, ranges: int = RANGES) -> DataFrame:
+    """Per distinct text of ``texts(t1, t2, text)`` that has any: ``spans`` of ``(k, s, e)``, bytes s to e covered by strings of ``lengths[k]`` bytes that start elsewhere too.
 
-    1. Anchors, one in about 150 bytes, are chosen by content, so that equal windows
-       have equal anchors. Only hashes of them are shuffled.
+    1. Anchors, one in about ``(least length - seed) / 2`` bytes, are chosen by content, so that
+       equal windows have equal anchors. Only hashes of them are shuffled.
     2. Anchors whose whole context occurs twice repeat as a whole.
     3. Of seeds with several contexts, one text of each context gives its bytes, and
        each seed's contexts are sorted in a task; seeds with more than
        ``group_limit`` are decided by counting windows.
     """
-    rows = materialise(anchor_rows(texts.where(F.octet_length("text") >= length), length, seed), "anchors")
-    ctx = materialise(rows.groupBy("kmer", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("at")), "contexts")
-    seeds = ctx.groupBy("kmer").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = (ctx.join(seeds, "kmer").select("kmer", "ctx", "n", "m", "at.t1", "at.t2", "at.pos")
-              .groupBy("t1", "t2").agg(F.collect_list(F.struct("kmer", "ctx", "n", "m", "pos")).alias("wanted")))
-    sent = texts.where(F.octet_length("text") >= length).mapInArrow(_once_a_task, "t1 bigint, t2 bigint, text string")
-    cut = sent.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted").mapInArrow(_contexts(length, seed), _CONTEXT)
-    hot = seeds.where(F.col("m") > group_limit).limit(1).count()
+    before, after = min(lengths) - seed, max(lengths)
+    texts = texts.where(F.octet_length("text") >= min(lengths))
+    rows = materialise(anchor_rows(texts, lengths, seed), "anchors")
+    each = rows.groupBy("kmer", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("at"))
+    seeds = each.groupBy("kmer").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1").select("kmer", "m")
+    ctx = materialise(each.join(seeds, "kmer").select("kmer", "ctx", "n", "m", "at.*"), "contexts")  # of seeds that occur once nothing repeats
+    wanted = ctx.where("m > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("kmer", "ctx", "n", "m", "pos")).alias("wanted"))
+    sent = texts.mapInArrow(_once_a_task, "t1 bigint, t2 bigint, text string")
+    cut = sent.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted").mapInArrow(_contexts(before, after), _CONTEXT)
+    hot = ctx.where(F.col("m") > group_limit).limit(1).count()
     if hot:
         cut = materialise(cut, "cut")
     sorted_ = (cut.where(F.col("m") <= group_limit).repartition("kmer").sortWithinPartitions("kmer", "ctx")
-               .mapInArrow(_sort_groups(length), _SPAN))
+               .mapInArrow(_sort_groups(lengths), _SPAN))
     sorted_ = materialise(sorted_, "sorted-spans")  # the texts' and contexts' shuffles can go
-    whole = (rows.where(F.col("lead") + F.col("trail") >= length)
-             .join(ctx.where("n > 1").select("kmer", "ctx"), ["kmer", "ctx"], "left_semi")
-             .select("t1", "t2", (F.col("pos") - F.col("lead")).alias("s"), (F.col("pos") + F.col("trail")).alias("e")).distinct())
-    spans = whole.union(sorted_)
-    if hot:
-        spans = spans.union(_hot_spans(cut.where(F.col("m") > group_limit).dropDuplicates(["kmer", "ctx"]), length, seed, ranges))
-    return materialise(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
-
-
-def _cut(text: str, spans) -> tuple[bytes, bytes, int, int]:
+    again = rows.join(ctx.where("n > 1").select("kmer", "ctx"), ["kmer", "ctx"], "left_semi").select(
+        "t1", "t2", (F.col("pos") - F.col("lead")).alias("s"), (F.col("pos") + F.col("trail")).alias("e"))
+    spans = sorted_
+    for k, length in enumerate(lengths):
+        spans = spans.union(again.where(F.col("e") - F.col("s") >= length).select("t1", "t2", F.lit(k).alias("k"), "s", "e"))
+        if hot:
+            own = _hot_spans(cut.where(F.col("m") > group_limit).dropDuplicates(["kmer", "ctx"]), length, before, ranges)
+            spans = spans.union(own.select("t1", "t2", F.lit(k).alias("k"), "s", "e"))
+    found = materialise(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("k", "s", "e")).alias("spans")), "spans")
+    discard(rows, ctx, sorted_, *([cut] if hot else []))
+    let_go(texts.sparkSession)
+    return found
+
+
+def _cut(text: str, spans, k: int = 0) -> tuple[bytes, bytes, int, int]:
+    """The text's bytes, those without the spans of length ``k``, how many go, and in how many runs."""
     raw = text.encode()
-    m = merged([(x["s"], x["e"]) for x in spans]) if spans is not None else []
+    m = merged([(x["s"], x["e"]) for x in spans if x["k"] == k]) if spans is not None else []
     kept = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in m)], [*(s for s, _ in m), len(raw)], strict=True))
     return raw, kept, sum(e - s for s, e in m), len(m)
 
 
-def _with_spans(docs: DataFrame, text_col: str, length: int, **how) -> DataFrame:
+def _with_spans(docs: DataFrame, text_col: str, lengths: tuple[int, ...], **how) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), *_text_key(text))
-    spans = repeated_spans(keyed.select("t1", "t2", "text"), length, **how)
-    return keyed.join(spans, ["t1", "t2"], "left").select("row", "text", "spans")
+    spans = repeated_spans(docs.select(*_text_key(text), text.alias("text")), lengths, **how)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_text_key(text))
+    return keyed.join(spans, ["t1", "t2"], "left").select("row", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"), "spans")
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256.
+def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256; with ``passage``, n_passage_bytes also: how many bytes strings of that shorter length cover that start elsewhere too.
 
     A null text is empty; texts shorter than ``length`` keep all. Of texts that occur
     twice all bytes go, in each copy. Null ids and repeated rows are rows of their
     own. An empty table gives none.
     """
     inner = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", n_passage_bytes bigint" * (passage is not None)
 
-    @F.pandas_udf("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    @F.pandas_udf(schema)
     def digest(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
         for t, s in zip(text, spans, strict=True):
             raw, kept, gone, n = _cut(t, s)
-            rows.append((len(raw), gone, n, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((len(raw), gone, n, hashlib.sha256(kept).hexdigest(), *([_cut(t, s, 1)[2]] if passage is not None else [])))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return _with_spans(inner, "text", length, **how).select("row.doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")
+    lengths = (length,) if passage is None else (length, passage)
+    return _with_spans(inner, "text", lengths, **how).select("row.doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", **how) -> DataFrame:
-    """All rows and columns of ``docs``, repeated bytes cut from the text.
+    """All rows and columns of ``docs``, bytes of strings of ``length`` bytes that start elsewhere too cut from the text.
 
     Where a cut parts a character, its other bytes go too. A text without repeats,
-    null included, stays as it is; one that repeats as a whole becomes empty.
+    null included, stays as it is; one that repeats as a whole becomes empty, and so do all
+    rows of a repeated row. Texts shorter than ``length`` stay. An empty table gives none.
     """
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, s)[1].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    found = _with_spans(docs, text_col, length, **how)
+    found = _with_spans(docs, text_col, (length,), **how)
     new = F.when(F.col("spans").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept("text", "spans"))
     return found.select(*(new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_repeats(spark, sf_dir):
-    """All documents without the bytes of repeated 400-byte strings."""
-    return removal_digests(table(spark, sf_dir, "documents"))
+    """All documents without the bytes of repeated 400-byte strings, and how much of each is repeated passages."""
+    return removal_digests(table(spark, sf_dir, "documents"), LENGTH, PASSAGE)
