@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from wavequarry.llm.bpe_units import UnitEncoder, load_encoding, segments, units
+from wavequarry.llm.bpe_units import UnitEncoder, added_tokens, load_encoding, segments, units
 from wavequarry.llm.packing import best_fit_decreasing, bin_bound, pack, pack_documents
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -15,9 +15,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 @functools.cache
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def reference_ids(text):
@@ -25,10 +23,11 @@ def reference_ids(text):
 
 
 def test_units_equal_the_tokenizer():
-    enc = UnitEncoder(load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), held=5)
+    enc = UnitEncoder(load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), held=5,
+                      added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     rng = random.Random(1)
     pool = ["a", "bc", " ", "\n", "  ", "\t", "'s", "é", "🙂", "12", "!", " ", "\x1c", "\x85", "Word", "<|endoftext|>"]
-    texts = ["".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(300)] + ["a b\nc d", "", " ", "x\n"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(300)] + ["a b\nc d", "", " ", "x\n", "a<|endoftext|>b", "<|endoftext|><|endoftext|> c", "<|endoftext|", " <|endoftext|>\n"]
     got = enc.encode(texts)
     for t, raw in zip(texts, got):
         assert np.frombuffer(raw, "<u4").tolist() == reference_ids(t), repr(t)

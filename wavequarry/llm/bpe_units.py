@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from itertools import chain
 
@@ -24,6 +25,15 @@ def load_encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a tokenizer's JSON file adds to its vocabulary: they are found in a text before all else."""
+    with open(path, "rb") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("only added tokens that match as they stand are supported")
+    return {t["content"]: t["id"] for t in found}
+
+
 def segments(text: str) -> list[str]:
     """``text`` cut before single spaces, into stretches of about SEGMENT characters.
 
@@ -66,10 +76,12 @@ def units(text: str) -> list[str] | None:
 class UnitEncoder:
     """Texts to id bytes (little-endian unsigned 32-bit), each distinct unit encoded once while it is held.
 
-    ``held`` bounds the units kept between calls.
+    ``held`` bounds the units kept between calls. ``added`` tokens are cut out of a text first, leftmost and longest.
     """
 
-    def __init__(self, encoding, held: int = 300_000):
+    def __init__(self, encoding, held: int = 300_000, added: dict[str, int] | None = None):
+        self._added = {t: np.array([k], "<u4").tobytes() for t, k in (added or {}).items()}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
         self._encode = encoding._core_bpe.encode_ordinary if hasattr(encoding, "_core_bpe") else encoding.encode_ordinary
         self._held, self._ids = held, {}
         line_end = self._encode("\n")
@@ -104,6 +116,16 @@ class UnitEncoder:
             known.update(zip(new, map(raw.__getitem__, map(slice, [0, *(e + 4 for e in ends)], [*ends, len(raw)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        odd = {k: self._split(t) for k, t in enumerate(texts) if any(x in t for x in self._added)}
+        if not odd:
+            return self._plain(texts)
+        out = self._plain(["" if k in odd else t for k, t in enumerate(texts)])
+        for k, parts in odd.items():
+            between = self._plain(parts[::2])
+            out[k] = b"".join(x for a, t in zip(between, [*parts[1::2], None], strict=True) for x in (a, self._added[t] if t else b""))
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for group in _grouped(texts):
             cut = [[units(s) or s for s in segments(t)] if t else [] for t in group]

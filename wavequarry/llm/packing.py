@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavequarry.llm.bpe_units import UnitEncoder, load_encoding
+from wavequarry.llm.bpe_units import UnitEncoder, added_tokens, load_encoding
 from wavequarry.llm.common import id_and_text, materialise, parts_for, table
 
 CAPACITY = 1024
@@ -22,7 +22,8 @@ ROUNDS = 5
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, rid bigint"
 
 
-def token_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID,
+                 added: dict[str, int] | None = None) -> DataFrame:
     """Each document's ids and the end id, cut into pieces of at most ``capacity``.
 
     Only longer documents are cut: the remainder comes first, then whole pieces.
@@ -30,7 +31,7 @@ def token_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int =
     """
 
     def cut(batches):
-        encoder = UnitEncoder(load_encoding(rank_path, pattern))
+        encoder = UnitEncoder(load_encoding(rank_path, pattern), added=added)
         end = np.array([end_id], dtype="<u4").tobytes()
         base, k = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
@@ -179,17 +180,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART,
     return out
 
 
-def pack_documents(docs: DataFrame, rank_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id",
-                   text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, rank_path: str | None = None, pattern: str | None = None, tokenizer_path: str | None = None,
+                   id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    The ids are those of the ``tokenizers`` file at ``tokenizer_path``, special tokens that a
+    text spells included; ``rank_path`` has the same vocabulary in a form that loads faster.
+
     A null or empty text is the end id alone. Repeated rows and null ids are packed as
     rows of their own. An empty table gives no rows. Other columns are ignored.
     """
     import public_tokenizers
 
     rank_path = rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = token_pieces(id_and_text(docs, id_col, text_col), rank_path, pattern or public_tokenizers.PATTERN, capacity)
+    added = added_tokens(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = token_pieces(id_and_text(docs, id_col, text_col), rank_path, pattern or public_tokenizers.PATTERN, capacity, added=added)
     return pack(materialise(pieces, "pieces"), capacity)
 
 
