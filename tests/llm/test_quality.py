@@ -1,9 +1,10 @@
 import random
 import re
+import zlib
 
 import numpy as np
 
-from wavequarry.llm.quality import base_counts, base_failed, fit, features, judge, keep_good, platt, train_quality
+from wavequarry.llm.quality import _ODD, CHAR_BITS, CHAR_NS, WORD_BITS, _slots, base_counts, base_failed, fit, features, judge, keep_good, platt, train_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,6 +68,7 @@ def test_nothing_to_learn_keeps_all_but_base_failures(spark, odd_docs, no_docs):
     assert all(r["kept"] != r["base_failed"] for r in rows)
     assert judge(no_docs, model).count() == 0 and train_quality(no_docs, labels).weights is None
     assert keep_good(odd_docs, model).columns == odd_docs.columns
+    assert keep_good(no_docs, model).columns == no_docs.columns and keep_good(no_docs, model).count() == 0
 
 
 def test_platt_and_features():
@@ -75,3 +77,50 @@ def test_platt_and_features():
     s, v = features("a a b")
     assert abs(v.sum() - 2) < 1e-6 and len(features("")[0]) == 0
     assert fit([]).weights is None
+
+
+def test_slots_against_plain_code():
+    u32 = lambda x: x & 0xFFFFFFFF
+    for text in ("", "a", "ab", "abc", "Ab  çd\té🙂 zz zz", "word " * 50):
+        want = []
+        h = [zlib.crc32(w) for w in text.encode().split()]
+        want += [u32(x * _ODD) >> 32 - WORD_BITS for x in h + [u32(a * _ODD) ^ b for a, b in zip(h, h[1:])]]
+        for n in CHAR_NS:
+            for k in range(len(text) - n + 1):
+                x = 0
+                for c in text[k:k + n]:
+                    x = u32((x ^ ord(c)) * _ODD)
+                want.append((u32((x ^ x >> 15) * _ODD) >> 32 - CHAR_BITS) + (1 << WORD_BITS))
+        assert sorted(k for _, s in _slots(text) for k in s.tolist()) == sorted(want)
+
+
+def test_fit_against_dense_steps():
+    """The sparse steps are those of dense AdaGrad, and the calibration has the least loss."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        y = k % 2
+        slots = np.unique(rng.integers(0, 40, 6)) + (20 if y else 0)
+        rows.append((k % 5, y, slots.astype(np.int32), np.full(len(slots), 1 / len(slots), np.float32)))
+    model = fit(rows, epochs=2)
+    train = [r for r in rows if r[0]]
+    share = [sum(r[1] == y for r in train) / len(train) for y in (0, 1)]
+    w, g2, b, b2 = [0.0] * 60, [1e-8] * 60, 0.0, 1e-8
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(train)):
+            _, y, s, v = train[k]
+            g = (1 / (1 + np.exp(-(sum(w[i] * float(x) for i, x in zip(s, v)) + b))) - y) * 0.5 / share[y]
+            for i, x in zip(s, v):
+                step = g * float(x) + 1e-4 * w[i]
+                g2[i] += step * step
+                w[i] -= 0.5 * step / g2[i] ** 0.5
+            b2 += g * g
+            b -= 0.1 * g / b2 ** 0.5
+    assert np.allclose(model.weights[:60], w, atol=1e-3) and abs(model.bias - b) < 1e-4
+    held = [(sum(w[i] * float(x) for i, x in zip(r[2], r[3])) + b, r[1]) for r in rows if not r[0]]
+    up = sum(y for _, y in held)
+    target = [(up + 1) / (up + 2) if y else 1 / (len(held) - up + 2) for _, y in held]
+    loss = lambda a, c: sum(np.logaddexp(0, a * m + c) - t * (a * m + c) for (m, _), t in zip(held, target)) + 1e-3 * ((a - 1) ** 2 + c * c)
+    best = loss(model.slope, model.shift)
+    assert all(best <= loss(model.slope + d, model.shift + e) + 1e-9 for d in (-0.1, 0, 0.1) for e in (-0.1, 0, 0.1))

@@ -16,7 +16,7 @@ from wavequarry.llm.common import discard, let_go, materialise, table
 from wavequarry.llm.suffix_sort import common_prefix, deep_shallow_sort
 
 LENGTH = 400
-#: Bytes of a repeated passage: fewer than 51 words have in the languages at hand (99 of 100 such stretches have more).
+#: Bytes of a repeated passage of over 50 words: in the languages at hand 99 of 100 stretches of 51 words have more.
 PASSAGE = 240
 #: Bytes of an anchor's seed; any window of the least length looked for has an anchor whose seed lies in it.
 SEED = 64
