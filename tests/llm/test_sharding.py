@@ -1,11 +1,28 @@
+import heapq
+import random
 import zlib
 
-from wavequarry.llm.sharding import assign_shards, lpt
+from wavequarry.llm.sharding import assign_shards, lpt_classes
 
 
-def test_lpt_by_hand():
-    assert lpt([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
-    assert lpt([], 3) == {}
+def plain_loads(sizes, shards):
+    heap = [(0, k) for k in range(shards)]
+    given = {}
+    for s in sorted(sizes, reverse=True):
+        load, k = heapq.heappop(heap)
+        given.setdefault(s, [0] * shards)[k] += 1
+        heapq.heappush(heap, (load + s, k))
+    return given
+
+
+def test_classes_are_dealt_as_single_groups_are():
+    rng = random.Random(1)
+    for _ in range(60):
+        sizes = [rng.choice([1, 2, 3, 7, 50, 51, 1000]) for _ in range(rng.randrange(0, 400))] + [rng.randrange(1, 5000) for _ in range(rng.randrange(5))]
+        classes = [(s, sizes.count(s)) for s in set(sizes)]
+        for shards in (1, 2, 8):
+            assert lpt_classes(classes, shards) == plain_loads(sizes, shards)
+    assert lpt_classes([], 3) == {}
 
 
 def check(rows, docs, shards):
@@ -19,21 +36,18 @@ def check(rows, docs, shards):
 
 
 def test_groups_stay_and_loads_match_the_plain_schedule(spark):
-    docs = [(k, f"text {k % 37} " * (1 + k % 11)) for k in range(600)]
-    for bundles in (65_536, 40):
-        rows = assign_shards(spark.createDataFrame(docs, "doc_id bigint, text string"), 4, bundles=bundles).collect()
+    docs = [(k, f"text {k % 137} " * (1 + k % 11)) for k in range(600)] + [(7, "again")] * 50 + [(None, "again")] * 30
+    groups = {}
+    for _, t in docs:
+        groups[t] = groups.get(t, 0) + len(t) + 1
+    want = [0] * 4
+    for size, given in plain_loads(list(groups.values()), 4).items():
+        want = [x + size * g for x, g in zip(want, given)]
+    for per_bucket in (65_536, 7):
+        rows = assign_shards(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), 4, per_bucket=per_bucket).collect()
         check(rows, docs, 4)
-        loads = {}
-        for r in rows:
-            loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
-        if bundles > 40:
-            groups = {}
-            for _, t in docs:
-                groups[t] = groups.get(t, 0) + len(t) + 1
-            plan, want = lpt([(v, k) for k, v in groups.items()], 4), {}
-            for t, s in plan.items():
-                want[s] = want.get(s, 0) + groups[t]
-            assert sorted(loads.values()) == sorted(want.values())
+        loads = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(4)]
+        assert loads == want
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
