@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+from collections import Counter
+from math import log2
 
-from wavequarry.llm.pii import _with_base, find_personal_data, sanitise, term_counts, text_terms
+from wavequarry.llm.pii import _EDGES, _text_key, find_personal_data, sanitise, term_counts, text_terms
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -70,6 +73,8 @@ def test_sanitised_rows_keep_their_columns(spark, odd_docs):
     assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
     df = spark.createDataFrame([(1, "card 4111 1111 1111 1111, a@b.cc 1.2.3.4 é")], "doc_id bigint, text string")
     assert sanitise(df).first()["text"] == "card [CARD], [EMAIL] [IP] é"
+    none = spark.createDataFrame([], "doc_id bigint, text string, spans string")
+    assert sanitise(none).columns == none.columns and sanitise(none).count() == 0
 
 
 def test_terms_go_wherever_they_stand(spark):
@@ -88,7 +93,59 @@ def test_terms_go_wherever_they_stand(spark):
     clean = {r["doc_id"]: r["text"] for r in sanitise(df).collect()}
     assert not any("zanzibor" in t.lower() or "Quillan" in t for t in clean.values())
     assert clean[10] == docs[10][1].replace("(zanzibor)", "") and clean[100] == docs[11][1]
-    texts = _with_base(df.select("text"))
+    texts = df.select("text", *_text_key(df["text"]))
     every, terms = term_counts(texts), spark.createDataFrame([("zanzibor", "term_removed"), ("quillan", "term_general")], "term string, kind string")
     want = sorted(map(str, text_terms(texts, terms, every).collect()))
     assert len(want) == 5 and all(sorted(map(str, text_terms(texts, terms, every, k).collect())) == want for k in (0, 3))
+
+
+def plain_terms(texts, window=64, prior=1):
+    """Kinds of the disclosing terms, from shares and bits by definition."""
+    word, term = re.compile(r"[^\x20\x09-\x0D]+"), lambda w: w.lower().strip(_EDGES)
+    every = Counter(x for t in texts for w in word.findall(t) if (x := term(w)))
+    beside, entity = Counter(), Counter()
+    for t in texts:
+        base = plain_spans(t)
+        for s, kind, e in base:
+            own = t[s:e].lower() if kind < 2 else re.sub("[^0-9]", "", t[s:e])
+            for m in word.finditer(t):
+                a, b = m.span()
+                inside = max(0, s - window) <= a and b <= s or e <= a and b <= e + window
+                whole = not (a == max(0, s - window) > 0) and b != s and a != e and not (b == e + window < len(t))
+                if inside and whole and term(m.group()) and not any(x < b and y > a for x, _, y in base):
+                    beside[term(m.group()), (kind, own)] += 1
+                    entity[kind, own] += 1
+    total, kinds = sum(every.values()), {}
+    for (x, own), n in beside.items():
+        share = min(n, every[x]) / (every[x] + prior)
+        if share >= 0.5 and share * log2(share * total / entity[own]) >= 4:
+            kinds[x] = max(kinds.get(x, ""), "term_removed" if share >= 0.8 else "term_general")
+    return kinds
+
+
+def test_shares_bits_and_verdicts_against_plain_code(spark):
+    rng = random.Random(11)
+    common, rare = [f"w{k}" for k in range(60)], [f"Name{k}," for k in range(25)]
+    people = [f"p{k}@mail.com" for k in range(8)] + ["10.0.0.7", "+1 555 123 4567"]
+    texts = []
+    for _ in range(300):
+        t = rng.choices(common, k=rng.randrange(5, 300))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(t))
+            t[at:at] = [rng.choice(rare)] if rng.random() < 0.4 else [rng.choice(people)]
+        if rng.random() < 0.5:
+            k, at = rng.randrange(10), rng.randrange(len(t))
+            t[at:at] = [rare[k], people[k]] + [rare[k + 10]] * (k % 3)
+        texts.append(rng.choice([" ", "  ", "\n"]).join(t))
+    texts += texts[:20]
+    kinds = plain_terms(texts)
+    assert {"term_removed", "term_general"} == set(kinds.values())
+    got = {r["doc_id"]: r["spans"] for r in find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)).collect()}
+    for k, t in enumerate(texts):
+        base = plain_spans(t)
+        spans = [(a, r, KINDS[r], b) for a, r, b in base]
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            kind = kinds.get(m.group().lower().strip(_EDGES))
+            if kind and not any(a < m.end() and b > m.start() for a, _, b in base):
+                spans.append((m.start(), 4 if kind == "term_removed" else 5, kind, m.end()))
+        assert got[k] == ",".join(f"{x}:{a}:{b}" for a, _, x, b in sorted(spans))

@@ -113,36 +113,38 @@ def _entity(kind: Column, match: Column) -> Column:
     return F.concat_ws(":", kind, plain)
 
 
-def entity_words(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(t1, t2, entity, around, term, s, e)``: the whole words within ``window`` code points of each base span.
+def found_entities(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(t1, t2, n, base, near)`` for the rows of ``texts(t1, t2, text)`` that have base spans: n code points, the spans, and each one's text around it as ``(b, ls, lw, rw)``."""
+    def around(b: Column) -> Column:
+        ls = F.greatest(b["s"] - window, F.lit(0))
+        return F.struct(b.alias("b"), ls.alias("ls"), F.substr("text", ls + 1, b["s"] - ls).alias("lw"), F.substr("text", b["e"] + 1, F.lit(window)).alias("rw"))
 
-    ``texts(t1, t2, text, base)``. Words that a window's end or the entity itself
-    parts, and words that overlap a base span, are left out. ``around`` hashes the window.
+    based = texts.select("t1", "t2", "text", base_spans(F.col("text")).alias("base")).where(F.size("base") > 0)
+    return based.select("t1", "t2", F.length("text").alias("n"), "base", F.transform("base", around).alias("near"))
+
+
+def entity_words(found: DataFrame) -> DataFrame:
+    """``(t1, t2, entity, term, s, e)``: the whole words around each base span of ``found_entities``.
+
+    Words that a window's end or the entity itself parts, and words that overlap a base span, are left out.
     """
     near = (
-        texts.where(F.size("base") > 0)
-        .select("t1", "t2", "text", F.col("base"), F.explode("base").alias("b"))
-        .select("t1", "t2", "base", _entity(F.col("b.kind"), F.col("b.m")).alias("entity"),
-                F.greatest(F.col("b.s") - window, F.lit(0)).alias("ls"), F.col("b.s").alias("bs"), F.col("b.e").alias("be"),
-                F.length("text").alias("n"), "text")
-        .select("t1", "t2", "base", "entity", "ls", "bs", "be", "n",
-                F.substr("text", F.col("ls") + 1, F.col("bs") - F.col("ls")).alias("lw"),
-                F.substr("text", F.col("be") + 1, F.lit(window)).alias("rw"))
-        .withColumn("around", F.xxhash64("lw", "rw"))
+        found.select("t1", "t2", "n", "base", F.explode("near").alias("x"))
+        .select("t1", "t2", "n", "base", _entity(F.col("x.b.kind"), F.col("x.b.m")).alias("entity"), "x.ls", F.col("x.b.s").alias("bs"), F.col("x.b.e").alias("be"), "x.lw", "x.rw")
     )
     sides = F.array(
         F.struct(F.col("ls").alias("at"), F.col("lw").alias("w"), (F.col("ls") > 0).alias("cut_l"), F.lit(True).alias("cut_r")),
         F.struct(F.col("be").alias("at"), F.col("rw").alias("w"), F.lit(True).alias("cut_l"), (F.col("be") + F.length("rw") < F.col("n")).alias("cut_r")))
     words = (
-        near.select("t1", "t2", "base", "entity", "around", F.explode(sides).alias("side"))
-        .select("t1", "t2", "base", "entity", "around", "side", F.explode(_located(F.col("side.w"), _WORD)).alias("x"))
+        near.select("t1", "t2", "base", "entity", F.explode(sides).alias("side"))
+        .select("t1", "t2", "base", "entity", "side", F.explode(_located(F.col("side.w"), _WORD)).alias("x"))
         .where(~(F.col("side.cut_l") & (F.col("x.s") == 0)) & ~(F.col("side.cut_r") & (F.col("x.e") == F.length("side.w"))))
-        .select("t1", "t2", "base", "entity", "around", _term(F.col("x.m")).alias("term"),
+        .select("t1", "t2", "base", "entity", _term(F.col("x.m")).alias("term"),
                 (F.col("side.at") + F.col("x.s")).alias("s"), (F.col("side.at") + F.col("x.e")).alias("e"))
         .where(F.col("term") != "")
     )
     apart = F.expr("NOT exists(base, b -> b.s < e AND b.e > s)")
-    return words.where(apart).select("t1", "t2", "entity", "around", "term", "s", "e")
+    return words.where(apart).select("t1", "t2", "entity", "term", "s", "e")
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
@@ -188,12 +190,13 @@ def text_terms(texts: DataFrame, terms: DataFrame, every: DataFrame, frequent: i
     return hits.groupBy("t1", "t2").agg(of(REMOVED).alias("gone"), of(GENERAL).alias("general"))
 
 
-def disclosing_hits(texts: DataFrame, how: dict | None = None) -> DataFrame:
-    """``text_terms`` of the disclosing terms of ``texts(t1, t2, text, base)``."""
-    words = materialise(entity_words(texts), "entity-words")
+def marked_texts(texts: DataFrame, how: dict | None = None) -> DataFrame:
+    """``(t1, t2, base, gone, general)`` for each distinct text of ``texts(t1, t2, text)`` that has base spans or disclosing terms."""
+    found = materialise(found_entities(texts), "entities")
     every = materialise(term_counts(texts), "terms")
-    terms = materialise(disclosing_terms(words, every, **(how or {})), "disclosing-terms")
-    return text_terms(texts, terms, every)
+    terms = materialise(disclosing_terms(entity_words(found), every, **(how or {})), "disclosing-terms")
+    hits = text_terms(texts, terms, every)
+    return found.select("t1", "t2", "base").dropDuplicates(["t1", "t2"]).join(hits, ["t1", "t2"], "full")
 
 
 def _extra() -> Column:
@@ -210,8 +213,11 @@ def _extra() -> Column:
     return F.when(F.col("gone").isNotNull(), shaped).otherwise(none)
 
 
-def _with_base(docs: DataFrame) -> DataFrame:
-    return docs.select("*", *_text_key(F.col("text")), base_spans(F.col("text")).alias("base"))
+def _with_spans(keyed: DataFrame, how: dict) -> DataFrame:
+    """The rows of ``keyed(t1, t2, text, ...)`` with ``base``, ``gone`` and ``general``. Base patterns run once over each text."""
+    marked = marked_texts(keyed.select("t1", "t2", "text"), how)
+    none = F.array().cast("array<struct<s:int,rank:int,kind:string,e:int,m:string>>")
+    return keyed.join(marked, ["t1", "t2"], "left").withColumn("base", F.coalesce("base", none))
 
 
 def _all_spans() -> Column:
@@ -226,10 +232,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     corpus as often as they occur. An empty table gives none.
     """
     plain = id_and_text(docs, id_col, text_col)
-    keyed = _with_base(plain)
-    hits = disclosing_hits(keyed, how)
+    keyed = plain.select("doc_id", "text", *_text_key(F.col("text")))
     counts = [F.size(F.filter("base", lambda x: x["kind"] == F.lit(k))).cast("bigint").alias(f"n_{k}") for k in KINDS]  # noqa: B023
-    return keyed.join(hits, ["t1", "t2"], "left").select(
+    return _with_spans(keyed, how).select(
         "doc_id", *counts, F.sha2(span_string(F.col("base")), 256).alias("base_sha256"), span_string(_all_spans()).alias("spans"))
 
 
@@ -256,13 +261,13 @@ def _rewritten(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """All rows and columns of ``docs``, the text without personal data and the terms that give it away.
 
-    A text without spans, null included, stays as it is.
+    A text without spans, null included, stays as it is. Equal texts are treated alike; repeated
+    rows and null ids are rows like others. An empty table gives none.
     """
     cols = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    keyed = _with_base(inner)
-    hits = disclosing_hits(_with_base(inner.select("text")), how)
-    spans = keyed.join(hits, ["t1", "t2"], "left").select("row", "text", _merged(_all_spans()).alias("spans"))
+    keyed = inner.select("row", "text", *_text_key(F.col("text")))
+    spans = _with_spans(keyed, how).select("row", "text", _merged(_all_spans()).alias("spans"))
     new = F.when(F.size("spans") == 0, F.col(f"row.`{text_col}`")).otherwise(_rewritten(F.col("text"), F.col("spans")))
     return spans.select(*(new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in cols))
 
