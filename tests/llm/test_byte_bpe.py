@@ -26,7 +26,7 @@ def test_odd_documents(spark, odd_docs, no_docs):
 
 def test_many_blocks_and_a_hot_text(spark):
     docs = [(k, "hot text, many times" if k % 3 == 0 else f"own words {k} and some more {k * 7919}") for k in range(240)]
-    rows = encode_and_decode(spark.createDataFrame(docs, "doc_id bigint, text string"), block_bytes=500, keep_ids=True).collect()
+    rows = encode_and_decode(spark.createDataFrame(docs, "doc_id bigint, text string"), block_chars=500, keep_ids=True).collect()
     check(rows, docs)
     texts = dict(docs)
     assert all(decode_ids(np.array(r["ids"], "<u4"), PATH).decode() == texts[r["doc_id"]] for r in rows)
@@ -34,5 +34,12 @@ def test_many_blocks_and_a_hot_text(spark):
 
 def test_every_token_of_the_table_round_trips():
     enc = load_encoding(PATH, public_tokenizers.PATTERN)
-    for k, b in enumerate(token_bytes(PATH)):
-        assert enc.decode_single_token_bytes(k) == b
+    flat, ends = token_bytes(PATH)
+    assert len(ends) == enc.n_vocab + 1
+    for k in range(enc.n_vocab):
+        assert enc.decode_single_token_bytes(k) == flat[ends[k]:ends[k + 1]].tobytes()
+
+
+def test_one_very_long_text_among_short_ones(spark):
+    docs = [(0, "don't stop, 12345 words\n" * 120_000), (1, ""), (2, "short"), (None, "x" * 3000), (3, " \t\n odd  space ")]
+    check(encode_and_decode(spark.createDataFrame(docs, "doc_id bigint, text string"), block_chars=1000).collect(), docs)

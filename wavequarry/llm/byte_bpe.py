@@ -9,131 +9,177 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavequarry.llm.bpe_units import load_encoding, load_ranks, segments, units
-from wavequarry.llm.common import id_and_text, parts_for, table
+from wavequarry.llm.common import id_and_text, materialise, table
 
-#: Bytes of text in one block, about.
-BLOCK_BYTES = 16 << 20
-
-
-def _split(pattern: str):
-    import regex
-
-    return regex.compile(pattern).findall
+#: Characters of text in one block, about; a longer text is a block of its own.
+BLOCK_CHARS = 4 << 20
+#: Blocks for each class of pre-tokens.
+BLOCKS_PER_CLASS = 8
+#: Pre-tokens of a text that are put in place at once.
+CHUNK = 1 << 20
 
 
 class _Block:
-    """The distinct pre-tokens of one block's texts, and where each text has them.
+    """Texts as positions in the list of the block's distinct pre-tokens.
 
-    A text is kept as its units (see ``bpe_units``), each distinct unit as its pre-tokens in order.
+    A text is read as its units (see ``bpe_units``), each distinct unit is split once.
     """
 
-    def __init__(self, pattern: str):
-        self._findall = _split(pattern)
-        self._of: dict[str, list[str]] = {}
+    def __init__(self, findall):
+        self._findall, self._of, self._words = findall, {}, {}
+        self.docs: list[int | None] = []
+        self._texts: list[np.ndarray] = []
+        self.chars = 0
 
-    def add(self, text: str) -> None:
-        of, findall = self._of, self._findall
+    def _numbers(self, unit: str) -> list[int]:
+        words = self._words
+        return [words.setdefault(w, len(words)) for w in self._findall(unit)]
+
+    def add(self, doc: int | None, text: str) -> None:
+        of, parts = self._of, []
         for s in segments(text):
             u = units(s)
             if u is None:
-                of.update((x, [x]) for x in findall(s))
-            else:
-                of.update((x, findall(x)) for x in set(u).difference(of))
-
-    def words(self) -> list[str]:
-        """Sorted, so that the order depends on nothing but the block's texts."""
-        return sorted(set(chain.from_iterable(self._of.values())))
-
-    def place(self, ids: dict[str, bytes]) -> dict[str, bytes]:
-        get = ids.__getitem__
-        return {u: b"".join(map(get, ws)) if len(ws) > 1 else get(ws[0]) if ws else b"" for u, ws in self._of.items()}
-
-    def encode(self, text: str, ids_of_unit: dict[str, bytes]) -> bytes:
-        get = ids_of_unit.__getitem__
-        return b"".join(b"".join(map(get, u if (u := units(s)) is not None else self._findall(s))) for s in segments(text))
+                parts.append(np.array(self._numbers(s), np.uint32))
+                continue
+            for x in set(u).difference(of):
+                of[x] = self._numbers(x)
+            parts.append(np.fromiter(chain.from_iterable(map(of.__getitem__, u)), np.uint32))
+        self.docs.append(doc)
+        self._texts.append(np.concatenate(parts))
+        self.chars += len(text)
+
+    def packed(self, classes: int) -> tuple[bytes, list[dict]]:
+        """The texts, and the distinct pre-tokens by class: sorted within one, and numbered from class to class."""
+        of_class: dict[int, list[bytes]] = {}
+        raw = [w.encode() for w in self._words]
+        for w in raw:
+            of_class.setdefault(zlib.crc32(w) % classes, []).append(w)
+        number = {w: k for k, w in enumerate(chain.from_iterable(sorted(of_class[c]) for c in sorted(of_class)))}
+        place = np.array([number[w] for w in raw], np.uint16 if len(raw) <= 1 << 16 else np.uint32)
+        flat = place[np.concatenate(self._texts)] if len(raw) else np.empty(0, np.uint16)
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in self._texts])])
+        batch = pa.RecordBatch.from_arrays([pa.array(self.docs, pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat))], ["doc_id", "words"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes(), [{"class": c, "words": _pack_strings(sorted(of_class[c]))} for c in sorted(of_class)]
 
 
 def _pack_strings(parts: list[bytes]) -> bytes:
     """Lengths, one byte each where all fit, then the strings; compressed."""
     wide = max(map(len, parts), default=0) > 255
     lens = np.array([len(p) for p in parts], "<u4" if wide else "u1").tobytes()
-    return zlib.compress(bytes([wide]) + len(parts).to_bytes(4, "little") + lens + b"".join(parts), 6)
+    return zstandard.compress(bytes([wide]) + len(parts).to_bytes(4, "little") + lens + b"".join(parts), 3)
 
 
-def _unpack_strings(blob: bytes) -> list[bytes]:
-    raw = zlib.decompress(blob)
+def _unpack_strings(blob: bytes) -> tuple[bytes, np.ndarray]:
+    """The strings in one, and where each begins and the last ends."""
+    raw = zstandard.decompress(blob)
     kind, n = np.dtype("<u4" if raw[0] else "u1"), int.from_bytes(raw[1:5], "little")
-    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, kind, n, 5), dtype=np.int64)]) + 5 + kind.itemsize * n
-    ends = ends.tolist()
-    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    at = 5 + kind.itemsize * n
+    return raw[at:], np.concatenate([[0], np.cumsum(np.frombuffer(raw, kind, n, 5), dtype=np.int64)])
+
 
+def gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches ``flat[ends[k]:ends[k + 1]]`` for each k of ``which``, one after the other."""
+    start = ends[which]
+    size = ends[which + 1] - start
+    stop = np.cumsum(size)
+    return flat[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
 
-def _by_class(words: list[str], classes: int) -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w.encode()) % classes, []).append(w)
-    return out
 
+_BLOCK = "block bigint, texts binary, words array<struct<class:int,words:binary>>"
+_LISTED = pa.list_(pa.struct([("class", pa.int32()), ("words", pa.binary())]))
 
-def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_row, schema: str, blocks: int, classes: int) -> DataFrame:
-    """``per_row(rows, their ids)`` for every block's rows of ``docs(doc_id, text)``.
 
-    1. Rows are dealt to ``blocks`` by a hash of the whole row. A block explodes its
-       texts into pre-tokens with positions and sends its distinct ones on, packed
-       by hash class: one row per (block, class).
-    2. Each class gathers its blocks' words and encodes each distinct one once; the
-       ids go back to the blocks in the same order.
-    3. Each block, from the same shuffle, puts its words' ids at their positions.
+def text_blocks(docs: DataFrame, pattern: str, classes: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Blocks of ``docs(doc_id, text)``: texts as positions, and the distinct pre-tokens by class.
 
-    A word class holds distinct words of a share of all words, never occurrences,
-    so a frequent word costs one entry per block.
+    Block numbers are those of this one evaluation: write the result before using it twice.
     """
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def gather(batches):
-        held: dict[int, _Block] = {}
+        import regex
+
+        findall, first, k = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32, 0
+        block = _Block(findall)
+
+        def row():
+            texts, words = block.packed(classes)
+            return pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([texts], pa.binary()), pa.array([words], _LISTED)], ["block", "texts", "words"])
+
         for batch in batches:
-            for b, t in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.setdefault(b, _Block(pattern)).add(t)
-        for b in sorted(held):
-            own = _by_class(held.pop(b).words(), classes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b] * len(own), pa.int32()), pa.array(list(own), pa.int32()),
-                 pa.array([_pack_strings([w.encode() for w in ws]) for ws in own.values()], pa.binary())], ["block", "class", "words"])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if block.docs and block.chars + len(text) > block_chars:
+                    yield row()
+                    block, k = _Block(findall), k + 1
+                block.add(doc, text)
+        if block.docs:
+            yield row()
+
+    return docs.mapInArrow(gather, _BLOCK)
+
+
+def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_text, schema: str, classes: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``per_text(doc_id, pieces of its ids)``, a row of ``schema``, for every row of ``docs(doc_id, text)``.
+
+    1. A block explodes its texts into pre-tokens with positions; what it keeps of a text is, at
+       each position, which of the block's distinct pre-tokens stands there. Blocks are written once.
+    2. Distinct pre-tokens, packed by hash class, go through one shuffle: a class gathers its
+       blocks' pre-tokens and encodes each distinct one once. The ids are joined back by block and class.
+    3. Each block puts its pre-tokens' ids at their positions.
+
+    A class holds a share of the distinct pre-tokens, never occurrences, so a frequent one costs one
+    entry per block. However many classes, there are no more packets than pairs of block and distinct pre-token.
+    """
+    blocks = materialise(text_blocks(docs, pattern, classes, block_chars), "bpe-blocks")
 
     def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
         encoding = load_cached(rank_path, pattern)
         encode, kind = encoding._core_bpe.encode_single_piece, _id_kind(encoding)
-        ids: dict[bytes, bytes] = {}
+        known: dict[bytes, bytes] = {}
         out = []
         for blob in pdf["words"]:
-            words = _unpack_strings(blob)
+            raw, ends = _unpack_strings(blob)
+            words = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             for w in words:
-                if w not in ids:
-                    ids[w] = np.array(encode(w), kind).tobytes()
-            out.append(_pack_strings([ids[w] for w in words]))
+                if w not in known:
+                    known[w] = np.array(encode(w), kind).tobytes()
+            out.append(_pack_strings([known[w] for w in words]))
         return pd.DataFrame({"block": pdf["block"], "class": pdf["class"], "ids": out})
 
-    packed = dealt.mapInArrow(gather, "block int, class int, words binary")
-    lookups = packed.groupBy("class").applyInPandas(look_up, "block int, class int, ids binary")
+    packets = blocks.select("block", F.explode("words").alias("w")).select("block", "w.*")
+    found = (packets.groupBy("class").applyInPandas(look_up, "block bigint, class int, ids binary")
+             .groupBy("block").agg(F.collect_list(F.struct("class", "ids")).alias("found")))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def place(batches):
+        kind = np.dtype(_id_kind(load_cached(rank_path, pattern)))
+        for batch in batches:
+            for texts, own in zip(batch.column("texts").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                parts = [_unpack_strings(x["ids"]) for x in sorted(own or [], key=lambda x: x["class"])]
+                ids = np.frombuffer(b"".join(p for p, _ in parts), kind)
+                sizes = np.concatenate([np.diff(e) for _, e in parts]) // kind.itemsize if parts else np.empty(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                held = pa.ipc.open_stream(texts).read_next_batch()
+                words, at = held.column("words").values.to_numpy(), held.column("words").offsets.to_numpy()
+                rows = [per_text(doc, (gathered(ids, ends, words[k:min(k + CHUNK, b)].astype(np.int64)).astype("<u4") for k in range(a, b, CHUNK)))
+                        for doc, a, b in zip(held.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_arrow_schema(schema))
+
+    return blocks.select("block", "texts").join(found, "block", "left").select("texts", "found").mapInArrow(place, schema)
 
-    def place(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(pattern)
-        for t in texts["text"]:
-            block.add(t)
-        own = _by_class(block.words(), classes)
-        ids: dict[str, bytes] = {}
-        for c, blob in zip(found["class"], found["ids"], strict=True):
-            ids.update(zip(own[c], _unpack_strings(blob), strict=True))
-        kind = _id_kind(load_cached(rank_path, pattern))
-        unit_ids = block.place(ids)
-        return per_row(texts, (np.frombuffer(block.encode(t, unit_ids), kind).astype("<u4") for t in texts["text"]))
 
-    return dealt.groupBy("block").cogroup(lookups.groupBy("block")).applyInPandas(place, schema)
+def _arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
 
 
 _cached: dict[tuple[str, str], object] = {}
@@ -151,24 +197,25 @@ def _id_kind(encoding) -> str:
     return "<u2" if encoding.n_vocab <= 1 << 16 else "<u4"
 
 
-def token_bytes(rank_path: str) -> list[bytes]:
-    """The token-byte table: as many rows as the vocabulary has."""
-    out: dict[int, bytes] = {v: k for k, v in load_ranks(rank_path).items()}
-    return [out.get(k, b"") for k in range(max(out, default=-1) + 1)]
+_byte_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_tables: dict[str, list[bytes]] = {}
+def token_bytes(rank_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The token-byte table: all tokens' bytes in one, and where each id's begin. It has as many entries as the vocabulary."""
+    if rank_path not in _byte_tables:
+        own = {v: k for k, v in load_ranks(rank_path).items()}
+        raw = [own.get(k, b"") for k in range(max(own, default=-1) + 1)]
+        _byte_tables[rank_path] = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+    return _byte_tables[rank_path]
 
 
 def decode_ids(ids: np.ndarray, rank_path: str) -> bytes:
     """Ids to text bytes, joined with the token-byte table."""
-    if rank_path not in _tables:
-        _tables[rank_path] = token_bytes(rank_path)
-    return b"".join(map(_tables[rank_path].__getitem__, ids.tolist()))
+    return gathered(*token_bytes(rank_path), ids.astype(np.int64)).tobytes()
 
 
 def encode_and_decode(docs: DataFrame, rank_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id",
-                      text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_ids: bool = False) -> DataFrame:
+                      text_col: str = "text", block_chars: int = BLOCK_CHARS, keep_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``, with keep_ids).
 
     A null or empty text has no tokens. Repeated rows and null ids come back as
@@ -179,22 +226,20 @@ def encode_and_decode(docs: DataFrame, rank_path: str | None = None, pattern: st
     rank_path = rank_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
     plain = id_and_text(docs, id_col, text_col)
-    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = parts_for(size, block_bytes, 4)
-
-    def digests(texts: pd.DataFrame, encoded) -> pd.DataFrame:
-        n, own, back, raws = [], [], [], []
-        for ids in encoded:
-            n.append(len(ids))
-            own.append(hashlib.sha256(ids).hexdigest())
-            back.append(hashlib.sha256(decode_ids(ids, rank_path)).hexdigest())
+    size = plain.agg(F.coalesce(F.sum(F.char_length("text").cast("bigint")), F.lit(0))).first()[0]
+
+    def digests(doc, pieces) -> tuple:
+        n, own, back, raw = 0, hashlib.sha256(), hashlib.sha256(), []
+        for ids in pieces:
+            n += len(ids)
+            own.update(ids)
+            back.update(decode_ids(ids, rank_path))
             if keep_ids:
-                raws.append(ids.astype(np.int32))
-        out = pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": own, "decoded_sha256": back})
-        return out.assign(ids=raws) if keep_ids else out
+                raw += ids.tolist()
+        return doc, n, own.hexdigest(), back.hexdigest(), *([raw] if keep_ids else [])
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return encode_texts(plain, rank_path, pattern, digests, schema, blocks, max(16, blocks // 2))
+    return encode_texts(plain, rank_path, pattern, digests, schema, max(16, size // (block_chars * BLOCKS_PER_CLASS)), block_chars)
 
 
 def op5_byte_bpe(spark, sf_dir):
