@@ -4,8 +4,9 @@ import zlib
 import numpy as np
 import pytest
 
-from wavequarry.llm.media_webp import decode_images, features_of, media_digests, payload_of, payload_size, samples_of, store, store_texts
-from wavequarry.llm.webp_codec import NEAR, WebPError, canonical, code_lengths, decode, encode
+from wavequarry.llm.media_webp import (decode_images, features_of, media_digests, payload_of, payload_size, read_back, samples_of, store, store_texts, stored_images,
+                                       transforms_for)
+from wavequarry.llm.webp_codec import NEAR, WebPError, Writer, _put_image, canonical, code_lengths, decode, encode
 
 #: A 1 x 1 image written by hand: no transform, five one-symbol codes (green 2, red 1, blue 3, alpha 255, distance 0).
 def by_hand():
@@ -105,3 +106,118 @@ def test_large_text_in_a_table(spark):
     text = "ab" * (32 * 16_411)
     r = media_digests(spark.createDataFrame([(1, text), (2, "a")], "doc_id bigint, text string")).where("doc_id = 1").first()
     assert (r["payload_bytes"], r["payload_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def file_of(width, height, head, data):
+    """A file whose transforms ``head`` writes and whose coded pixels are ``data``, as they stand."""
+    w = Writer()
+    w.put(width - 1, 14), w.put(height - 1, 14), w.put(1, 1), w.put(0, 3)
+    head(w)
+    w.put(0, 1)
+    _put_image(w, data, True)
+    body = b"\x2f" + w.bytes()
+    body = len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    return b"RIFF" + (len(body) + 8).to_bytes(4, "little") + b"WEBPVP8L" + body
+
+
+def predicted(mode, l, t, tr, tl):
+    """The format's fourteen predictions, channel by channel, on lists of four."""
+    avg = lambda a, b: [(x + y) // 2 for x, y in zip(a, b)]
+    clamp = lambda x: max(0, min(255, x))
+    if mode == 11:
+        p = [a + b - c for a, b, c in zip(l, t, tl)]
+        return l if sum(abs(x - y) for x, y in zip(p, l)) < sum(abs(x - y) for x, y in zip(p, t)) else t
+    return {0: [0, 0, 0, 255], 1: l, 2: t, 3: tr, 4: tl, 5: avg(avg(l, tr), t), 6: avg(l, tl), 7: avg(l, t), 8: avg(tl, t), 9: avg(t, tr),
+            10: avg(avg(l, tl), avg(t, tr)), 12: [clamp(a + b - c) for a, b, c in zip(l, t, tl)],
+            13: [clamp(a + int((a - c) / 2)) for a, c in zip(avg(l, t), tl)]}[mode]
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_predictors_by_the_format(mode):
+    rng = np.random.default_rng(mode)
+    height, width = 6, 9
+    residual = rng.integers(0, 1 << 32, (height, width), dtype=np.uint64).astype(np.uint32)
+    modes = np.full((2, 3), mode << 8, np.uint32)
+    modes[1, 1] = (mode + 5) % 14 << 8
+
+    def head(w):
+        w.put(1, 1), w.put(0, 2), w.put(0, 3)
+        _put_image(w, modes)
+
+    got = decode(file_of(width, height, head, residual))
+    parts = lambda v: [v & 255, v >> 8 & 255, v >> 16 & 255, v >> 24]
+    out = [[None] * width for _ in range(height)]
+    for y in range(height):
+        for x in range(width):
+            if not y and not x:
+                p = [0, 0, 0, 255]
+            elif not y:
+                p = out[y][x - 1]
+            elif not x:
+                p = out[y - 1][x]
+            else:
+                tr = out[y - 1][x + 1] if x + 1 < width else out[y][0]
+                p = predicted(int(modes[y >> 2, x >> 2] >> 8), out[y][x - 1], out[y - 1][x], tr, out[y - 1][x - 1])
+            out[y][x] = [(a + b) & 255 for a, b in zip(parts(int(residual[y, x])), p)]
+    assert [[parts(int(v)) for v in row] for row in got] == out
+
+
+def test_colour_transforms_by_the_format():
+    rng = np.random.default_rng(3)
+    height, width = 5, 7
+    data = rng.integers(0, 1 << 32, (height, width), dtype=np.uint64).astype(np.uint32)
+    element = np.array([[0x00C07F81]], np.uint32) | np.uint32(0xFF000000)  # negative and positive multipliers
+
+    def head(w):
+        w.put(1, 1), w.put(1, 2), w.put(1, 3)
+        _put_image(w, element)
+        w.put(1, 1), w.put(2, 2)
+
+    signed = lambda v: v - 256 if v > 127 else v
+    delta = lambda t, c: (signed(t) * signed(c)) >> 5
+    for got, v in zip(decode(file_of(width, height, head, data)).ravel().tolist(), data.ravel().tolist()):
+        b, g, r, a = v & 255, v >> 8 & 255, v >> 16 & 255, v >> 24
+        b, r = (b + g) & 255, (r + g) & 255  # the last transform written is undone first
+        r = (r + delta(0x81, g)) & 255
+        b = (b + delta(0x7F, g) + delta(0xC0, r)) & 255
+        assert got == a << 24 | r << 16 | g << 8 | b
+
+
+@pytest.mark.parametrize("colours", [2, 3, 16, 17])
+def test_palettes_by_the_format(colours):
+    rng = np.random.default_rng(colours)
+    palette = rng.integers(0, 1 << 32, colours, dtype=np.uint64).astype(np.uint32)
+    index = rng.integers(0, colours, (4, 11))
+    each = 1 if colours <= 2 else 2 if colours <= 4 else 4 if colours <= 16 else 8
+    per = 8 // each
+    packed = [[sum(int(v) << each * k for k, v in enumerate(row[x:x + per])) << 8 for x in range(0, 11, per)] for row in index]
+    steps = [int(palette[0])]
+    for a, b in zip(palette.tolist(), palette.tolist()[1:]):
+        steps.append(sum(((b >> k & 255) - (a >> k & 255) & 255) << k for k in (0, 8, 16, 24)))
+
+    def head(w):
+        w.put(1, 1), w.put(3, 2), w.put(colours - 1, 8)
+        _put_image(w, np.array([steps], np.uint32))
+
+    assert (decode(file_of(11, 4, head, np.array(packed, np.uint32))) == palette[index]).all()
+
+
+def test_transforms_are_chosen_per_image():
+    ramp = bytes((7 * k) % 256 for k in range(4096))
+    for payload, kind in ((ramp, "predictor"), (payload_of("abab ab ba " * 60), "palette"), (payload_of("The quick brown fox jumps over the lazy dog; 1234567890! " * 9), None)):
+        assert [t[0] for t in transforms_for(np.frombuffer(payload, np.uint8).reshape(-1, 64))] == ([kind] if kind else [])
+        assert read_back(store(payload), len(payload))[0] == payload
+
+
+def test_long_payloads_are_several_images():
+    p = payload_of("some words é " * 3000)
+    media = store(p, 64 * 100)
+    assert len(stored_images(media)) == -(-len(p) // 6400) and read_back(media, len(p))[0] == p and read_back(media, len(p))[1].count("|") == len(stored_images(media)) - 1
+
+
+def test_a_column_called_image_is_replaced(spark):
+    df = spark.createDataFrame([(store(payload_of("a")), "x", 1), (None, "y", 2), (b"", "z", 3)], "media binary, image string, n int")
+    out = decode_images(df)
+    assert out.columns == ["media", "n", "image"]
+    assert [(r["n"], r["image"] and r["image"]["width"]) for r in out.orderBy("n").collect()] == [(1, 64), (2, None), (3, None)]
+    assert decode_images(df.where("n > 9")).count() == 0

@@ -14,6 +14,8 @@ from wavequarry.llm.common import id_and_text, table
 from wavequarry.llm.webp_codec import MAX_SIDE, WebPError, decode, encode
 
 ROW = 64
+#: Bytes of a payload that one image holds at most; bounds a task's memory.
+IMAGE_BYTES = 1 << 24
 _OPAQUE = np.uint32(0xFF000000)
 
 
@@ -23,24 +25,61 @@ def payload_of(text: str | None) -> bytes:
     return raw + b"\0" * (payload_size(len(raw)) - len(raw))
 
 
-def store(payload: bytes) -> bytes:
-    """The payload as the green samples of an image whose rows are a multiple of 64 wide.
+def store(payload: bytes, image_bytes: int = IMAGE_BYTES) -> bytes:
+    """The payload as the green samples of images whose rows are a multiple of 64 wide.
 
-    At most sixteen distinct bytes are bundled with a palette. Where no width divides the
-    payload, zero samples fill the last row: ``samples_of`` takes the payload's length. An
-    image holds at most 2**28 bytes; a longer payload is an error.
+    An image holds at most ``image_bytes``; the images of a longer payload follow one another. Where
+    no width divides an image's part, zero samples fill the last row: ``read_back`` takes the payload's length.
     """
+    return b"".join(_image(payload[k:k + image_bytes]) for k in range(0, len(payload), image_bytes))
+
+
+def _image(payload: bytes) -> bytes:
     samples = np.frombuffer(payload, np.uint8)
     rows = len(samples) // ROW
     least = -(-rows // MAX_SIDE)
-    if least * ROW > MAX_SIDE:
-        raise WebPError("payload too large for one image")
     # a width that divides the payload, so that no sample is made up, if there is one
     per = next((w for w in range(least, MAX_SIDE // ROW + 1) if rows % w == 0), least)
-    samples = np.pad(samples, (0, -rows % per * ROW))
-    pixels = (_OPAQUE | samples.astype(np.uint32) << np.uint32(8)).reshape(-1, per * ROW)
-    few = len(samples) >= 256 and np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
-    return encode(pixels, (("palette",),) if few else ())
+    samples = np.pad(samples, (0, -rows % per * ROW)).reshape(-1, per * ROW)
+    return encode(_OPAQUE | samples.astype(np.uint32) << np.uint32(8), transforms_for(samples))
+
+
+def _entropy(counts: np.ndarray) -> float:
+    share = counts[counts > 0] / counts.sum()
+    return float(-(share * np.log2(share)).sum())
+
+
+def transforms_for(samples: np.ndarray) -> tuple:
+    """The transforms that make the samples shorter: a palette for sixteen values or fewer, the left neighbour as prediction where its residual has clearly less entropy."""
+    if samples.size < 256:
+        return ()
+    counts = np.bincount(samples.ravel(), minlength=256)
+    steps = np.bincount(np.diff(samples, axis=1).ravel(), minlength=256)
+    if _entropy(steps) < _entropy(counts) - 0.25:
+        modes = np.ones((-(-samples.shape[0] // 512), -(-samples.shape[1] // 512)), np.uint32)
+        return (("predictor", modes, 9),)
+    return (("palette",),) if np.count_nonzero(counts) <= 16 else ()
+
+
+def stored_images(media: bytes) -> list[bytes]:
+    """The files that follow one another in ``media``."""
+    out, at = [], 0
+    while at < len(media):
+        size = int.from_bytes(media[at + 4:at + 8], "little") + 8
+        out.append(media[at:at + size])
+        at += size
+    return out
+
+
+def read_back(media: bytes, size: int) -> tuple[bytes, str]:
+    """The payload of ``size`` bytes that ``media`` stores, and the features of its images, joined by ``|``."""
+    parts, features = [], []
+    for image in stored_images(media):
+        pixels = decode(image)
+        own = min(pixels.size, size - sum(map(len, parts)))
+        parts.append(samples_of(pixels, own))
+        features.append(features_of(pixels, own))
+    return b"".join(parts), "|".join(features)
 
 
 def payload_size(n_bytes: int) -> int:
@@ -74,9 +113,10 @@ def features_of(pixels: np.ndarray, size: int | None = None) -> str:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, media)``: every text stored as an image. Null and empty texts are 64 zero bytes.
+    """``(doc_id, n_bytes, media)``: every text stored as an image, or several that follow one another. Null and empty texts are 64 zero bytes.
 
-    The payload is the first ``payload_size(n_bytes)`` samples of the image.
+    ``read_back`` takes ``payload_size(n_bytes)``. Equal texts have equal images; null ids and
+    repeated rows are rows of their own. An empty table gives none.
     """
 
     @F.pandas_udf("binary")
@@ -87,9 +127,10 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def decode_images(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns, and ``image``: width, height, pixels (RGBA bytes, row by row), or the error that bytes which aren't an image give.
+    """All columns but ``image``, and ``image``: width, height, pixels (RGBA bytes, row by row), or the error that bytes which aren't an image give.
 
-    A null image has a null struct.
+    A null image has a null struct; empty bytes are an error. Of several images that follow one
+    another the first is read. Repeated rows come back as often; an empty table gives none.
     """
 
     @F.pandas_udf("width int, height int, pixels binary, error string")
@@ -104,7 +145,7 @@ def decode_images(media: DataFrame, media_col: str = "media") -> DataFrame:
         return pd.DataFrame(rows, columns=["width", "height", "pixels", "error"]).astype({"width": "Int32", "height": "Int32"})
 
     image = F.when(F.col(f"`{media_col}`").isNotNull(), read(F.col(f"`{media_col}`")))
-    return media.select("*", image.alias("image"))
+    return media.select(*(F.col(f"`{c}`") for c in media.columns if c.lower() != "image"), image.alias("image"))
 
 
 _DIGEST = ("payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
@@ -123,10 +164,8 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for t in text:
             payload = payload_of(t)
             stored = store(payload)
-            pixels = decode(stored)
-            back = samples_of(pixels, len(payload))
-            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored),
-                         hashlib.sha256(stored).hexdigest(), features_of(pixels, len(back))))
+            back, feature = read_back(stored, len(payload))
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _DIGEST.split(", ")])
 
     plain = id_and_text(docs, id_col, text_col)

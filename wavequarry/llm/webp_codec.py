@@ -6,7 +6,6 @@ Pixels are ``uint32`` arrays of shape (height, width), as 0xAARRGGBB.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -747,9 +746,3 @@ def encode(pixels: np.ndarray, transforms: tuple = (), copies: bool = True, cach
     body = b"\x2f" + w.bytes()
     body = len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     return b"RIFF" + (len(body) + 8).to_bytes(4, "little") + b"WEBPVP8L" + body
-
-
-def rows_of(data: bytes) -> Iterator[bytes]:
-    """Decoded rows as RGBA bytes."""
-    for row in _channels(decode(data)):
-        yield row[:, [2, 1, 0, 3]].tobytes()
