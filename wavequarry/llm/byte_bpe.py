@@ -18,9 +18,9 @@ from wavequarry.llm.bpe_units import load_encoding, load_ranks, segments, units
 from wavequarry.llm.common import id_and_text, materialise, table
 
 #: Characters of text in one block, about; a longer text is a block of its own.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 8 << 20
 #: Blocks for each class of pre-tokens.
-BLOCKS_PER_CLASS = 8
+BLOCKS_PER_CLASS = 4
 #: Pre-tokens of a text that are put in place at once.
 CHUNK = 1 << 20
 
@@ -62,14 +62,38 @@ class _Block:
         for w in raw:
             of_class.setdefault(zlib.crc32(w) % classes, []).append(w)
         number = {w: k for k, w in enumerate(chain.from_iterable(sorted(of_class[c]) for c in sorted(of_class)))}
-        place = np.array([number[w] for w in raw], np.uint16 if len(raw) <= 1 << 16 else np.uint32)
-        flat = place[np.concatenate(self._texts)] if len(raw) else np.empty(0, np.uint16)
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in self._texts])])
-        batch = pa.RecordBatch.from_arrays([pa.array(self.docs, pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat))], ["doc_id", "words"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        return sink.getvalue().to_pybytes(), [{"class": c, "words": _pack_strings(sorted(of_class[c]))} for c in sorted(of_class)]
+        flat = np.concatenate(self._texts)
+        often = np.argsort(-np.bincount(flat, minlength=len(raw)), kind="stable")  # frequent pre-tokens get small numbers, whose high bytes take no room
+        rank = np.empty(len(raw), np.uint32)
+        rank[often] = np.arange(len(raw), dtype=np.uint32)
+        planes = rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4).T
+        place = np.array([number[raw[k]] for k in often.tolist()], "<u4")
+        none = np.array([d is None for d in self.docs], bool)
+        held = [np.array([d or 0 for d in self.docs], "<i8"), none, np.array([len(t) for t in self._texts], "<i8"), place, *planes]
+        return _pack_arrays(held), [{"class": c, "words": _pack_strings(sorted(of_class[c]))} for c in sorted(of_class)]
+
+
+def read_texts(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, each text's number of pre-tokens, the place of each frequency rank in the list of pre-tokens, and the ranks of all texts in order."""
+    docs, none, sizes, place, *planes = _unpack_arrays(blob)
+    ranks = np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1).view("<u4").ravel() if planes[0] else np.empty(0, "<u4")
+    ids = [None if x else d for d, x in zip(np.frombuffer(docs, "<i8").tolist(), none, strict=True)]
+    return ids, np.frombuffer(sizes, "<i8"), np.frombuffer(place, "<u4").astype(np.int64), ranks
+
+
+def _pack_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Each array's bytes, compressed, after their length."""
+    packed = [zstandard.compress(np.ascontiguousarray(a).tobytes(), 3) for a in arrays]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in packed)
+
+
+def _unpack_arrays(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at:at + 8], "little")
+        out.append(zstandard.decompress(blob[at + 8:at + 8 + size]))
+        at += 8 + size
+    return out
 
 
 def _pack_strings(parts: list[bytes]) -> bytes:
@@ -168,10 +192,10 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_text, schema
                 ids = np.frombuffer(b"".join(p for p, _ in parts), kind)
                 sizes = np.concatenate([np.diff(e) for _, e in parts]) // kind.itemsize if parts else np.empty(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                held = pa.ipc.open_stream(texts).read_next_batch()
-                words, at = held.column("words").values.to_numpy(), held.column("words").offsets.to_numpy()
-                rows = [per_text(doc, (gathered(ids, ends, words[k:min(k + CHUNK, b)].astype(np.int64)).astype("<u4") for k in range(a, b, CHUNK)))
-                        for doc, a, b in zip(held.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                docs, lengths, place_of, ranks = read_texts(texts)
+                stops = np.cumsum(lengths).tolist()
+                rows = [per_text(doc, (gathered(ids, ends, place_of[ranks[k:min(k + CHUNK, b)]]).astype("<u4") for k in range(b - n, b, CHUNK)))
+                        for doc, n, b in zip(docs, lengths.tolist(), stops, strict=True)]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_arrow_schema(schema))
 
     return blocks.select("block", "texts").join(found, "block", "left").select("texts", "found").mapInArrow(place, schema)
