@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavequarry.llm.bpe_units import load_encoding, load_ranks, segments, units
-from wavequarry.llm.common import id_and_text, materialise, table
+from wavequarry.llm.common import id_and_text, table
 
 #: Characters of text in one block, about; a longer text is a block of its own.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 #: Blocks for each class of pre-tokens.
-BLOCKS_PER_CLASS = 4
+BLOCKS_PER_CLASS = 8
 #: Pre-tokens of a text that are put in place at once.
 CHUNK = 1 << 20
 
@@ -55,7 +55,7 @@ class _Block:
         self._texts.append(np.concatenate(parts))
         self.chars += len(text)
 
-    def packed(self, classes: int) -> tuple[bytes, list[dict]]:
+    def packed(self, classes: int) -> bytes:
         """The texts, and the distinct pre-tokens by class: sorted within one, and numbered from class to class."""
         of_class: dict[int, list[bytes]] = {}
         raw = [w.encode() for w in self._words]
@@ -70,30 +70,35 @@ class _Block:
         place = np.array([number[raw[k]] for k in often.tolist()], "<u4")
         none = np.array([d is None for d in self.docs], bool)
         held = [np.array([d or 0 for d in self.docs], "<i8"), none, np.array([len(t) for t in self._texts], "<i8"), place, *planes]
-        return _pack_arrays(held), [{"class": c, "words": _pack_strings(sorted(of_class[c]))} for c in sorted(of_class)]
+        own = sorted(of_class)
+        return _framed([_framed([zstandard.compress(np.ascontiguousarray(a).tobytes(), 3) for a in held]), np.array(own, "<i4").tobytes(),
+                        *(_pack_strings(sorted(of_class[c])) for c in own)])
 
 
 def read_texts(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, each text's number of pre-tokens, the place of each frequency rank in the list of pre-tokens, and the ranks of all texts in order."""
-    docs, none, sizes, place, *planes = _unpack_arrays(blob)
+    docs, none, sizes, place, *planes = map(zstandard.decompress, _frames(next(_frames(blob))))
     ranks = np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1).view("<u4").ravel() if planes[0] else np.empty(0, "<u4")
     ids = [None if x else d for d, x in zip(np.frombuffer(docs, "<i8").tolist(), none, strict=True)]
     return ids, np.frombuffer(sizes, "<i8"), np.frombuffer(place, "<u4").astype(np.int64), ranks
 
 
-def _pack_arrays(arrays: list[np.ndarray]) -> bytes:
-    """Each array's bytes, compressed, after their length."""
-    packed = [zstandard.compress(np.ascontiguousarray(a).tobytes(), 3) for a in arrays]
-    return b"".join(len(x).to_bytes(8, "little") + x for x in packed)
+def read_words(blob: bytes) -> list[tuple[int, bytes]]:
+    """A block's ``(class, packed pre-tokens)``."""
+    _, own, *packed = _frames(blob)
+    return list(zip(np.frombuffer(own, "<i4").tolist(), packed, strict=True))
 
 
-def _unpack_arrays(blob: bytes) -> list[bytes]:
-    out, at = [], 0
+def _framed(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _frames(blob: bytes):
+    at = 0
     while at < len(blob):
         size = int.from_bytes(blob[at:at + 8], "little")
-        out.append(zstandard.decompress(blob[at + 8:at + 8 + size]))
+        yield blob[at + 8:at + 8 + size]
         at += 8 + size
-    return out
 
 
 def _pack_strings(parts: list[bytes]) -> bytes:
@@ -119,14 +124,10 @@ def gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarra
     return flat[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
-_BLOCK = "block bigint, texts binary, words array<struct<class:int,words:binary>>"
-_LISTED = pa.list_(pa.struct([("class", pa.int32()), ("words", pa.binary())]))
-
-
 def text_blocks(docs: DataFrame, pattern: str, classes: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of ``docs(doc_id, text)``: texts as positions, and the distinct pre-tokens by class.
+    """``(block, held)``: blocks of ``docs(doc_id, text)``, with texts as positions and the distinct pre-tokens by class.
 
-    Block numbers are those of this one evaluation: write the result before using it twice.
+    Rows are sorted within their partition first, so that one that is evaluated again after a loss gives the same blocks.
     """
 
     def gather(batches):
@@ -136,8 +137,7 @@ def text_blocks(docs: DataFrame, pattern: str, classes: int, block_chars: int =
         block = _Block(findall)
 
         def row():
-            texts, words = block.packed(classes)
-            return pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([texts], pa.binary()), pa.array([words], _LISTED)], ["block", "texts", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([block.packed(classes)], pa.binary())], ["block", "held"])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -148,22 +148,29 @@ def text_blocks(docs: DataFrame, pattern: str, classes: int, block_chars: int =
         if block.docs:
             yield row()
 
-    return docs.mapInArrow(gather, _BLOCK)
+    return docs.sortWithinPartitions("doc_id", "text").mapInArrow(gather, "block bigint, held binary").repartition("block")
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_text, schema: str, classes: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``per_text(doc_id, pieces of its ids)``, a row of ``schema``, for every row of ``docs(doc_id, text)``.
 
     1. A block explodes its texts into pre-tokens with positions; what it keeps of a text is, at
-       each position, which of the block's distinct pre-tokens stands there. Blocks are written once.
+       each position, which of the block's distinct pre-tokens stands there. Blocks are shuffled once.
     2. Distinct pre-tokens, packed by hash class, go through one shuffle: a class gathers its
        blocks' pre-tokens and encodes each distinct one once. The ids are joined back by block and class.
-    3. Each block puts its pre-tokens' ids at their positions.
+    3. Each block, from the same shuffle, puts its pre-tokens' ids at their positions.
 
     A class holds a share of the distinct pre-tokens, never occurrences, so a frequent one costs one
     entry per block. However many classes, there are no more packets than pairs of block and distinct pre-token.
     """
-    blocks = materialise(text_blocks(docs, pattern, classes, block_chars), "bpe-blocks")
+    blocks = text_blocks(docs, pattern, classes, block_chars)
+
+    def split(batches):
+        for batch in batches:
+            for block, held in zip(batch.column("block").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                own = read_words(held)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array([c for c, _ in own], pa.int32()), pa.array([w for _, w in own], pa.binary())],
+                                                 ["block", "class", "words"])
 
     def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
         encoding = load_cached(rank_path, pattern)
@@ -179,7 +186,7 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_text, schema
             out.append(_pack_strings([known[w] for w in words]))
         return pd.DataFrame({"block": pdf["block"], "class": pdf["class"], "ids": out})
 
-    packets = blocks.select("block", F.explode("words").alias("w")).select("block", "w.*")
+    packets = blocks.mapInArrow(split, "block bigint, class int, words binary")
     found = (packets.groupBy("class").applyInPandas(look_up, "block bigint, class int, ids binary")
              .groupBy("block").agg(F.collect_list(F.struct("class", "ids")).alias("found")))
     names = [x.split()[0] for x in schema.split(", ")]
@@ -187,18 +194,20 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, per_text, schema
     def place(batches):
         kind = np.dtype(_id_kind(load_cached(rank_path, pattern)))
         for batch in batches:
-            for texts, own in zip(batch.column("texts").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for texts, own in zip(batch.column("held").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 parts = [_unpack_strings(x["ids"]) for x in sorted(own or [], key=lambda x: x["class"])]
                 ids = np.frombuffer(b"".join(p for p, _ in parts), kind)
                 sizes = np.concatenate([np.diff(e) for _, e in parts]) // kind.itemsize if parts else np.empty(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 docs, lengths, place_of, ranks = read_texts(texts)
+                if len(place_of) != len(sizes):
+                    raise RuntimeError("a block's pre-tokens changed between two evaluations")
                 stops = np.cumsum(lengths).tolist()
                 rows = [per_text(doc, (gathered(ids, ends, place_of[ranks[k:min(k + CHUNK, b)]]).astype("<u4") for k in range(b - n, b, CHUNK)))
                         for doc, n, b in zip(docs, lengths.tolist(), stops, strict=True)]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_arrow_schema(schema))
 
-    return blocks.select("block", "texts").join(found, "block", "left").select("texts", "found").mapInArrow(place, schema)
+    return blocks.join(found, "block", "left").select("held", "found").mapInArrow(place, schema)
 
 
 def _arrow_schema(schema: str) -> pa.Schema:
