@@ -47,15 +47,23 @@ def test_bad_manifests(tmp_path):
 def test_plans():
     names = lambda s: [(t.name, t.source, t.keeps) for t in stems.plan(s)]
     assert names(["vocals", "Bass", "vocals"]) == [("primary", "input", ("Vocals", "Bass"))]
-    assert names(["Crowd", "Kick"]) == [("crowd", "input", ("Crowd",)), ("primary", "Music", ()), ("drums", "Drums", ("Kick",))]
-    assert names([]) == []
-    assert stems.stems_hash(["Bass", "Vocals"]) == stems.stems_hash(["vocals ", "bass"]) and len(stems.stems_hash([])) == 20
+    assert names(["Crowd", "Kick"]) == [("crowd", "input", ("Crowd",)), ("primary", "Without Crowd", ()), ("drums", "Drums", ("Kick",))]
+    assert names(["Drums", "kick"]) == names(["kick"])
+    assert names([]) == [("primary", "input", stems.PRIMARY)]
+    assert names(["vocals", "backing-vocals"]) == [("primary", "input", ("Vocals",)), ("voices", "Vocals", ("Vocals", "Backing Vocals"))]
+    assert names(["Backing Vocals"]) == [("primary", "input", ()), ("voices", "Vocals", ("Backing Vocals",))]
+    for bad in ("violin", "vocals "):
+        with pytest.raises(ValueError, match="unknown stem"):
+            stems.plan([bad])
+    assert stems.stems_hash(["Bass", "Vocals"]) == stems.stems_hash(["vocals", "bass"]) and stems.stems_hash([]) == stems.stems_hash(list(stems.PRIMARY))
+    assert stems.stems_hash(["Drums", "kick"]) == stems.stems_hash(["kick"])
+    assert stems.inference_hash(["Vocals"]) == stems.inference_hash(["Bass"]) != stems.inference_hash(["Vocals", "crowd"])
 
 
 def test_separate_and_cache(spark, tmp_path):
     x = np.random.default_rng(0).standard_normal(400)
     sig = spark.createDataFrame([("a", "FL", k, float(v)) for k, v in enumerate(x)], "asset string, channel string, n bigint, x double")
-    out = stems.separate(sig, stems.plan(["Vocals", "Bass", "Other"]), 48000)
+    out = stems.separate(sig, stems.plan([]), 48000)
     total = out.groupBy("n").sum("x").orderBy("n").toPandas()["sum(x)"]
     assert np.allclose(total, x)
     cache = stems.StemCache(spark, str(tmp_path))
@@ -63,6 +71,6 @@ def test_separate_and_cache(spark, tmp_path):
     cache.save("p", out, preview=True)
     assert cache.load("p") is None
     cache.save("old", out)
-    assert cache.load("new", "old").count() == 1200
+    assert cache.load("new", "old").count() == 2400
     with pytest.raises(Exception, match="needs Drums"):
         stems.separate(sig, [stems.Task("drums", "Drums", ("Kick",), ("Kick",))], 48000).collect()

@@ -100,21 +100,31 @@ def normalise(signal: DataFrame, rate: int, target: float, peak: float = -1.0, c
 
 @dataclass
 class Chain:
-    """What is set runs, in this order: EQ, compressor, soft limit, loudness."""
+    """What is set runs, in this order: match, EQ, compressor, bass, soft limit, loudness.
+
+    ``reference(k, n, x)``, k the channel's number, is what the signal is matched to.
+    """
 
     rate: int
     eq: list[tuple[float, float]] = field(default_factory=list)
     compressor: str | None = None
     limit: float | None = None
     target: float | None = None
+    bass: str | None = None
+    reference: DataFrame | None = None
+    strength: float = 0.7
 
     def apply(self, signal: DataFrame) -> DataFrame:
         from wavequarry.operators.scalar import soft_limit
 
+        if self.reference is not None:
+            signal = match(signal, self.reference, self.rate, self.strength)
         if self.eq:
             signal = equalise(signal, self.eq, self.rate)
         if self.compressor:
             signal = compress(signal, self.compressor, self.rate)
+        if self.bass:
+            signal = bass(signal, self.bass, self.rate)
         if self.limit is not None:
             signal = signal.withColumn("x", soft_limit(F.col("x"), self.limit))
         return normalise(signal, self.rate, self.target) if self.target is not None else signal
@@ -186,15 +196,79 @@ def derive_lfe(signal: DataFrame, rate: float, cutoff: float = 120.0) -> DataFra
     return per_channel(mono.select("asset", F.lit("LFE").alias("channel"), "n", "x"), lambda x: dsp.sos_filter(low, x)[0], ())
 
 
-def match_curve(target: np.ndarray, reference: np.ndarray, rate: float, most_db: float = 6.0, size: int = 8192, count: int = 40) -> list[tuple[float, float]]:
-    """Breakpoints that carry the reference's spectral shape to the target.
+# By the reference's number of channels, which of them (or what mix of them) each output channel is held against.
+PROXIES = {
+    1: {},
+    2: {"FL": "0", "FR": "1", "C": "mid", "LFE": "mid_lp", "SL": "0", "SR": "1", "BL": "0", "BR": "1", "TFL": "0", "TFR": "1", "TBL": "mid", "TBR": "mid"},
+    6: {"FL": "0", "FR": "1", "C": "2", "LFE": "3", "SL": "4", "SR": "5", "BL": "4", "BR": "5", "TFL": "0", "TFR": "1", "TBL": "mid46", "TBR": "mid46"},
+    8: {"FL": "0", "FR": "1", "C": "2", "LFE": "3", "BL": "4", "BR": "5", "SL": "6", "SR": "7", "TFL": "0", "TFR": "1", "TBL": "4", "TBR": "5"},
+}
+LOUDEST_DB, FLOOR, PROXY_LOW_HZ = 6.0, 1e-20, 80.0
+
+
+def proxies_for(channels: int) -> dict[str, str]:
+    """The table of the nearest number of channels, of two as near the smaller."""
+    near = min(PROXIES, key=lambda k: (abs(k - channels), k))
+    return PROXIES[near] or dict.fromkeys(PROXIES[2], "0")
+
+
+def reference_spectra(reference: DataFrame, rate: float, size: int = 8192) -> dict[str, tuple[float, np.ndarray]]:
+    """each proxy's level and Welch density: at most eight channels and three mixes of them, half ``size`` values each."""
+    count = reference.agg(F.max("k")).first()[0] + 1
+    mixes = {str(k): {k: 1.0} for k in range(count)} | {"mid": {0: 0.5, 1: 0.5} if count > 1 else {0: 1.0}}
+    mixes |= {"mid_lp": mixes["mid"], "mid46": {4: 0.5, 5: 0.5} if count > 5 else {min(4, count - 1): 1.0}}
+    wanted = set(proxies_for(count).values()) | {"mid"}
+    rows = [(k, name, g) for name, own in mixes.items() if name in wanted for k, g in own.items()]
+    mixed = reference.join(F.broadcast(reference.sparkSession.createDataFrame(rows, "k int, proxy string, gain double")), "k")
+    mixed = mixed.groupBy("proxy", "n").agg(F.sum(F.col("x") * F.col("gain")).alias("x"))
+    low = dsp.butterworth(2, PROXY_LOW_HZ, rate)
+
+    def density(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("n", kind="stable")["x"].to_numpy(np.float64)
+        if pdf["proxy"].iloc[0] == "mid_lp":
+            x = dsp.sos_filter(low, x)[0]
+        return pd.DataFrame({"proxy": [pdf["proxy"].iloc[0]], "level": [float(np.sqrt(np.mean(x * x) + FLOOR))], "psd": [dsp.welch(x, rate, size)[1].tolist()]})
+
+    return {r["proxy"]: (r["level"], np.array(r["psd"])) for r in mixed.groupBy("proxy").applyInPandas(density, "proxy string, level double, psd array<double>").collect()}
+
+
+def match(signal: DataFrame, reference: DataFrame, rate: float, strength: float = 0.7, most_db: float = 12.0, size: int = 8192,
+          spectrum: bool = True, level: bool = True) -> DataFrame:
+    """Each asset's level brought to the reference's within 6 dB, then each channel's spectral shape, blended by ``strength``.
+
+    Levels are means of the channels' levels, without the LFE and low-passed proxies; the gain goes to all channels.
+    """
+    spectra = reference_spectra(reference, rate, size)
+    table = proxies_for(sum(k.isdigit() for k in spectra) if len(spectra) > 2 else 1)
+    proxy_of = lambda c: table.get(c, "mid")
+    if level:
+        rows = [(c, spectra[p][0]) for c in CHANNEL_WEIGHTS if c != "LFE" and (p := proxy_of(c)) != "mid_lp"]
+        levels = signal.where("channel <> 'LFE'").groupBy("asset", "channel").agg(F.sqrt(F.avg(F.col("x") * F.col("x")) + FLOOR).alias("own"))
+        levels = levels.join(F.broadcast(signal.sparkSession.createDataFrame(rows, "channel string, ref double")), "channel", "left")
+        db = 20 * F.log10((F.avg("ref") + FLOOR) / (F.avg("own") + FLOOR))
+        gain = levels.groupBy("asset").agg(F.greatest(F.lit(-LOUDEST_DB), F.least(F.lit(LOUDEST_DB), F.coalesce(db, F.lit(0e0)))).alias("db"))
+        signal = signal.join(gain, "asset", "left").select("asset", "channel", "n", (F.col("x") * F.pow(F.lit(10e0), F.coalesce("db", F.lit(0e0)) / 20)).alias("x"))
+    if not spectrum or strength <= 0:
+        return signal
+    wet = min(1.0, strength)
+
+    def shape(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", kind="stable")
+        x = pdf["x"].to_numpy(np.float64)
+        taps = dsp.fir_from_breakpoints(match_curve(x, spectra[proxy_of(pdf["channel"].iloc[0])][1], rate, most_db, size), rate)
+        return pdf.assign(x=(1 - wet) * x + wet * dsp.fir_filter(taps, x))
+
+    return signal.select("asset", "channel", "n", "x").groupBy("asset", "channel").applyInPandas(shape, _SIGNAL)
+
+
+def match_curve(target: np.ndarray, ref: np.ndarray, rate: float, most_db: float = 6.0, size: int = 8192, count: int = 40) -> list[tuple[float, float]]:
+    """Breakpoints that carry the shape of the reference's density ``ref`` to the target.
 
     The dB ratio of both densities, smoothed over a quarter octave (by the first
     step of the logarithmic axis), without its mean from 80 Hz to 8 kHz, held to the
     limit and to 2 dB below 120 Hz.
     """
-    f, ref = dsp.welch(reference, rate, size)
-    _, tgt = dsp.welch(target, rate, size)
+    f, tgt = dsp.welch(target, rate, size)
     n = min(len(ref), len(tgt))
     f, db = f[1:n], 10 * np.log10((ref[1:n] + 1e-20) / (tgt[1:n] + 1e-20))
     sigma = 0.25 / max(np.log2(f[1] / f[0]), 1e-10) if len(f) > 1 else 0.25

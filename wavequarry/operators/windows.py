@@ -2,68 +2,76 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _along(*keys: str):
-    return W.partitionBy(*(keys or ("channel",))).orderBy("n")
+def _keys(df: DataFrame) -> list[str]:
+    """What tells signals apart: asset and channel, as far as the relation has them."""
+    return [c for c in ("asset", "channel") if c in df.columns]
+
+
+def _along(df: DataFrame):
+    return W.partitionBy(*_keys(df)).orderBy("n")
 
 
 def delay(signal: DataFrame, samples: int) -> DataFrame:
     """Shifted by ``samples`` with zero fill; nothing to shift is a copy."""
-    late = F.coalesce(F.lag("x", samples).over(_along()), F.lit(0e0)) if samples > 0 else F.col("x")
-    return signal.select("channel", "n", "x", late.alias("y"))
+    late = F.coalesce(F.lag("x", samples).over(_along(signal)), F.lit(0e0)) if samples > 0 else F.col("x")
+    return signal.select(*_keys(signal), "n", "x", late.alias("y"))
 
 
 def diffuse(signal: DataFrame, samples: int, dry: float = 0.45, wet: float = 0.55) -> DataFrame:
     """A blend with the delayed copy."""
-    return delay(signal, samples).select("channel", "n", (dry * F.col("x") + wet * F.col("y")).alias("y"))
+    return delay(signal, samples).select(*_keys(signal), "n", (dry * F.col("x") + wet * F.col("y")).alias("y"))
 
 
 def block_peaks(signal: DataFrame, window: int, hop: int) -> DataFrame:
     """The peak of every complete window, from one peak per hop."""
     per = window // hop
-    bins = signal.groupBy("channel", F.expr(f"n div {hop}").alias("bin")).agg(F.max(F.abs("x")).alias("p"), F.count("*").alias("c"))
-    spread = bins.select("channel", "p", "c", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bin") - (per - 1)), F.col("bin"))).alias("block"))
-    return spread.groupBy("channel", "block").agg(F.max("p").alias("peak"), F.sum("c").alias("c")).where(F.col("c") == window).select("channel", "block", "peak")
+    own = _keys(signal)
+    bins = signal.groupBy(*own, F.expr(f"n div {hop}").alias("bin")).agg(F.max(F.abs("x")).alias("p"), F.count("*").alias("c"))
+    spread = bins.select(*own, "p", "c", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bin") - (per - 1)), F.col("bin"))).alias("block"))
+    return spread.groupBy(*own, "block").agg(F.max("p").alias("peak"), F.sum("c").alias("c")).where(F.col("c") == window).select(*own, "block", "peak")
 
 
 def runs(active: DataFrame) -> DataFrame:
-    """Maximal runs ``(channel, s, e)``, inclusive, of the blocks in ``active(channel, block)``."""
-    isle = F.col("block") - F.row_number().over(W.partitionBy("channel").orderBy("block"))
-    return active.withColumn("isle", isle).groupBy("channel", "isle").agg(F.min("block").alias("s"), F.max("block").alias("e")).select("channel", "s", "e")
+    """Maximal runs ``(channel, s, e)``, inclusive, of the blocks in ``active(channel, block)``; by asset too, if there is one."""
+    own = _keys(active)
+    isle = F.col("block") - F.row_number().over(W.partitionBy(*own).orderBy("block"))
+    return active.withColumn("isle", isle).groupBy(*own, "isle").agg(F.min("block").alias("s"), F.max("block").alias("e")).select(*own, "s", "e")
 
 
 def merge_spans(spans: DataFrame, gap: int = 0) -> DataFrame:
     """Half-open spans of a channel whose gap is at most ``gap`` become one."""
-    order = W.partitionBy("channel").orderBy("s", "e")
+    own = _keys(spans)
+    order = W.partitionBy(*own).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0))
     grouped = marked.withColumn("g", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return grouped.groupBy("channel", "g").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("channel", "s", "e")
+    return grouped.groupBy(*own, "g").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*own, "s", "e")
 
 
 def expand_spans(spans: DataFrame, least: int, lengths: DataFrame) -> DataFrame:
     """Spans shorter than ``least`` grow around their centre, held to the signal, and are merged again."""
     short = F.col("e") - F.col("s") < least
     s = F.greatest(F.lit(0), F.expr(f"(s + e) div 2 - {least} div 2"))
-    grown = spans.join(F.broadcast(lengths), "channel").select(
-        "channel", F.when(short, s).otherwise(F.col("s")).alias("s"), F.when(short, F.least("len", s + least)).otherwise(F.col("e")).alias("e"))
+    own = _keys(spans)
+    grown = spans.join(lengths, own).select(
+        *own, F.when(short, s).otherwise(F.col("s")).alias("s"), F.when(short, F.least("len", s + least)).otherwise(F.col("e")).alias("e"))
     return merge_spans(grown)
 
 
 def active_spans(signal: DataFrame, window: int, hop: int, threshold_db: float, gap_blocks: int, pad: int, least: int) -> DataFrame:
     """Where the peak exceeds the threshold, as padded, merged and expanded sample spans."""
     loud = block_peaks(signal, window, hop).where(20e0 * F.log10(F.greatest("peak", F.lit(1e-12))) > threshold_db)
-    isles = runs(loud).select("channel", "s", (F.col("e") + 1).alias("e"))
+    own = _keys(signal)
+    isles = runs(loud).select(*own, "s", (F.col("e") + 1).alias("e"))
     merged = merge_spans(isles, gap_blocks - 1)
-    lengths = signal.groupBy("channel").agg((F.max("n") + 1).alias("len"))
-    padded = merged.join(F.broadcast(lengths), "channel").select(
-        "channel", F.greatest(F.lit(0), F.col("s") * hop - pad).alias("s"),
+    lengths = signal.groupBy(*own).agg((F.max("n") + 1).alias("len"))
+    padded = merged.join(lengths, own).select(
+        *own, F.greatest(F.lit(0), F.col("s") * hop - pad).alias("s"),
         F.least("len", (F.col("e") - 1) * hop + window + pad).alias("e"))
     return expand_spans(merge_spans(padded), least, lengths)
 
@@ -71,7 +79,8 @@ def active_spans(signal: DataFrame, window: int, hop: int, threshold_db: float,
 def in_spans(signal: DataFrame, spans: DataFrame, bucket: int = 256) -> DataFrame:
     """JN10: samples with the span they lie in, as an equi-join on buckets of samples."""
     cut = spans.withColumn("b", F.explode(F.sequence(F.expr(f"s div {bucket}"), F.expr(f"(e - 1) div {bucket}"))))
-    return signal.withColumn("b", F.expr(f"n div {bucket}")).join(cut, ["channel", "b"]).where("n >= s AND n < e").select("channel", "n", "x", "s", "e")
+    own = _keys(signal)
+    return signal.withColumn("b", F.expr(f"n div {bucket}")).join(cut, [*own, "b"]).where("n >= s AND n < e").select(*own, "n", "x", "s", "e")
 
 
 def crossfade(signal: DataFrame, spans: DataFrame, fade: int) -> DataFrame:
@@ -79,19 +88,7 @@ def crossfade(signal: DataFrame, spans: DataFrame, fade: int) -> DataFrame:
     f = F.least(F.lit(fade), F.expr("(e - s) div 2"))
     up, down = (F.col("n") - F.col("s")) / (f - 1), (F.col("e") - 1 - F.col("n")) / (f - 1)
     gain = F.when(f > 1, F.least(F.lit(1e0), up, down)).otherwise(F.lit(1e0))
-    return (in_spans(signal, spans).withColumn("y", F.col("x") * gain).groupBy("channel", "n").agg(F.max_by("y", "s").alias("y")))
-
-
-def smooth(frames: DataFrame, sigma: float) -> DataFrame:
-    """``frames(k, v)`` under a Gaussian of radius 4 sigma, the ends repeated."""
-    radius = int(4 * sigma + 0.5)
-    weight = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
-    spark = frames.sparkSession
-    kernel = spark.createDataFrame([(d, w / sum(weight)) for d, w in zip(range(-radius, radius + 1), weight, strict=True)], "d int, w double")
-    last = frames.agg(F.max("k").alias("top"))
-    near = frames.select("k").join(F.broadcast(last)).join(F.broadcast(kernel)).withColumn(
-        "j", F.least(F.greatest(F.col("k") + F.col("d"), F.lit(0)), F.col("top")))
-    return near.join(frames.select(F.col("k").alias("j"), "v"), "j").groupBy("k").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    return (in_spans(signal, spans).withColumn("y", F.col("x") * gain).groupBy(*_keys(signal), "n").agg(F.max_by("y", "s").alias("y")))
 
 
 def positive_flux(frames: DataFrame) -> DataFrame:
@@ -108,28 +105,29 @@ def overlap_add(frames: DataFrame, hop: int) -> DataFrame:
 
 def preview(signal: DataFrame, length: int, start: int | None = None) -> DataFrame:
     """``length`` samples from ``start``, or around the middle."""
-    sizes = signal.groupBy("channel").agg(F.count("*").alias("len"))
+    own = _keys(signal)
+    sizes = signal.groupBy(*own).agg(F.count("*").alias("len"))
     room = F.greatest(F.lit(0), F.col("len") - length)
     first = F.least(F.lit(start), room) if start is not None else F.least(F.greatest(F.lit(0), F.expr(f"len div 2 - {length} div 2")), room)
-    return signal.join(F.broadcast(sizes), "channel").withColumn("s", first).where(f"n >= s AND n < s + {length}").select("channel", "n", "x")
+    return signal.join(sizes, own).withColumn("s", first).where(f"n >= s AND n < s + {length}").select(*own, "n", "x")
 
 
 def fir(signal: DataFrame, taps: list[float]) -> DataFrame:
     """a short filter as a sum over lags; what lies before the start is zero."""
-    along = _along()
+    along = _along(signal)
     y = sum((F.coalesce(F.lag("x", k).over(along), F.lit(0e0)) * float(h) for k, h in enumerate(taps)), F.lit(0e0))
-    return signal.select("channel", "n", y.alias("y"))
+    return signal.select(*_keys(signal), "n", y.alias("y"))
 
 
 def stepped(samples: DataFrame, controls: DataFrame, hop: int) -> DataFrame:
-    """JN5: each sample with the control of its frame, the last one beyond the end: an as-of join made equal."""
-    top = controls.agg(F.max("k").alias("top"))
-    keyed = samples.join(F.broadcast(top)).withColumn("k", F.least(F.greatest(F.expr(f"n div {hop}"), F.lit(0)), F.col("top")))
-    return keyed.join(controls, "k")
+    """JN5: each sample with the control of its asset's frame, the last one beyond the end: an as-of join made equal."""
+    top = controls.groupBy("asset").agg(F.max("k").alias("top"))
+    keyed = samples.join(top, "asset").withColumn("k", F.least(F.greatest(F.expr(f"n div {hop}"), F.lit(0)), F.col("top")))
+    return keyed.join(controls, ["asset", "k"])
 
 
 def interpolated(samples: DataFrame, controls: DataFrame, hop: int) -> DataFrame:
-    """JN6: linear interpolation between ``controls(k, v)`` at ``k * hop``, ends held."""
-    nxt = F.lead("v").over(W.orderBy("k"))
-    both = controls.withColumn("nxt", F.coalesce(nxt, F.col("v")))
+    """JN6: linear interpolation between ``controls(asset, k, v)`` at ``k * hop``, ends held: a frame meets the next one by its number."""
+    following = controls.select("asset", (F.col("k") - 1).alias("k"), F.col("v").alias("nxt"))
+    both = controls.join(following, ["asset", "k"], "left").withColumn("nxt", F.coalesce("nxt", F.col("v")))
     return stepped(samples, both, hop).withColumn("v", F.col("v") + (F.col("nxt") - F.col("v")) * F.least(F.lit(1e0), F.col("n") / hop - F.col("k"))).drop("nxt")

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavequarry import catalog
-from wavequarry.operators import scalar, windows
+from wavequarry.operators import derive, scalar, windows
+from wavequarry.plans import stems
 from wavequarry.queries import query
 from wavequarry.signal import PAIR_SQL, SIG_SQL, event_signal, stereo_pair, table
 
@@ -21,20 +22,20 @@ def _r(c, name, k=6):
 
 # ---- spectra: a frame of 64 samples is one row of embeddings ----
 
-_DFT_BINS = (0, 1, 2, 4, 8)
+_DFT_SQL = ("WITH s AS (SELECT vec_id, unnest(generate_series(0, 63)) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings), k AS (SELECT unnest(range(33)) AS bin) "
+            "SELECT vec_id, CAST(bin AS INTEGER) AS bin, round(sqrt(pow(sum(v * cos(2 * pi() * bin * n / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * n / 64)), 2)), 5) AS m FROM s CROSS JOIN k GROUP BY 1, 2")
 
 
-@query("dft_magnitude", "WITH s AS (SELECT vec_id, unnest(generate_series(0, 63)) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings), k AS (SELECT unnest([0, 1, 2, 4, 8]) AS bin) "
-                        "SELECT vec_id, bin, round(sqrt(pow(sum(v * cos(2 * pi() * bin * n / 64)), 2) + pow(sum(v * sin(2 * pi() * bin * n / 64)), 2)), 5) AS m FROM s CROSS JOIN k GROUP BY 1, 2")
+@query("dft_magnitude", _DFT_SQL)
 def dft_magnitude(spark, sf_dir):
-    """W10 for a few bins, as in its SQL; ``dft_magnitude_full`` has all 33."""
-    return _dft_magnitude(spark, sf_dir, _DFT_BINS)
+    """All 33 bins of a frame of 64 samples."""
+    return _dft_magnitude(spark, sf_dir, range(33))
 
 
-@query("dft_magnitude_full")
+@query("dft_magnitude_full", _DFT_SQL)
 def dft_magnitude_full(spark, sf_dir):
-    """W10 for all bins of a frame of 64 samples."""
-    return _dft_magnitude(spark, sf_dir, range(33))
+    """The same, by its older name."""
+    return dft_magnitude(spark, sf_dir)
 
 
 def _dft_magnitude(spark, sf_dir, which):
@@ -84,19 +85,23 @@ def frame_route(spark, sf_dir):
     return _frame_pairs(spark, sf_dir).select("frame", "bin", F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), F.round(x, 6).alias("x")) for c, x in sends.items()))))
 
 
-@query("sliding_median", f"WITH {_SPEC}, w AS (SELECT a.vec_id, a.f, a.m, b.m AS near FROM spec a JOIN spec b ON a.vec_id = b.vec_id JOIN range(-8, 9) t(d) ON b.f = CASE WHEN a.f + d < 0 THEN -(a.f + d) WHEN a.f + d > 63 THEN 126 - (a.f + d) ELSE a.f + d END WHERE a.vec_id < 100) "
-       "SELECT vec_id, f AS bin, round(median(near), 6) AS med, round(greatest(0e0, least(1e0, (any_value(m) - median(near)) / (median(near) + 1e-12))), 6) AS mask FROM w GROUP BY 1, 2")
-def sliding_median(spark, sf_dir):
-    """W5, R4 for the first hundred frames, as in its SQL; ``sliding_median_full`` has all."""
-    return _sliding_median(table(spark, sf_dir, "embeddings").where("vec_id < 100"))
+_MEDIAN_SQL = (
+    f"WITH {_SPEC}, w AS (SELECT a.vec_id, a.f, a.m, b.m AS near FROM spec a CROSS JOIN range(-8, 9) t(d) JOIN spec b ON a.vec_id = b.vec_id AND b.f = CASE WHEN a.f + d < 0 THEN -(a.f + d) WHEN a.f + d > 63 THEN 126 - (a.f + d) ELSE a.f + d END) "
+    "SELECT vec_id, f AS bin, round(median(near), 6) AS med, round(greatest(0e0, least(1e0, (any_value(m) - median(near)) / (median(near) + 1e-12))), 6) AS mask FROM w GROUP BY 1, 2")
 
 
-@query("sliding_median_full")
-def sliding_median_full(spark, sf_dir):
+@query("sliding_median", _MEDIAN_SQL)
+def sliding_median(spark, sf_dir):
     """W5, R4 for every frame."""
     return _sliding_median(table(spark, sf_dir, "embeddings"))
 
 
+@query("sliding_median_full", _MEDIAN_SQL)
+def sliding_median_full(spark, sf_dir):
+    """The same, by its older name."""
+    return sliding_median(spark, sf_dir)
+
+
 def _sliding_median(frames):
     """The median of 17 bins with mirrored edges, folded per row in the JVM."""
     e = frames.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
@@ -133,17 +138,13 @@ def coherence(spark, sf_dir):
     return state.select("n", _r(F.col("gamma"), "gamma"), _r(F.col("direct"), "direct"))
 
 
-@query("derive_channels", _sig(", have AS (SELECT DISTINCT channel FROM sig), f AS (SELECT n, max(x) FILTER (WHERE channel = 'FL') AS fl, max(x) FILTER (WHERE channel = 'FR') AS fr FROM sig WHERE channel IN ('FL', 'FR') GROUP BY 1), "
-       "d AS (SELECT 'SR' AS channel, n, lag(fr, 2, 0e0) OVER (ORDER BY n) * 7e-1 AS x FROM f WHERE fl IS NOT NULL AND fr IS NOT NULL UNION ALL SELECT 'C', n, (fl + fr) / 2 FROM f WHERE fl IS NOT NULL AND fr IS NOT NULL) "
-       "SELECT channel, n, round(x, 6) AS x FROM sig UNION ALL SELECT channel, n, round(x, 6) FROM d WHERE channel NOT IN (SELECT channel FROM have)"))
+@query("derive_channels", _sig(", e AS (SELECT max(n) AS top FROM sig), f AS (SELECT n, x FROM sig WHERE channel = 'FR'), "
+       "t AS (SELECT n + 2 AS n, 27e-2 * x AS x FROM f UNION ALL SELECT n + 5, 33e-2 * x FROM f UNION ALL SELECT 0, 0e0 UNION ALL SELECT 1, 0e0) "
+       "SELECT channel, n, round(x, 6) AS x FROM sig UNION ALL SELECT 'SR', n, round(sum(x), 6) FROM t WHERE n <= (SELECT top FROM e) GROUP BY 2"))
 def derive_channels(spark, sf_dir):
-    """JN8: what the input has passes; a rule adds a channel only where it is missing."""
-    sig = event_signal(spark, sf_dir)
-    pair = stereo_pair(sig)
-    late = F.coalesce(F.lag("r", 2).over(W.orderBy("n")), F.lit(0e0))
-    derived = pair.select(F.lit("SR").alias("channel"), "n", (late * 0.7).alias("x")).union(pair.select(F.lit("C"), "n", (F.col("l") + F.col("r")) / 2))
-    missing = derived.join(sig.select("channel").distinct(), "channel", "left_anti")
-    return sig.select("channel", "n", "x").union(missing.select("channel", "n", "x")).select("channel", "n", _r(F.col("x"), "x"))
+    """JN8 at 100 samples a second: five channels are there, the right surround is the reflected and delayed front right."""
+    sig = event_signal(spark, sf_dir).withColumn("asset", F.lit("events"))
+    return derive.derive(sig, "5.1", {"FL", "FR", "C", "LFE", "SL"}, 100).select("channel", "n", _r(F.col("x"), "x"))
 
 
 @query("center_redirect", _sig(", c AS (SELECT n, x FROM sig WHERE channel = 'C') SELECT s.channel, s.n, round(s.x + CASE WHEN s.channel IN ('FL', 'FR') THEN 35e-2 * coalesce(c.x, 0e0) ELSE 0e0 END, 6) AS x FROM sig s LEFT JOIN c USING (n) WHERE s.channel <> 'C'"))
@@ -210,19 +211,21 @@ def in_spans(spark, sf_dir):
 
 # ---- plans ----
 
-_TASKS_SQL = """WITH r AS (SELECT p_partkey, p_size % 2 = 0 AS crowd, p_size % 3 = 0 AS drums, p_size % 5 = 0 AS karaoke FROM part)
-SELECT p_partkey, unnest(list_filter([CASE WHEN crowd THEN 'crowd' END, 'primary', CASE WHEN drums THEN 'drums' END, CASE WHEN karaoke THEN 'karaoke' END], lambda x: x IS NOT NULL)) AS task,
-  substr(sha256(array_to_string(list_sort(list_filter(['Vocals', 'Bass', CASE WHEN drums THEN 'Kick' ELSE 'Drums' END, CASE WHEN crowd THEN 'Crowd' END], lambda x: x IS NOT NULL)), '|')), 1, 20) AS hash FROM r"""
+_TASKS_SQL = """WITH r AS (SELECT p_partkey, p_size % 2 = 0 AS crowd, p_size % 3 = 0 AS drums, p_size % 5 = 0 AS voices FROM part)
+SELECT p_partkey, unnest(list_filter([CASE WHEN crowd THEN 'crowd' END, 'primary', CASE WHEN drums THEN 'drums' END, CASE WHEN voices THEN 'voices' END], lambda x: x IS NOT NULL)) AS task,
+  substr(sha256(array_to_string(list_sort(list_filter(['Vocals', 'Bass', CASE WHEN drums THEN 'Kick' ELSE 'Drums' END, CASE WHEN crowd THEN 'Crowd' END, CASE WHEN voices THEN 'Backing Vocals' END], lambda x: x IS NOT NULL)), '|')), 1, 20) AS hash FROM r"""
 
 
 @query("stem_plan_tasks", _TASKS_SQL)
 def stem_plan_tasks(spark, sf_dir):
-    """Tasks in stage order, and a hash of the sorted stems they leave."""
-    some = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    crowd, drums, karaoke = (F.col("p_size") % k == 0 for k in (2, 3, 5))
-    tasks = some(F.when(crowd, "crowd"), F.lit("primary"), F.when(drums, "drums"), F.when(karaoke, "karaoke"))
-    stems = some(F.lit("Vocals"), F.lit("Bass"), F.when(drums, "Kick").otherwise("Drums"), F.when(crowd, "Crowd"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(tasks).alias("task"), F.substring(F.sha2(F.array_join(F.array_sort(stems), "|"), 256), 1, 20).alias("hash"))
+    """Tasks in stage order, and a hash of the sorted stems they leave; each of the eight kinds of request is planned once."""
+    asked = lambda crowd, drums, voices: ["vocals", "Bass", "drums"] + ["crowd"] * crowd + ["kick"] * drums + ["backing-vocals"] * voices
+    kinds = [(c, d, v) for c in (False, True) for d in (False, True) for v in (False, True)]
+    rows = [(*k, [t.name for t in stems.plan(asked(*k))], stems.stems_hash(asked(*k))) for k in kinds]
+    plans = spark.createDataFrame(rows, "crowd boolean, drums boolean, voices boolean, tasks array<string>, hash string")
+    crowd, drums, voices = (F.col("p_size") % k == 0 for k in (2, 3, 5))
+    asks = table(spark, sf_dir, "part").select("p_partkey", crowd.alias("crowd"), drums.alias("drums"), voices.alias("voices"))
+    return asks.join(F.broadcast(plans), ["crowd", "drums", "voices"]).select("p_partkey", F.explode("tasks").alias("task"), "hash")
 
 
 @query("block_flatten", "SELECT n_nationkey, 'region' AS bucket, k AS field, v AS value FROM (SELECT n_nationkey, unnest(['nationkey', 'name']) AS k, unnest([CAST(n_nationkey AS VARCHAR), n_name]) AS v FROM nation) q WHERE k <> 'nationkey' OR n_nationkey > 3")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from wavequarry.operators import loudness
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from wavequarry import catalog
+from wavequarry.operators import folds, loudness, scalar, spatial, windows
 from wavequarry.queries import query
-from wavequarry.signal import SIG_SQL, event_signal
+from wavequarry.signal import PAIR_SQL, SIG_SQL, event_signal, stereo_pair, table
 
 _LOUD_SQL = f"""WITH {SIG_SQL},
 ex AS (SELECT channel, x, unnest(generate_series(
@@ -26,12 +30,6 @@ def gated_loudness(spark, sf_dir):
     return loudness.integrated_loudness(event_signal(spark, sf_dir))
 
 
-from pyspark.sql import Window as W  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
-from wavequarry import catalog  # noqa: E402
-from wavequarry.operators import folds, scalar, windows  # noqa: E402
-from wavequarry.signal import PAIR_SQL, stereo_pair, table  # noqa: E402
 
 
 def _sig(body: str) -> str:
@@ -208,46 +206,52 @@ def onset_density(spark, sf_dir):
     return flux.join(F.broadcast(limits)).agg(F.count_if(F.col("x") > F.col("thr")).alias("onsets"), _r(F.avg(F.when(F.col("x") > 1.5 * F.col("p75"), 1e0).otherwise(0e0)), "transient"))
 
 
-_FRAMES_SQL = """fr AS (SELECT n // 25 AS k, sqrt(avg((l + r) * (l + r) / 4)) + 1e-12 AS rms,
-  least(1e0, greatest(0e0, avg((l - r) * (l - r) / 4) / (avg(l * l + r * r) / 2 + 1e-12))) AS width FROM pair GROUP BY 1 HAVING count(*) >= 8),
-ft AS (SELECT *, greatest(0e0, rms - coalesce(lag(rms) OVER (ORDER BY k), 0e0)) / (rms + coalesce(lag(rms) OVER (ORDER BY k), 0e0) + 1e-12) AS transient FROM fr),
-ff AS (SELECT k, least(1e0, rms / greatest((SELECT quantile_cont(rms, 9e-1) FROM fr), 1e-12)) AS activity, width, transient, width * (1 - transient) AS diffuse FROM ft)"""
+_RATE = 100
+_FRAMES_SQL = """fr AS (SELECT n // 25 AS k, CASE WHEN count(*) >= 8 THEN sqrt(avg((l + r) * (l + r) / 4)) + 1e-12 END AS rms,
+  CASE WHEN count(*) >= 8 THEN least(1e0, greatest(0e0, avg((l - r) * (l - r) / 4) / (avg(l * l + r * r) / 2 + 1e-12))) ELSE 0e0 END AS width FROM pair GROUP BY 1),
+fb AS (SELECT *, coalesce(last_value(rms IGNORE NULLS) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS p FROM fr),
+ft AS (SELECT *, CASE WHEN rms IS NULL THEN 0e0 ELSE greatest(0e0, rms - p) / (rms + p + 1e-12) END AS transient FROM fb),
+ff AS (SELECT k, least(1e0, coalesce(rms, 0e0) / greatest((SELECT quantile_cont(coalesce(rms, 0e0), 9e-1) FROM fr), 1e-12)) AS activity, width, transient, 0e0 AS air, width * (1 - transient) AS diffuse FROM ft)"""
 
 
-def _spatial_frames(spark, sf_dir):
-    """A12 without the air ratio; frames of fewer than eight samples are left out. One row a quarter second."""
-    l, r = F.col("l"), F.col("r")
-    frames = (
-        stereo_pair(event_signal(spark, sf_dir)).groupBy(F.expr("n div 25").alias("k"))
-        .agg(F.count("*").alias("c"), (F.sqrt(F.avg((l + r) * (l + r) / 4)) + 1e-12).alias("rms"),
-             F.least(F.lit(1e0), F.greatest(F.lit(0e0), F.avg((l - r) * (l - r) / 4) / (F.avg(l * l + r * r) / 2 + 1e-12))).alias("width")).where("c >= 8")
-    )
-    p90 = frames.agg(F.greatest(F.percentile("rms", F.lit(0.9)), F.lit(1e-12)).alias("p90"))
-    before = F.coalesce(F.lag("rms").over(W.orderBy("k")), F.lit(0e0))
-    rise = frames.withColumn("transient", F.greatest(F.lit(0e0), F.col("rms") - before) / (F.col("rms") + before + 1e-12))
-    return rise.join(F.broadcast(p90)).select("k", F.least(F.lit(1e0), F.col("rms") / F.col("p90")).alias("activity"), "width", "transient", (F.col("width") * (1 - F.col("transient"))).alias("diffuse"))
-
-
-@query("spatial_features", _pair(f", {_FRAMES_SQL} SELECT CAST(k AS BIGINT) AS k, round(activity, 6) AS activity, round(width, 6) AS width, round(transient, 6) AS transient, round(diffuse, 6) AS diffuse FROM ff"))
+def _event_pair(spark, sf_dir):
+    return stereo_pair(event_signal(spark, sf_dir)).withColumn("asset", F.lit("events"))
+
+
+@query("spatial_features", _pair(f", {_FRAMES_SQL} SELECT CAST(k AS BIGINT) AS k, round(activity, 6) AS activity, round(width, 6) AS width, round(transient, 6) AS transient, air, round(diffuse, 6) AS diffuse FROM ff"))
 def spatial_features(spark, sf_dir):
-    return _spatial_frames(spark, sf_dir).select("k", *(_r(F.col(c), c) for c in ("activity", "width", "transient", "diffuse")))
+    """A12 at 100 samples a second, where nothing reaches the air band."""
+    features = spatial.frame_features(_event_pair(spark, sf_dir), _RATE)
+    return features.select("k", *(_r(F.col(c), c) for c in ("activity", "width", "transient", "air", "diffuse")))
 
 
-_SCORES = {"intimate": "(1 - w) * 55e-2 + (1 - d) * 45e-2", "rhythmic": "t * 75e-2", "spacious": "d * 7e-1 + w * 3e-1",
-           "live": "d * 55e-2 + w * 25e-2 + (1 - t) * 2e-1", "detailed": "w * 3e-1 + (1 - t) * 25e-2"}
-_SCORE_SQL = " UNION ALL ".join(f"SELECT {k} AS ord, '{n}' AS profile, {e} AS score FROM m" for k, (n, e) in enumerate(_SCORES.items()))
+_SCORE_SQL = " UNION ALL ".join(f"SELECT {k} AS ord, '{n}' AS profile, {e} AS score FROM m" for k, (n, e) in enumerate(spatial.SCORES.items()))
+_PROFILE_SQL = (f"m AS (SELECT avg(width) AS w, avg(transient) AS t, avg(air) AS a, avg(diffuse) AS d FROM ff), s AS ({_SCORE_SQL}), "
+                "o AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS rk, score - lead(score) OVER (ORDER BY score DESC, ord) AS margin FROM s), "
+                "pr AS (SELECT CASE WHEN margin >= 8e-2 THEN profile ELSE 'balanced' END AS profile, margin AS confidence FROM o WHERE rk = 1)")
 
 
-@query("profile_rank", _pair(f", {_FRAMES_SQL}, m AS (SELECT avg(width) AS w, avg(transient) AS t, avg(diffuse) AS d FROM ff), s AS ({_SCORE_SQL}), "
-                             "o AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS rk, score - lead(score) OVER (ORDER BY score DESC, ord) AS margin FROM s) "
-                             "SELECT CASE WHEN margin >= 8e-2 THEN profile ELSE 'balanced' END AS profile, round(margin, 6) AS confidence FROM o WHERE rk = 1"))
+@query("profile_rank", _pair(f", {_FRAMES_SQL}, {_PROFILE_SQL} SELECT profile, round(confidence, 6) AS confidence FROM pr"))
 def profile_rank(spark, sf_dir):
-    """K1, with silence for air: the best of five scores, if it leads by .08."""
-    means = _spatial_frames(spark, sf_dir).agg(F.avg("width").alias("w"), F.avg("transient").alias("t"), F.avg("diffuse").alias("d"))
-    scored = means.select(F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(n).alias("profile"), F.expr(e).alias("score")) for k, (n, e) in enumerate(_SCORES.items())))))
-    order = W.orderBy(F.desc("score"), "ord")
-    ranked = scored.withColumn("rk", F.row_number().over(order)).withColumn("margin", F.col("score") - F.lead("score").over(order)).where("rk = 1")
-    return ranked.select(F.when(F.col("margin") >= 0.08, F.col("profile")).otherwise("balanced").alias("profile"), _r(F.col("margin"), "confidence"))
+    """K1: the best of five scores, if it leads by .08."""
+    return spatial.profiles(spatial.frame_features(_event_pair(spark, sf_dir), _RATE)).select("profile", _r(F.col("confidence"), "confidence"))
+
+
+_BASE_SQL = "bs(profile, b0, b1, b2, b3) AS (VALUES " + ", ".join(f"('{n}', {a}e0, {b}e0, {c}e0, {d}e0)" for n, (a, b, c, d) in spatial.BASES.items()) + ")"
+_CONTROL_SQL = (
+    "rw AS (SELECT k, b0 * (1 + 5e-2 * transient) AS front, b1 * (72e-2 + 55e-2 * diffuse * activity) * (1 - 35e-2 * transient) AS surround, "
+    "b2 * (65e-2 + 65e-2 * diffuse * activity) * (1 - 45e-2 * transient) AS back, b3 * (72e-2 + 45e-2 * greatest(air, diffuse * activity)) * (1 - 2e-1 * transient) AS height, "
+    "CASE WHEN profile = 'detailed' THEN least(1e0, greatest(0e0, (air + width) * 5e-1 * (1 - transient) * activity)) ELSE 0e0 END AS detail FROM ff CROSS JOIN pr JOIN bs USING (profile)), "
+    "nr AS (SELECT a.k, w, least(greatest(a.k + d, 0), (SELECT max(k) FROM rw)) AS j FROM rw a CROSS JOIN kn), "
+    "cs AS (SELECT nr.k, sum(w * front) AS front, sum(w * surround) AS surround, sum(w * back) AS back, sum(w * height) AS height, sum(w * detail) AS detail FROM nr JOIN rw ON rw.k = nr.j GROUP BY nr.k)")
+
+
+@query("spatial_controls", _pair(f", {_FRAMES_SQL}, {_PROFILE_SQL}, {_BASE_SQL}, kern AS (SELECT d, exp(-5e-1 * (d / 3e0) * (d / 3e0)) AS w0 FROM range(-12, 13) t(d)), kn AS (SELECT d, w0 / (SELECT sum(w0) FROM kern) AS w FROM kern), {_CONTROL_SQL} "
+                                 "SELECT CAST(k AS BIGINT) AS k, round(1 + 6e-1 * (front - 1), 6) AS front, round(1 + 6e-1 * (surround - 1), 6) AS surround, round(1 + 6e-1 * (back - 1), 6) AS back, "
+                                 "round(1 + 6e-1 * (height - 1), 6) AS height, round(6e-1 * detail, 6) AS detail FROM cs"))
+def spatial_controls(spark, sf_dir):
+    """A18 at an intensity of .6."""
+    return spatial.controls(_event_pair(spark, sf_dir), _RATE, intensity=0.6).select("k", *(_r(F.col(c), c) for c in spatial.CONTROLS))
 
 
 # ---- windows ----
@@ -331,8 +335,8 @@ _GAUSS = "kern AS (SELECT d, exp(-5e-1 * (d / 3e0) * (d / 3e0)) AS w0 FROM range
                                 "s AS (SELECT a.i, d, w, least(greatest(a.i + d, 0), (SELECT max(i) FROM ix)) AS j FROM ix a CROSS JOIN kn) "
                                 "SELECT CAST(s.i AS BIGINT) AS k, round(sum(w * ix.v), 6) AS v FROM s JOIN ix ON ix.i = s.j GROUP BY s.i"))
 def gaussian_smooth(spark, sf_dir):
-    frames = _spatial_frames(spark, sf_dir).select((F.row_number().over(W.orderBy("k")) - 1).cast("bigint").alias("k"), F.col("width").alias("v"))
-    return windows.smooth(frames, 3.0).select("k", _r(F.col("v"), "v"))
+    frames = spatial.frame_features(_event_pair(spark, sf_dir), _RATE).select("asset", "k", F.col("width").alias("v"))
+    return spatial.smoothed(frames, ["v"]).select("k", _r(F.col("v"), "v"))
 
 
 @query("control_interp", _pair(f", {_FRAMES_SQL}, c AS (SELECT row_number() OVER (ORDER BY k) - 1 AS k, width AS v FROM ff), "
@@ -340,9 +344,10 @@ def gaussian_smooth(spark, sf_dir):
                                "q AS (SELECT channel, n, least(n // 25, top) AS k FROM sig CROSS JOIN t) "
                                "SELECT channel, n, round(v, 6) AS held, round(v + (nx - v) * least(1e0, n / 25 - k), 6) AS line FROM q JOIN c2 USING (k)"))
 def control_interp(spark, sf_dir):
-    controls = _spatial_frames(spark, sf_dir).select((F.row_number().over(W.orderBy("k")) - 1).cast("bigint").alias("k"), F.col("width").alias("v"))
-    lines = windows.interpolated(event_signal(spark, sf_dir).select("channel", "n"), controls, 25)
-    held = windows.stepped(event_signal(spark, sf_dir).select("channel", "n"), controls, 25).select("channel", "n", F.col("v").alias("held"))
+    controls = spatial.frame_features(_event_pair(spark, sf_dir), _RATE).select("asset", "k", F.col("width").alias("v"))
+    samples = event_signal(spark, sf_dir).select(F.lit("events").alias("asset"), "channel", "n")
+    lines = windows.interpolated(samples, controls, 25)
+    held = windows.stepped(samples, controls, 25).select("channel", "n", F.col("v").alias("held"))
     return held.join(lines.select("channel", "n", F.col("v").alias("line")), ["channel", "n"]).select("channel", "n", _r(F.col("held"), "held"), _r(F.col("line"), "line"))
 
 

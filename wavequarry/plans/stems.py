@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 from wavequarry.functions import dsp
 
+# The names a request may use, and what each stage makes.
+VOCABULARY = {
+    "vocals": "Vocals", "bass": "Bass", "drums": "Drums", "guitar": "Guitar", "piano": "Piano", "other": "Other", "kick": "Kick", "snare": "Snare",
+    "toms": "Toms", "hi-hat": "Hi-Hat", "ride": "Ride", "crash": "Crash", "crowd": "Crowd", "backing-vocals": "Backing Vocals",
+}
+PRIMARY = ("Vocals", "Bass", "Drums", "Guitar", "Piano", "Other")
 DRUM_PARTS = ("Kick", "Snare", "Toms", "Hi-Hat", "Ride", "Crash")
-VOICES = ("Lead Vocals", "Backing Vocals")
+VOICES = ("Vocals", "Backing Vocals")
 
 
 @dataclass(frozen=True)
@@ -28,32 +34,49 @@ class Task:
 
 
 def normalised(stems: list[str]) -> list[str]:
-    """K2: title case, first of repeats."""
-    return list(dict.fromkeys(s.strip().title() for s in stems if s.strip()))
+    """K2: the vocabulary's names, first of repeats; one that it lacks is an error."""
+    known = VOCABULARY | {v: v for v in VOCABULARY.values()}
+    found = [known.get(s) or known.get(s.lower()) for s in stems]
+    if None in found:
+        raise ValueError(f"unknown stem {stems[found.index(None)]!r}; known are {', '.join(sorted(VOCABULARY))}")
+    return list(dict.fromkeys(found))
+
+
+def requested(stems: list[str]) -> list[str]:
+    """The stems that a plan leaves: the six primary ones if none is named; drums give way to their parts."""
+    wanted = normalised(stems) or list(PRIMARY)
+    return [s for s in wanted if s != "Drums"] if set(wanted) & set(DRUM_PARTS) else wanted
 
 
 def plan(stems: list[str]) -> list[Task]:
-    """Crowd first, then the primary split, then the parts of drums and voices, each only where it is asked for."""
-    wanted = normalised(stems)
-    drums, voices = [s for s in wanted if s in DRUM_PARTS], [s for s in wanted if s in VOICES]
+    """Crowd first, then the primary split of what remains, then the drums' parts and the backing vocals, each only where it is asked for."""
+    wanted = requested(stems)
+    among = lambda names: tuple(s for s in names if s in wanted)
     tasks, source = [], "input"
     if "Crowd" in wanted:
-        tasks.append(Task("crowd", source, ("Crowd", "Music"), ("Crowd",)))
-        source = "Music"
-    primary = [s for s in wanted if s not in DRUM_PARTS and s not in VOICES and s != "Crowd" and not (s == "Drums" and drums) and not (s == "Vocals" and voices)]
-    needed = primary + ["Drums"] * bool(drums) + ["Vocals"] * bool(voices)
-    if needed:
-        tasks.append(Task("primary", source, tuple(dict.fromkeys(needed)), tuple(primary)))
-    if drums:
-        tasks.append(Task("drums", "Drums", DRUM_PARTS, tuple(drums)))
-    if voices:
-        tasks.append(Task("voices", "Vocals", VOICES, tuple(voices)))
+        tasks.append(Task("crowd", source, ("Crowd", "Without Crowd"), ("Crowd",)))
+        source = "Without Crowd"
+    if among(PRIMARY) or among(DRUM_PARTS) or "Backing Vocals" in wanted:
+        tasks.append(Task("primary", source, PRIMARY, among(PRIMARY)))
+    if among(DRUM_PARTS):
+        tasks.append(Task("drums", "Drums", DRUM_PARTS, among(DRUM_PARTS)))
+    if "Backing Vocals" in wanted:
+        tasks.append(Task("voices", "Vocals", VOICES, among(VOICES)))
     return tasks
 
 
+def _short_hash(parts: list[str]) -> str:
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:20]
+
+
 def stems_hash(stems: list[str]) -> str:
-    """K3, C11: the same for any order."""
-    return hashlib.sha256("|".join(sorted(normalised(stems))).encode()).hexdigest()[:20]
+    """K3, C11: of the stems that the plan leaves, the same for any order."""
+    return _short_hash(sorted(requested(stems)))
+
+
+def inference_hash(stems: list[str], models: dict[str, str] | None = None) -> str:
+    """Of the stages' models (their names, where none is given) and sources, whatever is kept."""
+    return _short_hash([f"{(models or {}).get(t.name, t.name)}:{t.source}" for t in plan(stems)])
 
 
 def band_split(x: np.ndarray, rate: int, makes: tuple[str, ...]) -> dict[str, np.ndarray]:
