@@ -33,11 +33,12 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("c"))
 
 
-def running_mean(samples: DataFrame, alpha: float) -> DataFrame:
+def running_mean(samples: DataFrame, alpha: float, most_waiting: int = 65_536) -> DataFrame:
     """The running mean of ``samples(channel, n, x)``: n numbers a channel's samples without gaps.
 
     Samples that come before their predecessors wait in the state; repeats are dropped.
-    The output is the batch fold's, however the stream is cut.
+    The output is the batch fold's, however the stream is cut. Where more than
+    ``most_waiting`` of a channel's samples wait, the ones that are missing are given up.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -46,11 +47,15 @@ def running_mean(samples: DataFrame, alpha: float) -> DataFrame:
         for pdf in batches:
             waiting.update((int(n), float(x)) for n, x in zip(pdf["n"], pdf["x"], strict=True) if n >= nxt)
         out = []
+        if nxt not in waiting and len(waiting) > most_waiting:
+            nxt = min(waiting)
         while nxt in waiting:
             x = waiting.pop(nxt)
             y, seen = (alpha * y + (1 - alpha) * x if seen else x), True
             out.append((key[0], nxt, y))
             nxt += 1
+            if nxt not in waiting and len(waiting) > most_waiting:
+                nxt = min(waiting)
         state.update((nxt, y, seen, list(waiting), list(waiting.values())))
         yield pd.DataFrame(out, columns=["channel", "n", "y"])
 
