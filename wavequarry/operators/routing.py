@@ -30,11 +30,15 @@ def constant_power(energy: DataFrame) -> DataFrame:
     return energy.groupBy("key").agg((F.sqrt(F.max("e") / F.sum(F.col("gain") * F.col("gain") * F.col("e")))).alias("scale"))
 
 
+def _asset(signal: DataFrame) -> list[str]:
+    return ["asset"] * ("asset" in signal.columns)
+
+
 def downmix(signal: DataFrame, surround: float = HALF_POWER) -> DataFrame:
     """Left and right; the low-frequency and height channels are out, back folds into surround."""
     one = lambda c: F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("x"))), F.lit(0e0))
     side = lambda s, b: one(s) + HALF_POWER * one(b)
-    return (signal.where(F.col("channel").isin("FL", "FR", "C", "SL", "SR", "BL", "BR")).groupBy("n")
+    return (signal.where(F.col("channel").isin("FL", "FR", "C", "SL", "SR", "BL", "BR")).groupBy(*_asset(signal), "n")
             .agg((one("FL") + HALF_POWER * one("C") + surround * side("SL", "BL")).alias("l"),
                  (one("FR") + HALF_POWER * one("C") + surround * side("SR", "BR")).alias("r")))
 
@@ -43,7 +47,7 @@ def downmix_mono(signal: DataFrame, surround: float = 0.5) -> DataFrame:
     """U6."""
     gain = (F.when(F.col("channel").isin("FL", "FR"), HALF_POWER).when(F.col("channel") == "C", 1.0).when(F.col("channel").isin("SL", "SR"), surround)
             .when(F.col("channel").isin("BL", "BR"), surround * HALF_POWER))
-    return signal.withColumn("g", gain).where("g IS NOT NULL").groupBy("n").agg(F.sum(F.col("g") * F.col("x")).alias("m"))
+    return signal.withColumn("g", gain).where("g IS NOT NULL").groupBy(*_asset(signal), "n").agg(F.sum(F.col("g") * F.col("x")).alias("m"))
 
 
 def centroid(gains: DataFrame, labels: DataFrame) -> DataFrame:

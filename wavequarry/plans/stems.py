@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavequarry.functions import dsp
+from wavequarry.operators import windows
 
 # The names a request may use, and what each stage makes.
 VOCABULARY = {
@@ -110,6 +111,56 @@ def separate(signal: DataFrame, tasks: list[Task], rate: int, separator: Separat
     return signal.select("asset", "channel", "n", "x").groupBy("asset", "channel").applyInPandas(run, "asset string, channel string, stem string, n bigint, x double")
 
 
+def separate_active(signal: DataFrame, spans: DataFrame, tasks: list[Task], rate: int, separator: Separator = band_split, fade: int = 480) -> DataFrame:
+    """As ``separate``, but only the samples inside ``spans(asset, channel, s, e)`` go through the separator, each span apart.
+
+    Spans are faded at both ends and laid back; of overlapping ones the later stands. Outside them every kept stem is silent.
+    """
+    inside = windows.in_spans(signal, spans)
+    part = F.concat_ws("\x1f", "asset", F.col("s").cast("string"), F.col("e").cast("string"))
+    made = separate(inside.select(part.alias("asset"), "channel", "n", "x"), tasks, rate, separator)
+    edge = F.split("asset", "\x1f")
+    laid = made.select(edge[0].alias("asset"), "channel", "stem", "n", "x", edge[1].cast("bigint").alias("s"), edge[2].cast("bigint").alias("e"))
+    f = F.least(F.lit(fade), F.expr("(e - s) div 2"))
+    gain = F.when(f > 1, F.least(F.lit(1e0), (F.col("n") - F.col("s")) / (f - 1), (F.col("e") - 1 - F.col("n")) / (f - 1))).otherwise(1e0)
+    stitched = laid.withColumn("y", F.col("x") * gain).groupBy("asset", "channel", "stem", "n").agg(F.max_by("y", "s").alias("y"))
+    kept = list(dict.fromkeys(k for t in tasks for k in t.keeps))
+    grid = signal.select("asset", "channel", "n", F.explode(F.array(*map(F.lit, kept))).alias("stem"))
+    return grid.join(stitched, ["asset", "channel", "stem", "n"], "left").select("asset", "channel", "stem", "n", F.coalesce("y", F.lit(0e0)).alias("x"))
+
+
+# Corners of the low and high band in Hz, and what a silent stem has.
+LOW_HZ, HIGH_HZ, MOST_SECONDS = 250.0, 4000.0, 60
+FEATURES = "asset string, stem string, width double, hf double, lf double, transient double"
+
+
+def stem_features(stems: DataFrame, rate: int, size: int = 2048) -> DataFrame:
+    """Width, high and low band shares and share of onset frames of each ``stems(asset, stem, n, l, r)``.
+
+    At most a minute of each, from three windows evenly apart, is gathered: that bounds a task.
+    """
+    length = stems.groupBy("asset", "stem").agg((F.max("n") + 1).alias("len"))
+    most, third = rate * MOST_SECONDS, rate * MOST_SECONDS // 3
+    mid = F.expr(f"(len - {third}) div 2")
+    some = stems.join(length, ["asset", "stem"]).where((F.col("len") <= most) | (F.col("n") < third) | ((F.col("n") >= mid) & (F.col("n") < mid + third)) | (F.col("n") >= F.col("len") - third))
+
+    def analyse(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", kind="stable")
+        l, r = pdf["l"].to_numpy(np.float64), pdf["r"].to_numpy(np.float64)
+        ll, rr = float(l @ l), float(r @ r)
+        both = ll > 1e-12 and rr > 1e-12
+        width = float(np.clip(1 - (l @ r) / (ll * rr) ** 0.5, 0, 1)) if both else 1.0 if max(ll, rr) > 1e-12 else 0.5
+        f, power = dsp.welch((l + r) / 2, rate, size)
+        total = power.sum() + 1e-20
+        frames = np.abs(dsp.stft((l + r) / 2, size, size // 4))
+        flux = np.maximum(0, np.diff(frames, axis=0)).sum(axis=1)
+        onset = float((flux > 1.5 * np.percentile(flux, 75)).mean()) if len(flux) else 0.0
+        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "stem": [pdf["stem"].iloc[0]], "width": [width], "hf": [float(power[f >= HIGH_HZ].sum() / total)],
+                             "lf": [float(power[f < LOW_HZ].sum() / total)], "transient": [onset]})
+
+    return some.select("asset", "stem", "n", "l", "r").groupBy("asset", "stem").applyInPandas(analyse, FEATURES)
+
+
 class StemCache:
     """C12, JN11: stems under a key, whose mark is written last; a key without its mark is a miss."""
 
