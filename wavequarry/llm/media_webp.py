@@ -40,7 +40,9 @@ def _image(payload: bytes) -> bytes:
     least = -(-rows // MAX_SIDE)
     # a width that divides the payload, so that no sample is made up, if there is one
     per = next((w for w in range(least, MAX_SIDE // ROW + 1) if rows % w == 0), least)
-    samples = np.pad(samples, (0, -rows % per * ROW)).reshape(-1, per * ROW)
+    if rows % per:
+        samples = np.pad(samples, (0, -rows % per * ROW))
+    samples = samples.reshape(-1, per * ROW)
     return encode(_OPAQUE | samples.astype(np.uint32) << np.uint32(8), transforms_for(samples))
 
 

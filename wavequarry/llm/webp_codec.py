@@ -5,7 +5,7 @@ Pixels are ``uint32`` arrays of shape (height, width), as 0xAARRGGBB.
 
 from __future__ import annotations
 
-import heapq
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -79,36 +79,42 @@ class PrefixCode:
         return entry >> 4
 
 
-_FLIP = [int(f"{k:08b}"[::-1], 2) for k in range(256)]
+@lru_cache
+def _reversal(bits: int) -> np.ndarray:
+    """Numbers of so many bits, read the other way round."""
+    k, out = np.arange(1 << bits), np.zeros(1 << bits, np.int64)
+    for b in range(bits):
+        out |= (k >> b & 1) << (bits - 1 - b)
+    return out
+
+
+def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Used symbols by code length, the share of the code space each takes, in units of the longest code, and that one's bits."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    longest = int(lengths[order[-1]])
+    return order, np.left_shift(1, longest - lengths[order].astype(np.int64)), longest
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes as they are written: bit-reversed canonical codes."""
     out = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    codes, code, before = [], 0, 0
-    for n in lengths[order].tolist():
-        code <<= n - before
-        codes.append((_FLIP[code & 255] << 8 | _FLIP[code >> 8]) >> (16 - n))
-        before = n
-        code += 1
-    out[order] = codes
+    if lengths.any():
+        order, shares, longest = _in_order(lengths)
+        out[order] = _reversal(longest)[np.cumsum(shares) - shares]
     return out
 
 
 def _code_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
-    used = np.flatnonzero(lengths)
-    if not len(used):
+    if not lengths.any():
         raise WebPError("empty code")
-    longest = int(lengths.max())
-    if sum(1 << (longest - n) for n in lengths[used].tolist()) != 1 << longest and len(used) > 1:
-        raise WebPError("incomplete code")
-    table = np.full(1 << longest, -1, np.int32)
-    codes = canonical(lengths)
-    for s, n, c in zip(used.tolist(), lengths[used].tolist(), codes[used].tolist(), strict=True):
-        table[c::1 << n] = s * 16 + n
-    return table, longest
+    order, shares, longest = _in_order(lengths)
+    if int(shares.sum()) != 1 << longest:
+        if len(order) > 1:
+            raise WebPError("incomplete code")
+        shares = np.array([1 << longest])
+    entries = (order * 16 + lengths[order]).astype(np.int32)
+    return np.repeat(entries, shares)[_reversal(longest)], longest
 
 
 # ---- reading ----
@@ -130,27 +136,36 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
         inner[CODE_LENGTH_ORDER[k]] = bits.read(3)
     code = _from_lengths(inner)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    lengths, at, last = np.zeros(size, np.uint8), 0, 8
-    while at < size and left:
+    # at most fourteen bits a length: they are all taken into one number, whose low bits come next
+    ahead = int.from_bytes(bits.data[bits.at >> 3:(bits.at >> 3) + 2 * size + 2], "little") >> (bits.at & 7)
+    room, used = 8 * (len(bits.data) - (bits.at >> 3)) - (bits.at & 7), 0
+    table, mask = (None, 0) if code.only is not None else (code.table.tolist(), (1 << code.bits) - 1)
+    lengths, last = [], 8
+    while len(lengths) < size and left:
         left -= 1
-        s = code.next(bits)
+        if table is None:
+            s = code.only
+        else:
+            entry = table[ahead & mask]
+            if entry < 0:
+                raise WebPError("no such code")
+            s, n = entry >> 4, entry & 15
+            ahead >>= n
+            used += n
         if s < 16:
-            lengths[at] = s
-            at += 1
+            lengths.append(s)
             last = s or last
-        else:
-            n, value = _run(bits, s, last)
-            if at + n > size:
-                raise WebPError("code lengths run over")
-            lengths[at:at + n] = value
-            at += n
-    return _from_lengths(lengths)
-
-
-def _run(bits: Bits, s: int, last: int) -> tuple[int, int]:
-    if s == 16:
-        return 3 + bits.read(2), last
-    return (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
+            continue
+        n, least, value = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
+        lengths += [value] * (least + (ahead & ((1 << n) - 1)))
+        ahead >>= n
+        used += n
+    if used > room:
+        raise WebPError("truncated")
+    if len(lengths) > size:
+        raise WebPError("code lengths run over")
+    bits.at += used
+    return _from_lengths(np.array(lengths + [0] * (size - len(lengths)), np.uint8))
 
 
 def _from_lengths(lengths: np.ndarray) -> PrefixCode:
@@ -228,11 +243,10 @@ def _read_one_channel(bits: Bits, codes, width: int, height: int) -> np.ndarray:
     wide[:len(raw)] = raw
     words = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
     mask = np.uint32((1 << green.bits) - 1)
-    entry = green.table[((words[:len(raw), None] >> np.arange(8, dtype=np.uint32)) & mask).ravel()]
-    symbol = entry >> 4
+    entry = green.table.take(((words[:len(raw), None] >> np.arange(8, dtype=np.uint32)) & mask).ravel())
     step = entry & 15
-    copies = np.flatnonzero(symbol >= 256)
-    length_at = far_at = None
+    copies = np.flatnonzero(entry >= 4096)  # symbols from 256 on
+    lengths_of = far_of = None
     if len(copies):
         def take(at, count):
             at = np.minimum(at, span - 1)
@@ -242,41 +256,46 @@ def _read_one_channel(bits: Bits, codes, width: int, height: int) -> np.ndarray:
             extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
             return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + take(at, extra) + 1), at + extra
 
-        length_at, far_at = np.zeros(span, np.int64), np.zeros(span, np.int64)
-        at = copies + step[copies]
-        length_at[copies], at = value(symbol[copies].astype(np.int64) - 256, at)
+        own = entry.take(copies)
+        lengths_of, at = value((own >> 4).astype(np.int64) - 256, copies + (own & 15))
         found = codes[4].table[take(at, codes[4].bits)].astype(np.int64)
         at = at + (found & 15)
-        far_at[copies], at = value(np.maximum(found >> 4, 0), at)
-        step = step.astype(np.int64)
+        far_of, at = value(np.maximum(found >> 4, 0), at)
         step[copies] = at - copies
     if not step.all():
         raise WebPError("a token without bits")
-    starts = _chain(np.minimum(np.arange(span, dtype=np.int32) + step, span).astype(np.int32), first, span)
-    run = None if length_at is None else np.where(symbol[starts] >= 256, length_at[starts], 1)
-    total = len(starts) if run is None else int(run.sum())
+    follow = np.arange(span, dtype=np.int32)
+    follow += step
+    starts = _chain(np.minimum(follow, span, out=follow), first, span)
+    symbols, run = entry.take(starts) >> 4, None
+    if lengths_of is not None:
+        which = np.flatnonzero(symbols >= 256)
+        run = np.ones(len(starts), np.int64)
+        run[which] = lengths_of.take(np.searchsorted(copies, starts.take(which)))
+    stops = None if run is None else np.cumsum(run)
+    total = len(starts) if run is None else int(stops[-1])
     if total < n:
         raise WebPError("truncated")
-    starts = starts[: n if run is None else int(np.searchsorted(np.cumsum(run), n)) + 1]
+    starts = starts[: n if run is None else int(np.searchsorted(stops, n)) + 1]
     p = int(starts[-1] + step[starts[-1]])
     if p > span:
         raise WebPError("truncated")
     if (entry[starts] < 0).any():
         raise WebPError("no such code")
     bits.at += p - first
-    s = symbol[starts]
+    s = symbols[:len(starts)]
     out = np.empty(n, np.uint8)
-    if length_at is None:
+    if run is None:
         out[:] = s
     else:
-        lengths = np.where(s < 256, 1, length_at[starts])
-        place = np.cumsum(lengths) - lengths
-        if place[-1] + lengths[-1] != n:
+        if stops[len(s) - 1] != n:
             raise WebPError("copy runs over")
-        plain = s < 256
-        out[place[plain]] = s[plain]
-        for k in np.flatnonzero(~plain).tolist():
-            at, length, far = int(place[k]), int(lengths[k]), _distance(int(far_at[starts[k]]), width)
+        which = which[which < len(s)]
+        place = stops[:len(s)] - run[:len(s)]
+        out[place] = s  # what a copy puts at its first place is overwritten below
+        fars = far_of.take(np.searchsorted(copies, starts.take(which)))
+        for at, length, far in zip(place.take(which).tolist(), run.take(which).tolist(), fars.tolist(), strict=True):
+            far = _distance(far, width)
             if far > at:
                 raise WebPError("copy from outside")
             if far >= length:
@@ -291,7 +310,7 @@ def _chain(follow: np.ndarray, first: int, span: int) -> np.ndarray:
     follow = np.append(follow, np.int32(span))
     far = follow
     for _ in range(4):
-        far = far[far]
+        far = far.take(far)
     jump, marks, p = memoryview(far), [], first
     while p < span:
         marks.append(p)
@@ -299,7 +318,7 @@ def _chain(follow: np.ndarray, first: int, span: int) -> np.ndarray:
     out = np.empty((len(marks), 16), np.int32)
     out[:, 0] = marks
     for k in range(1, 16):
-        out[:, k] = follow[out[:, k - 1]]
+        out[:, k] = follow.take(out[:, k - 1])
     out = out.ravel()
     return out[out < span].astype(np.int64)
 
@@ -462,20 +481,27 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
         return out
     weight = counts[used].astype(np.int64)
     while True:
-        heap = [(w, k, k) for k, w in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        parent, nxt = {}, len(used)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[2]] = parent[b[2]] = nxt
-            heapq.heappush(heap, (a[0] + b[0], nxt, nxt))
-            nxt += 1
-        depth = {nxt - 1: 0}
-        for k in range(nxt - 2, -1, -1):
+        order = np.argsort(weight, kind="stable")
+        leaves, n = weight[order].tolist(), len(used)
+        # two queues: the leaves by weight, and the inner nodes, which are made by rising weight
+        inner, parent, leaf, node = [], [0] * (2 * n - 1), 0, 0
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= len(inner) or leaves[leaf] <= inner[node]):
+                    total += leaves[leaf]
+                    parent[leaf] = made
+                    leaf += 1
+                else:
+                    total += inner[node]
+                    parent[n + node] = made
+                    node += 1
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        lengths = [depth[k] for k in range(len(used))]
-        if max(lengths) <= limit:
-            out[used] = lengths
+        if max(depth[:n]) <= limit:
+            out[used[order]] = depth[:n]
             return out
         weight = (weight + 1) // 2
 
@@ -499,8 +525,9 @@ class Writer:
 
     def put_all(self, values: np.ndarray, counts: np.ndarray) -> None:
         self._flush()
-        self._values.append(values)
-        self._counts.append(counts)
+        some = np.flatnonzero(counts)
+        self._values.append(values.take(some))
+        self._counts.append(counts.take(some))
 
     def bytes(self) -> bytes:
         self._flush()
@@ -598,11 +625,10 @@ def find_copies(p: np.ndarray, least: int = 12) -> list[tuple[int, int, int]]:
     far = hit - before[hit]
     cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(far) != 0)) + 1
     starts, stops = np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]])
+    enough = (stops - starts + 7 >= least) & (far[starts] <= _FARTHEST)
+    starts, stops = starts[enough], stops[enough]
     out, done = [], 0
-    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        at, length, d = int(hit[a]), b - a + 7, int(far[a])
-        if d > _FARTHEST:
-            continue
+    for at, length, d in zip(hit[starts].tolist(), (stops - starts + 7).tolist(), far[starts].tolist(), strict=True):
         if at < done:
             length -= done - at
             at = done
