@@ -40,6 +40,23 @@ REBALANCE_PROFILES = {
     "balanced": {},
 }
 
+# Breakpoints (Hz, dB) of the bus EQ and of the stem EQ.
+EQ_PROFILES = {
+    "spatial-transparent": [(20, 0.0), (20000, 0.0)],
+    "spatial-air": [(20, 0.0), (1000, 0.0), (5000, 0.5), (10000, 1.5), (15000, 2.5), (20000, 2.5)],
+    "spatial-warm": [(20, 0.0), (100, 1.0), (300, 1.5), (1000, 0.5), (3000, -0.5), (8000, 0.0), (20000, 0.0)],
+    "spatial-present": [(20, 0.0), (500, 0.0), (2000, 1.0), (4000, 2.0), (6000, 1.5), (10000, 1.0), (20000, 1.5)],
+    "atmos-streaming": [(20, 0.0), (60, 1.0), (100, 0.8), (500, 0.0), (2000, 0.5), (5000, 1.0), (12000, 1.5), (18000, 2.0), (20000, 2.0)],
+}
+STEM_EQ_PROFILES = {
+    "vocal-presence": [(20, 0.0), (800, 0.0), (2000, 0.5), (4000, 2.0), (6000, 1.5), (10000, 1.0), (20000, 1.5)],
+    "vocal-warmth": [(20, 0.0), (200, 1.5), (500, 0.8), (2000, 0.0), (4000, -0.5), (8000, 0.0), (20000, 0.0)],
+    "bass-warmth": [(20, 0.0), (50, 1.5), (100, 1.0), (200, 0.5), (500, 0.0), (20000, 0.0)],
+    "bass-cut": [(20, -2.0), (60, -1.0), (120, 0.0), (400, 0.0), (20000, 0.0)],
+    "drums-punch": [(20, 0.0), (80, 1.5), (200, 0.0), (3000, 0.0), (5000, 1.5), (8000, 1.0), (20000, 0.0)],
+    "other-air": [(20, 0.0), (1000, 0.0), (8000, 0.5), (14000, 1.5), (20000, 2.0)],
+    "flat": [(20, 0.0), (20000, 0.0)],
+}
 
 def layouts(spark: SparkSession) -> DataFrame:
     """``(direction, layout, ord, label)``."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavequarry.catalog import COMPRESSOR_PROFILES
+from wavequarry.catalog import COMPRESSOR_PROFILES, EQ_PROFILES, STEM_EQ_PROFILES
 from wavequarry.functions import dsp
 from wavequarry.operators.loudness import CHANNEL_WEIGHTS
 
@@ -34,6 +35,23 @@ def equalise(signal: DataFrame, points: list[tuple[float, float]], rate: float,
     return signal if not a else per_channel(signal, lambda x: (1 - a) * x + a * dsp.fir_filter(taps, x))
 
 
+def stem_eq(stems: DataFrame, profiles: dict[str, str], rate: float, taps: int = 511) -> DataFrame:
+    """``stems(asset, channel, stem, n, x)`` through the EQ of their stem's profile, zones (after an @) as their stem; others pass.
+
+    The filter is the minimum-phase one of half the length and the square root of the magnitude.
+    """
+    designs = {stem: dsp.fir_from_breakpoints(STEM_EQ_PROFILES[name], rate, taps, half=True) for stem, name in profiles.items()}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", kind="stable")
+        return pdf.assign(x=dsp.fir_filter(designs[pdf["stem"].iloc[0].split("@")[0]], pdf["x"].to_numpy(np.float64)))
+
+    cols = ["asset", "channel", "stem", "n", "x"]
+    addressed = F.coalesce(F.substring_index("stem", "@", 1).isin(*designs), F.lit(False)) if designs else F.lit(False)
+    shaped = stems.select(*cols).where(addressed).groupBy("asset", "channel", "stem").applyInPandas(run, "asset string, channel string, stem string, n bigint, x double")
+    return stems.select(*cols).where(~addressed).unionByName(shaped)
+
+
 def compress(signal: DataFrame, profile: str, rate: float) -> DataFrame:
     """One gain for all channels of an asset, from their joint level; the low-frequency channel passes."""
     threshold, ratio, attack, release, knee, makeup = COMPRESSOR_PROFILES[profile]
@@ -102,11 +120,12 @@ def normalise(signal: DataFrame, rate: int, target: float, peak: float = -1.0, c
 class Chain:
     """What is set runs, in this order: match, EQ, compressor, bass, soft limit, loudness.
 
-    ``reference(k, n, x)``, k the channel's number, is what the signal is matched to.
+    ``reference(k, n, x)``, k the channel's number, is what the signal is matched to. EQ is a
+    curve or a profile's name. A profile that isn't known is an error, but for the compressor's, which is warned about and left out.
     """
 
     rate: int
-    eq: list[tuple[float, float]] = field(default_factory=list)
+    eq: list[tuple[float, float]] | str = field(default_factory=list)
     compressor: str | None = None
     limit: float | None = None
     target: float | None = None
@@ -120,8 +139,10 @@ class Chain:
         if self.reference is not None:
             signal = match(signal, self.reference, self.rate, self.strength)
         if self.eq:
-            signal = equalise(signal, self.eq, self.rate)
-        if self.compressor:
+            signal = equalise(signal, EQ_PROFILES[self.eq] if isinstance(self.eq, str) else self.eq, self.rate)
+        if self.compressor and self.compressor not in COMPRESSOR_PROFILES:
+            warnings.warn(f"no compressor profile {self.compressor}", stacklevel=2)
+        elif self.compressor:
             signal = compress(signal, self.compressor, self.rate)
         if self.bass:
             signal = bass(signal, self.bass, self.rate)
