@@ -1,86 +1,82 @@
-"""Order-dependent recursions (R*): each a small state machine over sorted samples.
+"""Order-dependent recursions (R*).
 
-The sequences of a key are folded by ``aggregate`` over a sorted array, in the JVM;
-states are structs. A key's samples must fit in one row; longer ones are folded in
-grouped maps by the streaming form.
+The linear ones are systems with a state (``chunks.Linear``): their chunks are filtered apart and a
+scan over the chunks' summaries carries the states, so a channel of any length spreads over
+tasks. The energy controller picks its coefficient by its own output, which no such scan can
+carry; it runs over frames, not samples, one task for each asset and channel.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavequarry.operators import chunks
 
-def _fold(df: DataFrame, keys: list[str], order: str, step, out: str, first) -> DataFrame:
-    """Each sequence through ``step(state, values) -> (state, y)`` in sorted grouped maps, a state per key."""
-    fields = [df.schema[k] for k in keys] + [T.StructField(order, T.LongType()), T.StructField(out, T.DoubleType())]
 
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        state, ys = first, []
-        for row in zip(*(pdf[c] for c in pdf.columns if c not in keys and c != order), strict=True):
-            state, y = step(state, *row)
-            ys.append(y)
-        result = pdf[[*keys, order]].copy()
-        result[out] = ys
-        return result
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in ("asset", "channel") if c in df.columns]
 
-    return df.groupBy(*keys).applyInPandas(run, T.StructType(fields))
 
+def _through(signal: DataFrame, system: chunks.Linear, size: int) -> DataFrame:
+    done = chunks.unpack(chunks.linear(chunks.pack(signal, size), system, size), size, "y")
+    return done.select(*_keys(signal), "n", "y")
 
-def ema(signal: DataFrame, alpha: float) -> DataFrame:
-    """``y = alpha * y + (1 - alpha) * x``, started at the first sample."""
-    def step(y, x):
-        y = x if y is None else alpha * y + (1 - alpha) * x
-        return y, y
 
-    return _fold(signal.select("channel", "n", "x"), ["channel"], "n", step, "y", None)
+def ema_system(alpha: float) -> chunks.Linear:
+    return chunks.Linear([[alpha]], [1 - alpha], [[alpha]], [1 - alpha], first=lambda x0: [x0])
 
 
-def allpass(signal: DataFrame, a: float = 0.7) -> DataFrame:
-    """``y = -a x + x' + a y'``."""
-    def step(state, x):
-        xp, yp = state
-        y = -a * x + xp + a * yp
-        return (x, y), y
+def allpass_system(a: float) -> chunks.Linear:
+    """The state is what the next sample gets of this one: x + a y."""
+    return chunks.Linear([[a]], [1 - a * a], [[1.0]], [-a])
 
-    return _fold(signal.select("channel", "n", "x"), ["channel"], "n", step, "y", (0.0, 0.0))
 
+def envelope_system(fast: float, slow: float) -> chunks.Linear:
+    return chunks.Linear(np.diag([1 - fast, 1 - slow]), [fast, slow], np.diag([1 - fast, 1 - slow]), [fast, slow], out=lambda a, b, _: np.maximum(a, b))
 
-def envelope(level: DataFrame, fast: float, slow: float) -> DataFrame:
-    """The greater of two one-pole followers of ``level(channel, n, x)``."""
-    def step(state, x):
-        a, b = state
-        a, b = a + fast * (x - a), b + slow * (x - b)
-        return (a, b), max(a, b)
 
-    return _fold(level.select("channel", "n", "x"), ["channel"], "n", step, "y", (0.0, 0.0))
+def ema(signal: DataFrame, alpha: float, size: int = chunks.SIZE) -> DataFrame:
+    """``y = alpha * y + (1 - alpha) * x``, started at the first sample."""
+    return _through(signal, ema_system(alpha), size)
 
 
-def energy_gain(frames: DataFrame, attack: float, release: float, limit_db: float = 6.0) -> DataFrame:
-    """A gain that follows sqrt(source / routed), held to the limit; quiet frames pass and change nothing."""
-    top = 10 ** (limit_db / 20)
+def allpass(signal: DataFrame, a: float = 0.7, size: int = chunks.SIZE) -> DataFrame:
+    """``y = -a x + x' + a y'``."""
+    return _through(signal, allpass_system(a), size)
 
-    def step(gain, src, out):
-        if src <= 1e-20 or out <= 1e-20:
-            return gain, 1.0
-        target = min(top, max(1 / top, (src / out) ** 0.5))
-        alpha = attack if target < gain else release
-        gain = alpha * gain + (1 - alpha) * target
-        return gain, gain
 
-    return _fold(frames.select("channel", "n", "src", "out"), ["channel"], "n", step, "gain", 1.0)
+def envelope(level: DataFrame, fast: float, slow: float, size: int = chunks.SIZE) -> DataFrame:
+    """The greater of two one-pole followers of ``level(channel, n, x)``."""
+    return _through(level, envelope_system(fast, slow), size)
 
 
-def biquad(signal: DataFrame, b: tuple[float, float, float], a: tuple[float, float]) -> DataFrame:
+def biquad(signal: DataFrame, b: tuple[float, float, float], a: tuple[float, float], size: int = chunks.SIZE) -> DataFrame:
     """One section, direct form 2 transposed, from rest."""
-    def step(state, x):
-        s1, s2 = state
-        y = b[0] * x + s1
-        return (b[1] * x - a[0] * y + s2, b[2] * x - a[1] * y), y
+    return _through(signal, chunks.series(np.array([[*b, 1.0, *a]])), size)
+
 
-    return _fold(signal.select("channel", "n", "x"), ["channel"], "n", step, "y", (0.0, 0.0))
+def energy_gain(frames: DataFrame, attack: float, release: float, limit_db: float = 6.0) -> DataFrame:
+    """A gain that follows sqrt(source / routed) of ``frames([asset,] channel, n, src, out)``, held to the limit; quiet frames pass and change nothing."""
+    own, top = _keys(frames), 10 ** (limit_db / 20)
+
+    def run(pdf):
+        pdf = pdf.sort_values("n", kind="stable")
+        gain, gains = 1.0, []
+        for src, out in zip(pdf["src"], pdf["out"], strict=True):
+            if src <= 1e-20 or out <= 1e-20:
+                gains.append(1.0)
+                continue
+            target = min(top, max(1 / top, (src / out) ** 0.5))
+            alpha = attack if target < gain else release
+            gain = alpha * gain + (1 - alpha) * target
+            gains.append(gain)
+        return pdf[[*own, "n"]].assign(gain=gains)
+
+    fields = [T.StructField(k, T.StringType()) for k in own] + [T.StructField("n", T.LongType()), T.StructField("gain", T.DoubleType())]
+    return frames.select(*own, "n", "src", "out").groupBy(*own).applyInPandas(run, T.StructType(fields))
 
 
 def ema_last(values: Column, alpha: float) -> Column:
