@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ BLOCK_CHARS = 4 << 20
 #: Characters of a text handled at once.
 STRETCH = 1 << 20
 #: Distinct units whose alignment a worker holds.
-HELD = 200_000
+HELD = 400_000
 #: Characters of new units that are aligned at once.
 BATCH_CHARS = 1 << 20
 BLANK = "▁"
@@ -32,6 +33,8 @@ BLANK = "▁"
 _QUICK = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: A word with a blank before it and no other white space.
+_PLAIN = re.compile(r" \S+").fullmatch
 
 
 def units(text: str) -> list[str]:
@@ -55,9 +58,8 @@ class Aligned:
 
     __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "links")
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, groups: bytes, links: np.ndarray):
-        self.n_a, self.n_b, self.n_groups, self.n_links = n_a, n_b, n_groups, len(links)
-        self.groups, self.links = groups, links.tobytes()
+    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, groups: bytes, links: bytes):
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.groups, self.links = n_a, n_b, n_groups, n_links, groups, links
 
 
 class Aligner:
@@ -69,25 +71,21 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, held: int = HELD):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self._a = Tokenizer.from_file(a_path)
-        self._a.encode_special_tokens = True
-        self._a.no_truncation()
-        self._a.no_padding()
+        names, encoding = _byte_level(a_path)
+        self._a = encoding._core_bpe.encode_ordinary
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self._b.id_to_piece(k) for k in range(self._b.get_piece_size())]
         # what makes units independent: no piece goes over a blank that follows something else, nor over a line end
         self._alone = not any(BLANK in p.lstrip(BLANK) or "\n" in p for k, p in enumerate(pieces) if not self._b.is_byte(k))
-        own = {c: b for b, c in enumerate(byte_letters())}
-        names = {v: k for k, v in self._a.get_vocab(with_added_tokens=False).items()}
-        self._a_bytes = _table([bytes(map(own.__getitem__, names.get(k, ""))) for k in range(max(names) + 1)])
+        self._a_bytes = _table(names)
         self._b_bytes = _table([bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else p.replace(BLANK, " ").encode() for k, p in enumerate(pieces)])
         self._blank_id = self._b.piece_to_id(BLANK)
+        self._ends = self._a("\n"), [k for k in self._b.encode("\n", num_threads=1) if k != self._blank_id]
         self.b_size = len(pieces)
+        self.kind = "<u4" if len(names) * self.b_size <= 1 << 32 else "<i8"
         self._held, self._known = held, {}
-        self._names = [str(k).encode() for k in range(max(len(names), len(pieces)) + 1)]
+        self._decimal = _table([b"%d," % k for k in range(max(len(names), len(pieces)))])
 
     def _tokens_b(self, batch: list[str]) -> list[list[int]]:
         """B's ids of units; the blank that the model puts first is the unit's own, or is taken off where it has none."""
@@ -101,45 +99,81 @@ class Aligner:
                 del found[k][0]
         return found
 
-    def align(self, batch: list[str]) -> list[Aligned | None]:
+    def align(self, batch: list[str]) -> dict[str, Aligned | None]:
         """Alignments of units; None where the bytes of A's or B's tokens aren't the unit's.
 
-        Byte owners: each byte gets the place of the token that holds it, for A and B. A link begins
-        wherever the pair of owners changes, a group ends wherever both do.
+        Words with the blank before them go to each tokenizer in one text, a line end between each two;
+        the others one by one.
         """
-        a, b = [e.ids for e in self._a.encode_batch_fast(batch, add_special_tokens=False)], self._tokens_b(batch)
-        out: list[Aligned | None] = [None] * len(batch)
-        good = []
-        for k, u in enumerate(batch):
-            raw = u.encode()
-            if self._bytes(self._a_bytes, a[k]) == raw and self._bytes(self._b_bytes, b[k]) == raw:
-                good.append((k, len(raw)))
-        if not good:
-            return out
-        ids_a = np.concatenate([np.array(a[k], np.int64) for k, _ in good])
-        ids_b = np.concatenate([np.array(b[k], np.int64) for k, _ in good])
-        owner_a = np.repeat(np.arange(len(ids_a)), np.diff(self._a_bytes[1])[ids_a])
-        owner_b = np.repeat(np.arange(len(ids_b)), np.diff(self._b_bytes[1])[ids_b])
-        new_a, new_b = np.diff(owner_a, prepend=-1) != 0, np.diff(owner_b, prepend=-1) != 0
-        starts = np.flatnonzero(new_a | new_b)
-        pairs = (ids_a[owner_a[starts]] * self.b_size + ids_b[owner_b[starts]]).astype("<u4" if len(self._names) * self.b_size <= 1 << 32 else "<u8")
-        cuts = np.flatnonzero(new_a & new_b)
-        ends = np.cumsum([n for _, n in good])
-        link_ends, cut_ends = np.searchsorted(starts, ends).tolist(), np.searchsorted(cuts, ends).tolist()
-        first_a, first_b = [*owner_a[cuts].tolist(), len(ids_a)], [*owner_b[cuts].tolist(), len(ids_b)]
-        text_a, text_b = [self._names[k] for k in ids_a.tolist()], [self._names[k] for k in ids_b.tolist()]
-        groups = [b",".join(text_a[i:j]) + b"|" + b",".join(text_b[p:q]) for i, j, p, q in zip(first_a, first_a[1:], first_b, first_b[1:], strict=False)]
-        link, cut = 0, 0
-        for (k, _), to_link, to_cut in zip(good, link_ends, cut_ends, strict=True):
-            out[k] = Aligned(len(a[k]), len(b[k]), to_cut - cut, b";".join(groups[cut:to_cut]), pairs[link:to_link])
-            link, cut = to_link, to_cut
+        plain = [u for u in batch if _PLAIN(u)] if self._alone else []
+        out: dict[str, Aligned | None] = {}
+        if plain:
+            a, b = np.array(self._a("\n".join(plain)), np.int64), np.array(self._b.encode("\n".join(plain)[1:], num_threads=1), np.int64)
+            (end_a,), (end_b,) = self._ends
+            cut_a, cut_b = np.flatnonzero(a == end_a), np.flatnonzero(b == end_b)
+            if len(cut_a) == len(cut_b) == len(plain) - 1:
+                count = lambda x, cuts: np.diff(cuts, prepend=-1, append=len(x)) - 1
+                out.update(self._owners(plain, a[a != end_a], count(a, cut_a), b[b != end_b], count(b, cut_b)))
+        rest = [u for u in batch if u not in out]
+        if rest:
+            a, b = [self._a(u) for u in rest], self._tokens_b(rest)
+            flat = lambda x: np.fromiter(chain.from_iterable(x), np.int64)
+            out.update(self._owners(rest, flat(a), np.array([len(x) for x in a]), flat(b), np.array([len(x) for x in b])))
         return out
 
-    @staticmethod
-    def _bytes(of: tuple[np.ndarray, np.ndarray], ids: list[int]) -> bytes:
-        return gathered(*of, np.array(ids, np.int64)).tobytes()
+    def _owners(self, batch: list[str], ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> dict[str, Aligned | None]:
+        """Byte owners: each byte gets the place of the token that holds it, for A and B. A link begins
+        wherever the pair of owners changes, a group ends wherever both do."""
+        raw = [u.encode() for u in batch]
+        size = np.array([len(x) for x in raw])
+        size_a, size_b = np.diff(self._a_bytes[1])[ids_a], np.diff(self._b_bytes[1])[ids_b]
+        whole = np.frombuffer(b"".join(raw), np.uint8)
+
+        def same(ids, n, sizes, of) -> np.ndarray:
+            """Which units' tokens have the unit's bytes."""
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            own = ends[np.cumsum(n)] - ends[np.cumsum(n) - n]
+            right = own == size
+            if right.all():
+                differ = np.flatnonzero(gathered(*of, ids) != whole)
+                right[np.searchsorted(np.cumsum(size), differ, "right")] = False
+                return right
+            part, at = gathered(*of, ids).tobytes(), np.concatenate([[0], np.cumsum(own)]).tolist()
+            return np.array([part[i:j] == x for i, j, x in zip(at, at[1:], raw, strict=False)])
+
+        good = same(ids_a, n_a, size_a, self._a_bytes) & same(ids_b, n_b, size_b, self._b_bytes)
+        out: dict[str, Aligned | None] = dict.fromkeys(batch)
+        if not good.all():
+            keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
+            ids_a, size_a, ids_b, size_b, n_a, n_b, size = ids_a[keep_a], size_a[keep_a], ids_b[keep_b], size_b[keep_b], n_a[good], n_b[good], size[good]
+            batch = [u for u, g in zip(batch, good.tolist(), strict=True) if g]
+        owner_a, owner_b = np.repeat(np.arange(len(ids_a)), size_a), np.repeat(np.arange(len(ids_b)), size_b)
+        new_a, new_b = np.diff(owner_a, prepend=-1) != 0, np.diff(owner_b, prepend=-1) != 0
+        starts, cuts, ends = np.flatnonzero(new_a | new_b), np.flatnonzero(new_a & new_b), np.cumsum(size)
+        links = (ids_a[owner_a[starts]] * self.b_size + ids_b[owner_b[starts]]).astype(self.kind)
+        link_at, cut_at = (np.concatenate([[0], np.searchsorted(x, ends)]) for x in (starts, cuts))
+        text, text_at = self._groups(ids_a, ids_b, owner_a[cuts], owner_b[cuts], cut_at)
+        raw_links, width = links.tobytes(), links.itemsize
+        rows = zip(batch, n_a.tolist(), n_b.tolist(), np.diff(cut_at).tolist(), link_at[:-1].tolist(), link_at[1:].tolist(), text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)
+        for u, a, b, groups, i, j, p, q in rows:
+            out[u] = Aligned(a, b, groups, j - i, text[p:q - 1], raw_links[width * i:width * j])
+        return out
 
-    def _learn(self, wanted: set[str]) -> None:
+    def _groups(self, ids_a, ids_b, first_a, first_b, cut_at) -> tuple[bytes, np.ndarray]:
+        """All groups as text, a semicolon after each, and where each unit's begin; ``first_a`` and ``first_b`` are the groups' first tokens."""
+        n = len(first_a)
+        in_a, in_b = np.diff(first_a, append=len(ids_a)), np.diff(first_b, append=len(ids_b))
+        side = np.concatenate([np.repeat(2 * np.arange(n), in_a), np.repeat(2 * np.arange(n) + 1, in_b)])
+        order = np.argsort(side, kind="stable")
+        ids, side = np.concatenate([ids_a, ids_b])[order], side[order]
+        text = gathered(*self._decimal, ids)
+        last = np.cumsum(np.diff(self._decimal[1])[ids]) - 1  # the comma after each id
+        final = np.flatnonzero(np.diff(side, append=-1) != 0)
+        text[last[final]] = np.where(side[final] % 2, ord(";"), ord("|"))
+        group_at = np.concatenate([[0], last[final][1::2] + 1])
+        return text.tobytes(), group_at[cut_at]
+
+    def learn(self, wanted: set[str]) -> None:
         if len(self._known) > self._held:
             self._known = {}
         new = sorted(wanted.difference(self._known))
@@ -149,22 +183,59 @@ class Aligner:
             while to < len(new) and (to == at or chars + len(new[to]) <= BATCH_CHARS):
                 chars += len(new[to])
                 to += 1
-            self._known.update(zip(new[at:to], self.align(new[at:to]), strict=True))
+            self._known.update(self.align(new[at:to]))
+            at = to
+
+    def texts(self, texts: list[str]):
+        """For each text the alignments of the units of a space and it, in order; None where the whole has none. Units of short texts are learned together."""
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and chars + len(texts[to]) <= STRETCH:
+                chars += len(texts[to])
+                to += 1
+            if to == at or not self._alone:
+                yield self._long(texts[at])
+                at += 1
+                continue
+            cut = [units(" " + t) if t else [] for t in texts[at:to]]
+            self.learn(set(chain.from_iterable(cut)))
+            get = self._known.__getitem__
+            for text, us in zip(texts[at:to], cut, strict=True):
+                yield self._whole(text, list(map(get, us)))
             at = to
 
-    def text(self, text: str):
-        """The alignments of the units of a space and ``text``, in order; None where the whole has none."""
-        if not text:
-            return None
-        out: list[Aligned] = []
+    def _long(self, text: str) -> list[Aligned] | None:
+        out: list[Aligned | None] = []
         for part in stretches(" " + text) if self._alone else ():
             us = units(part)
-            self._learn(set(us))
+            self.learn(set(us))
             out += map(self._known.__getitem__, us)
-        if self._alone and None not in out:
-            return out
-        whole = self.align([" " + text])[0]  # bytes that differ in one unit could still be equal on the whole
-        return None if whole is None else [whole]
+        return self._whole(text, out)
+
+    def _whole(self, text: str, found: list[Aligned | None]) -> list[Aligned] | None:
+        if not text or found and None not in found:
+            return found
+        own = self.align([" " + text])[" " + text]  # bytes that differ in one unit could still be equal on the whole
+        return None if own is None else [own]
+
+
+def _byte_level(path: str):
+    """The bytes of each id of a byte-level BPE's JSON file, and its encoding; special tokens have no ids here, so that their strings are plain text."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, merges = spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    special = {t["content"] for t in spec["added_tokens"]}
+    own = {c: b for b, c in enumerate(byte_letters())}
+    ranks = {bytes(map(own.__getitem__, name)): k for name, k in vocab.items() if name not in special}
+    joined = [vocab["".join(m)] for m in merges]
+    if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or joined != sorted(joined):
+        raise ValueError("only a byte-level BPE whose ids rise with its merges is supported")
+    names = {k: name for name, k in ranks.items()}
+    return [names.get(k, b"") for k in range(max(names) + 1)], tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _table(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,13 +262,14 @@ class _Block:
         self._links.append(b"".join([x.links for x in found]))
 
     def record(self, block: int, kind: str) -> pa.RecordBatch:
-        links = np.frombuffer(b"".join(self._links), kind)
-        pairs, places, counts = np.unique(links, return_inverse=True, return_counts=True)
+        links = pa.array(np.frombuffer(b"".join(self._links), kind)).dictionary_encode()
+        pairs, places = links.dictionary.to_numpy(), links.indices.to_numpy()
+        counts = np.bincount(places, minlength=len(pairs))
         places = places.astype("<u2" if len(pairs) <= 1 << 16 else "<u4").tobytes()
-        docs = pa.array([dict(zip(_DOC.names, r, strict=True)) for r in self.rows], pa.struct(_DOC))
+        docs = [dict(zip(_DOC.names, r, strict=True)) for r in self.rows]
         return pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([docs.to_pylist()], pa.list_(pa.struct(_DOC))), pa.array([places], pa.binary()),
-             pa.array([pairs.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], ["block", "docs", "places", "pairs", "counts"])
+            [pa.array([block], pa.int64()), pa.array([docs], pa.list_(pa.struct(_DOC))), pa.array([places], pa.binary()),
+             pa.array([pairs.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64()))], ["block", "docs", "places", "pairs", "counts"])
 
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())])
@@ -210,16 +282,16 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, block_chars: int =
 
     def run(batches):
         aligner, first, k = Aligner(a_path, b_path), TaskContext.get().partitionId() << 32, 0
-        kind = "<u4" if len(aligner._names) * aligner.b_size <= 1 << 32 else "<u8"
         block = _Block()
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            texts = batch.column("text").to_pylist()
+            for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts, aligner.texts(texts), strict=True):
                 if block.rows and block.chars + len(text) > block_chars:
-                    yield block.record(first + k, kind)
+                    yield block.record(first + k, aligner.kind)
                     block, k = _Block(), k + 1
-                block.add(doc, text, aligner.text(text))
+                block.add(doc, text, found)
         if block.rows:
-            yield block.record(first + k, kind)
+            yield block.record(first + k, aligner.kind)
 
     return docs.mapInArrow(run, f"block bigint, docs array<struct<{_DOC_DDL.replace(' ', ':').replace(',:', ', ')}>>, places binary, pairs array<bigint>, counts array<bigint>")
 
