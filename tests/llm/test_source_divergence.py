@@ -86,6 +86,14 @@ def test_counts_given_out_early_add_up(spark):
     assert ("en", "b", "two", 60, 30) in small and ("en", "b", None, 0, 0) in small
 
 
+def test_batches_of_any_number_of_terms(monkeypatch):
+    monkeypatch.setattr(source_divergence, "ROWS", 2)
+    for k in range(6):
+        found = {("en", ""): (Counter({b"t%d" % i: 1 for i in range(k)}), Counter({b"t%d" % i: 1 for i in range(k)}))}
+        batches = list(source_divergence._given(found))
+        assert len({b.schema for b in batches}) == 1 and sum(b.num_rows for b in batches) == k + 1
+
+
 def test_terms_are_those_of_the_pattern():
     pattern, rnd = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+"), random.Random(3)
     for _ in range(500):

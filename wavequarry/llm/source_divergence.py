@@ -25,6 +25,8 @@ DIGIT_BITS, DIGITS = 10, 3
 DIGIT_BYTES = 2
 #: Term counts that a task holds before it gives them out.
 HELD = 300_000
+#: Rows of a batch that a task gives out.
+ROWS = 10_000
 #: Parts that the rows of one group are dealt to where they meet the group's own figures.
 SALTS = 32
 
@@ -70,12 +72,12 @@ def _given(found: dict[tuple[str, str], tuple[Counter, Counter]]):
     names = ["lang", "source", "term", "n", "docs"]
     for (lang, source), (n, in_docs) in found.items():
         terms = list(n)
-        for a in range(0, len(terms) + 1, 10_000):
-            own = terms[a:a + 10_000]
+        for a in range(0, max(1, len(terms)), ROWS):
+            own = terms[a:a + ROWS]
             term, counts, docs = [t.decode() for t in own], [n[t] for t in own], [in_docs[t] for t in own]
             if a == 0:
                 term, counts, docs = [None, *term], [0, *counts], [0, *docs]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(term)), pa.array([source] * len(term)), pa.array(term, pa.string()),
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(term), pa.string()), pa.array([source] * len(term), pa.string()), pa.array(term, pa.string()),
                                               pa.array(counts, pa.int64()), pa.array(docs, pa.int64())], names)
 
 
