@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wavequarry.functions import dsp
 from wavequarry.operators import chunks, folds
 
-SIZES = (16, 64, 100, 1000)
+SIZES = (16, 100)
 
 
 def frame(spark, signals):
@@ -68,7 +68,7 @@ def test_recursions_equal_the_fold_at_every_size(spark, signals):
     for size in SIZES:
         packed = chunks.pack(frame(spark, signals), size).persist()
         for name, system in systems.items():
-            for fan in (2, 1024):
+            for fan in (2,) if size == 16 else (1024,):
                 got = arrays(chunks.unpack(chunks.linear(packed, system, size, fan), size))
                 assert set(got) == set(signals)
                 for k, x in signals.items():
@@ -115,7 +115,7 @@ def test_a_missing_chunk_is_silence_in_the_scan(spark):
 def test_zero_phase_equals_the_whole_channel(spark, signals):
     sections = dsp.butterworth(2, 100, 4800)
     own = {**signals, ("c", "short"): np.arange(9.0), ("c", "just"): np.arange(10.0) ** 2, ("c", "split"): np.random.default_rng(4).standard_normal(65)}
-    for size in (16, 64, 1000):
+    for size in (16, 1000):
         got = arrays(chunks.unpack(chunks.zero_phase(chunks.pack(frame(spark, own), size), sections, size), size))
         for k, x in own.items():
             assert np.abs(got[k] - dsp.zero_phase(sections, x)).max() < 1e-9, (size, k)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wavequarry.operators.frames import BANDS, FrameEngine, bands_of, frame_mask_stream, frame_masks
+from wavequarry.operators.frames import BANDS, EPS, FrameEngine, bands_of, frame_mask_stream, frame_masks
 from wavequarry.streaming.signals import running_mean, to_table
 
 RATE, SIZE = 8000, 64
@@ -35,12 +35,12 @@ def plain(l, r):
         else:
             nxt = []
             for (p, q, s), (x, y, z) in zip(state, fresh):
-                gamma = min(1, abs(p) ** 2 / (q * s + 1e-12))
-                c = 0.25 if (x * p.conjugate()).real / (abs(x) * abs(p) + 1e-12) >= gamma**0.5 else 0.75
+                gamma = min(1, abs(p) ** 2 / (q * s + EPS))
+                c = 0.25 if (x * p.conjugate()).real / (abs(x) * abs(p) + EPS) >= gamma**0.5 else 0.75
                 nxt.append((c * p + (1 - c) * x, 0.6 * q + 0.4 * y, 0.6 * s + 0.4 * z))
             state = nxt
-        rows[0] = [min(1, abs(p) ** 2 / (q * s + 1e-12)) for p, q, s in state]
-        rows[1] = [max(0, min(1, p.real / ((q * s) ** 0.5 + 1e-12))) for p, q, s in state]
+        rows[0] = [min(1, abs(p) ** 2 / (q * s + EPS)) for p, q, s in state]
+        rows[1] = [max(0, min(1, p.real / ((q * s) ** 0.5 + EPS))) for p, q, s in state]
         m = abs(a) + abs(b)
         if before is not None:
             scores, centres = [], []
@@ -48,14 +48,14 @@ def plain(l, r):
                 own = [j for j in range(bins) if edges[i] <= hz[j] < edges[i + 1]]
                 flux = sum(max(0.0, m[j] - before[j]) for j in own)
                 energy[i] = 0.85 * energy[i] + 0.15 * flux
-                scores.append(min(1.0, flux / (2.5 * energy[i] + 1e-12)))
+                scores.append(min(1.0, flux / (2.5 * energy[i] + EPS)))
                 centres.append((own[0] + own[-1]) / 2 if own else (edges[i] + edges[i + 1]) / 2 / (RATE / 2) * (bins - 1))
             rows[2] = np.interp(np.arange(bins), centres, scores)
         before = m
         h = m / 2
         mirrored = [abs(j) if j < bins else 2 * (bins - 1) - j for j in range(-8, bins + 8)]
         floor = np.array([np.median([h[mirrored[j + d]] for d in range(17)]) for j in range(bins)])
-        raw = np.clip((h - floor) / (floor + 1e-12), 0, 1)
+        raw = np.clip((h - floor) / (floor + EPS), 0, 1)
         mask = raw if mask is None else 0.7 * mask + 0.3 * raw
         rows[3] = mask
         out.append(rows)

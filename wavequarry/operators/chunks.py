@@ -89,16 +89,18 @@ def before_of(halo, taps: int) -> np.ndarray:
     return np.concatenate([np.zeros(taps - len(halo)), halo])
 
 
-def fir(chunks: DataFrame, taps: np.ndarray, size: int = SIZE, dry: float = 0.0) -> DataFrame:
-    """Each chunk through a filter of taps, of any number; ``dry`` of the signal stays besides (1 - dry) of the filtered one."""
+def fir(chunks: DataFrame, taps: np.ndarray, size: int = SIZE, dry: float = 0.0, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Each chunk through a filter of taps, of any number; ``dry`` of the signal stays besides (1 - dry) of the filtered one. Channels in ``skip`` pass."""
     taps = np.asarray(taps, np.float64)
     back = len(taps) - 1
 
-    def run(x, halo):
+    def run(x, halo, channel):
+        if channel in skip:
+            return x
         wet = dsp.fir_filter(taps, np.concatenate([before_of(halo, back), x]))[back:]
         return dry * x + (1 - dry) * wet if dry else wet
 
-    return mapped(with_halo(chunks, back, size), run, "halo")
+    return mapped(with_halo(chunks, back, size), run, "halo", "channel")
 
 
 def true_peaks(chunks: DataFrame, size: int = SIZE) -> DataFrame:
@@ -240,13 +242,15 @@ def carries(chunks: DataFrame, system: Linear, size: int = SIZE, fan: int = FAN,
     return ends.join(starts, [*KEYS, "group"]).groupBy(*KEYS, "group").applyInPandas(spread, kind.format("chunk", "state"))
 
 
-def linear(chunks: DataFrame, system: Linear, size: int = SIZE, fan: int = FAN, gaps: bool = True) -> DataFrame:
-    """A linear recursion over every channel, by two passes over the chunks and a scan between them."""
+def linear(chunks: DataFrame, system: Linear, size: int = SIZE, fan: int = FAN, gaps: bool = True, skip: tuple[str, ...] = ()) -> DataFrame:
+    """A linear recursion over every channel, by two passes over the chunks and a scan between them. Channels in ``skip`` pass."""
 
-    def run(x, chunk, state):
+    def run(x, chunk, state, channel):
+        if channel in skip:
+            return x
         return system.result(x, system.start(x) if chunk == 0 else np.asarray(state, float))
 
-    return mapped(chunks.join(carries(chunks, system, size, fan, gaps), [*KEYS, "chunk"]), run, "chunk", "state")
+    return mapped(chunks.join(carries(chunks, system, size, fan, gaps), [*KEYS, "chunk"]), run, "chunk", "state", "channel")
 
 
 def zero_phase(chunks: DataFrame, sections: np.ndarray, size: int = SIZE, fan: int = FAN) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wavequarry.catalog import OUTPUT_LAYOUTS
 from wavequarry.functions import dsp
-from wavequarry.operators.mastering import elevate, per_channel
+from wavequarry.operators.mastering import elevate, low_pass
 
 # The centre's downmix coefficient, a reflection's dry and wet share and its delay, gains, delays of right-hand channels in ms.
 CENTER = 0.7071067811865476
@@ -86,17 +86,13 @@ def tapped(signal: DataFrame, taps: dict[str, Taps]) -> DataFrame:
     if not taps:
         return signal.where("false")
     table = [(source, target, later, gain) for target, own in taps.items() for (source, later), gain in own.items()]
+    # before a delayed channel's first tap there is silence: its source, undelayed and without gain
+    table += [(min(own)[0], target, 0, 0.0) for target, own in taps.items() if own and min(later for _, later in own) > 0]
     spark = signal.sparkSession
     ends = signal.groupBy("asset").agg(F.max("n").alias("end"))
     sent = (signal.join(F.broadcast(spark.createDataFrame(table, "channel string, target string, later bigint, gain double")), "channel")  # at most a few dozen taps
             .select("asset", F.col("target").alias("channel"), (F.col("n") + F.col("later")).alias("n"), (F.col("x") * F.col("gain")).alias("x")))
     summed = sent.groupBy("asset", "channel", "n").agg(F.sum("x").alias("x")).join(ends, "asset").where("n <= end").drop("end")
-    # before a delayed channel's first tap there is silence
-    first = {c: min(k for _, k in own) for c, own in taps.items() if own}
-    silent = [(c, k) for c, late in first.items() for k in range(late)]
-    if silent:
-        head = signal.select("asset").distinct().join(F.broadcast(spark.createDataFrame(silent, "channel string, n bigint"))).join(ends, "asset").where("n <= end")
-        summed = summed.union(head.select("asset", "channel", "n", F.lit(0e0).alias("x")))
     return summed
 
 
@@ -109,7 +105,7 @@ def derive(signal: DataFrame, layout: str, have: set[str], rate: float, gains: G
     plain = added.where(~F.col("channel").isin("LFE", *heights))
     parts = [plain]
     if "LFE" in found:
-        parts.append(per_channel(added.where("channel = 'LFE'"), lambda x: dsp.sos_filter(low, x)[0], ()))
+        parts.append(low_pass(added.where("channel = 'LFE'"), low))
     if heights:
         parts.append(elevate(added.where(F.col("channel").isin(*heights)), rate))
     new = parts[0]

@@ -19,7 +19,7 @@ from wavequarry.functions import dsp
 # Weights of the old value in the running cross-spectrum (attack, release), auto-spectra, band flux and harmonic mask;
 # the transient threshold's factor; bands; the median's half width.
 ATTACK, RELEASE, AUTO, FLUX, HARMONIC = 0.25, 0.75, 0.6, 0.85, 0.7
-SENSITIVITY, BANDS, HALF_WIDTH, EPS = 2.5, 8, 8, 1e-12
+SENSITIVITY, BANDS, HALF_WIDTH, EPS = 2.5, 10, 8, 1e-10
 
 SCHEMA = "asset string, frame bigint, bin int, gamma double, direct double, transient double, harmonic double"
 
@@ -55,8 +55,14 @@ class FrameEngine:
 
     def push(self, l: np.ndarray, r: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """``(frame, values)`` of each frame that is now whole; values has a row for gamma, direct, transient and harmonic."""
+        return [(k, values) for k, values, _, _ in self.push_spectra(l, r)]
+
+    def push_spectra(self, l: np.ndarray, r: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The same, with the frame's two spectra."""
         if self.flushed:
             raise ValueError("no input after the flush")
+        if len(l) != len(r):
+            raise ValueError("both sides must have as many samples")
         rest = np.concatenate([self._rest, np.stack([l, r])], axis=1)
         whole = rest.shape[1] // self.hop * self.hop
         self._rest = rest[:, whole:]
@@ -64,17 +70,20 @@ class FrameEngine:
 
     def flush(self) -> list[tuple[int, np.ndarray]]:
         """Silence up to a hop and then the frame's length but a hop, once."""
+        return [(k, values) for k, values, _, _ in self.flush_spectra()]
+
+    def flush_spectra(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         if self.flushed:
             return []
         pad = np.zeros(-self._rest.shape[1] % self.hop + self.size - self.hop)
-        out = self.push(pad, pad)
+        out = self.push_spectra(pad, pad)
         self.flushed = True
         return out
 
-    def _step(self, hop: np.ndarray) -> tuple[int, np.ndarray]:
+    def _step(self, hop: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         self._held = np.concatenate([self._held[:, self.hop:], hop], axis=1)
         left, right = np.fft.rfft(self._held * self._window, axis=1)
-        out = self.frame, np.stack([*self._coherence(left, right), self._transient(left, right), self._harmonic(left, right)])
+        out = self.frame, np.stack([*self._coherence(left, right), self._transient(left, right), self._harmonic(left, right)]), left, right
         self.frame += 1
         return out
 

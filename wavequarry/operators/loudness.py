@@ -20,49 +20,64 @@ def channel_weight(channel: F.Column) -> F.Column:
     return out
 
 
+def _asset(df: DataFrame) -> list[str]:
+    return ["asset"] * ("asset" in df.columns)
+
+
 def block_energy(signal: DataFrame, block: int, hop: int) -> DataFrame:
-    """Mean square of every complete overlapping block of each channel.
+    """Mean square of every complete overlapping block of each channel, by asset too if there is one.
 
     Each hop-wide bin is summed once and the bins are then dealt to the
     ``block / hop`` blocks they belong to, so only bins, not samples, multiply.
     """
     if block % hop:
         raise ValueError("block must be a multiple of hop")
-    per = block // hop
+    per, own = block // hop, [*_asset(signal), "channel"]
     bins = (
-        signal.groupBy("channel", F.expr(f"n div {hop}").alias("bin"))
+        signal.groupBy(*own, F.expr(f"n div {hop}").alias("bin"))
         .agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.count("*").alias("c"))
     )
     spread = bins.withColumn(
         "block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bin") - (per - 1)), F.col("bin"))))
     return (
-        spread.groupBy("channel", "block")
+        spread.groupBy(*own, "block")
         .agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
         .where(F.col("c") == block)
-        .select("channel", "block", (F.col("e") / block).alias("ms"))
+        .select(*own, "block", (F.col("e") / block).alias("ms"))
     )
 
 
 def block_loudness(signal: DataFrame, block: int, hop: int) -> DataFrame:
-    """Weighted power per block, over blocks that every measurable channel has."""
+    """Weighted power per block, over blocks that every measurable channel of the asset has."""
+    own = _asset(signal)
     weighted = block_energy(signal, block, hop).withColumn("w", channel_weight(F.col("channel"))).where("w > 0")
-    channels = weighted.groupBy("channel").agg(F.count("*").alias("k")).agg(F.min("k").alias("blocks"))
-    summed = weighted.groupBy("block").agg(F.sum(F.col("w") * F.col("ms")).alias("p"))
-    power = F.greatest(F.col("p"), F.lit(1e-30))
+    shortest = weighted.groupBy(*own, "channel").agg(F.count("*").alias("k")).groupBy(*own).agg(F.min("k").alias("blocks"))
+    summed = weighted.groupBy(*own, "block").agg(F.sum(F.col("w") * F.col("ms")).alias("p"))
     return (
-        summed.join(F.broadcast(channels), F.col("block") < F.col("blocks"))
-        .select("block", "p", (OFFSET + 10e0 * F.log10(power)).alias("lkfs"))
+        _each(summed, shortest, own).where("block < blocks")
+        .select(*own, "block", "p", _lkfs("p").alias("lkfs"))
     )
 
 
 def integrated_loudness(signal: DataFrame, block: int = 40, hop: int = 10) -> DataFrame:
-    """One row ``(lkfs, gated_blocks)``; -70 where nothing passes the gate."""
-    loud = block_loudness(signal, block, hop).where(F.col("lkfs") >= ABSOLUTE_GATE)
-    first = loud.agg(F.avg("p").alias("mean_p"))
-    gate = first.select((OFFSET + 10e0 * F.log10(F.greatest("mean_p", F.lit(1e-30))) + RELATIVE_GATE).alias("gate"))
-    tagged = loud.join(F.broadcast(gate), F.col("lkfs") >= F.col("gate"))
-    total = tagged.agg(F.avg("p").alias("mean_p"), F.count("*").alias("gated_blocks"))
+    """``([asset,] lkfs, gated_blocks)``: one row, or one for each asset; -70 where nothing passes the gate."""
+    own = _asset(signal)
+    blocks = block_loudness(signal, block, hop)
+    loud = blocks.where(F.col("lkfs") >= ABSOLUTE_GATE)
+    gate = loud.groupBy(*own).agg((_lkfs(F.avg("p")) + RELATIVE_GATE).alias("gate"))
+    total = _each(loud, gate, own).where("lkfs >= gate").groupBy(*own).agg(F.avg("p").alias("mean_p"), F.count("*").alias("gated_blocks"))
+    if own:  # an asset whose blocks are all below the gate, or that has none
+        total = signal.select(*own).distinct().join(total, own, "left")
     return total.select(
-        F.round(F.coalesce(OFFSET + 10e0 * F.log10(F.greatest("mean_p", F.lit(1e-30))), F.lit(-70e0)), 6).alias("lkfs"),
-        F.col("gated_blocks").cast("bigint").alias("gated_blocks"),
+        *own, F.round(F.coalesce(_lkfs("mean_p"), F.lit(-70e0)), 6).alias("lkfs"),
+        F.coalesce("gated_blocks", F.lit(0)).cast("bigint").alias("gated_blocks"),
     )
+
+
+def _lkfs(power) -> F.Column:
+    return OFFSET + 10e0 * F.log10(F.greatest(power, F.lit(1e-30)))
+
+
+def _each(rows: DataFrame, figures: DataFrame, own: list[str]) -> DataFrame:
+    """Rows with their asset's figures; without assets there is one row of figures."""
+    return rows.join(figures, own) if own else rows.join(F.broadcast(figures))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,27 +13,28 @@ from pyspark.sql import functions as F
 
 from wavequarry.catalog import COMPRESSOR_PROFILES, EQ_PROFILES, STEM_EQ_PROFILES
 from wavequarry.functions import dsp
+from wavequarry.operators import chunks
+from wavequarry.operators.folds import envelope_system
 from wavequarry.operators.loudness import CHANNEL_WEIGHTS
 
+#: Channels that pass what is done to the others.
+LOW = ("LFE",)
 _SIGNAL = "asset string, channel string, n bigint, x double"
 
 
-def per_channel(signal: DataFrame, fn, skip: tuple[str, ...] = ("LFE",)) -> DataFrame:
-    """Each channel's samples, in order, through ``fn``; channels in ``skip`` pass. One task holds one channel of one asset."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        if pdf["channel"].iloc[0] not in skip:
-            pdf = pdf.assign(x=fn(pdf["x"].to_numpy(np.float64)))
-        return pdf
-
-    return signal.select("asset", "channel", "n", "x").groupBy("asset", "channel").applyInPandas(run, _SIGNAL)
+def on_chunks(fn: Callable[[DataFrame], DataFrame], size: int = chunks.SIZE) -> Callable[[DataFrame], DataFrame]:
+    """A step on chunk rows as one on samples."""
+    return lambda signal: chunks.unpack(fn(chunks.pack(signal, size)), size)
 
 
 def equalise(signal: DataFrame, points: list[tuple[float, float]], rate: float, amount: float = 1.0) -> DataFrame:
     """An EQ curve, blended with the dry signal; the low-frequency channel passes."""
-    taps, a = dsp.fir_from_breakpoints(points, rate), min(1.0, max(0.0, amount))
-    return signal if not a else per_channel(signal, lambda x: (1 - a) * x + a * dsp.fir_filter(taps, x))
+    return on_chunks(lambda rows: equalise_chunks(rows, points, rate, amount))(signal)
+
+
+def equalise_chunks(rows: DataFrame, points: list[tuple[float, float]], rate: float, amount: float = 1.0, size: int = chunks.SIZE) -> DataFrame:
+    a = min(1.0, max(0.0, amount))
+    return rows if not a else chunks.fir(rows, dsp.fir_from_breakpoints(points, rate), size, 1 - a, LOW)
 
 
 def stem_eq(stems: DataFrame, profiles: dict[str, str], rate: float, taps: int = 511) -> DataFrame:
@@ -54,66 +56,93 @@ def stem_eq(stems: DataFrame, profiles: dict[str, str], rate: float, taps: int =
 
 def compress(signal: DataFrame, profile: str, rate: float) -> DataFrame:
     """One gain for all channels of an asset, from their joint level; the low-frequency channel passes."""
+    return on_chunks(lambda rows: compress_chunks(rows, profile, rate))(signal)
+
+
+def compress_chunks(rows: DataFrame, profile: str, rate: float, size: int = chunks.SIZE) -> DataFrame:
+    """The channels of a chunk give its level; the level's two followers go on from chunk to chunk; the gains go back to the channels."""
     threshold, ratio, attack, release, knee, makeup = COMPRESSOR_PROFILES[profile]
     if ratio < 1:
         raise ValueError("a ratio is 1 at least")
     if ratio == 1:
-        return signal
+        return rows
     fast, slow = (1 - np.exp(-1000.0 / (rate * ms)) for ms in (attack, release))
 
-    level = signal.where("channel <> 'LFE'").groupBy("asset", "n").agg(F.sqrt(F.avg(F.col("x") * F.col("x")) + 1e-20).alias("level"))
+    def joint(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        power, count = np.zeros(pdf["x"].map(len).max()), np.zeros(pdf["x"].map(len).max())
+        for x in pdf.sort_values("channel")["x"]:
+            power[:len(x)] += np.square(x)
+            count[:len(x)] += 1
+        return pd.DataFrame({"asset": [key[0]], "channel": ["level"], "chunk": [key[1]], "x": [np.sqrt(power / count + 1e-20)]})
 
-    def gains(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        a = b = 0.0
-        env = np.empty(len(pdf))
-        for k, v in enumerate(pdf["level"].tolist()):
-            a, b = a + fast * (v - a), b + slow * (v - b)
-            env[k] = max(a, b)
+    def gain(env):
         over = 20 * np.log10(np.maximum(env, 1e-10)) - threshold
         bend = over + knee / 2
         g = np.where(over < -knee / 2, 0.0, np.where(over > knee / 2, (1 / ratio - 1) * over, (1 / ratio - 1) * bend * bend / (2 * knee)))
-        return pd.DataFrame({"asset": pdf["asset"], "n": pdf["n"], "g": 10 ** ((g + makeup) / 20)})
+        return 10 ** ((g + makeup) / 20)
 
-    gain = level.groupBy("asset").applyInPandas(gains, "asset string, n bigint, g double")
-    return signal.join(gain, ["asset", "n"], "left").select(
-        "asset", "channel", "n", F.when(F.col("channel") == "LFE", F.col("x")).otherwise(F.col("x") * F.coalesce("g", F.lit(1.0))).alias("x"))
+    level = rows.where("channel <> 'LFE'").groupBy("asset", "chunk").applyInPandas(joint, chunks.CHUNKS)
+    gains = chunks.mapped(chunks.linear(level, envelope_system(fast, slow), size), gain)
+    both = rows.join(gains.select("asset", "chunk", F.col("x").alias("gain")), ["asset", "chunk"], "left")
+    return chunks.mapped(both, lambda x, g, channel: x if channel in LOW or g is None else x * np.asarray(g)[:len(x)], "gain", "channel")
 
 
 def loudness(signal: DataFrame, rate: int) -> DataFrame:
     """``(asset, lkfs, dbtp)`` of K-weighted, gated blocks, and the peak between samples."""
+    return measure(chunks.pack(signal), rate)
+
+
+def measure(rows: DataFrame, rate: int, size: int = chunks.SIZE) -> DataFrame:
+    """``loudness`` of chunk rows: peaks from chunks with halos; each chunk gives its share of the energy of the blocks it meets."""
+    peaks = chunks.true_peaks(rows, size).groupBy("asset").agg((20e0 * F.log10(F.greatest(F.max("peak"), F.lit(1e-30)))).alias("dbtp"))
+    return peaks.join(_integrated(rows, rate, size), "asset", "left").select("asset", F.coalesce("lkfs", F.lit(-70.0)).alias("lkfs"), "dbtp")
+
+
+def integrated(signal: DataFrame, rate: int) -> DataFrame:
+    """L1, L2: ``(asset, lkfs)`` without the peak; assets in which no block passes the gate are left out."""
+    return _integrated(chunks.pack(signal), rate)
+
+
+def _integrated(rows: DataFrame, rate: int, size: int = chunks.SIZE) -> DataFrame:
     block, hop = int(0.4 * rate), int(0.1 * rate)
-    sections, phases = dsp.k_weighting(rate), dsp.true_peak_phases()
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        x, channel = pdf["x"].to_numpy(np.float64), pdf["channel"].iloc[0]
-        padded = np.concatenate([np.zeros(phases.shape[1] - 1), x, np.zeros(phases.shape[1] - 1)])
-        peak = max((float(np.abs(dsp.fir_filter(p, padded)).max()) for p in phases), default=0.0)
-        energy = []
-        if CHANNEL_WEIGHTS.get(channel, 0.0) and len(x) >= block:
-            total = np.concatenate([[0.0], np.cumsum(dsp.sos_filter(sections, x)[0] ** 2)])
-            at = np.arange(0, len(x) - block + 1, hop)
-            energy = (CHANNEL_WEIGHTS[channel] * (total[at + block] - total[at]) / block).tolist()
-        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "channel": [channel], "peak": [peak], "blocks": [energy]})
-
-    each = signal.select("asset", "channel", "n", "x").groupBy("asset", "channel").applyInPandas(measure, "asset string, channel string, peak double, blocks array<double>")
-    peaks = each.groupBy("asset").agg((20e0 * F.log10(F.greatest(F.max("peak"), F.lit(1e-30)))).alias("dbtp"))
-    usable = each.where(F.size("blocks") > 0)
-    shortest = usable.groupBy("asset").agg(F.min(F.size("blocks")).alias("k"))
-    power = (usable.join(shortest, "asset").select("asset", "k", F.posexplode("blocks").alias("b", "e")).where("b < k")
-             .groupBy("asset", "b").agg(F.sum("e").alias("p")).withColumn("l", -0.691 + 10 * F.log10(F.greatest("p", F.lit(1e-30)))).where("l >= -70"))
+    def shares(batches):
+        for pdf in batches:
+            parts = []
+            for asset, channel, chunk, y in zip(pdf["asset"], pdf["channel"], pdf["chunk"], pdf["x"], strict=True):
+                total, start = np.concatenate([[0.0], np.cumsum(np.square(y))]), chunk * size
+                own = np.arange(max(0, (start - block) // hop + 1), (start + len(y) - 1) // hop + 1)
+                low, high = np.maximum(own * hop - start, 0), np.minimum(own * hop + block - start, len(y))
+                parts.append(pd.DataFrame({"asset": asset, "channel": channel, "block": own, "e": CHANNEL_WEIGHTS[channel] * (total[high] - total[low]) / block, "c": high - low}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"asset": [], "channel": [], "block": [], "e": [], "c": []})
+
+    heard = chunks.linear(rows.where(F.col("channel").isin(*(c for c, w in CHANNEL_WEIGHTS.items() if w))), chunks.series(dsp.k_weighting(rate)), size)
+    each = (heard.mapInPandas(shares, "asset string, channel string, block bigint, e double, c bigint").where("c > 0")
+            .groupBy("asset", "channel", "block").agg(F.sum("e").alias("e"), F.sum("c").alias("c")).where(F.col("c") == block))
+    shortest = each.groupBy("asset", "channel").agg(F.max("block").alias("k")).groupBy("asset").agg(F.min("k").alias("k"))
+    power = (each.groupBy("asset", "block").agg(F.sum("e").alias("p")).join(shortest, "asset").where("block <= k")
+             .withColumn("l", -0.691 + 10 * F.log10(F.greatest("p", F.lit(1e-30)))).where("l >= -70"))
     gate = power.groupBy("asset").agg((-0.691 + 10 * F.log10(F.avg("p")) - 10).alias("gate"))
-    lkfs = power.join(gate, "asset").where("l >= gate").groupBy("asset").agg((-0.691 + 10 * F.log10(F.avg("p"))).alias("lkfs"))
-    return peaks.join(lkfs, "asset", "left").select("asset", F.coalesce("lkfs", F.lit(-70.0)).alias("lkfs"), "dbtp")
+    return power.join(gate, "asset").where("l >= gate").groupBy("asset").agg((-0.691 + 10 * F.log10(F.avg("p"))).alias("lkfs"))
 
 
 def normalise(signal: DataFrame, rate: int, target: float, peak: float = -1.0, cap: float = 30.0) -> DataFrame:
     """The gain to the target loudness, none where nothing could be measured, less what would exceed the peak."""
-    measured = loudness(signal, rate)
+    return on_chunks(lambda rows: normalise_chunks(rows, rate, target, peak, cap)[0])(signal)
+
+
+def gain_to(measured: DataFrame, target: float, peak: float = -1.0, cap: float = 30.0) -> DataFrame:
+    """``(asset, pre_lkfs, gain_db, tp_limited)`` from ``measured(asset, lkfs, dbtp)``."""
     want = F.when(F.col("lkfs") <= -70, 0.0).otherwise(F.least(target - F.col("lkfs"), F.lit(cap)))
-    gain = measured.select("asset", (want - F.greatest(F.lit(0.0), F.col("dbtp") + want - peak)).alias("gain_db"))
-    return signal.join(gain, "asset").select("asset", "channel", "n", (F.col("x") * F.pow(F.lit(10.0), F.col("gain_db") / 20)).alias("x"))
+    excess = F.greatest(F.lit(0.0), F.col("dbtp") + want - peak)
+    return measured.select("asset", F.col("lkfs").alias("pre_lkfs"), (want - excess).alias("gain_db"), (excess > 0).alias("tp_limited"))
+
+
+def normalise_chunks(rows: DataFrame, rate: int, target: float, peak: float = -1.0, cap: float = 30.0, size: int = chunks.SIZE) -> tuple[DataFrame, DataFrame]:
+    """The rows at their gain, and ``(asset, pre_lkfs, gain_db, tp_limited, lkfs, dbtp)``, the last two measured again on these rows."""
+    gains = gain_to(measure(rows, rate, size), target, peak, cap)
+    done = chunks.mapped(rows.join(gains.select("asset", "gain_db"), "asset"), lambda x, g: x * 10 ** (g / 20), "gain_db")
+    return done, gains.join(measure(done, rate, size), "asset")
 
 
 @dataclass
@@ -134,21 +163,26 @@ class Chain:
     strength: float = 0.7
 
     def apply(self, signal: DataFrame) -> DataFrame:
-        from wavequarry.operators.scalar import soft_limit
-
         if self.reference is not None:
             signal = match(signal, self.reference, self.rate, self.strength)
+        rows = chunks.pack(signal)
+        done = self.on_rows(rows)
+        return signal if done is rows else chunks.unpack(done)
+
+    def on_rows(self, rows: DataFrame) -> DataFrame:
+        """The chain on chunk rows, but for the matching: the samples are shuffled once, when they are packed."""
         if self.eq:
-            signal = equalise(signal, EQ_PROFILES[self.eq] if isinstance(self.eq, str) else self.eq, self.rate)
+            rows = equalise_chunks(rows, EQ_PROFILES[self.eq] if isinstance(self.eq, str) else self.eq, self.rate)
         if self.compressor and self.compressor not in COMPRESSOR_PROFILES:
-            warnings.warn(f"no compressor profile {self.compressor}", stacklevel=2)
+            warnings.warn(f"no compressor profile {self.compressor}", stacklevel=3)
         elif self.compressor:
-            signal = compress(signal, self.compressor, self.rate)
+            rows = compress_chunks(rows, self.compressor, self.rate)
         if self.bass:
-            signal = bass(signal, self.bass, self.rate)
+            rows = bass_chunks(rows, self.bass, self.rate)
         if self.limit is not None:
-            signal = signal.withColumn("x", soft_limit(F.col("x"), self.limit))
-        return normalise(signal, self.rate, self.target) if self.target is not None else signal
+            knee = self.limit
+            rows = chunks.mapped(rows, lambda x: np.where(np.abs(x) > knee, np.sign(x) * (knee + (1 - knee) * np.tanh((np.abs(x) - knee) / max(1 - knee, 1e-12))), x))
+        return normalise_chunks(rows, self.rate, self.target)[0] if self.target is not None else rows
 
 
 def resample(signal: DataFrame, old: int, new: int) -> DataFrame:
@@ -169,52 +203,55 @@ _SIDES = {"FL": "FR", "SL": "SR", "BL": "BR", "TFL": "TFR", "TBL": "TBR"}
 
 def bass(signal: DataFrame, profile: str, rate: float) -> DataFrame:
     """Band gains below 80 and from 80 to 200 Hz, a mono low end, an exciter, and the low-frequency channel's trim."""
-    sub_db, mid_db, mono_hz, excite, lfe_db = BASS_PROFILES[profile]
-    sub, mid_low, mid_high = dsp.butterworth(2, SUB_HZ, rate), dsp.butterworth(2, MID_HZ, rate), dsp.butterworth(2, SUB_HZ, rate, "high")
-    g_sub, g_mid = 10 ** (sub_db / 20) - 1, 10 ** (mid_db / 20) - 1
+    return on_chunks(lambda rows: bass_chunks(rows, profile, rate))(signal)
 
-    def shape(x: np.ndarray) -> np.ndarray:
-        if sub_db:
-            x = x + g_sub * dsp.sos_filter(sub, x)[0]
-        if mid_db:
-            x = x + g_mid * dsp.sos_filter(mid_high, dsp.sos_filter(mid_low, x)[0])[0]
-        return x
 
-    if sub_db or mid_db:
-        signal = per_channel(signal, shape)
+def bass_chunks(rows: DataFrame, profile: str, rate: float, size: int = chunks.SIZE) -> DataFrame:
+    sub_db, mid_db, mono_hz, excite, lfe_db = BASS_PROFILES[profile]
+    sub, mid = dsp.butterworth(2, SUB_HZ, rate), np.concatenate([dsp.butterworth(2, MID_HZ, rate), dsp.butterworth(2, SUB_HZ, rate, "high")])
+    g_sub, g_mid = 10 ** (sub_db / 20) - 1, 10 ** (mid_db / 20) - 1
+    if sub_db:
+        rows = chunks.linear(rows, chunks.series(sub, out=lambda low, x: x + g_sub * low), size, skip=LOW)
+    if mid_db:
+        rows = chunks.linear(rows, chunks.series(mid, out=lambda band, x: x + g_mid * band), size, skip=LOW)
     if mono_hz:
-        low = dsp.butterworth(2, mono_hz, rate)
-        lows = per_channel(signal, lambda x: dsp.zero_phase(low, x)).where("channel <> 'LFE'")
+        lows = chunks.zero_phase(rows.where("channel <> 'LFE'"), dsp.butterworth(2, mono_hz, rate), size)
         twin = F.col("channel")
         for a, b in _SIDES.items():
             twin = F.when(F.col("channel") == a, b).when(F.col("channel") == b, a).otherwise(twin)
-        other = lows.select("asset", F.col("channel").alias("twin"), "n", F.col("x").alias("other"))
-        both = lows.withColumnRenamed("x", "low").withColumn("twin", twin).where("twin <> channel").join(other, ["asset", "twin", "n"])
-        signal = signal.join(both.select("asset", "channel", "n", "low", "other"), ["asset", "channel", "n"], "left").select(
-            "asset", "channel", "n", F.coalesce(F.col("x") + (F.col("other") - F.col("low")) / 2, F.col("x")).alias("x"))
+        other = lows.select("asset", F.col("channel").alias("twin"), "chunk", F.col("x").alias("other"))
+        both = lows.withColumnRenamed("x", "low").withColumn("twin", twin).where("twin <> channel").join(other, ["asset", "twin", "chunk"])
+        paired = rows.join(both.select("asset", "channel", "chunk", "low", "other"), ["asset", "channel", "chunk"], "left")
+
+        def together(x, low, other):
+            if low is None:
+                return x
+            n = min(len(low), len(other))
+            return np.concatenate([x[:n] + (np.asarray(other)[:n] - np.asarray(low)[:n]) / 2, x[n:]])
+
+        rows = chunks.mapped(paired, together, "low", "other")
     if excite:
-        signal = per_channel(signal, lambda x: x + 0.15 * np.tanh(3 * dsp.sos_filter(sub, x)[0]))
-    if lfe_db:
-        signal = signal.withColumn("x", F.when(F.col("channel") == "LFE", F.col("x") * 10 ** (lfe_db / 20)).otherwise(F.col("x")))
-    return signal
+        rows = chunks.linear(rows, chunks.series(sub, out=lambda low, x: x + 0.15 * np.tanh(3 * low)), size, skip=LOW)
+    trim = 10 ** (lfe_db / 20)
+    return chunks.mapped(rows, lambda x, channel: x * trim if channel in LOW else x, "channel") if lfe_db else rows
 
 
 def elevate(signal: DataFrame, rate: float, low_hz: float = 150.0, low_gain: float = 0.15, high_hz: float = 3000.0, high_gain: float = 1.5) -> DataFrame:
     """less below the low corner, more above the high one; for height channels."""
-    low, high = dsp.butterworth(1, low_hz, rate), dsp.butterworth(2, high_hz, rate, "high")
-
-    def shape(x: np.ndarray) -> np.ndarray:
-        thin = x - (1 - low_gain) * dsp.sos_filter(low, x)[0]
-        return thin + (high_gain - 1) * dsp.sos_filter(high, thin)[0]
-
-    return per_channel(signal, shape, ())
+    thin = chunks.series(dsp.butterworth(1, low_hz, rate), out=lambda low, x: x - (1 - low_gain) * low)
+    airy = chunks.series(dsp.butterworth(2, high_hz, rate, "high"), out=lambda high, x: x + (high_gain - 1) * high)
+    return on_chunks(lambda rows: chunks.linear(chunks.linear(rows, thin), airy))(signal)
 
 
 def derive_lfe(signal: DataFrame, rate: float, cutoff: float = 120.0) -> DataFrame:
     """the low-passed sum of the front pair as a channel of its own."""
-    low = dsp.butterworth(4, cutoff, rate)
     mono = signal.where("channel IN ('FL', 'FR')").groupBy("asset", "n").agg((F.sum("x") / 2).alias("x"))
-    return per_channel(mono.select("asset", F.lit("LFE").alias("channel"), "n", "x"), lambda x: dsp.sos_filter(low, x)[0], ())
+    return low_pass(mono.select("asset", F.lit("LFE").alias("channel"), "n", "x"), dsp.butterworth(4, cutoff, rate))
+
+
+def low_pass(signal: DataFrame, sections: np.ndarray) -> DataFrame:
+    """Every channel through second-order sections."""
+    return on_chunks(lambda rows: chunks.linear(rows, chunks.series(sections)))(signal)
 
 
 # By the reference's number of channels, which of them (or what mix of them) each output channel is held against.

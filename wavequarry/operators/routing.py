@@ -1,9 +1,8 @@
-"""Routing joins, downmixes and true peak (JN*, U5, U6, A13, A16, F4, K6)."""
+"""Routing joins and downmixes (JN*, U5, U6, A13, A16, K6)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HALF_POWER = 0.7071067811865476
@@ -22,7 +21,7 @@ def routes_for(stems: DataFrame, routes: DataFrame, known: DataFrame) -> DataFra
 
 def mix(routed: DataFrame, signal_cols: tuple[str, ...] = ("x",)) -> DataFrame:
     """JN3: what all stems send to each channel, summed per sample."""
-    return routed.groupBy("channel", "n").agg(*(F.sum(F.col("gain") * F.col(c)).alias(c) for c in signal_cols))
+    return routed.groupBy(*_asset(routed), "channel", "n").agg(*(F.sum(F.col("gain") * F.col(c)).alias(c) for c in signal_cols))
 
 
 def constant_power(energy: DataFrame) -> DataFrame:
@@ -58,12 +57,3 @@ def centroid(gains: DataFrame, labels: DataFrame) -> DataFrame:
     total = F.sum("w")
     at = lambda c, d: F.coalesce(F.when(total > 0, F.sum(F.col("w") * F.col(c)) / total), F.lit(d)).alias(c)
     return placed.withColumn("w", half).withColumn("side", F.explode(sides)).groupBy("key", "side").agg(at("px", 0e0), at("py", 1e0), at("pz", 0e0))
-
-
-def interpolated_peak(signal: DataFrame, phases: list[list[float]]) -> DataFrame:
-    """The greatest magnitude of each channel between samples, by a polyphase filter; ``phases[p][k]`` meets the sample k back."""
-    along = W.partitionBy("channel").orderBy("n")
-    depth = max(map(len, phases))
-    taps = signal.select("channel", *(F.coalesce(F.lag("x", k).over(along), F.lit(0e0)).alias(f"t{k}") for k in range(depth)))
-    values = [sum((F.col(f"t{k}") * h for k, h in enumerate(row)), F.lit(0e0)) for row in phases]
-    return taps.groupBy("channel").agg(F.max(F.greatest(*(F.abs(v) for v in values))).alias("peak"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavequarry.functions import dsp
+
 
 def _keys(df: DataFrame) -> list[str]:
     """What tells signals apart: asset and channel, as far as the relation has them."""
@@ -93,14 +96,23 @@ def crossfade(signal: DataFrame, spans: DataFrame, fade: int) -> DataFrame:
 
 def positive_flux(frames: DataFrame) -> DataFrame:
     """Rises from frame to frame in each bin, from ``frames(bin, frame, m)``; the first frame has none."""
-    before = F.lag("m").over(W.partitionBy("bin").orderBy("frame"))
+    before = F.lag("m").over(W.partitionBy(*_keys(frames), "bin").orderBy("frame"))
     return frames.withColumn("flux", F.when(before.isNull(), 0e0).otherwise(F.greatest(F.lit(0e0), F.col("m") - before)))
 
 
-def overlap_add(frames: DataFrame, hop: int) -> DataFrame:
-    """``frames(frame, values)`` laid ``hop`` apart and summed."""
-    return (frames.select("frame", F.posexplode("values").alias("i", "v"))
-            .groupBy((F.col("frame") * hop + F.col("i")).cast("bigint").alias("n")).agg(F.sum("v").alias("y")))
+def overlap_add(frames: DataFrame, hop: int, synthesis: list[float] | None = None) -> DataFrame:
+    """``frames([asset, channel,] frame, values)`` laid ``hop`` apart and summed, under a synthesis window if there is one."""
+    v = F.col("v")
+    if synthesis is not None:
+        v = v * F.element_at(F.array(*(F.lit(float(w)) for w in synthesis)), F.col("i") + 1)
+    return (frames.select(*_keys(frames), "frame", F.posexplode("values").alias("i", "v"))
+            .groupBy(*_keys(frames), (F.col("frame") * hop + F.col("i")).cast("bigint").alias("n")).agg(F.sum(v).alias("y")))
+
+
+def synthesis_window(size: int, hop: int) -> list[float]:
+    """The periodic Hann window over the sum of its own shifted squares: with it at both ends, frames that overlap add up to the signal."""
+    w = dsp.hann(size)
+    return (w / sum(np.roll(w * w, k * hop) for k in range(size // hop))).tolist()
 
 
 def preview(signal: DataFrame, length: int, start: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavequarry import catalog
-from wavequarry.operators import loudness, planning, routing
+from wavequarry.functions import dsp
+from wavequarry.operators import chunks, loudness, mastering, planning, routing
 from wavequarry.queries import query
 from wavequarry.signal import SIG_SQL, event_signal, table
 
@@ -82,25 +83,48 @@ def speaker_centroid(spark, sf_dir):
     return routing.centroid(gains, labels).select("key", "side", *(_r(F.col(c), c) for c in ("px", "py", "pz")))
 
 
-# a half-band windowed sinc, four phases of six
-_PHASES = [[0.0, 0.0, 1.0, 0.0, 0.0, 0.0], [0.02, -0.1, 0.85, 0.3, -0.09, 0.02], [0.02, -0.13, 0.61, 0.61, -0.13, 0.02], [0.02, -0.09, 0.3, 0.85, -0.1, 0.02]]
-_PHASE_SQL = ", ".join("abs(" + " + ".join(f"{h}e0 * t{k}" for k, h in enumerate(row)) + ")" for row in _PHASES)
+_PHASES = dsp.true_peak_phases()
+_DEPTH = _PHASES.shape[1]
+_PHASE_SQL = ", ".join("abs(" + " + ".join(f"{h!r}::DOUBLE * t{k}" for k, h in enumerate(row)) + ")" for row in _PHASES.tolist())
 
 
-@query("true_peak", _sig(", t AS (SELECT channel, " + ", ".join(f"coalesce(lag(x, {k}) OVER w, 0e0) AS t{k}" for k in range(6)) + " FROM sig WINDOW w AS (PARTITION BY channel ORDER BY n)) "
-                         f"SELECT channel, round(20e0 * log10(greatest(max(greatest({_PHASE_SQL})), 1e-30)), 6) AS dbtp FROM t GROUP BY 1"))
+def _peak_sql(signal: str) -> str:
+    """The greatest interpolated magnitude of each channel, with the eleven samples of silence that flush the filter."""
+    return (f"pad AS (SELECT channel, n, x FROM {signal} UNION ALL SELECT channel, top + k, 0e0 FROM (SELECT channel, max(n) AS top FROM {signal} GROUP BY 1) m CROSS JOIN range(1, {_DEPTH}) r(k)), "
+            "t AS (SELECT channel, " + ", ".join(f"coalesce(lag(x, {k}) OVER w, 0e0) AS t{k}" for k in range(_DEPTH)) + " FROM pad WINDOW w AS (PARTITION BY channel ORDER BY n)), "
+            f"tp AS (SELECT channel, max(greatest({_PHASE_SQL})) AS peak FROM t GROUP BY 1)")
+
+
+@query("true_peak", _sig(f", {_peak_sql('sig')} SELECT channel, round(20e0 * log10(greatest(peak, 1e-30)), 6) AS dbtp FROM tp"))
 def true_peak(spark, sf_dir):
-    peaks = routing.interpolated_peak(event_signal(spark, sf_dir), _PHASES)
+    """By chunks with halos."""
+    peaks = chunks.true_peaks(chunks.pack(event_signal(spark, sf_dir)))
     return peaks.select("channel", _r(20e0 * F.log10(F.greatest("peak", F.lit(1e-30))), "dbtp"))
 
 
-@query("normalize_gain", _sig(", p AS (SELECT max(abs(x)) AS peak, sqrt(avg(x * x)) AS rms FROM sig), g AS (SELECT least(-16e0 - 20 * log10(rms), 30e0) AS want, -1e0 - 20 * log10(peak) AS room FROM p) "
-                              "SELECT round(want, 6) AS wanted_db, round(least(want, room), 6) AS gain_db FROM g"))
+def _gate_sql(signal: str, out: str) -> str:
+    """Gated loudness of blocks of 40 at every 10 samples, as one row of ``out``."""
+    return (f"{out}_ex AS (SELECT channel, x, unnest(generate_series(greatest(0, (n - 40) // 10 + CASE WHEN n >= 40 THEN 1 ELSE 0 END), n // 10)) AS block FROM {signal}), "
+            f"{out}_c AS (SELECT channel, block, CASE WHEN channel = 'SL' THEN 141e-2 ELSE 1e0 END * sum(x * x) / 40 AS ms FROM {out}_ex WHERE channel <> 'LFE' GROUP BY 1, 2 HAVING count(*) = 40), "
+            f"{out}_b AS (SELECT block, sum(ms) AS p FROM {out}_c WHERE block < (SELECT min(k) FROM (SELECT count(*) AS k FROM {out}_c GROUP BY channel)) GROUP BY 1), "
+            f"{out}_g AS (SELECT p, -691e-3 + 10e0 * log10(greatest(p, 1e-30)) AS lk FROM {out}_b WHERE -691e-3 + 10e0 * log10(greatest(p, 1e-30)) >= -70), "
+            f"{out} AS (SELECT coalesce(-691e-3 + 10e0 * log10(greatest(avg(p), 1e-30)), -70e0) AS lkfs FROM {out}_g WHERE lk >= (SELECT -691e-3 + 10e0 * log10(avg(p)) - 10 FROM {out}_g))")
+
+
+@query("normalize_gain", _sig(f", {_gate_sql('sig', 'pre')}, {_peak_sql('sig')}, "
+                              "w AS (SELECT lkfs, least(-8e0 - lkfs, 30e0) AS want, (SELECT 20e0 * log10(max(peak)) FROM tp) AS tp FROM pre), "
+                              "gain AS (SELECT *, want - greatest(0e0, tp + want + 1) AS g FROM w), adj AS (SELECT channel, n, x * pow(10e0, g / 20) AS x FROM sig CROSS JOIN gain), "
+                              f"{_gate_sql('adj', 'post')} "
+                              "SELECT round(gain.lkfs, 6) AS pre_lkfs, round(g, 6) AS gain_db, tp + want > -1 AS tp_limited, round(tp + g, 6) AS dbtp, round(post.lkfs, 6) AS lkfs FROM gain CROSS JOIN post"))
 def normalize_gain(spark, sf_dir):
-    """L8 on plain levels: the gain to a target, held so that the peak stays below -1 dB."""
-    level = event_signal(spark, sf_dir).agg(F.max(F.abs("x")).alias("peak"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    want = F.least(-16e0 - 20 * F.log10("rms"), F.lit(30e0))
-    return level.select(_r(want, "wanted_db"), _r(F.least(want, -1e0 - 20 * F.log10("peak")), "gain_db"))
+    """The gain to a target loudness, held so that the true peak stays below -1 dB; both are measured again on what comes out."""
+    level = lambda rows: loudness.integrated_loudness(rows).select(F.lit("").alias("asset"), "lkfs", "gated_blocks")
+    peaks = lambda rows: chunks.true_peaks(rows).groupBy("asset").agg((20e0 * F.log10(F.max("peak"))).alias("dbtp"))
+    samples = event_signal(spark, sf_dir)
+    gains = mastering.gain_to(level(samples).join(peaks(chunks.pack(samples)), "asset"), -8.0)
+    done = samples.join(F.broadcast(gains.select("gain_db"))).select("channel", "n", (F.col("x") * F.pow(F.lit(10.0), F.col("gain_db") / 20)).alias("x"))
+    after = level(done).join(peaks(chunks.pack(done)), "asset")
+    return gains.join(after, "asset").select(_r(F.col("pre_lkfs"), "pre_lkfs"), _r(F.col("gain_db"), "gain_db"), "tp_limited", _r(F.col("dbtp"), "dbtp"), _r(F.col("lkfs"), "lkfs"))
 
 
 @query("block_loudness", _sig(", ex AS (SELECT channel, x, unnest(generate_series(greatest(0, (n - 40) // 10 + CASE WHEN n >= 40 THEN 1 ELSE 0 END), n // 10)) AS block FROM sig) "

@@ -322,10 +322,15 @@ def fir_short(spark, sf_dir):
     return windows.fir(event_signal(spark, sf_dir), list(_TAPS)).select("channel", "n", _r(F.col("y"), "y"))
 
 
-@query("overlap_add", "SELECT CAST(n AS BIGINT) AS n, round(sum(v), 5) AS y FROM (SELECT vec_id * 16 + unnest(generate_series(0, 63)) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings) q GROUP BY 1")
+_SYNTH = "syn AS (SELECT i, (5e-1 - 5e-1 * cos(2 * pi() * i / 64)) AS w FROM range(64) t(i)), tot AS (SELECT i % 16 AS k, sum(w * w) AS t FROM syn GROUP BY 1)"
+
+
+@query("overlap_add", f"WITH {_SYNTH} SELECT CAST(n AS BIGINT) AS n, round(sum(v * w / t), 5) AS y FROM (SELECT vec_id * 16 + i AS n, i, v FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) e) q "
+                      "JOIN syn USING (i) JOIN tot ON k = q.i % 16 GROUP BY 1")
 def overlap_add(spark, sf_dir):
+    """Frames under the synthesis window, summed."""
     frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("values"))
-    return windows.overlap_add(frames, 16).select("n", _r(F.col("y"), "y", 5))
+    return windows.overlap_add(frames, 16, windows.synthesis_window(64, 16)).select("n", _r(F.col("y"), "y", 5))
 
 
 _GAUSS = "kern AS (SELECT d, exp(-5e-1 * (d / 3e0) * (d / 3e0)) AS w0 FROM range(-12, 13) t(d)), kn AS (SELECT d, w0 / (SELECT sum(w0) FROM kern) AS w FROM kern)"

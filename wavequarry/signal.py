@@ -24,14 +24,25 @@ def event_channel() -> F.Column:
     )
 
 
+def numbered(df: DataFrame, key: str, bucket: F.Column, order: list[str]) -> DataFrame:
+    """``df`` with ``n``, each row's place within its ``key``, ordered by ``bucket`` and, in it, by ``order``.
+
+    Buckets are sorted apart, and the sums of their sizes are added to the places within them: a key
+    with most of the rows spreads over its buckets. ``bucket`` must rise with ``order``.
+    """
+    rows = df.withColumn("bucket", bucket)
+    sizes = rows.groupBy(key, "bucket").agg(F.count("*").alias("size"))
+    before = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(key, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(W.partitionBy(key, "bucket").orderBy(*order)) - 1
+    return rows.withColumn("n", within).join(starts, [key, "bucket"]).withColumn("n", (F.col("n") + F.col("start")).cast("bigint")).drop("bucket", "start")
+
+
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as samples: one channel per event type, ordered by time."""
-    ordered = W.partitionBy("event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        event_channel().alias("channel"),
-        (F.row_number().over(ordered) - 1).cast("bigint").alias("n"),
-        (F.col("value") / F.lit(500e0)).alias("x"),
-    )
+    """``events`` as samples: one channel per event type, ordered by time; numbered by the hour."""
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    return numbered(events, "event_type", F.date_trunc("hour", "ts"), ["ts", "event_id"]).select(
+        event_channel().alias("channel"), "n", (F.col("value") / F.lit(500e0)).alias("x"))
 
 
 #: The SQL twin of ``event_signal``.
