@@ -23,6 +23,8 @@ INPUT_LAYOUTS = {
     "5.1.4": "FL FR C LFE SL SR TFL TFR TBL TBR",
     "7.1.2": "FL FR C LFE BL BR SL SR TFL TFR",
 }
+# The layout that a number of channels is taken for.
+DETECTED = {1: "mono", 2: "stereo", 5: "5.0", 6: "5.1", 8: "7.1", 10: "7.1.2"}
 SYSTEM_CODES = {"5.1": "B", "5.1.2": "C", "5.1.4": "D", "7.1": "I", "7.1.4": "J"}
 # Label, class, and where the speaker stands.
 LABELS = (

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.operators import mastering, routing
+from wavequarry import catalog
+from wavequarry.operators import mastering, planning, routing
 from wavequarry.sources.wav import atomic_path, encode_assets
 
 
@@ -24,15 +25,74 @@ def output_rate(asked: F.Column, packaged: F.Column, source: F.Column) -> F.Colu
     return F.coalesce(asked, F.when(packaged, F.lit(48_000)), source)
 
 
+SUFFIXES = ("wav", "flac")
+
+
+def listing(spark: SparkSession, folder: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """``(path, relative)`` of the audio files below ``folder``, or of those that fit ``pattern``, each once, ordered by relative path."""
+    files = input_identity(spark, folder, pattern or "*", recursive).select("path")
+    return relative_listing(files, folder, None if pattern else SUFFIXES)
+
+
+def relative_listing(files: DataFrame, folder: str, suffixes: tuple[str, ...] | None = SUFFIXES) -> DataFrame:
+    """The order and the suffixes of ``listing`` over ``files(path)``."""
+    inside = F.regexp_replace("path", "^file:/+", "/")
+    relative = F.ltrim(F.substring(inside, len(folder.rstrip("/")) + 1, 1 << 20), F.lit("/"))
+    found = files.select("path", relative.alias("relative")).distinct()
+    if suffixes:
+        found = found.where(F.lower(F.substring_index("path", ".", -1)).isin(*suffixes))
+    return found.orderBy("relative")
+
+
+def output_inside(output: F.Column, folder: str) -> F.Column:
+    """``folder/output`` with its dots resolved; one that leaves the folder is an error."""
+    parts = F.split(F.regexp_replace(output, "/+", "/"), "/")
+    depth = F.aggregate(parts, F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")),
+                        lambda a, p: F.struct((a["now"] + F.when(p == "..", -1).when(p.isin(".", ""), 0).otherwise(1)).alias("now"),
+                                              F.least(a["least"], a["now"] + F.when(p == "..", -1).when(p.isin(".", ""), 0).otherwise(1)).alias("least")))
+    leaves = output.startswith("/") | (depth["least"] < 0)
+    return F.when(leaves, F.raise_error(F.concat(F.lit("output leaves its folder: "), output)).cast("string")).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), output))
+
+
+BED_LAYOUTS = ("5.1", "7.1", "5.1.2", "7.1.2", "5.1.4", "7.1.4")
+
+
+def preflight(jobs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Each job with ``layout``, ``rate_out``, ``channels_out`` and ``reason``, the first rule that it breaks, or null.
+
+    ``jobs(input, output, format, kind, subtype, asked_rate, override)``: kind is ``wav`` or ``bed``; ``metadata(path, rate, channels, error)``
+    is that of the files which are there. The rules, in order: the input is there, is another file than the output, and can be read;
+    its layout is the one given, if that is known and has as many channels, or that of its number of channels; the output layout has all
+    of it and more; a bed has 48 or 96 kHz, 24 bits, and the suffix wav.
+    """
+    spark, c = jobs.sparkSession, F.col
+    by_count = spark.createDataFrame(list(catalog.DETECTED.items()), "channels int, detected string")
+    by_name = spark.createDataFrame([(n, len(x.split())) for n, x in catalog.INPUT_LAYOUTS.items()], "override string, override_channels int")
+    by_output = spark.createDataFrame([(n, len(x.split())) for n, x in catalog.OUTPUT_LAYOUTS.items()], "format string, channels_out int")
+    allowed = planning.can_upmix(catalog.layouts(spark)).select(c("input").alias("layout"), c("output").alias("format"), "ok")
+    known = (jobs.join(metadata.select(c("path").alias("input"), "rate", "channels", "error", F.lit(True).alias("there")), "input", "left")
+             .join(by_count, "channels", "left").join(by_name, "override", "left").join(by_output, "format", "left")
+             .withColumn("layout", F.when(c("override").isNotNull(), c("override")).otherwise(c("detected")))
+             .join(allowed, ["layout", "format"], "left").withColumn("rate_out", output_rate(c("asked_rate"), c("kind") == "bed", c("rate"))))
+    bed = c("kind") == "bed"
+    reason = (F.when(c("there").isNull(), "missing").when(c("input") == c("output"), "same path").when(c("error").isNotNull(), "unreadable")
+              .when(c("override").isNotNull() & c("override_channels").isNull(), "unknown layout").when(c("override_channels") != c("channels"), "channels differ")
+              .when(c("layout").isNull(), "no layout").when(c("channels_out").isNull(), "unknown output layout").when(~F.coalesce("ok", F.lit(False)), "cannot upmix")
+              .when(bed & ~c("rate_out").isin(48_000, 96_000), "bed rate").when(bed & (c("subtype") != "PCM_24"), "bed bits").when(bed & (F.lower(F.substring_index("output", ".", -1)) != "wav"), "bed suffix"))
+    return known.select(*jobs.columns, "layout", "rate_out", "channels_out", reason.alias("reason"))
+
+
 def resume(jobs: DataFrame, state: DataFrame, outputs: DataFrame, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
     """The jobs that are done already and those to run.
 
     ``jobs`` and ``state`` have (output, size, modified, config_hash): a job is done if its input and
-    configuration are those of the state, and the output is there. One whose output is there for another
-    reason is an error unless it may be overwritten.
+    configuration are those of the state, and the output is there. Where ``state`` and ``outputs`` have (rate, channels, frames) as
+    well, the output must be the file that was written, by these. One whose output is there for another reason is an error unless it may be overwritten.
     """
+    written = [k for k in ("rate", "channels", "frames") if k in state.columns and k in outputs.columns]
     there = outputs.select("output").distinct()
-    done = jobs.join(state.select("output", "size", "modified", "config_hash"), ["output", "size", "modified", "config_hash"], "left_semi").join(there, "output", "left_semi")
+    trusted = state.join(outputs.select("output", *written).distinct(), ["output", *written], "left_semi")
+    done = jobs.join(trusted.select("output", "size", "modified", "config_hash"), ["output", "size", "modified", "config_hash"], "left_semi")
     todo = jobs.join(done.select("output"), "output", "left_anti")
     if not overwrite:
         taken = todo.join(there, "output", "left_semi").select("output").limit(1).collect()

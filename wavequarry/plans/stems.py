@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -90,6 +92,16 @@ def band_split(x: np.ndarray, rate: int, makes: tuple[str, ...]) -> dict[str, np
     return out
 
 
+def stem_name(file: F.Column, tags: dict[str, str], overrides: dict[str, str] | None = None) -> F.Column:
+    """The stem that a separated file's name says: of the known tags in brackets the one that stands last, in any case; at one place a model's own tags come first. Without one, null."""
+    name = F.lower(F.substring_index(file, "/", -1))
+    known = [(t.lower(), s, 1) for t, s in (overrides or {}).items()] + [(t.lower(), s, 0) for t, s in tags.items()]
+    # where the last "(tag)" begins: what follows the tag's last place is cut off
+    at = lambda t: F.char_length(name) - F.instr(F.reverse(name), f"({t})"[::-1]) - len(t) - 1
+    found = [F.when(F.contains(name, F.lit(f"({t})")), F.struct(at(t).alias("at"), F.lit(p).alias("first"), F.lit(-k).alias("k"), F.lit(s).alias("stem"))) for k, (t, s, p) in enumerate(known)]
+    return F.array_max(F.array(*found))["stem"]
+
+
 Separator = Callable[[np.ndarray, int, tuple[str, ...]], dict[str, np.ndarray]]
 
 
@@ -161,6 +173,69 @@ def stem_features(stems: DataFrame, rate: int, size: int = 2048) -> DataFrame:
     return some.select("asset", "stem", "n", "l", "r").groupBy("asset", "stem").applyInPandas(analyse, FEATURES)
 
 
+def separate_staged(signal: DataFrame, tasks: list[Task], rate: int, folder: str, separator: Separator = band_split) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``separate``, with what each stage makes written below ``folder``, which all executors share.
+
+    A stage reads only its source, and only stems that are kept or that a later stage reads are written; a table goes when its last reader is done.
+    A lost executor costs the stage that it was in. Gives the kept stems and what deletes them.
+    """
+    spark = signal.sparkSession
+    base = f"{folder.rstrip('/')}/stems-{uuid.uuid4().hex}"
+    made: dict[str, str] = {}
+    readers = {t.source: k for k, t in enumerate(tasks)}  # the last one of each source
+
+    def drop(path: str) -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    kept: dict[str, str] = {}
+    for k, t in enumerate(tasks):
+        if t.source != "input" and t.source not in made:
+            raise ValueError(f"{t.name} needs {t.source}, which no earlier stage makes")
+        source = signal.select("asset", "channel", "n", "x") if t.source == "input" else spark.read.parquet(made[t.source])
+        later = {s for s, last in readers.items() if last > k}
+        wanted = tuple(s for s in t.makes if s in t.keeps or s in later)
+        out = separate(source, [Task(t.name, "input", t.makes, wanted)], rate, separator)
+        path = f"{base}/{k}-{t.name}"
+        out.write.partitionBy("stem").parquet(path)
+        for s in wanted:
+            made[s] = f"{path}/stem={quote(s, safe=' -')}"
+        kept |= {s: made[s] for s in t.keeps}
+        if t.source != "input" and readers[t.source] == k and t.source not in kept:
+            drop(made[t.source])
+    parts = [spark.read.parquet(p).select("asset", "channel", F.lit(s).alias("stem"), "n", "x") for s, p in kept.items()]
+    if not parts:
+        return signal.select("asset", "channel", F.lit("").alias("stem"), "n", "x").where("false"), lambda: drop(base)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found, lambda: drop(base)
+
+
+TOLERANCE = 2.0
+
+
+def cache_hits(requests: DataFrame, entries: DataFrame, files: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """JN11: each request with the entry that serves it: ``(id, hit, via)``, via ``new``, ``legacy`` or ``miss``.
+
+    ``requests(id, key, legacy, modified)``; ``entries(key, modified, stems)``, those whose mark is there; ``files(key, stem)``. The
+    new key's entry decides if there is one, else the old one's; it serves if its input was modified at the same time but for
+    ``tolerance`` seconds, and all of its stems' files, one at least, are there. All joins are equi-joins on keys.
+    """
+    c = F.col
+    listed = entries.select("key", F.explode("stems").alias("stem"))
+    whole = (listed.join(files.select("key", "stem", F.lit(1).alias("there")).distinct(), ["key", "stem"], "left")
+             .groupBy("key").agg(F.bool_and(c("there").isNotNull()).alias("whole")))
+    state = entries.select("key", c("modified").alias("was")).join(whole, "key", "left")
+    side = lambda name: state.select(c("key").alias(name), c("was").alias(f"{name}_was"), c("whole").alias(f"{name}_whole"), F.lit(True).alias(f"{name}_there"))
+    both = requests.join(side("key"), "key", "left").join(side("legacy"), "legacy", "left")
+    first = c("key_there").isNotNull()
+    pick = lambda x: F.when(first, c(f"key_{x}")).otherwise(c(f"legacy_{x}"))
+    serves = F.coalesce((F.abs(pick("was") - c("modified")) <= tolerance) & pick("whole"), F.lit(False))
+    return both.select("id", F.when(serves, F.when(first, c("key")).otherwise(c("legacy"))).alias("hit"),
+                       F.when(serves, F.when(first, "new").otherwise("legacy")).otherwise("miss").alias("via"))
+
+
 class StemCache:
     """C12, JN11: stems under a key, whose mark is written last; a key without its mark is a miss."""
 
@@ -171,16 +246,44 @@ class StemCache:
         p = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def save(self, key: str, stems: DataFrame, preview: bool = False) -> None:
-        """A preview is never kept."""
+    def save(self, key: str, stems: DataFrame, preview: bool = False, modified: float = 0.0) -> None:
+        """Each stem is committed apart, by the rename of what was written beside it, and the mark after all of them; a preview is never kept."""
         if preview:
             return
-        stems.write.mode("overwrite").partitionBy("stem").parquet(f"{self._folder}/{key}/stems")
-        self._spark.createDataFrame([(key,)], "key string").withColumn("at", F.current_timestamp()).write.mode("overwrite").json(f"{self._folder}/{key}/mark")
-
-    def load(self, *keys: str) -> DataFrame | None:
-        """The first key that is complete, the newest kind first."""
+        names = sorted(r["stem"] for r in stems.select("stem").distinct().collect())  # a plan has some twenty at most
+        self._drop(f"{self._folder}/{key}/mark")
+        for name in names:
+            at, beside = f"{self._folder}/{key}/stems/{quote(name, safe='')}", f"{self._folder}/{key}/writing-{uuid.uuid4().hex}"
+            stems.where(F.col("stem") == name).write.parquet(beside)
+            self._drop(at)
+            self._move(beside, at)
+        self._spark.createDataFrame([(key, float(modified), names)], "key string, modified double, stems array<string>").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{self._folder}/{key}/mark")
+
+    def load(self, *keys: str, modified: float | None = None) -> DataFrame | None:
+        """The entry of the first key that has one, if its mark is whole, its input was modified at ``modified`` (where given) but for two seconds, and every stem is there."""
         for key in keys:
-            if self._exists(f"{self._folder}/{key}/mark/_SUCCESS"):
-                return self._spark.read.parquet(f"{self._folder}/{key}/stems")
+            if not self._exists(f"{self._folder}/{key}"):
+                continue
+            if not self._exists(f"{self._folder}/{key}/mark/_SUCCESS"):
+                return None
+            mark = self._spark.read.schema("key string, modified double, stems array<string>").json(f"{self._folder}/{key}/mark").first()
+            paths = [f"{self._folder}/{key}/stems/{quote(n, safe='')}" for n in mark["stems"] or []]
+            stale = modified is not None and abs(mark["modified"] - modified) > TOLERANCE
+            if stale or not paths or not all(self._exists(f"{p}/_SUCCESS") for p in paths):
+                return None
+            return self._spark.read.parquet(*paths)
         return None
+
+    def _fs(self, path: str):
+        p = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _drop(self, path: str) -> None:
+        p, fs = self._fs(path)
+        fs.delete(p, True)
+
+    def _move(self, source: str, target: str) -> None:
+        (a, fs), (b, _) = self._fs(source), self._fs(target)
+        fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise OSError(f"{source} could not take the place of {target}")
