@@ -49,6 +49,17 @@ def test_random_texts_equal_the_library(own, library):
         assert ids_of(own, text) == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_quick_units_equal_the_library(own, library):
+    assert own._quick
+    rnd = random.Random(6)
+    letters = [chr(k) for k in [*range(0x21, 0x7F), *range(0xC0, 0x100)]] + ["'s", "'LL", "the"] * 8
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))) for _ in range(4000)]
+    text = " ".join(texts)
+    assert ids_of(own, text) == library.encode(text, add_special_tokens=False).ids
+    for got, t in zip(own.texts(texts), texts, strict=True):
+        assert [k for part in got for k in part.tolist()] == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_every_length_around_the_limit_of_short_words(own, library):
     rnd = random.Random(7)
     for n in [*range(1, 20), SHORT - 1, SHORT, SHORT + 1, 2 * SHORT, 3000]:

@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,9 +95,12 @@ class RankArrays:
         return out
 
     def _encode_matrix(self, words: list[bytes], width: int) -> list[np.ndarray]:
+        sizes = np.array([len(w) for w in words])
+        raw, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - 1
+        flat = self.inner[raw]
+        flat[ends] = self.final[raw[ends]]
         parts = np.full((len(words), width), -1, np.int32)
-        for row, w in zip(parts, words, strict=True):
-            row[:len(w)] = self.symbols(w)
+        parts[np.arange(width) < sizes[:, None]] = flat
         rank = np.full(parts.shape, NONE, np.int32)
         rank[:, :-1] = self.ranks(parts[:, :-1], parts[:, 1:])
         done = np.empty_like(parts)
@@ -118,7 +122,8 @@ class RankArrays:
             rank[row, at] = self.ranks(parts[row, at], after)
             inside = np.flatnonzero(at > 0)
             rank[inside, at[inside] - 1] = self.ranks(parts[inside, at[inside] - 1], parts[inside, at[inside]])
-        return [r[r >= 0] for r in done]
+        kept = done >= 0
+        return np.split(done[kept], np.cumsum(kept.sum(axis=1))[:-1])
 
     def encode_long(self, word: bytes) -> np.ndarray:
         """The same merges for a word of any length: pairs wait in a heap by rank and place, parts are linked."""
@@ -157,6 +162,13 @@ class RankArrays:
         return int(self._rank[at]) if at < len(self._keys) and self._keys[at] == key else NONE
 
 
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_QUICK_SPEC = json.dumps([{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}, {"Regex": _PATTERN}])
+_QUICK = re.compile("[!-~À-ÿ]+").fullmatch
+#: The pattern over these characters in lower case; a line end stands between units.
+_QUICK_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+|\n").findall
+
+
 class WordTokenizer:
     """A tokenizer's JSON file: its added tokens, its normaliser and pre-tokenizer as the library has them, and its merges by ``RankArrays``.
 
@@ -177,6 +189,8 @@ class WordTokenizer:
         self._added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         own = sorted(self._added, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, own)) + ")").split if own else lambda t: [t]
+        # what the quick form of splitting stands for
+        self._quick = json.dumps([spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]]) == _QUICK_SPEC
         whole = Tokenizer.from_file(path)
         self._normal, self._words_of = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         letter = {c: b for b, c in enumerate(byte_letters())}
@@ -189,31 +203,73 @@ class WordTokenizer:
         self.decimal = _table(str(k) for k in range(len(self.vocab)))
         self.tokens = _table(self.vocab)
 
-    def _learn(self, wanted: set[str]) -> None:
-        """The ids of the stretches that are not held, whose distinct words are merged together."""
-        if len(self._ids) + len(self._merged) > self._held:
-            self._ids, self._merged = {"": b""}, {}
-        new = wanted.difference(self._ids)
-        parsed: dict[str, list[bytes | int]] = {}
-        for u in new:
-            parts: list[bytes | int] = []
+    def _parsed(self, units: list[str]):
+        """Each unit's words and added tokens, as the library finds them."""
+        for u in units:
+            parts: list[str | int] = []
             for k, piece in enumerate(self._split(u)):
                 if k % 2:
                     parts.append(self._added[piece])
                 elif piece:
-                    parts += [bytes(map(self._byte, w)) for w, _ in self._words_of(self._normal(piece))]
-            parsed[u] = parts
-        words = list({w for parts in parsed.values() for w in parts if not isinstance(w, int) and w not in self._merged})
-        self._merged.update(zip(words, (ids.astype(self._kind).tobytes() for ids in self.arrays.encode(words)), strict=True))
-        for u, parts in parsed.items():
-            self._ids[u] = b"".join(np.array([w], self._kind).tobytes() if isinstance(w, int) else self._merged[w] for w in parts)
+                    parts += [bytes(map(self._byte, w)).decode() for w, _ in self._words_of(self._normal(piece))]
+            yield parts
+
+    def learn(self, wanted: set[str]) -> None:
+        """The ids of the units that are not held; their distinct words are merged together.
+
+        Units of printable ASCII and Latin letters are normalised and split by the same rules in one go: they are
+        composed already, and the classes of these characters are fixed.
+        """
+        if len(self._ids) + len(self._merged) > self._held:
+            self._ids, self._merged = {"": b""}, {}
+        new = wanted.difference(self._ids)
+        quick = [u for u in new if self._quick and _QUICK(u) and not any(t in u for t in self._added)]
+        found = _QUICK_WORDS("\n".join(quick).lower()) if quick else []
+        others = list(new.difference(quick))
+        parsed = list(self._parsed(others))
+        words = list({*found, *(w for parts in parsed for w in parts if not isinstance(w, int))}.difference(self._merged, ("\n",)))
+        merged = self._merged
+        merged.update(zip(words, (ids.astype(self._kind).tobytes() for ids in self.arrays.encode([w.encode() for w in words])), strict=True))
+        own: list[bytes] = []
+        at = iter(quick)
+        for w in found:
+            if w == "\n":
+                self._ids[next(at)] = b"".join(own)
+                own = []
+            else:
+                own.append(merged[w])
+        if quick:
+            self._ids[next(at)] = b"".join(own)
+        for u, parts in zip(others, parsed, strict=True):
+            self._ids[u] = b"".join(np.array([w], self._kind).tobytes() if isinstance(w, int) else merged[w] for w in parts)
+
+    def texts(self, texts: list[str]):
+        """For each text its ids, a stretch at a time. Units of short texts are learned together."""
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and chars + len(texts[to]) <= STRETCH:
+                chars += len(texts[to])
+                to += 1
+            if to == at:
+                yield self.encode(texts[at])
+                at += 1
+                continue
+            cut = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
+            self.learn(set(chain.from_iterable(cut)))
+            for units in cut:
+                yield [self._looked_up(units)]
+            at = to
 
     def encode(self, text: str):
         """The ids of ``text``, a stretch at a time."""
         for part in stretches(text):
             units = part.replace("\n", " ").split(" ")
-            self._learn(set(units))
-            yield np.frombuffer(b"".join(map(self._ids.__getitem__, units)), self._kind).astype(np.int64)
+            self.learn(set(units))
+            yield self._looked_up(units)
+
+    def _looked_up(self, units: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._ids.__getitem__, units)), self._kind).astype(np.int64)
 
 
 def _table(names) -> tuple[np.ndarray, np.ndarray]:
@@ -256,9 +312,9 @@ def encode_words(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         tokenizer = WordTokenizer(path)
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column("text").to_pylist():
+            for parts in tokenizer.texts(batch.column("text").to_pylist()):
                 n, own, back, kept = 0, _Spaced(), _Spaced(), []
-                for ids in tokenizer.encode(text):
+                for ids in parts:
                     n += len(ids)
                     own.add(gathered(*tokenizer.decimal, ids).tobytes())
                     back.add(gathered(*tokenizer.tokens, ids).tobytes())
