@@ -122,6 +122,19 @@ class FrameEngine:
         return self._mask
 
 
+def coherence_of(pair: DataFrame) -> DataFrame:
+    """``(asset, frame, bin, gamma, direct)`` of spectra ``pair(asset, frame, l, r)``, arrays of real bins, one or more. One task holds an asset's frames."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, engine, out = pdf.sort_values("frame", kind="stable"), FrameEngine(8000, 4), []
+        for frame, l, r in zip(pdf["frame"], pdf["l"], pdf["r"], strict=True):
+            gamma, direct = engine._coherence(np.asarray(l, np.complex128), np.asarray(r, np.complex128))
+            out.append(pd.DataFrame({"asset": pdf["asset"].iloc[0], "frame": frame, "bin": np.arange(len(gamma), dtype=np.int32), "gamma": gamma, "direct": direct}))
+        return pd.concat(out)
+
+    return pair.select("asset", "frame", "l", "r").groupBy("asset").applyInPandas(run, "asset string, frame bigint, bin int, gamma double, direct double")
+
+
 def _rows(asset: str, frames: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
     if not frames:
         return pd.DataFrame(columns=[x.split()[0] for x in SCHEMA.split(", ")])

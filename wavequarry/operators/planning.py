@@ -43,14 +43,13 @@ def canonical_json(pairs: Column) -> Column:
 
 
 def deep_merge(base: DataFrame, override: DataFrame) -> DataFrame:
-    """C1 over path rows ``(path, value)``: an override wins, and a leaf in it removes what the base has below or above it."""
-    heads = override.select(F.col("path").alias("o")).distinct()
-    # every proper prefix of a path is a key, so the tree test is two equi-joins
-    prefixes = lambda df, c: df.select(F.col(c), F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda k: F.array_join(F.slice(F.split(c, r"\."), F.lit(1), k), "."))).alias("p"))
-    below = prefixes(base, "path").join(heads, F.col("p") == F.col("o"), "left_semi").select("path")
-    above = prefixes(heads, "o").join(base.select("path"), F.col("p") == F.col("path"), "left_semi").select(F.col("p").alias("path"))
-    gone = below.union(above).distinct()
-    return base.join(gone, "path", "left_anti").unionByName(override)
+    """C1 over path rows ``([doc,] path, value)``: an override wins, and a leaf in it removes what the base has below or above it, in its document."""
+    own = [c for c in ("doc",) if c in base.columns]
+    steps = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda k: F.array_join(F.slice(F.split(c, r"\."), F.lit(1), k), "."))
+    # every prefix of a path is a key, so the tree test is two equi-joins
+    below = base.select(*own, "path", F.explode(steps("path")).alias("p")).join(override.select(*own, F.col("path").alias("p")).distinct(), [*own, "p"], "left_semi").select(*own, "path")
+    above = override.select(*own, F.explode(steps("path")).alias("path")).distinct()
+    return base.join(below.union(above).distinct(), [*own, "path"], "left_anti").select(*own, "path", "value").unionByName(override.select(*own, "path", "value"))
 
 
 def ordered_distinct(items: DataFrame, value: str, pos: str) -> DataFrame:

@@ -57,3 +57,25 @@ def centroid(gains: DataFrame, labels: DataFrame) -> DataFrame:
     total = F.sum("w")
     at = lambda c, d: F.coalesce(F.when(total > 0, F.sum(F.col("w") * F.col(c)) / total), F.lit(d)).alias(c)
     return placed.withColumn("w", half).withColumn("side", F.explode(sides)).groupBy("key", "side").agg(at("px", 0e0), at("py", 1e0), at("pz", 0e0))
+
+
+def source_anchor(signal: DataFrame, source: DataFrame, native: dict[str, str], strength: float) -> DataFrame:
+    """Channels drawn towards their native ones in ``source(asset, channel, n, x)``, by ``strength`` from 0 to 1.
+
+    ``native`` names each channel's native one; a source with a single channel stands for all of them. An anchored channel ends
+    where the shorter of the two does; a channel without a native one, or whose native one the source lacks, is as it was, and so are all at strength 0.
+    """
+    if not 0 <= strength <= 1:
+        raise ValueError("a strength is from 0 to 1")
+    if not strength or not native:
+        return signal.select("asset", "channel", "n", "x")
+    spark = signal.sparkSession
+    pairs = spark.createDataFrame(list(native.items()), "channel string, wanted string")
+    found = source.groupBy("asset", "channel").agg(F.max("n").alias("top"))
+    alone = found.groupBy("asset").agg(F.count("*").alias("k"), F.first("channel").alias("only")).where("k = 1").select("asset", "only")
+    marked = (signal.select("asset", "channel", "n", "x").join(F.broadcast(pairs), "channel", "left").join(alone, "asset", "left")  # a dozen channels
+              .withColumn("src", F.when(F.col("wanted").isNotNull(), F.coalesce("only", "wanted"))))
+    ended = marked.join(found.withColumnRenamed("channel", "src"), ["asset", "src"], "left").where("top IS NULL OR n <= top")
+    both = ended.join(source.select("asset", F.col("channel").alias("src"), "n", F.col("x").alias("sx")), ["asset", "src", "n"], "left")
+    blended = (1 - strength) * F.col("x") + strength * F.coalesce("sx", F.lit(0e0))
+    return both.select("asset", "channel", "n", F.when(F.col("top").isNull(), F.col("x")).otherwise(blended).alias("x"))

@@ -100,6 +100,41 @@ def positive_flux(frames: DataFrame) -> DataFrame:
     return frames.withColumn("flux", F.when(before.isNull(), 0e0).otherwise(F.greatest(F.lit(0e0), F.col("m") - before)))
 
 
+def onset_density(frames: DataFrame, hop: int, rate: float) -> DataFrame:
+    """``([asset, channel,] onsets, density, transient)`` of ``frames([asset, channel,] frame, bin, m)``.
+
+    A frame's flux is the sum of its bins' rises over the frame before it, so the first has none; an onset is a flux above the mean by two
+    deviations of all. The density is onsets a second over eight, one at most, and 0 for up to two frames; the transient share is that of fluxes
+    over one and a half times the third quartile.
+    """
+    own = _keys(frames)
+    before = F.lag("m").over(W.partitionBy(*own, "bin").orderBy("frame"))
+    rise = F.when(before.isNotNull(), F.greatest(F.lit(0e0), F.col("m") - before))
+    flux = frames.withColumn("x", rise).groupBy(*own, "frame").agg(F.sum("x").alias("x"))
+    limits = flux.groupBy(*own).agg((F.avg("x") + 2 * F.stddev_pop("x")).alias("thr"), F.percentile("x", F.lit(0.75)).alias("p75"), F.count("*").alias("frames"))
+    joined = flux.where("x IS NOT NULL").join(limits, own) if own else flux.where("x IS NOT NULL").join(F.broadcast(limits))  # one row without keys
+    counted = joined.groupBy(*own).agg(F.count_if(F.col("x") > F.col("thr")).alias("onsets"), F.max("frames").alias("frames"), F.avg(F.when(F.col("x") > 1.5 * F.col("p75"), 1e0).otherwise(0e0)).alias("transient"))
+    seconds = F.col("frames") * hop / rate
+    return counted.select(*own, "onsets", F.when(F.col("frames") <= 2, 0e0).otherwise(F.least(F.lit(1e0), F.col("onsets") / seconds / 8)).alias("density"), "transient")
+
+
+def trim_head(signal: DataFrame, late: int) -> DataFrame:
+    """Without the first ``late`` samples, and padded with silence to the old length."""
+    own = _keys(signal)
+    early = signal.where(F.col("n") >= late).select(*own, (F.col("n") - late).alias("n"), "x")
+    return signal.select(*own, "n").join(early, [*own, "n"], "left").select(*own, "n", F.coalesce("x", F.lit(0e0)).alias("x"))
+
+
+def three_windows(signal: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """All of what is no longer than ``most`` samples, else a third of that from the start, the middle and the end."""
+    third = most // 3
+    length = signal.groupBy(*keys).agg((F.max("n") + 1).alias("len"))
+    mid = F.expr(f"(len - {third}) div 2")
+    n = F.col("n")
+    inside = (F.col("len") <= most) | (n < third) | ((n >= mid) & (n < mid + third)) | (n >= F.col("len") - third)
+    return signal.join(length, keys).where(inside).drop("len")
+
+
 def overlap_add(frames: DataFrame, hop: int, synthesis: list[float] | None = None) -> DataFrame:
     """``frames([asset, channel,] frame, values)`` laid ``hop`` apart and summed, under a synthesis window if there is one."""
     v = F.col("v")

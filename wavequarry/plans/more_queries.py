@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavequarry import catalog
-from wavequarry.operators import derive, scalar, windows
-from wavequarry.plans import stems
+from wavequarry.operators import derive, frames, scalar, stem_router, upmix, windows
+from wavequarry.plans import batch, manifest, models, stems
 from wavequarry.queries import query
 from wavequarry.signal import PAIR_SQL, SIG_SQL, event_signal, stereo_pair, table
+from wavequarry.sources import wav
 
 
 def _sig(body: str) -> str:
@@ -75,14 +77,51 @@ def mid_side_center(spark, sf_dir):
         "frame", "bin", _r(0.85 * F.col("w") * (l + r) / 2, "center"), _r(l * (1 - 0.25 * F.col("w")), "front_l"), _r(r * (1 - 0.25 * F.col("w")), "front_r"), _r((l - r) / 2, "ambient"))
 
 
-@query("frame_route", f"WITH {_SPEC}, {_FRAME_PAIR}, g AS (SELECT frame, bin, (l - r) / 2 AS amb, 1 / (1 + exp(-(bin * 10e0 - 200) / 50e0)) AS bass, 1 / (1 + exp(-(bin * 10e0 - 400) / 100e0)) AS air FROM fp) "
-       "SELECT frame, bin, unnest(['SL', 'SR', 'TFL', 'TFR']) AS channel, unnest([round(amb * bass, 6), round(-amb * bass, 6), round(amb * bass * air, 6), round(-amb * bass * air, 6)]) AS x FROM g")
+_ROUTE_SQL = """WITH e AS (SELECT vec_id, unnest(generate_series(0, 31)) AS bin, unnest(embedding[1:32])::DOUBLE AS re, unnest(embedding[33:64])::DOUBLE AS im FROM embeddings),
+p AS (SELECT a.vec_id // 2 AS frame, a.bin, a.bin * 125e0 AS f, a.re AS lr, a.im AS li, b.re AS rr, b.im AS ri, sqrt(a.re * a.re + a.im * a.im) AS ml, sqrt(b.re * b.re + b.im * b.im) AS mr
+      FROM e a JOIN e b ON a.vec_id + 1 = b.vec_id AND a.bin = b.bin WHERE a.vec_id % 2 = 0),
+q AS (SELECT *, greatest(0e0, least(1e0, (lr * rr + li * ri) / (ml * mr + 1e-12))) AS direct, ml / (ml + mr + 1e-12) AS transient, mr / (ml + mr + 1e-12) AS harmonic FROM p),
+g AS (SELECT *, direct * direct AS gamma FROM q),
+m AS (SELECT *, 1 / (1 + exp(-(f - 250e0) / 625e-1)) AS bass, 1 / (1 + exp(-(f - 4000e0) / 1000e0)) AS air, 1 / sqrt(1 + pow(f / 120e0, 8e0)) AS low,
+      (15e-2 + 85e-2 / (1 + exp(-(f - 150e0) / 375e-1))) * (1 + 5e-1 / (1 + exp(-(f - 3000e0) / 500e0))) AS elevation, 1 - abs((ml - mr) / (ml + mr + 1e-10)) AS near FROM g)"""
+_ROUTE_OUT = "SELECT frame, CAST(bin AS INTEGER) AS bin, unnest(['FL', 'FR', 'C', 'LFE', 'BL', 'BR', 'SL', 'SR', 'TFL', 'TFR', 'TBL', 'TBR']) AS channel, unnest([{re}]) AS re, unnest([{im}]) AS im FROM {table}"
+
+
+def _route_columns(weight: str, wide: str, front_height: bool) -> str:
+    """Both parts of the twelve channels, from the masks' names."""
+    def part(l, r):
+        side = f"({l} - {r}) / 2"
+        rows = [f"{l} * (1 - {weight} / 4)", f"{r} * (1 - {weight} / 4)", f"85e-2 * 85e-2 * {weight} * ({l} + {r}) / 2", f"31622776601683794e-17 * low * ({l} + {r}) / 2",
+                f"55e-2 * {wide} * {side}", f"-55e-2 * {wide} * {side}", f"6e-1 * {wide} * {side}", f"-6e-1 * {wide} * {side}"]
+        rows += [f"55e-2 * elevation * {l}", f"55e-2 * elevation * {r}"] if front_height else [f"55e-2 * air * elevation * {wide} * {side}", f"-55e-2 * air * elevation * {wide} * {side}"]
+        rows += [f"55e-2 * elevation * {wide} * {side}", f"-55e-2 * elevation * {wide} * {side}"]
+        return ", ".join(f"round({x}, 6)" for x in rows)
+
+    return _ROUTE_OUT.format(re=part("lr", "rr"), im=part("li", "ri"), table="w")
+
+
+def _routed_frames(spark, sf_dir, whole):
+    """A row of ``embeddings`` is a spectrum of 32 bins, real parts first; even ones are left, odd ones right."""
+    c, e = F.col, table(spark, sf_dir, "embeddings")
+    parts = F.arrays_zip(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    side = lambda k, a, b: e.where(c("vec_id") % 2 == k).select(F.floor(c("vec_id") / 2).alias("frame"), F.posexplode(parts).alias("bin", "z")).select("frame", "bin", c("z")["0"].cast("double").alias(a), c("z")["1"].cast("double").alias(b))
+    both = side(0, "lr", "li").join(side(1, "rr", "ri"), ["frame", "bin"])
+    ml, mr = F.sqrt(c("lr") * c("lr") + c("li") * c("li")), F.sqrt(c("rr") * c("rr") + c("ri") * c("ri"))
+    direct = F.greatest(F.lit(0e0), F.least(F.lit(1e0), (c("lr") * c("rr") + c("li") * c("ri")) / (ml * mr + 1e-12)))
+    spectra = both.select(F.lit("frames").alias("asset"), "*", direct.alias("direct"), (direct * direct).alias("gamma"), (ml / (ml + mr + 1e-12)).alias("transient"), (mr / (ml + mr + 1e-12)).alias("harmonic"))
+    return upmix.route_spectra(spectra, "7.1.4", 125.0, whole=whole).select("frame", "bin", "channel", _r(c("re"), "re"), _r(c("im"), "im"))
+
+
+@query("frame_route", f"{_ROUTE_SQL}, w AS (SELECT *, direct * near AS weight, bass * (1 - gamma) * (1 - harmonic) * (15e-2 + 85e-2 * (1 - transient)) AS wide FROM m) {_route_columns('weight', 'wide', False)}")
 def frame_route(spark, sf_dir):
-    """Ambience to the side and height channels through the masks."""
-    f = F.col("bin") * 10e0
-    amb, bass, air = (F.col("l") - F.col("r")) / 2, scalar.sigmoid_mask(f, 200), scalar.sigmoid_mask(f, 400)
-    sends = {"SL": amb * bass, "SR": -amb * bass, "TFL": amb * bass * air, "TFR": -amb * bass * air}
-    return _frame_pairs(spark, sf_dir).select("frame", "bin", F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), F.round(x, 6).alias("x")) for c, x in sends.items()))))
+    """Complex spectra of all frames to twelve channels."""
+    return _routed_frames(spark, sf_dir, False)
+
+
+@query("whole_route", f"{_ROUTE_SQL}, w AS (SELECT *, gamma * near AS weight, bass * (1 - gamma) AS wide FROM m) {_route_columns('weight', 'wide', True)}")
+def whole_route(spark, sf_dir):
+    """The form for whole signals: the centre by coherence, front heights from the signal itself."""
+    return _routed_frames(spark, sf_dir, True)
 
 
 _MEDIAN_SQL = (
@@ -115,27 +154,13 @@ def _sliding_median(frames):
 
 
 @query("coherence", f"WITH RECURSIVE {SIG_SQL}, {PAIR_SQL}, f AS (SELECT n, l * r AS lr, l * l AS ll, r * r AS rr FROM pair WHERE n = 0 UNION ALL "
-       "SELECT p.n, CASE WHEN p.l * p.r * f.lr / (abs(p.l * p.r) * abs(f.lr) + 1e-12) >= sqrt(greatest(0e0, least(1e0, f.lr * f.lr / (f.ll * f.rr + 1e-12)))) THEN 25e-2 * f.lr + 75e-2 * p.l * p.r ELSE 75e-2 * f.lr + 25e-2 * p.l * p.r END, "
+       "SELECT p.n, CASE WHEN p.l * p.r * f.lr / (abs(p.l * p.r) * abs(f.lr) + 1e-10) >= sqrt(greatest(0e0, least(1e0, f.lr * f.lr / (f.ll * f.rr + 1e-10)))) THEN 25e-2 * f.lr + 75e-2 * p.l * p.r ELSE 75e-2 * f.lr + 25e-2 * p.l * p.r END, "
        "6e-1 * f.ll + 4e-1 * p.l * p.l, 6e-1 * f.rr + 4e-1 * p.r * p.r FROM f JOIN pair p ON p.n = f.n + 1) "
-       "SELECT n, round(greatest(0e0, least(1e0, lr * lr / (ll * rr + 1e-12))), 6) AS gamma, round(greatest(0e0, least(1e0, lr / (sqrt(ll * rr) + 1e-12))), 6) AS direct FROM f")
+       "SELECT n, round(greatest(0e0, least(1e0, lr * lr / (ll * rr + 1e-10))), 6) AS gamma, round(greatest(0e0, least(1e0, lr / (sqrt(ll * rr) + 1e-10))), 6) AS direct FROM f")
 def coherence(spark, sf_dir):
-    """R1, R2 on one real bin: attack or release by whether the new product agrees with the running one."""
-    def run(pdf):
-        pdf = pdf.sort_values("n", kind="stable")
-        lr = ll = rr = None
-        out = []
-        for n, l, r in zip(pdf["n"], pdf["l"], pdf["r"], strict=True):
-            if lr is None:
-                lr, ll, rr = l * r, l * l, r * r
-            else:
-                gamma = max(0.0, min(1.0, lr * lr / (ll * rr + 1e-12)))
-                a = 0.25 if l * r * lr / (abs(l * r) * abs(lr) + 1e-12) >= gamma**0.5 else 0.75
-                lr, ll, rr = a * lr + (1 - a) * l * r, 0.6 * ll + 0.4 * l * l, 0.6 * rr + 0.4 * r * r
-            out.append((n, max(0.0, min(1.0, lr * lr / (ll * rr + 1e-12))), max(0.0, min(1.0, lr / ((ll * rr) ** 0.5 + 1e-12)))))
-        return type(pdf)(out, columns=["n", "gamma", "direct"])
-
-    state = stereo_pair(event_signal(spark, sf_dir)).withColumn("asset", F.lit("a")).groupBy("asset").applyInPandas(run, "n bigint, gamma double, direct double")
-    return state.select("n", _r(F.col("gamma"), "gamma"), _r(F.col("direct"), "direct"))
+    """A pair of samples is a frame of one bin."""
+    pair = stereo_pair(event_signal(spark, sf_dir)).select(F.lit("a").alias("asset"), F.col("n").alias("frame"), F.array("l").alias("l"), F.array("r").alias("r"))
+    return frames.coherence_of(pair).select(F.col("frame").alias("n"), _r(F.col("gamma"), "gamma"), _r(F.col("direct"), "direct"))
 
 
 @query("derive_channels", _sig(", e AS (SELECT max(n) AS top FROM sig), f AS (SELECT n, x FROM sig WHERE channel = 'FR'), "
@@ -147,52 +172,53 @@ def derive_channels(spark, sf_dir):
     return derive.derive(sig, "5.1", {"FL", "FR", "C", "LFE", "SL"}, 100).select("channel", "n", _r(F.col("x"), "x"))
 
 
-@query("center_redirect", _sig(", c AS (SELECT n, x FROM sig WHERE channel = 'C') SELECT s.channel, s.n, round(s.x + CASE WHEN s.channel IN ('FL', 'FR') THEN 35e-2 * coalesce(c.x, 0e0) ELSE 0e0 END, 6) AS x FROM sig s LEFT JOIN c USING (n) WHERE s.channel <> 'C'"))
+_VOICE_SQL = ("stems AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'Vocals' WHEN 1 THEN 'Lead Vocals' WHEN 2 THEN 'Drums' ELSE 'Piano' END || CASE WHEN p_partkey % 3 = 0 THEN '@front' ELSE '' END AS stem FROM part), "
+              "base AS (SELECT * FROM (VALUES ('Vocals', 7e-1, 28e-2), ('Lead Vocals', 8e-1, 2e-1), ('Drums', 2e-1, 55e-2), ('Piano', 18e-2, 55e-2)) t(name, c, f))")
+
+
+@query("center_redirect", f"WITH {_VOICE_SQL} SELECT * FROM (SELECT stem, unnest(['FL', 'FR', 'LFE', 'SL', 'SR']) AS channel, unnest([round(g, 6), round(g, 6), CASE WHEN name = 'Drums' THEN 32e-2 END, "
+       "CASE name WHEN 'Drums' THEN 72e-3 WHEN 'Piano' THEN 132e-3 END, CASE name WHEN 'Drums' THEN 72e-3 WHEN 'Piano' THEN 132e-3 END]) AS gain "
+       "FROM (SELECT stem, name, f + CASE WHEN name LIKE '%Vocals' THEN c / 2 ELSE 0e0 END AS g FROM stems JOIN base ON name = split_part(stem, '@', 1)) q) z WHERE gain IS NOT NULL")
 def center_redirect(spark, sf_dir):
-    """JN4: a centre that is passed through is not routed; half its gain goes to the front pair."""
-    sig = event_signal(spark, sf_dir)
-    c = sig.where("channel = 'C'").select("n", F.col("x").alias("c"))
-    add = F.when(F.col("channel").isin("FL", "FR"), 0.35 * F.coalesce("c", F.lit(0e0))).otherwise(0e0)
-    return sig.where("channel <> 'C'").join(c, "n", "left").select("channel", "n", _r(F.col("x") + add, "x"))
+    """JN4: the centre is passed through; half of what a voice would send there goes to each front channel, and of what others would nothing."""
+    c = F.col
+    name = F.when(c("p_size") % 4 == 0, "Vocals").when(c("p_size") % 4 == 1, "Lead Vocals").when(c("p_size") % 4 == 2, "Drums").otherwise("Piano")
+    keys = table(spark, sf_dir, "part").select(F.concat(name, F.when(c("p_partkey") % 3 == 0, "@front").otherwise("")).alias("stem")).distinct()
+    return stem_router.gains(stem_router.effective(keys), "5.1", skip=("C",)).select("stem", "channel", _r(c("gain"), "gain"))
 
 
-@query("envelope_by_class", f"WITH {SIG_SQL}, {catalog.labels_sql()} SELECT channel, n, round(x * CASE class WHEN 'front' THEN 1 + n % 10 / 1e2 WHEN 'surround' THEN 1 - n % 10 / 1e2 ELSE 1e0 END, 6) AS y FROM sig JOIN labels_ ON label = channel")
+@query("envelope_by_class", _sig("SELECT channel, n, round(x * CASE WHEN channel IN ('FL', 'FR', 'C') THEN 1 + n % 10 / 1e2 WHEN channel = 'SL' THEN (1 - n % 10 / 1e2) * (1 + 4125e-4 * (n % 3) / 1e1) ELSE 1e0 END, 12) AS y FROM sig"))
 def envelope_by_class(spark, sf_dir):
-    """JN7: an envelope per channel class."""
+    """JN7: an envelope per channel class, with a control for every sample."""
     step = F.col("n") % 10 / 100e0
-    env = F.when(F.col("class") == "front", 1 + step).when(F.col("class") == "surround", 1 - step).otherwise(1e0)
-    labels = catalog.labels(spark).select(F.col("label").alias("channel"), "class")
-    return event_signal(spark, sf_dir).join(F.broadcast(labels), "channel").select("channel", "n", _r(F.col("x") * env, "y"))
+    sig = event_signal(spark, sf_dir).withColumn("asset", F.lit("events"))
+    controls = sig.select("asset", "n").distinct().select("asset", F.col("n").alias("k"), (1 + step).alias("front"), (1 - step).alias("surround"), F.lit(1e0).alias("back"), F.lit(1e0).alias("height"), (F.col("n") % 3 / 10e0).alias("detail"))
+    return derive.under_envelope(sig, controls, 1).select("channel", "n", _r(F.col("x"), "y", 12))
 
 
 @query("latency_trim", _sig(", z AS (SELECT channel, count(*) AS len FROM sig GROUP BY 1) SELECT z.channel, t.n, round(coalesce(s.x, 0e0), 6) AS x FROM z, LATERAL (SELECT unnest(range(len)) AS n) t LEFT JOIN sig s ON s.channel = z.channel AND s.n = t.n + 3"))
 def latency_trim(spark, sf_dir):
     """The head goes, and the end is padded to the old length."""
-    sig = event_signal(spark, sf_dir)
-    grid = sig.groupBy("channel").agg(F.count("*").alias("len")).select("channel", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("n"))
-    early = sig.where("n >= 3").select("channel", (F.col("n") - 3).alias("n"), "x")
-    return grid.join(early, ["channel", "n"], "left").select("channel", "n", _r(F.coalesce("x", F.lit(0e0)), "x"))
+    return windows.trim_head(event_signal(spark, sf_dir), 3).select("channel", "n", _r(F.col("x"), "x"))
 
 
-@query("log_bands", "WITH e AS (SELECT i, 20 * pow(1200e0, i / 8e0) AS hz FROM range(9) t(i)), b AS (SELECT a.i AS band, a.hz AS lo, z.hz AS hi FROM e a JOIN e z ON z.i = a.i + 1) "
-                    "SELECT CAST(band AS BIGINT) AS band, CAST(min(k) AS BIGINT) AS first, CAST(max(k) AS BIGINT) AS last FROM b JOIN range(2049) t(k) ON k * 24000e0 / 2048 >= lo AND k * 24000e0 / 2048 < hi GROUP BY 1")
+_BANDS_SQL = "e AS (SELECT i, 20 * pow(200e0, i / 8e0) AS hz FROM range(9) t(i)), b AS (SELECT a.i AS band, a.hz AS lo, z.hz AS hi FROM e a JOIN e z ON z.i = a.i + 1)"
+
+
+@query("log_bands", f"WITH {_SPEC}, {_BANDS_SQL} SELECT vec_id, CAST(band AS INTEGER) AS band, CAST(min(f) AS INTEGER) AS first, CAST(max(f) AS INTEGER) AS last, round(sum(m * m), 6) AS energy FROM spec JOIN b ON f * 4000e0 / 63 >= lo AND f * 4000e0 / 63 < hi GROUP BY 1, 2")
 def log_bands(spark, sf_dir):
-    """The bins of each band; the band is computed from the bin, so nothing is compared with a range."""
-    hz = F.col("id") * 24000e0 / 2048
-    guess = F.floor(F.log(hz / 20) / F.log(F.lit(1200e0)) * 8)
-    edge = lambda k: 20 * F.pow(F.lit(1200e0), k / 8e0)
-    band = F.when(hz >= edge(guess + 1), guess + 1).when(hz < edge(guess), guess - 1).otherwise(guess)
-    return spark.range(2049).where("id > 0").withColumn("band", band).where("band BETWEEN 0 AND 7").groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    """Each frame's energy in eight bands; a bin's band is looked up, so nothing is compared with a range."""
+    ranges, _ = frames.bands_of(8000.0, 64, 8)
+    bands = spark.createDataFrame([(k, band) for band, (a, b) in enumerate(ranges) for k in range(a, b)], "bin int, band int")
+    bins = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("bin", "m")).withColumn("m", F.col("m").cast("double"))
+    return bins.join(F.broadcast(bands), "bin").groupBy("vec_id", "band").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), _r(F.sum(F.col("m") * F.col("m")), "energy"))  # 64 bins
 
 
 @query("sampled_windows", _sig(", z AS (SELECT channel, count(*) AS len FROM sig GROUP BY 1) SELECT channel, n FROM sig JOIN z USING (channel) "
                                "WHERE len <= 60 OR n < 20 OR (n >= (len - 20) // 2 AND n < (len - 20) // 2 + 20) OR n >= len - 20"))
 def sampled_windows(spark, sf_dir):
     """All of a short signal, else three windows evenly apart."""
-    sizes = event_signal(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("len"))
-    mid = F.expr("(len - 20) div 2")
-    inside = (F.col("len") <= 60) | (F.col("n") < 20) | ((F.col("n") >= mid) & (F.col("n") < mid + 20)) | (F.col("n") >= F.col("len") - 20)
-    return event_signal(spark, sf_dir).join(F.broadcast(sizes), "channel").where(inside).select("channel", "n")
+    return windows.three_windows(event_signal(spark, sf_dir), ["channel"], 60).select("channel", "n")
 
 
 @query("gain_reduction", _sig(", g AS (SELECT channel, CASE WHEN x * 40 - 40 > -18 THEN (1 / 2e0 - 1) * (x * 40 - 22) ELSE 0e0 END AS g FROM sig) SELECT channel, round(max(abs(g)), 6) AS peak, round(avg(abs(g)), 6) AS mean FROM g GROUP BY 1"))
@@ -247,39 +273,51 @@ def config_precedence(spark, sf_dir):
 @query("key_value_pairs", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events")
 def key_value_pairs(spark, sf_dir):
     """``K=V,K=V`` parsed to rows."""
+    @F.pandas_udf("map<string,string>")
+    def parse(text: pd.Series) -> pd.Series:
+        return text.map(manifest.key_values)
+
     text = F.concat(F.lit("k="), F.get_json_object("props", "$.k"), F.lit(",type="), F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", F.explode(F.str_to_map(text, F.lit(","), F.lit("="))).alias("key", "value"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(parse(text)).alias("key", "value"))
 
 
 @query("inference_batch", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 3 = 1 THEN 2 WHEN p_size >= 12 THEN 4 WHEN p_size >= 8 THEN 2 ELSE 1 END AS batch FROM part")
 def inference_batch(spark, sf_dir):
     """By backend and free memory."""
-    backend, free = F.col("p_size") % 3, F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(backend == 0, 1).when(backend == 1, 2).when(free >= 12, 4).when(free >= 8, 2).otherwise(1).alias("batch"))
+    backend = F.element_at(F.array(F.lit("cpu"), F.lit("mps"), F.lit("cuda")), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", models.automatic_batch(backend, F.col("p_size")).alias("batch"))
 
 
 @query("listing_dedupe", "SELECT DISTINCT 'dir/' || p_brand || '.wav' AS path FROM part WHERE p_type NOT LIKE 'STANDARD%'")
 def listing_dedupe(spark, sf_dir):
     """Distinct paths of the wanted suffix."""
-    return table(spark, sf_dir, "part").where("p_type NOT LIKE 'STANDARD%'").select(F.concat(F.lit("dir/"), "p_brand", F.lit(".wav")).alias("path")).distinct()
+    ext = F.when(F.col("p_type").startswith("STANDARD"), ".txt").otherwise(".wav")
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("dir/"), "p_brand", ext).alias("path"))
+    return batch.relative_listing(files, "dir").select("path")
 
 
-@query("layout_algebra", f"WITH {catalog.layouts_sql()}, s AS (SELECT layout, list_sort(list(label)) AS l FROM layouts WHERE direction = 'out' GROUP BY 1) "
-       "SELECT a.layout AS a, b.layout AS b, array_to_string(list_sort(list_intersect(a.l, b.l)), ' ') AS both, array_to_string(list_sort(list_filter(a.l, lambda x: NOT list_contains(b.l, x))), ' ') AS only_a FROM s a JOIN s b ON a.layout < b.layout")
+@query("layout_algebra", f"WITH {catalog.layouts_sql()}, s AS (SELECT layout, list_sort(list(label)) AS l FROM layouts WHERE direction = 'out' GROUP BY 1), "
+       "p AS (SELECT p_partkey, list_extract(['5.1', '7.1', '5.1.2', '5.1.4', '7.1.2', '7.1.4'], p_partkey % 6 + 1) AS a, list_extract(['5.1', '7.1', '5.1.2', '5.1.4', '7.1.2', '7.1.4'], p_size % 6 + 1) AS b FROM part) "
+       "SELECT p_partkey, p.a, p.b, array_to_string(list_sort(list_intersect(x.l, y.l)), ' ') AS both, array_to_string(list_sort(list_filter(x.l, lambda e: NOT list_contains(y.l, e))), ' ') AS only_a FROM p JOIN s x ON x.layout = p.a JOIN s y ON y.layout = p.b")
 def layout_algebra(spark, sf_dir):
-    """K5."""
+    """K5: what two layouts of a part share, and what the first has alone."""
+    names = F.array(*map(F.lit, ("5.1", "7.1", "5.1.2", "5.1.4", "7.1.2", "7.1.4")))
+    pick = lambda c: F.element_at(names, (F.col(c) % 6 + 1).cast("int"))
     s = catalog.layouts(spark).where("direction = 'out'").groupBy("layout").agg(F.collect_list("label").alias("l"))
-    a, b = s.select(F.col("layout").alias("a"), F.col("l").alias("la")), s.select(F.col("layout").alias("b"), F.col("l").alias("lb"))
+    side = lambda name, l: F.broadcast(s.select(F.col("layout").alias(name), F.col("l").alias(l)))  # noqa: E731  six layouts
+    pairs = table(spark, sf_dir, "part").select("p_partkey", pick("p_partkey").alias("a"), pick("p_size").alias("b")).join(side("a", "la"), "a").join(side("b", "lb"), "b")
     text = lambda x: F.array_join(F.array_sort(x), " ")
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # six layouts
-    return pairs.select("a", "b", text(F.array_intersect("la", "lb")).alias("both"), text(F.array_except("la", "lb")).alias("only_a"))
+    return pairs.select("p_partkey", "a", "b", text(F.array_intersect("la", "lb")).alias("both"), text(F.array_except("la", "lb")).alias("only_a"))
 
 
 @query("chunk_sizes", "SELECT p_partkey, CAST(8 + length(p_name) + length(p_name) % 2 AS BIGINT) AS size FROM part")
 def chunk_sizes(spark, sf_dir):
-    """IO11: header, body and padding to an even length."""
-    n = F.octet_length("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", (8 + n + n % 2).cast("bigint").alias("size"))
+    """IO11: header, body and padding to an even length, of the chunk itself."""
+    @F.pandas_udf("bigint")
+    def size(body: pd.Series) -> pd.Series:
+        return body.map(lambda b: len(wav.chunk(b"axml", b.encode())))
+
+    return table(spark, sf_dir, "part").select("p_partkey", size("p_name").alias("size"))
 
 
 @query("tumbling_energy", "SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS start, CAST(count(*) AS BIGINT) AS c, round(sum(value * value), 4) AS energy FROM events GROUP BY 1, 2")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from wavequarry import catalog
 from wavequarry.functions import dsp
-from wavequarry.operators import chunks, loudness, mastering, planning, routing
+from wavequarry.operators import chunks, loudness, mastering, planning, routing, stem_router
+from wavequarry.plans import batch
+from wavequarry.plans import stems as stem_plans
 from wavequarry.queries import query
 from wavequarry.signal import SIG_SQL, event_signal, table
 
@@ -64,13 +66,33 @@ def route_empty_vs_missing(spark, sf_dir):
     return stems.join(sent, "p_partkey", "left").groupBy("zone", "stem").agg(F.count("*").alias("stems"), F.count("sent").alias("sends"))
 
 
-@query("route_mix_constant_power", f"WITH {_STEM_SQL}, sc AS (SELECT zone, stem, sqrt(1 / sum(gain * gain)) AS scale FROM (SELECT DISTINCT zone, stem, channel, gain FROM routed WHERE channel <> 'LFE') q GROUP BY 1, 2) "
-       "SELECT channel, round(sum(coalesce(scale, 1e0) * gain * x), 4) AS y FROM routed LEFT JOIN sc USING (zone, stem) GROUP BY 1")
+_POWER_SQL = """key AS (SELECT p_size % 3 AS a, list_extract(['Vocals', 'Lead Vocals', 'Bass@surround', 'Kick@front', 'Other@front', 'Crowd', 'Theremin', 'Vocals@front'], p_partkey % 8 + 1) AS stem, p_retailprice / 1000 AS x FROM part),
+energy AS (SELECT 'a' || a AS asset, stem, sum(x * x) AS l, sum(25e-2 * x * x) AS r, sum(5625e-4 * x * x) AS m FROM key GROUP BY 1, 2),
+base AS (SELECT * FROM (VALUES ('Vocals', 'C', 7e-1), ('Vocals', 'FL', 28e-2), ('Vocals', 'FR', 28e-2), ('Vocals', 'TFL', 12e-2), ('Vocals', 'TFR', 12e-2), ('Lead Vocals', 'C', 8e-1), ('Lead Vocals', 'FL', 2e-1), ('Lead Vocals', 'FR', 2e-1),
+  ('Lead Vocals', 'TFL', 8e-2), ('Lead Vocals', 'TFR', 8e-2), ('Bass@surround', 'LFE', 2e-1), ('Other@front', 'FL', 38e-2), ('Other@front', 'SR', 18e-2), ('Crowd', 'SL', 28e-2), ('Crowd', 'SR', 28e-2), ('Crowd', 'TBL', 15e-2), ('Crowd', 'TBR', 15e-2),
+  ('Crowd', 'TFL', 6e-2), ('Crowd', 'TFR', 9e-1), ('Theremin', 'TFL', 3e-1), ('Vocals@front', 'C', 72e-2), ('Vocals@front', 'FL', 5e-1)) t(stem, channel, g)),
+sent AS (SELECT asset, stem, channel, g * CASE WHEN channel = 'C' THEN 85e-2 WHEN channel IN ('SL', 'SR') THEN 6e-1 WHEN channel LIKE 'T%' THEN 55e-2 ELSE 1e0 END AS g, l + r AS own,
+  CASE WHEN channel = 'C' THEN m WHEN channel LIKE '%L' THEN l ELSE r END * CASE WHEN channel LIKE 'S%' THEN 64e-2 WHEN channel LIKE 'T%' THEN 36e-2 ELSE 1e0 END AS e FROM energy JOIN base USING (stem) WHERE channel NOT IN ('TBL', 'TBR')),
+scale AS (SELECT asset, stem, sqrt(any_value(own) / sum(g * g * e)) AS s FROM sent WHERE channel <> 'LFE' GROUP BY 1, 2)"""
+# what a caller passes: routes by zone (an empty one goes nowhere), and gains over them
+_ZONES = {"front": {"Kick": {}, "Other": {"FL": 0.38, "SR": 0.18}, "Vocals": {"C": 0.72, "FL": 0.28}}, "surround": {"Bass": {"LFE": 0.2}}}
+_CUSTOM = {"Vocals@front": {"FL": 0.5}, "Crowd": {"TFR": 0.9, "BL": 0.0}, "Theremin": {"TFL": 0.3}, "Other": {}}
+
+
+@query("route_mix_constant_power", f"WITH {_POWER_SQL} SELECT asset, stem, channel, round(g * CASE WHEN channel = 'LFE' THEN 1e0 ELSE s END, 6) AS gain FROM sent LEFT JOIN scale USING (asset, stem)")
 def route_mix_constant_power(spark, sf_dir):
-    routed = _routed(spark, sf_dir)
-    gains = routed.where("channel <> 'LFE'").select("zone", "stem", "channel", "gain").distinct()
-    scale = routing.constant_power(gains.select(F.struct("zone", "stem").alias("key"), F.lit(1e0).alias("e"), "gain")).select("key.zone", "key.stem", "scale")
-    return routed.join(scale, ["zone", "stem"], "left").groupBy("channel").agg(_r(F.sum(F.coalesce("scale", F.lit(1e0)) * F.col("gain") * F.col("x")), "y", 4))
+    """JN1, JN3: routes by precedence over 5.1.2; each stem sends out the energy that it has, by the energies of what each channel takes."""
+    c, names = F.col, ("Vocals", "Lead Vocals", "Bass@surround", "Kick@front", "Other@front", "Crowd", "Theremin", "Vocals@front")
+    stem = F.element_at(F.array(*map(F.lit, names)), (c("p_partkey") % 8 + 1).cast("int"))
+    stems = table(spark, sf_dir, "part").select(F.concat(F.lit("a"), (c("p_size") % 3).cast("string")).alias("asset"), stem.alias("stem"), (c("p_retailprice") / 1000).alias("l"))
+    # a stem's right is half its left; the sends have 0.8 and 0.6 of its amplitude
+    x = {"L": c("l"), "R": c("l") / 2, "M": c("l") * 0.75}
+    cases = [("dry", s, x[s]) for s in "LRM"] + [(k, s, x[s] * g) for k, g in (("surround", 0.8), ("height", 0.6)) for s in "LR"]
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side"), (v * v).alias("e")) for k, s, v in cases))
+    energy = stems.select("asset", "stem", F.inline(rows)).groupBy("asset", "stem", "kind", "side").agg(F.sum("e").alias("e"))
+    plan = stem_router.gains(stem_router.effective(stems.select("stem"), _ZONES, None, _CUSTOM), "5.1.2")
+    powered = stem_router.constant_power(stems.select("asset", "stem").distinct().join(plan, "stem"), energy)
+    return powered.select("asset", "stem", "channel", _r(c("gain"), "gain"))
 
 
 @query("speaker_centroid", f"WITH {catalog.labels_sql()}, g AS (SELECT p_partkey % 50 AS key, label, (p_partkey % 7 + row_number() OVER (PARTITION BY p_partkey ORDER BY label)) / 1e1 AS gain FROM part CROSS JOIN labels_), "
@@ -136,18 +158,30 @@ def block_loudness(spark, sf_dir):
 # ---- catalog ----
 
 
-@query("layout_properties", f"WITH {catalog.layouts_sql()}, {catalog.labels_sql()} SELECT direction, layout, CAST(count(*) AS BIGINT) AS n_channels, CAST(count(*) FILTER (WHERE class = 'height') AS BIGINT) AS n_height, "
-       "bool_or(label = 'BL') AS has_back, string_agg(label, ' ' ORDER BY ord) AS labels FROM layouts JOIN labels_ USING (label) GROUP BY 1, 2")
+_NAMES_SQL = "list_extract([" + ", ".join(f"'{d}/{n}'" for d, a in (("out", catalog.OUTPUT_LAYOUTS), ("in", catalog.INPUT_LAYOUTS)) for n in a) + "], p_partkey % 14 + 1)"
+
+
+@query("layout_properties", f"WITH {catalog.layouts_sql()}, {catalog.labels_sql()}, s AS (SELECT direction || '/' || layout AS name, CAST(count(*) AS BIGINT) AS n_channels, CAST(count(*) FILTER (WHERE class = 'height') AS BIGINT) AS n_height, "
+       f"bool_or(label = 'BL') AS has_back, string_agg(label, ' ' ORDER BY ord) AS labels FROM layouts JOIN labels_ USING (label) GROUP BY 1) SELECT p_partkey, s.* FROM (SELECT p_partkey, {_NAMES_SQL} AS name FROM part) p JOIN s USING (name)")
 def layout_properties(spark, sf_dir):
-    both = catalog.layouts(spark).join(F.broadcast(catalog.labels(spark)), "label")
+    """M3, K6: the layout of each part."""
+    names = F.array(*(F.lit(f"{d}/{n}") for d, a in (("out", catalog.OUTPUT_LAYOUTS), ("in", catalog.INPUT_LAYOUTS)) for n in a))
+    both = catalog.layouts(spark).join(F.broadcast(catalog.labels(spark)), "label").withColumn("name", F.concat_ws("/", "direction", "layout"))
     in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda e: e["label"]), " ")
-    return both.groupBy("direction", "layout").agg(F.count("*").alias("n_channels"), F.count_if(F.col("class") == "height").alias("n_height"), F.bool_or(F.col("label") == "BL").alias("has_back"), in_order.alias("labels"))
+    known = both.groupBy("name").agg(F.count("*").alias("n_channels"), F.count_if(F.col("class") == "height").alias("n_height"), F.bool_or(F.col("label") == "BL").alias("has_back"), in_order.alias("labels"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 14 + 1).cast("int")).alias("name")).join(F.broadcast(known), "name")  # fourteen layouts
+
+
+_IN, _OUT = ", ".join(f"'{n}'" for n in catalog.INPUT_LAYOUTS), ", ".join(f"'{n}'" for n in catalog.OUTPUT_LAYOUTS)
 
 
 @query("can_upmix_matrix", f"WITH {catalog.layouts_sql()}, i AS (SELECT layout AS input, list(label) AS a FROM layouts WHERE direction = 'in' GROUP BY 1), o AS (SELECT layout AS output, list(label) AS b FROM layouts WHERE direction = 'out' GROUP BY 1) "
-       "SELECT input, output, list_has_all(b, a) AND len(b) > len(a) AS ok FROM i CROSS JOIN o")
+       f"SELECT o_orderkey, input, output, list_has_all(b, a) AND len(b) > len(a) AS ok FROM (SELECT o_orderkey, list_extract([{_IN}], o_custkey % 8 + 1) AS input, list_extract([{_OUT}], o_orderkey % 6 + 1) AS output FROM orders) q JOIN i USING (input) JOIN o USING (output)")
 def can_upmix_matrix(spark, sf_dir):
-    return planning.can_upmix(catalog.layouts(spark))
+    """Whether each order's output layout has all of its input layout, and more."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", pick(catalog.INPUT_LAYOUTS, F.col("o_custkey")).alias("input"), pick(catalog.OUTPUT_LAYOUTS, F.col("o_orderkey")).alias("output"))
+    return jobs.join(F.broadcast(planning.can_upmix(catalog.layouts(spark))), ["input", "output"]).select("o_orderkey", "input", "output", "ok")  # 48 pairs
 
 
 # ---- planning ----
@@ -168,10 +202,33 @@ def output_template(spark, sf_dir):
     return o.select("o_orderkey", out.alias("output"))
 
 
-@query("preflight_reason", "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'missing' WHEN o_orderkey = o_custkey THEN 'same' WHEN o_orderstatus = 'P' THEN 'layout' WHEN o_custkey % 3 = 0 THEN 'rate' END AS reason FROM orders")
+_PREFLIGHT_SQL = """meta AS (SELECT 'in/' || p_partkey || '.wav' AS input, CASE WHEN p_size % 10 = 0 THEN NULL ELSE list_extract([44100, 48000, 96000, 22050], p_size % 4 + 1) END AS rate,
+  CASE WHEN p_size % 10 = 0 THEN NULL ELSE list_extract([1, 2, 5, 6, 8, 10, 7], p_partkey % 7 + 1) END AS channels, CASE WHEN p_size % 10 = 0 THEN 'bad header' END AS error FROM part),
+job AS (SELECT o_orderkey, 'in/' || (o_custkey + 900) || '.wav' AS input, CASE WHEN o_orderkey % 11 = 0 THEN 'in/' || (o_custkey + 900) || '.wav' WHEN o_orderkey % 5 = 0 THEN 'out/x.flac' ELSE 'out/x.wav' END AS output,
+  list_extract(['5.1', '7.1', '5.1.2', '5.1.4', '7.1.2', '7.1.4', '9.1'], o_orderkey % 7 + 1) AS format, CASE WHEN o_orderstatus = 'F' THEN 'bed' ELSE 'wav' END AS kind, CASE WHEN o_custkey % 6 = 0 THEN 'PCM_16' ELSE 'PCM_24' END AS subtype,
+  CASE WHEN o_custkey % 4 = 0 THEN 44100 END AS asked, CASE WHEN o_custkey % 13 = 0 THEN '5.1.2' WHEN o_custkey % 17 = 0 THEN 'quad' END AS override FROM orders),
+ins AS (SELECT layout, list(label) AS a, count(*) AS k FROM layouts WHERE direction = 'in' GROUP BY 1), outs AS (SELECT layout, list(label) AS b FROM layouts WHERE direction = 'out' GROUP BY 1),
+j AS (SELECT job.*, meta.input AS there, rate, channels, error, coalesce(override, CASE channels WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 5 THEN '5.0' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' WHEN 10 THEN '7.1.2' END) AS layout,
+  coalesce(asked, CASE WHEN kind = 'bed' THEN 48000 END, rate) AS rate_out FROM job LEFT JOIN meta USING (input))"""
+
+
+@query("preflight_reason", f"WITH {catalog.layouts_sql()}, {_PREFLIGHT_SQL} SELECT o_orderkey, j.layout, CAST(rate_out AS INTEGER) AS rate_out, CASE WHEN there IS NULL THEN 'missing' WHEN input = output THEN 'same path' WHEN error IS NOT NULL THEN 'unreadable' "
+       "WHEN override IS NOT NULL AND ov.layout IS NULL THEN 'unknown layout' WHEN ov.k <> channels THEN 'channels differ' WHEN j.layout IS NULL THEN 'no layout' WHEN outs.layout IS NULL THEN 'unknown output layout' "
+       "WHEN NOT (list_has_all(b, ins.a) AND len(b) > len(ins.a)) THEN 'cannot upmix' WHEN kind = 'bed' AND rate_out NOT IN (48000, 96000) THEN 'bed rate' WHEN kind = 'bed' AND subtype <> 'PCM_24' THEN 'bed bits' "
+       "WHEN kind = 'bed' AND output NOT LIKE '%.wav' THEN 'bed suffix' END AS reason FROM j LEFT JOIN ins ON ins.layout = j.layout LEFT JOIN ins ov ON ov.layout = j.override LEFT JOIN outs ON outs.layout = j.format")
 def preflight_reason(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.when(F.col("o_totalprice") < 1000, "missing").when(F.col("o_orderkey") == F.col("o_custkey"), "same").when(F.col("o_orderstatus") == "P", "layout").when(F.col("o_custkey") % 3 == 0, "rate").alias("reason"))
+    """The first rule that each job breaks, over the metadata of the files that are there."""
+    c = F.col
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    bad = c("p_size") % 10 == 0
+    meta = table(spark, sf_dir, "part").select(F.format_string("in/%d.wav", "p_partkey").alias("path"), F.when(~bad, pick((44100, 48000, 96000, 22050), c("p_size"))).alias("rate"),
+                                               F.when(~bad, pick((1, 2, 5, 6, 8, 10, 7), c("p_partkey"))).alias("channels"), F.when(bad, "bad header").alias("error"))
+    source = F.format_string("in/%d.wav", c("o_custkey") + 900)
+    jobs = table(spark, sf_dir, "orders").select(
+        "o_orderkey", source.alias("input"), F.when(c("o_orderkey") % 11 == 0, source).when(c("o_orderkey") % 5 == 0, "out/x.flac").otherwise("out/x.wav").alias("output"),
+        pick((*catalog.OUTPUT_LAYOUTS, "9.1"), c("o_orderkey")).alias("format"), F.when(c("o_orderstatus") == "F", "bed").otherwise("wav").alias("kind"), F.when(c("o_custkey") % 6 == 0, "PCM_16").otherwise("PCM_24").alias("subtype"),
+        F.when(c("o_custkey") % 4 == 0, 44100).alias("asked_rate"), F.when(c("o_custkey") % 13 == 0, "5.1.2").when(c("o_custkey") % 17 == 0, "quad").alias("override"))
+    return batch.preflight(jobs, meta).select("o_orderkey", "layout", "rate_out", "reason")
 
 
 @query("duplicate_outputs", "SELECT o_orderkey, 'out/' || o_custkey AS output, CAST(jobs AS BIGINT) AS jobs FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS jobs FROM orders) q WHERE jobs > 1")
@@ -180,13 +237,15 @@ def duplicate_outputs(spark, sf_dir):
     return planning.duplicates(jobs).select("o_orderkey", "output", "jobs")
 
 
-@query("resume_split", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'skip' ELSE 'plan' END AS action FROM orders")
+@query("resume_split", "SELECT 'out/' || o_orderkey AS output, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_custkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN 'skip' ELSE 'plan' END AS action FROM orders")
 def resume_split(spark, sf_dir):
-    """A job is skipped where the state has its output with the same identity."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_totalprice", "o_orderstatus").alias("identity"))
-    state = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("identity")).alias("was"))
-    both = o.join(state, "o_orderkey", "left")
-    return both.select("o_orderkey", F.when(F.col("identity") == F.col("was"), "skip").otherwise("plan").alias("action"))
+    """A job is skipped where the state has its input and configuration, and the file that is there is the one that was written."""
+    c = F.col
+    all_ = table(spark, sf_dir, "orders").select(F.concat(F.lit("out/"), c("o_orderkey").cast("string")).alias("output"), c("o_totalprice").cast("bigint").alias("size"), c("o_orderkey").alias("modified"), c("o_orderstatus").alias("config_hash"), "o_orderkey", "o_custkey")
+    state = all_.where("o_orderkey % 3 = 0").select("output", "size", F.when(c("o_orderkey") % 2 == 0, c("modified")).otherwise(-1).alias("modified"), "config_hash", F.lit(48000).alias("rate"), F.lit(6).alias("channels"), c("o_custkey").alias("frames"))
+    files = all_.where("o_orderkey % 7 <> 0").select("output", F.lit(48000).alias("rate"), F.lit(6).alias("channels"), F.when(c("o_custkey") % 5 != 0, c("o_custkey")).otherwise(-1).alias("frames"))
+    done, todo = batch.resume(all_.drop("o_orderkey", "o_custkey"), state, files, overwrite=True)
+    return done.select("output", F.lit("skip").alias("action")).union(todo.select("output", F.lit("plan").alias("action")))
 
 
 @query("state_upsert", "SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
@@ -201,11 +260,18 @@ def config_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(planning.canonical_json(pairs), 256).alias("hash"))
 
 
-@query("deep_merge", "SELECT * FROM (VALUES ('a.x', '9'), ('a.y', '2'), ('b', 'flat'), ('c.d.e', '5'), ('f.g', 'new')) t(path, value)")
+_DOCS_SQL = """base AS (SELECT p_partkey AS doc, unnest(['a.x', 'a.y', 'b.p', 'b.q.r', 'c.d.e', 'f']) AS path, unnest([CAST(p_size AS VARCHAR), '2', '3', '4', '5', 'scalar']) AS value FROM part),
+over AS (SELECT p_partkey AS doc, 'a.x' AS path, '9' AS value FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'b', 'flat' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'f.g', 'new' FROM part WHERE p_size % 5 = 0)"""
+
+
+@query("deep_merge", f"WITH {_DOCS_SQL} SELECT doc, path, value FROM base b WHERE NOT EXISTS (SELECT 1 FROM over o WHERE o.doc = b.doc AND (o.path = b.path OR starts_with(b.path, o.path || '.') OR starts_with(o.path, b.path || '.'))) UNION ALL SELECT doc, path, value FROM over")
 def deep_merge(spark, sf_dir):
-    rows = lambda *r: spark.createDataFrame(list(r), "path string, value string")
-    base = rows(("a.x", "1"), ("a.y", "2"), ("b.p", "3"), ("b.q.r", "4"), ("c.d.e", "5"), ("f", "scalar"))
-    return planning.deep_merge(base, rows(("a.x", "9"), ("b", "flat"), ("f.g", "new")))
+    """A document for each part, with what some of them override."""
+    c, p = F.col, table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "doc")
+    leaves = {"a.x": c("p_size").cast("string"), "a.y": F.lit("2"), "b.p": F.lit("3"), "b.q.r": F.lit("4"), "c.d.e": F.lit("5"), "f": F.lit("scalar")}
+    base = p.select("doc", F.inline(F.array(*(F.struct(F.lit(k).alias("path"), v.alias("value")) for k, v in leaves.items()))))
+    set_ = lambda where, path, value: p.where(where).select("doc", F.lit(path).alias("path"), F.lit(value).alias("value"))
+    return planning.deep_merge(base, set_("doc % 3 = 0", "a.x", "9").union(set_("doc % 2 = 0", "b", "flat")).union(set_("p_size % 5 = 0", "f.g", "new")))
 
 
 @query("typed_coerce", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NULL THEN 'bad' ELSE 'ok' END AS state FROM events")
@@ -220,15 +286,22 @@ def cache_key(spark, sf_dir):
     return p.select("p_partkey", planning.cache_key(F.col("p_name"), F.col("p_size").cast("string"), F.format_string("%.3f", "p_retailprice"), F.lit("v2")).alias("key"))
 
 
-@query("cache_lookup", "SELECT p.p_partkey, coalesce(n.hit, l.hit) AS hit, CASE WHEN n.hit IS NOT NULL THEN 'new' WHEN l.hit IS NOT NULL THEN 'legacy' ELSE 'miss' END AS via FROM part p "
-                       "LEFT JOIN (SELECT p_partkey AS hit FROM part WHERE p_partkey % 3 = 0) n ON n.hit = p.p_partkey LEFT JOIN (SELECT p_partkey AS hit FROM part WHERE p_partkey % 2 = 0) l ON l.hit = p.p_partkey")
+@query("cache_lookup", "WITH e AS (SELECT key, part AS owner, was, stems FROM (SELECT 'n' || p_partkey AS key, p_partkey AS part, 100 + p_partkey % 5 AS was, p_size % 4 AS stems FROM part WHERE p_partkey % 3 = 0 UNION ALL "
+                       "SELECT 'o' || p_partkey, p_partkey, 100e0, 2 FROM part WHERE p_partkey % 2 = 0) q), "
+                       "w AS (SELECT *, stems > 0 AND NOT (key LIKE 'n%' AND stems = 3 AND owner % 7 = 0) AND abs(was - 101) <= 2 AS ok FROM e) "
+                       "SELECT p_partkey AS id, CASE WHEN n.key IS NOT NULL AND n.ok THEN n.key WHEN n.key IS NULL AND o.ok THEN o.key END AS hit, CASE WHEN n.key IS NOT NULL AND n.ok THEN 'new' WHEN n.key IS NULL AND o.ok THEN 'legacy' ELSE 'miss' END AS via "
+                       "FROM part LEFT JOIN w n ON n.key = 'n' || p_partkey LEFT JOIN w o ON o.key = 'o' || p_partkey")
 def cache_lookup(spark, sf_dir):
-    """JN11: the new key first, then the old one."""
-    p = table(spark, sf_dir, "part").select("p_partkey")
-    new = p.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_partkey").alias("new"))
-    old = p.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_partkey").alias("old"))
-    both = p.join(new, "p_partkey", "left").join(old, "p_partkey", "left")
-    return both.select("p_partkey", F.coalesce("new", "old").alias("hit"), F.when(F.col("new").isNotNull(), "new").when(F.col("old").isNotNull(), "legacy").otherwise("miss").alias("via"))
+    """JN11: the new key first, then the old one; an entry serves if its time fits and all of its files are there."""
+    c, p = F.col, table(spark, sf_dir, "part")
+    key = lambda k: F.concat(F.lit(k), c("p_partkey").cast("string"))
+    stems = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (c("p_size") % 4).cast("int"))
+    new = p.where("p_partkey % 3 = 0").select(key("n").alias("key"), (100e0 + c("p_partkey") % 5).alias("modified"), stems.alias("stems"), "p_partkey")
+    old = p.where("p_partkey % 2 = 0").select(key("o").alias("key"), F.lit(100e0).alias("modified"), F.array(F.lit("a"), F.lit("b")).alias("stems"), "p_partkey")
+    entries = new.union(old)
+    files = entries.select("key", F.explode("stems").alias("stem"), "p_partkey").where("NOT (key LIKE 'n%' AND stem = 'c' AND p_partkey % 7 = 0)")
+    requests = p.select(c("p_partkey").alias("id"), key("n").alias("key"), key("o").alias("legacy"), F.lit(101e0).alias("modified"))
+    return stem_plans.cache_hits(requests, entries.drop("p_partkey"), files.select("key", "stem"))
 
 
 @query("ordered_dedupe", "SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
@@ -236,16 +309,27 @@ def ordered_dedupe(spark, sf_dir):
     return planning.ordered_distinct(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey")
 
 
-@query("adm_track_ids", f"WITH {catalog.layouts_sql()} SELECT layout, label, printf('ATU_%08d', ord + 1) AS uid, 'AT_0001' || upper(lpad(to_hex(ord + 4097), 4, '0')) || '_01' AS track FROM layouts WHERE direction = 'out'")
+@query("adm_track_ids", f"WITH {catalog.layouts_sql()} SELECT p_partkey, label, printf('ATU_%08d', ord + 1) AS uid, 'AT_0001' || upper(lpad(to_hex(ord + 4097), 4, '0')) || '_01' AS track "
+                        f"FROM (SELECT p_partkey, list_extract([{_OUT}], p_partkey % 6 + 1) AS layout FROM part) p JOIN layouts USING (layout) WHERE direction = 'out'")
 def adm_track_ids(spark, sf_dir):
-    k = F.col("ord") + 1
-    return catalog.layouts(spark).where("direction = 'out'").select("layout", "label", F.format_string("ATU_%08d", k).alias("uid"), F.concat(F.lit("AT_0001"), F.upper(F.lpad(F.hex(F.col("ord") + 4097), 4, "0")), F.lit("_01")).alias("track"))
+    """IO9: the tracks of each part's layout."""
+    layout = F.element_at(F.array(*map(F.lit, catalog.OUTPUT_LAYOUTS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    tracks = catalog.layouts(spark).where("direction = 'out'").select("layout", "label", F.format_string("ATU_%08d", F.col("ord") + 1).alias("uid"),
+                                                                      F.concat(F.lit("AT_0001"), F.upper(F.lpad(F.hex(F.col("ord") + 4097), 4, "0")), F.lit("_01")).alias("track"))
+    return table(spark, sf_dir, "part").select("p_partkey", layout.alias("layout")).join(F.broadcast(tracks), "layout").select("p_partkey", "label", "uid", "track")  # six layouts
+
+
+_TAGS = {"Vocals": "Vocals", "Steel": "Drums", "Brushed": "Other", "Lead Vocals": "Lead Vocals"}
 
 
-@query("stem_name_parse", "SELECT p_partkey, regexp_extract(p_name || ' (Vocals) (' || p_type || ')', '.*\\(([^()]*)\\)', 1) AS stem FROM part")
+@query("stem_name_parse", "SELECT p_partkey, CASE WHEN p_type LIKE '%BRUSHED%' THEN CASE WHEN p_size % 2 = 0 THEN 'Piano' ELSE 'Other' END WHEN p_type LIKE '%STEEL' THEN 'Drums' ELSE 'Vocals' END AS stem FROM part")
 def stem_name_parse(spark, sf_dir):
-    """The rightmost tag in brackets."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract(F.concat("p_name", F.lit(" (Vocals) ("), "p_type", F.lit(")")), r".*\(([^()]*)\)", 1).alias("stem"))
+    """Of the known tags the one that stands last; a model's own come first."""
+    c = F.col
+    tag = F.when(c("p_type").contains("BRUSHED"), "Brushed").when(c("p_type").endswith("STEEL"), "STEEL").otherwise("unknown")
+    file = F.concat(F.lit("x (Steel)/"), "p_name", F.lit("_(Vocals)_("), tag, F.lit(")_model.wav"))
+    own = stem_plans.stem_name(file, _TAGS, {"brushed": "Piano"})
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(c("p_size") % 2 == 0, own).otherwise(stem_plans.stem_name(file, _TAGS)).alias("stem"))
 
 
 @query("stem_key", "SELECT p_partkey, split_part(p_brand || CASE WHEN p_partkey % 2 = 0 THEN '@front' ELSE '' END, '@', 1) AS stem, replace(p_type || '/@x', '/', '_') AS file FROM part")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavequarry import catalog
-from wavequarry.operators import folds, loudness, scalar, spatial, windows
+from wavequarry.operators import folds, loudness, routing, scalar, spatial, upmix, windows
 from wavequarry.queries import query
 from wavequarry.signal import PAIR_SQL, SIG_SQL, event_signal, stereo_pair, table
 
@@ -59,12 +59,17 @@ def soft_limit(spark, sf_dir):
     return event_signal(spark, sf_dir).select("channel", "n", _r(scalar.soft_limit(F.col("x"), 0.5), "y"))
 
 
-@query("elevation_mask", "SELECT CAST(f AS BIGINT) AS bin, round(1 / (1 + exp(-(f * 10e0 - 200) / 50e0)), 8) AS bass, "
-                         "round(1 / (1 + exp(-(f * 10e0 - 4000) / 1000e0)), 8) AS air, "
-                         "round(1 / sqrt(1 + pow(f * 10e0 / 120e0, 8e0)), 8) AS lfe FROM range(2049) t(f)")
+_RISE = "1 / (1 + exp(-(f * 10e0 - {0}) / {1}))"
+
+
+@query("elevation_mask", "WITH b AS (SELECT vec_id, unnest(generate_series(0, 63)) AS f, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, CAST(f AS BIGINT) AS bin, "
+                         f"round(v * {_RISE.format('250e0', '625e-1')}, 6) AS bass, round(v * {_RISE.format('4e3', '1e3')}, 6) AS air, round(v / sqrt(1 + pow(f * 10e0 / 120e0, 8e0)), 6) AS lfe, "
+                         f"round(v * (15e-2 + 85e-2 * {_RISE.format('150e0', '375e-1')}) * (1 + 5e-1 * {_RISE.format('3e3', '5e2')}), 6) AS elevation FROM b")
 def elevation_mask(spark, sf_dir):
-    f = F.col("id") * 10e0
-    return spark.range(2049).select(F.col("id").alias("bin"), _r(scalar.sigmoid_mask(f, 200), "bass", 8), _r(scalar.sigmoid_mask(f, 4000), "air", 8), _r(scalar.lfe_mask(f, 120, 4), "lfe", 8))
+    """Bins of 10 Hz under the masks of the routing."""
+    masks = upmix.fixed_masks(F.col("bin") * 10e0, upmix.Routing(), F.exp, F.sqrt)
+    bins = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("bin", "v")).withColumn("v", F.col("v").cast("double"))
+    return bins.select("vec_id", F.col("bin").cast("bigint").alias("bin"), *(_r(F.col("v") * masks[m], n) for m, n in (("bass", "bass"), ("air", "air"), ("low", "lfe"), ("elevation", "elevation"))))
 
 
 _FEATURES = "(p_size % 11) / 10e0 AS w, (p_size % 7) / 6e0 AS h, (p_size % 5) / 4e0 AS b, (p_size % 3) / 2e0 AS t"
@@ -121,23 +126,25 @@ def adm_clock(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalar.clock(F.col("o_totalprice") / 4).alias("at"))
 
 
-@query("fft_resolution", "SELECT CAST(r AS BIGINT) AS rate, CASE WHEN floor(r / 108e-1) <= 1 THEN 1 ELSE least(16384, CAST(pow(2, ceil(log2(floor(r / 108e-1)))) AS INTEGER)) END AS fft, "
-                         "CASE WHEN floor(r / 108e-1) <= 1 THEN 0 ELSE least(16384, CAST(pow(2, ceil(log2(floor(r / 108e-1)))) AS INTEGER)) // 4 END AS hop "
-                         "FROM (VALUES (8000), (11025), (16000), (22050), (32000), (44100), (48000), (88200), (96000), (192000)) t(r)")
+_RATES = (8000, 11025, 16000, 22050, 32000, 44100, 48000, 88200, 96000, 192000)
+_POWER = "CAST(pow(2, ceil(log2(floor(rate / 108e-1)))) AS INTEGER)"
+
+
+@query("fft_resolution", f"SELECT p_partkey, rate, least(16384, {_POWER}) AS fft, least(16384, {_POWER}) // 4 AS hop "
+                         f"FROM (SELECT p_partkey, CAST(list_extract([{', '.join(map(str, _RATES))}], p_partkey % 10 + 1) * (1 + p_size % 2) AS BIGINT) AS rate FROM part) q")
 def fft_resolution(spark, sf_dir):
-    rates = spark.createDataFrame([(r,) for r in (8000, 11025, 16000, 22050, 32000, 44100, 48000, 88200, 96000, 192000)], "rate bigint")
+    """Of each part's rate."""
+    rate = F.element_at(F.array(*map(F.lit, _RATES)), (F.col("p_partkey") % 10 + 1).cast("int")) * (1 + F.col("p_size") % 2)
     size = scalar.fft_size(F.col("rate"))
-    return rates.select("rate", size.alias("fft"), F.floor(size / 4).cast("int").alias("hop"))
+    return table(spark, sf_dir, "part").select("p_partkey", rate.cast("bigint").alias("rate")).select("p_partkey", "rate", size.alias("fft"), F.floor(size / 4).cast("int").alias("hop"))
 
 
-@query("source_anchor", _sig("SELECT a.channel, a.n, round(CASE WHEN b.x IS NULL THEN a.x ELSE 5e-1 * a.x + 5e-1 * b.x END, 6) AS y "
-                             "FROM sig a LEFT JOIN sig b ON b.channel = CASE a.channel WHEN 'SL' THEN 'FL' WHEN 'LFE' THEN 'FR' END AND a.n = b.n"))
+@query("source_anchor", _sig(", top AS (SELECT channel, max(n) AS top FROM sig GROUP BY 1) SELECT a.channel, a.n, round(CASE WHEN t.channel IS NULL THEN a.x ELSE 5e-1 * a.x + 5e-1 * b.x END, 6) AS y FROM sig a "
+                             "LEFT JOIN top t ON t.channel = CASE a.channel WHEN 'SL' THEN 'FL' WHEN 'LFE' THEN 'FR' END LEFT JOIN sig b ON b.channel = t.channel AND a.n = b.n WHERE t.channel IS NULL OR a.n <= t.top"))
 def source_anchor(spark, sf_dir):
-    sig = event_signal(spark, sf_dir)
-    native = F.when(F.col("channel") == "SL", "FL").when(F.col("channel") == "LFE", "FR")
-    src = sig.select(F.col("channel").alias("src"), F.col("n"), F.col("x").alias("sx"))
-    anchored = F.when(F.col("sx").isNull(), F.col("x")).otherwise(0.5 * F.col("x") + 0.5 * F.col("sx"))
-    return sig.withColumn("src", native).join(src, ["src", "n"], "left").select("channel", "n", _r(anchored, "y"))
+    """Two channels are drawn halfway to their native ones, and end with them."""
+    sig = event_signal(spark, sf_dir).withColumn("asset", F.lit("events"))
+    return routing.source_anchor(sig, sig, {"SL": "FL", "LFE": "FR"}, 0.5).select("channel", "n", _r(F.col("x"), "y"))
 
 
 @query("wet_dry", _sig("SELECT channel, n, round(x * 7e-1 + coalesce(lag(x) OVER (PARTITION BY channel ORDER BY n), 0e0) * 3e-1, 6) AS y FROM sig"))
@@ -196,14 +203,14 @@ def positive_flux(spark, sf_dir):
 
 
 @query("onset_density", f"WITH {_SPECTRA}, d0 AS (SELECT vec_id, f, m - lag(m) OVER (PARTITION BY f ORDER BY vec_id) AS x FROM spec), d AS (SELECT vec_id, f, greatest(0e0, x) AS x FROM d0 WHERE x IS NOT NULL), "
-                        "fl AS (SELECT vec_id, sum(x) AS x FROM d GROUP BY 1 HAVING sum(x) IS NOT NULL), s AS (SELECT avg(x) + 2 * stddev_pop(x) AS thr, quantile_cont(x, 75e-2) AS p75 FROM fl) "
-                        "SELECT CAST(count(*) FILTER (WHERE x > thr) AS BIGINT) AS onsets, round(avg(CASE WHEN x > 15e-1 * p75 THEN 1e0 ELSE 0e0 END), 6) AS transient FROM fl CROSS JOIN s")
+                        "fl AS (SELECT vec_id, sum(x) AS x FROM d GROUP BY 1 HAVING sum(x) IS NOT NULL), s AS (SELECT avg(x) + 2 * stddev_pop(x) AS thr, quantile_cont(x, 75e-2) AS p75 FROM fl), "
+                        "c AS (SELECT count(*) FILTER (WHERE x > thr) AS onsets, count(*) AS k, avg(CASE WHEN x > 15e-1 * p75 THEN 1e0 ELSE 0e0 END) AS transient FROM fl CROSS JOIN s) "
+                        "SELECT CAST(onsets AS BIGINT) AS onsets, round(CASE WHEN k + 1 <= 2 THEN 0e0 ELSE least(1e0, onsets / ((k + 1) * 16 / 1e2) / 8) END, 6) AS density, round(transient, 6) AS transient FROM c")
 def onset_density(spark, sf_dir):
+    """Onsets a second over eight, at hops of 16 and 100 samples a second."""
     spec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("bin", "e")).withColumn("m", F.abs(F.col("e").cast("double")))
-    before = F.lag("m").over(W.partitionBy("bin").orderBy("frame"))
-    flux = spec.withColumn("x", F.when(before.isNotNull(), F.greatest(F.lit(0e0), F.col("m") - before))).groupBy("frame").agg(F.sum("x").alias("x")).where("x IS NOT NULL")
-    limits = flux.agg((F.avg("x") + 2 * F.stddev_pop("x")).alias("thr"), F.percentile("x", F.lit(0.75)).alias("p75"))
-    return flux.join(F.broadcast(limits)).agg(F.count_if(F.col("x") > F.col("thr")).alias("onsets"), _r(F.avg(F.when(F.col("x") > 1.5 * F.col("p75"), 1e0).otherwise(0e0)), "transient"))
+    out = windows.onset_density(spec, 16, 100.0)
+    return out.select("onsets", _r(F.col("density"), "density"), _r(F.col("transient"), "transient"))
 
 
 _RATE = 100

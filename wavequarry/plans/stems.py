@@ -151,10 +151,7 @@ def stem_features(stems: DataFrame, rate: int, size: int = 2048) -> DataFrame:
 
     At most a minute of each, from three windows evenly apart, is gathered: that bounds a task.
     """
-    length = stems.groupBy("asset", "stem").agg((F.max("n") + 1).alias("len"))
-    most, third = rate * MOST_SECONDS, rate * MOST_SECONDS // 3
-    mid = F.expr(f"(len - {third}) div 2")
-    some = stems.join(length, ["asset", "stem"]).where((F.col("len") <= most) | (F.col("n") < third) | ((F.col("n") >= mid) & (F.col("n") < mid + third)) | (F.col("n") >= F.col("len") - third))
+    some = windows.three_windows(stems, ["asset", "stem"], rate * MOST_SECONDS)
 
     def analyse(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n", kind="stable")
