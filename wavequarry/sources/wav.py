@@ -1,4 +1,4 @@
-"""Integer PCM WAV files as a Spark source, and writers (IO1 to IO5, IO7, IO11, IO12)."""
+"""PCM WAV files, integer and real, as a Spark source, and writers (IO1 to IO5, IO7, IO11, IO12)."""
 
 from __future__ import annotations
 
@@ -17,11 +17,12 @@ FRAMES = 65_536
 
 
 class WavError(ValueError):
-    """Not an integer PCM WAV file."""
+    """Not a PCM WAV file."""
 
 
-def parse_header(data: bytes) -> dict:
-    """IO2: rate, channels, bits, frames and where the samples start, without decoding."""
+def parse_header(data: bytes, length: int | None = None) -> dict:
+    """IO2: rate, channels, bits, frames and where the samples start, without decoding; ``data`` may be only the beginning of a file of ``length`` bytes."""
+    length = len(data) if length is None else length
     if data[:4] not in (b"RIFF", b"RF64") or data[8:12] != b"WAVE":
         raise WavError("not a WAV file")
     at, fmt = 12, None
@@ -31,20 +32,22 @@ def parse_header(data: bytes) -> dict:
             kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", data, at + 8)
             if kind == 0xFFFE and size >= 26:
                 kind = struct.unpack_from("<H", data, at + 32)[0]
-            if kind != 1 or bits not in (16, 24, 32):
+            if (kind, bits) not in ((1, 16), (1, 24), (1, 32), (3, 32), (3, 64)):
                 raise WavError(f"format {kind} with {bits} bits isn't supported")
-            fmt = {"rate": rate, "channels": channels, "bits": bits, "align": align}
+            fmt = {"rate": rate, "channels": channels, "bits": bits, "align": align, "real": kind == 3}
         elif tag == b"data":
             if fmt is None:
                 raise WavError("samples before their format")
-            size = min(size, len(data) - at - 8)
+            size = min(size, length - at - 8)
             return fmt | {"frames": size // fmt["align"], "start": at + 8}
         at += 8 + size + (size & 1)
     raise WavError("no samples")
 
 
-def decode_pcm(raw: bytes, bits: int, channels: int) -> np.ndarray:
-    """Samples as doubles in [-1, 1), shape (frames, channels)."""
+def decode_pcm(raw: bytes, bits: int, channels: int, real: bool = False) -> np.ndarray:
+    """Samples as doubles, integers in [-1, 1) and real ones as they are, shape (frames, channels)."""
+    if real:
+        return np.frombuffer(raw, f"<f{bits // 8}").astype(np.float64).reshape(-1, channels)
     if bits == 24:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
         v = (b[:, 0].astype(np.int32) << 8 | b[:, 1].astype(np.int32) << 16 | b[:, 2].astype(np.int32) << 24) >> 8
@@ -123,7 +126,7 @@ def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None)
                 for at in range(0, h["frames"], FRAMES):
                     n = min(FRAMES, h["frames"] - at)
                     begin = h["start"] + at * h["align"]
-                    x = decode_pcm(content[begin:begin + n * h["align"]], h["bits"], h["channels"])
+                    x = decode_pcm(content[begin:begin + n * h["align"]], h["bits"], h["channels"], h["real"])
                     for c in range(h["channels"]):
                         yield pd.DataFrame({"asset": name, "channel": labels[c] if labels else str(c), "n": np.arange(at, at + n), "x": x[:, c]})
 
