@@ -13,6 +13,7 @@ spreads over the cluster, and no task holds more of it than a chunk and its halo
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -33,6 +34,25 @@ KEYS = ["asset", "channel"]
 CHUNKS = "asset string, channel string, chunk bigint, x array<double>"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for what reads it more than once, and its lineage cut.
+
+    A checkpoint in the folder that ``spark.checkpoint.dir`` names, which outlives lost executors; unset, it is a temporary folder in local mode and an error on a cluster.
+    """
+    if getattr(df, "_settled", False):
+        return df
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavequarry-"))
+    elif not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    out = df.checkpoint()
+    out._settled = True
+    return out
+
+
 def pack(signal: DataFrame, size: int = SIZE) -> DataFrame:
     """Chunk rows of ``signal([asset,] channel, n, x)``; a sample that is missing is silence, which has no row where a chunk ends in it."""
     asset = F.col("asset") if "asset" in signal.columns else F.lit("").alias("asset")
@@ -242,8 +262,12 @@ def carries(chunks: DataFrame, system: Linear, size: int = SIZE, fan: int = FAN,
     return ends.join(starts, [*KEYS, "group"]).groupBy(*KEYS, "group").applyInPandas(spread, kind.format("chunk", "state"))
 
 
-def linear(chunks: DataFrame, system: Linear, size: int = SIZE, fan: int = FAN, gaps: bool = True, skip: tuple[str, ...] = ()) -> DataFrame:
-    """A linear recursion over every channel, by two passes over the chunks and a scan between them. Channels in ``skip`` pass."""
+def linear(chunks: DataFrame, system: Linear, size: int = SIZE, fan: int = FAN, gaps: bool = True, skip: tuple[str, ...] = (), settle: bool = True) -> DataFrame:
+    """A linear recursion over every channel, by two passes over the chunks and a scan between them. Channels in ``skip`` pass.
+
+    The chunks are computed once, and kept for the second pass, unless ``settle`` says that this has been done.
+    """
+    chunks = settled(chunks) if settle else chunks
 
     def run(x, chunk, state, channel):
         if channel in skip:
@@ -259,10 +283,12 @@ def zero_phase(chunks: DataFrame, sections: np.ndarray, size: int = SIZE, fan: i
     if size <= pad:
         raise ValueError(f"chunks must be longer than {pad} samples")
     system = series(sections, first=lambda x0: np.concatenate(_steady(sections, x0)))
+    chunks = settled(chunks)
     tops = chunks.groupBy(*KEYS).agg(F.max("chunk").alias("top"), F.max_by(F.size("x"), "chunk").alias("rest"))
     long = F.col("top") * size + F.col("rest") > pad
     known = with_halo(chunks, pad + 1, size).join(tops, KEYS)
-    short = linear(known.where(~long).select(*KEYS, "chunk", "x"), series(sections), size, fan)
+    known = settled(known)
+    short = linear(known.where(~long).select(*KEYS, "chunk", "x"), series(sections), size, fan, settle=False)
 
     def extend(x, chunk, halo, last):
         head = 2 * x[0] - x[pad:0:-1] if chunk == 0 and len(x) > pad else np.empty(0)

@@ -67,6 +67,7 @@ def compress_chunks(rows: DataFrame, profile: str, rate: float, size: int = chun
     if ratio == 1:
         return rows
     fast, slow = (1 - np.exp(-1000.0 / (rate * ms)) for ms in (attack, release))
+    rows = chunks.settled(rows)
 
     def joint(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         power, count = np.zeros(pdf["x"].map(len).max()), np.zeros(pdf["x"].map(len).max())
@@ -94,13 +95,14 @@ def loudness(signal: DataFrame, rate: int) -> DataFrame:
 
 def measure(rows: DataFrame, rate: int, size: int = chunks.SIZE) -> DataFrame:
     """``loudness`` of chunk rows: peaks from chunks with halos; each chunk gives its share of the energy of the blocks it meets."""
+    rows = chunks.settled(rows)
     peaks = chunks.true_peaks(rows, size).groupBy("asset").agg((20e0 * F.log10(F.greatest(F.max("peak"), F.lit(1e-30)))).alias("dbtp"))
     return peaks.join(_integrated(rows, rate, size), "asset", "left").select("asset", F.coalesce("lkfs", F.lit(-70.0)).alias("lkfs"), "dbtp")
 
 
 def integrated(signal: DataFrame, rate: int) -> DataFrame:
     """L1, L2: ``(asset, lkfs)`` without the peak; assets in which no block passes the gate are left out."""
-    return _integrated(chunks.pack(signal), rate)
+    return _integrated(chunks.settled(chunks.pack(signal)), rate)
 
 
 def _integrated(rows: DataFrame, rate: int, size: int = chunks.SIZE) -> DataFrame:
@@ -116,7 +118,7 @@ def _integrated(rows: DataFrame, rate: int, size: int = chunks.SIZE) -> DataFram
                 parts.append(pd.DataFrame({"asset": asset, "channel": channel, "block": own, "e": CHANNEL_WEIGHTS[channel] * (total[high] - total[low]) / block, "c": high - low}))
             yield pd.concat(parts) if parts else pd.DataFrame({"asset": [], "channel": [], "block": [], "e": [], "c": []})
 
-    heard = chunks.linear(rows.where(F.col("channel").isin(*(c for c, w in CHANNEL_WEIGHTS.items() if w))), chunks.series(dsp.k_weighting(rate)), size)
+    heard = chunks.linear(rows.where(F.col("channel").isin(*(c for c, w in CHANNEL_WEIGHTS.items() if w))), chunks.series(dsp.k_weighting(rate)), size, settle=False)
     each = (heard.mapInPandas(shares, "asset string, channel string, block bigint, e double, c bigint").where("c > 0")
             .groupBy("asset", "channel", "block").agg(F.sum("e").alias("e"), F.sum("c").alias("c")).where(F.col("c") == block))
     shortest = each.groupBy("asset", "channel").agg(F.max("block").alias("k")).groupBy("asset").agg(F.min("k").alias("k"))
@@ -138,11 +140,12 @@ def gain_to(measured: DataFrame, target: float, peak: float = -1.0, cap: float =
     return measured.select("asset", F.col("lkfs").alias("pre_lkfs"), (want - excess).alias("gain_db"), (excess > 0).alias("tp_limited"))
 
 
-def normalise_chunks(rows: DataFrame, rate: int, target: float, peak: float = -1.0, cap: float = 30.0, size: int = chunks.SIZE) -> tuple[DataFrame, DataFrame]:
-    """The rows at their gain, and ``(asset, pre_lkfs, gain_db, tp_limited, lkfs, dbtp)``, the last two measured again on these rows."""
-    gains = gain_to(measure(rows, rate, size), target, peak, cap)
+def normalise_chunks(rows: DataFrame, rate: int, target: float, peak: float = -1.0, cap: float = 30.0, size: int = chunks.SIZE) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The rows at their gain, and what gives ``(asset, pre_lkfs, gain_db, tp_limited, lkfs, dbtp)``, the last two measured again on these rows."""
+    rows = chunks.settled(rows)
+    gains = chunks.settled(gain_to(measure(rows, rate, size), target, peak, cap))
     done = chunks.mapped(rows.join(gains.select("asset", "gain_db"), "asset"), lambda x, g: x * 10 ** (g / 20), "gain_db")
-    return done, gains.join(measure(done, rate, size), "asset")
+    return done, lambda: gains.join(measure(done, rate, size), "asset")
 
 
 @dataclass
@@ -165,7 +168,11 @@ class Chain:
     def apply(self, signal: DataFrame) -> DataFrame:
         if self.reference is not None:
             signal = match(signal, self.reference, self.rate, self.strength)
-        rows = chunks.pack(signal)
+        if not (self.eq or self.bass or self.limit is not None or self.target is not None) and self.compressor not in COMPRESSOR_PROFILES:
+            if self.compressor:
+                warnings.warn(f"no compressor profile {self.compressor}", stacklevel=2)
+            return signal
+        rows = chunks.settled(chunks.pack(signal))
         done = self.on_rows(rows)
         return signal if done is rows else chunks.unpack(done)
 

@@ -163,11 +163,13 @@ def route(stems: DataFrame, rate: float, layout: str, r: Routing = Routing(), zo
     """
     key = lambda side: F.concat("stem", F.lit(f"\x1f{side}"))
     long = stems.select("asset", "stem", "n", F.inline(F.array(*(F.struct(key(s).alias("channel"), F.col(c).alias("x")) for s, c in (("L", "l"), ("R", "r"))))))
-    packed = chunks.pack(long, size)
+    packed = chunks.settled(chunks.pack(long, size))
     keys = packed.select("asset", F.split("channel", "\x1f")[0].alias("stem")).distinct()
     plan = gains(effective(keys, zones, defaults, custom), layout, r, skip, keys.join(features, ["asset", "stem"], "left") if features is not None else None)
     plan = plan if features is not None else keys.join(plan, "stem").select("asset", "stem", "channel", "gain")
+    plan = chunks.settled(plan)
     sent = sends(packed, rate, plan.select("asset", "stem", kind_of(F.col("channel")).alias("kind")), r, size)
+    sent = chunks.settled(sent)
     powered = constant_power(plan, energies(sent))
     parts = sent.join(powered, ["asset", "stem", "kind", "side"]).select("asset", "channel", "chunk", "gain", "x")
     lengths = packed.groupBy("asset", "chunk").agg(F.max(F.size("x")).alias("len"))
@@ -180,7 +182,7 @@ def route(stems: DataFrame, rate: float, layout: str, r: Routing = Routing(), zo
             x[:len(own)] += g * np.asarray(own)
         return pd.DataFrame({"asset": [key[0]], "channel": [key[1]], "chunk": [key[2]], "x": [x]})
 
-    mixed = parts.unionByName(silent).groupBy("asset", "channel", "chunk").applyInPandas(together, chunks.CHUNKS)
+    mixed = chunks.settled(parts.unionByName(silent).groupBy("asset", "channel", "chunk").applyInPandas(together, chunks.CHUNKS))
     bus = chunks.series(dsp.butterworth(r.lfe_order, r.lfe_hz, rate), out=lambda low, _: r.lfe * low)
-    low = chunks.linear(mixed.where("channel = 'LFE'"), bus, size)
+    low = chunks.linear(mixed.where("channel = 'LFE'"), bus, size, settle=False)
     return chunks.unpack(mixed.where("channel <> 'LFE'").unionByName(low), size)

@@ -228,18 +228,30 @@ def _rows(asset: str, channels: list[str], start: int, y: np.ndarray) -> pd.Data
     return pd.DataFrame({"asset": asset, "channel": channels, "start": start, "x": list(y)})
 
 
-def upmix(pair: DataFrame, rate: float, size: int, layout: str, r: Routing = Routing(), linked: bool = True, trim: bool = True, block: int = chunks.SIZE) -> DataFrame:
-    """Batch: ``(asset, channel, n, x)`` of ``pair(asset, n, l, r)``. The engine's state goes from frame to frame, so one task takes an asset; it holds a block at a time and gives it out."""
+def upmix(pair: DataFrame, rate: float, size: int, layout: str, r: Routing = Routing(), linked: bool = True, trim: bool = True, block: int = chunks.SIZE,
+          controls: DataFrame | None = None, control_hop: int = 1) -> DataFrame:
+    """Batch: ``(asset, channel, n, x)`` of ``pair(asset, n, l, r)``. The engine's state goes from frame to frame, so one task takes an asset.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    ``controls(asset, k, front, surround, back, height, detail)`` hold for the frames that begin in their ``control_hop`` samples, the last ones to the end (JN5).
+    """
+
+    def run(pdf: pd.DataFrame, plan: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(pdf):
+            return _rows("", [], 0, np.zeros((0, 0)))
         pdf = pdf.sort_values("n", kind="stable")
-        engine, asset = UpmixEngine(rate, size, layout, r, linked, trim), pdf["asset"].iloc[0]
+        steps = plan.sort_values("k").drop(columns=["asset", "k"]).to_dict("records") if plan is not None and len(plan) else None
+        at = (lambda frame: steps[min(frame * (size // 4) // control_hop, len(steps) - 1)]) if steps else None
+        engine, asset = UpmixEngine(rate, size, layout, r, linked, trim, at), pdf["asset"].iloc[0]
         left, right = pdf["l"].to_numpy(np.float64), pdf["r"].to_numpy(np.float64)
         out = [_rows(asset, engine.channels, *engine.push(left[k:k + block], right[k:k + block])) for k in range(0, len(left), block)]
         out.append(_rows(asset, engine.channels, *engine.flush()))
         return pd.concat([x for x in out if len(x)]) if any(len(x) for x in out) else out[0]
 
-    return samples(pair.select("asset", "n", "l", "r").groupBy("asset").applyInPandas(run, SAMPLES))
+    own = pair.select("asset", "n", "l", "r").groupBy("asset")
+    if controls is None:
+        return samples(own.applyInPandas(lambda pdf: run(pdf), SAMPLES))
+    plan = controls.select("asset", "k", "front", "surround", "back", "height", "detail").groupBy("asset")
+    return samples(own.cogroup(plan).applyInPandas(lambda pdf, steps: run(pdf, steps), SAMPLES))
 
 
 def samples(rows: DataFrame) -> DataFrame:

@@ -34,11 +34,15 @@ def listing(spark: SparkSession, folder: str, recursive: bool = False, pattern:
     return relative_listing(files, folder, None if pattern else SUFFIXES)
 
 
+def relative_path(path: F.Column, folder: str) -> F.Column:
+    """What of a path, or of a file's address, comes after the folder."""
+    inside = F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "%20", " ")
+    return F.ltrim(F.substring(inside, len(folder.rstrip("/")) + 1, 1 << 20), F.lit("/"))
+
+
 def relative_listing(files: DataFrame, folder: str, suffixes: tuple[str, ...] | None = SUFFIXES) -> DataFrame:
     """The order and the suffixes of ``listing`` over ``files(path)``."""
-    inside = F.regexp_replace("path", "^file:/+", "/")
-    relative = F.ltrim(F.substring(inside, len(folder.rstrip("/")) + 1, 1 << 20), F.lit("/"))
-    found = files.select("path", relative.alias("relative")).distinct()
+    found = files.select("path", relative_path(F.col("path"), folder).alias("relative")).distinct()
     if suffixes:
         found = found.where(F.lower(F.substring_index("path", ".", -1)).isin(*suffixes))
     return found.orderBy("relative")

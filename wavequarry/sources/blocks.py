@@ -152,10 +152,10 @@ def write_files(rows: DataFrame, plans: DataFrame, rate: int, folder: str, bits:
             yield pd.DataFrame({"wrong": wrong})
 
     try:
-        begun = chunks_table(plans.mapInPandas(begin, "asset string, start bigint, tracks bigint, frames bigint"))
+        begun = chunks.settled(plans.mapInPandas(begin, "asset string, start bigint, tracks bigint, frames bigint"))
         grid = begun.where("frames > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(frames - 1) div {size}"))).alias("chunk"))
         dealt = grid.join(rows.select("asset", "channel", "chunk", "x"), ["asset", "chunk"], "left")
-        written = chunks_table(dealt.groupBy("asset", "chunk").applyInPandas(write, "asset string, at bigint, len bigint, crc bigint"))
+        written = chunks.settled(dealt.groupBy("asset", "chunk").applyInPandas(write, "asset string, at bigint, len bigint, crc bigint"))
         seen = written.mapInPandas(read_back, "asset string, len bigint, good boolean").groupBy("asset").agg(F.sum("len").alias("done"), F.bool_and("good").alias("good"))
         state = begun.join(seen, "asset", "left").na.fill({"done": 0, "good": True})
         wrong = state.select("asset", "tracks", "frames", "done", "good").mapInPandas(check, "wrong string").where("wrong IS NOT NULL").limit(1).collect()
@@ -167,13 +167,6 @@ def write_files(rows: DataFrame, plans: DataFrame, rate: int, folder: str, bits:
         raise
 
 
-def chunks_table(df: DataFrame) -> DataFrame:
-    """``df`` run once: a few numbers for each asset or block, kept by checkpoint in the shared folder where there is one."""
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.sparkSession.createDataFrame(df.toPandas(), df.schema)
-
-
 def _frames(rows: DataFrame, size: int) -> DataFrame:
     """Each channel's frames."""
     return rows.groupBy("asset", "channel").agg((F.max("chunk") * size + F.max_by(F.size("x"), "chunk")).alias("frames"))
@@ -202,7 +195,7 @@ def _packageable(layout: str, rate: int) -> None:
 
 def _one_bed(signal: DataFrame, order: list[str], name: str, rate: int, folder: str, bits: int, packaged: bool, measured: DataFrame | None, size: int) -> DataFrame:
     spark = signal.sparkSession
-    packed = chunks.pack(signal.where(F.col("channel").isin(*order)), size)
+    packed = chunks.settled(chunks.pack(signal.where(F.col("channel").isin(*order)), size))
     each = _frames(packed, size).groupBy("asset").agg(F.count("*").alias("k"), F.min("frames").alias("least"), F.max("frames").alias("frames"))
     each = signal.select("asset").distinct().join(each, "asset", "left")
     bad = each.where(f"k IS NULL OR k <> {len(order)} OR least <> frames").limit(1).collect()
@@ -250,7 +243,8 @@ def write_stem_beds(stems: DataFrame, routes: DataFrame, layout: str, rate: int,
         names = [f"{s}\x1f{ch}" for s, labels in beds.items() for ch in labels]
         return pd.DataFrame({"asset": key[0], "channel": names, "track": [str(k) for k in range(len(names))], "beds": json.dumps(listed), "frames": int(pdf["frames"].max())})
 
-    numbered = chunks_table(_frames(rows, size).groupBy("asset").applyInPandas(number, "asset string, channel string, track string, beds string, frames bigint"))
+    rows = chunks.settled(rows)
+    numbered = chunks.settled(_frames(rows, size).groupBy("asset").applyInPandas(number, "asset string, channel string, track string, beds string, frames bigint"))
     silent = stems.select("asset").distinct().join(numbered.select("asset"), "asset", "left_anti").limit(1).collect()
     if silent:
         raise WavError(f"{silent[0]['asset']}: no stem has a route")

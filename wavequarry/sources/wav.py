@@ -116,8 +116,11 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", probe("content").alias("h")).select("path", "length", "h.*", (F.col("h.frames") / F.col("h.rate")).alias("duration"))
 
 
-def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:
-    """IO1: ``(asset, channel, n, x)`` of the files below ``path``, read by Spark; channels are named by ``labels`` or their number."""
+def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None, named: DataFrame | None = None) -> DataFrame:
+    """IO1: ``(asset, channel, n, x)`` of the files below ``path``, read by Spark; channels are named by ``labels`` or their number.
+
+    With ``named(path, named)`` only those files, under the names that it gives; else assets are called by their paths.
+    """
 
     def decode(frames):
         for pdf in frames:
@@ -131,6 +134,8 @@ def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None)
                         yield pd.DataFrame({"asset": name, "channel": labels[c] if labels else str(c), "n": np.arange(at, at + n), "x": x[:, c]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
+    if named is not None:
+        files = files.join(named, "path").select(F.col("named").alias("path"), "content")
     return files.select("path", "content").mapInPandas(decode, "asset string, channel string, n bigint, x double")
 
 
