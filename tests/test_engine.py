@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from test_flac import encode
 
 import wavequarry
 from wavequarry.__main__ import main, overlay, parser
@@ -22,6 +23,7 @@ def folder(tmp_path_factory):
     (at / "one.wav").write_bytes(wav.wav_bytes(m[:4000], RATE))
     (at / "six.wav").write_bytes(wav.wav_bytes(rng.standard_normal((5000, 6)) * 0.1, RATE))
     (at / "bad.wav").write_bytes(b"nothing")
+    (at / "packed.flac").write_bytes(encode(rng.integers(-3000, 3000, (5000, 2)), 16, 1000, [("fixed", 1, 0, 11, False)], rate=RATE))
     (at / "sub").mkdir()
     (at / "sub/deep.wav").write_bytes(wav.wav_bytes(rng.standard_normal((3000, 2)) * 0.1, RATE))
     return str(at)
@@ -37,9 +39,9 @@ def test_a_folder_is_upmixed_and_rejects_have_reasons(spark, folder, tmp_path, c
     report = tmp_path / "report.json"
     code = main([folder, str(tmp_path / "out"), "--layout", "7.1", "--frame", "256", "--target", "-20", "--json", "--report", str(report), "--surround-gain", "0.7"], spark)
     rows = {r["asset"]: r for r in map(json.loads, capsys.readouterr().out.splitlines())}
-    assert code == 1 and set(rows) == {"two", "one", "six", "bad"} and rows["bad"]["reason"] == "unreadable"
-    assert json.loads(report.read_text())["succeeded"] == 3
-    for name, frames in (("two", 6000), ("one", 4000), ("six", 5000)):
+    assert code == 1 and set(rows) == {"two", "one", "six", "bad", "packed"} and rows["bad"]["reason"] == "unreadable"
+    assert json.loads(report.read_text())["succeeded"] == 4
+    for name, frames in (("two", 6000), ("one", 4000), ("six", 5000), ("packed", 5000)):
         y, h = read(rows[name]["path"])
         assert (h["channels"], h["frames"], h["rate"], h["bits"]) == (8, frames, RATE, 24) and rows[name]["frames"] == frames
         long = spark.createDataFrame([("a", c, n, float(v)) for k, c in enumerate(wavequarry.OUTPUT_LAYOUTS["7.1"].split()) for n, v in enumerate(y[:, k])], "asset string, channel string, n bigint, x double")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wavequarry import catalog
 from wavequarry.operators import chunks, derive, mastering, spatial, upmix, windows
 from wavequarry.plans import batch
-from wavequarry.sources import blocks, wav
+from wavequarry.sources import blocks, flac, wav
 
 
 @dataclass
@@ -65,7 +65,7 @@ def frame_size(rate: int) -> int:
 
 def inspect(spark: SparkSession, folder: str, out: str, settings: Settings) -> DataFrame:
     """A row for each audio file below ``folder`` with its output, layout, rates and the reason why it can't be done, if there is one. Writes nothing."""
-    found = wav.read_metadata(spark, folder)
+    found = wav.read_metadata(spark, folder).drop("duration").unionByName(flac.read_metadata(spark, folder))
     if not settings.recursive:
         found = found.where(~batch.relative_path(F.col("path"), folder).contains("/"))
     relative = batch.relative_path(F.col("path"), folder)
@@ -119,7 +119,8 @@ def run(spark: SparkSession, folder: str, out: str, settings: Settings = Setting
         done = jobs.where("reason IS NOT NULL").select("asset", F.lit("rejected").alias("status"), "reason", F.lit(None).cast("string").alias("path"), *(F.lit(None).cast("bigint").alias(c) for c in ("tracks", "frames", "bytes")))
         for group in jobs.where("reason IS NULL").select("layout", "rate", "rate_out").distinct().collect():  # a few layouts and rates
             own = jobs.where((F.col("reason").isNull()) & (F.col("layout") == group["layout"]) & (F.col("rate") == group["rate"]))
-            signal = wav.read_signal(spark, folder, catalog.INPUT_LAYOUTS[group["layout"]].split(), own.select(F.col("input").alias("path"), F.col("asset").alias("named")))
+            labels, named = catalog.INPUT_LAYOUTS[group["layout"]].split(), own.select(F.col("input").alias("path"), F.col("asset").alias("named"))
+            signal = wav.read_signal(spark, folder, labels, named).unionByName(flac.read_signal(spark, folder, labels, named=named))
             master = upmixed(signal, group["layout"], group["rate"], settings)
             if settings.kind == "bed":
                 master = chunks.settled(master)  # measured, and then written
