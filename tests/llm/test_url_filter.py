@@ -58,3 +58,54 @@ def test_threshold():
     assert calibrated([(-64, 0, 5), (64, 5, 0)]) == 0.0
     assert calibrated([(32, 0, 5), (64, 5, 0)]) == 33 / 64 and calibrated([(-64, 0, 5), (-32, 5, 0)]) == -32 / 64
     assert calibrated([(0, 3, 0)]) == 0.0
+
+
+def plain_model(urls):
+    """Witten-Bell by strings: the share of a symbol after a context, taken over from the context without its first symbol."""
+    from collections import Counter, defaultdict
+
+    seen = defaultdict(Counter)
+    for u in urls:
+        s = "^^^" + symbols(u)
+        for i in range(3, len(s)):
+            for k in range(4):
+                seen[k, s[i - k:i]][s[i]] += 1
+
+    def share(context, c):
+        below = share(context[1:], c) if context else 1 / SYMBOLS
+        own = seen.get((len(context), context))
+        return below if own is None else (own[c] + len(own) * below) / (sum(own.values()) + len(own))
+
+    return lambda u: [np.log(share(("^^^" + symbols(u))[i:i + 3], c)) for i, c in enumerate(symbols(u))]
+
+
+def symbols(url):
+    """Letters without case, one sign for all digits, the signs as they are, one for every other byte."""
+    return "".join(chr(b).lower() if chr(b).isascii() and chr(b).isalpha() else "0" if 48 <= b <= 57 else chr(b) if chr(b) in "./-_?=&#%:~+@" else "!" for b in url.encode())
+
+
+def test_scores_and_verdicts_against_plain_code(spark):
+    from pyspark.sql import functions as F
+
+    from wavequarry.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    verdict = {h + p: v for v, h, p in RULES}
+    rows = [(r["page_id"], r["url"] or "", r["f"]) for r in pages.select("page_id", "url", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(10)).alias("f")).collect()]
+    labelled = [(u, verdict[plain(u)[2]], f) for _, u, f in rows if plain(u)[2]]
+    good, bad = (plain_model([u for u, v, f in labelled if v == y and f]) for y in ("allow", "block"))
+    score = {u: float(np.mean(np.subtract(good(u), bad(u)))) if u else 0.0 for u in {u for _, u, _ in rows}}
+    model = train_url_model(pages)
+    assert {v for _, v, f in labelled if f} == {"allow", "block"} and len(rows) > 200
+    assert all(abs(model.score(u) - s) < 1e-5 for u, s in score.items())
+    held = [(int(np.floor(model.score(u) * 64)), v) for u, v, f in labelled if not f]
+    bins = sorted({b for b, _ in held})
+    assert model.threshold == calibrated([(b, sum(x == (b, "allow") for x in held), sum(x == (b, "block") for x in held)) for b in bins])
+    got = {r["page_id"]: r for r in QUERIES["op7_url_filter"](spark, sf).collect()}
+    assert set(got) == {k for k, _, _ in rows}
+    for k, u, _ in rows:
+        host, path, rule = plain(u)
+        want = verdict[rule] if rule else "allow" if score[u] >= model.threshold else "block"
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, rule)
+        assert got[k]["verdict"] == want or not rule and abs(score[u] - model.threshold) < 1e-5
