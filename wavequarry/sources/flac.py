@@ -1,24 +1,31 @@
 """FLAC decoding, and reads of a file split by ranges of frames (IO1, IO2).
 
-A file is found, its header read and its frames' places listed by one task; the ranges of frames between them are
-then dealt to tasks of their own, each of which reads and decodes its bytes alone. A frame says itself what it is, so
-nothing goes from one to the next. Places are found by the frame's sync code and confirmed by the checksum of its header and the number
-that it must have.
+A file's header is read, and its bytes are searched for frames by spans, each in a task of its own: a frame's sync code,
+confirmed by the checksum of its header. What is found, a few numbers for each frame, is chained file by file by the number that each frame must have. Ranges of
+frames are then dealt to tasks, each of which reads its own bytes and decodes them. A frame says itself what it is, so
+nothing goes from one to the next, and no task holds a file's bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import re
+from collections.abc import Iterable, Iterator
+from typing import IO
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.sources.wav import WavError
+from wavequarry.sources import ranges
+from wavequarry.sources.wav import WavError, chosen, described, probed
 
-#: Frames that one task decodes.
+#: Frames that are read and decoded together.
 RANGE = 64
+#: Bytes in which frames are searched for together, and the most that a frame's header takes.
+SPAN, HEADER = 1 << 22, 16
+_SYNC = re.compile(rb"\xff[\xf8\xf9]")
 # Fixed values of the format: rates and sizes by code, and what each channel assignment has as its second kind of channel.
 RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000, 8: 32000, 9: 44100, 10: 48000, 11: 96000}
 BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
@@ -55,20 +62,27 @@ def crc16(data: bytes) -> int:
 
 def parse_header(data: bytes) -> dict:
     """IO2: rate, channels, bits, frames (samples of a channel), the largest block, and where the first frame begins."""
-    if data[:4] != b"fLaC":
+    return read_header(io.BytesIO(data), len(data))
+
+
+def read_header(f: IO[bytes], length: int) -> dict:
+    """IO2: as ``parse_header``, from an open file; of its metadata only the stream information is read."""
+    if f.read(4) != b"fLaC":
         raise WavError("not a FLAC file")
     at, info = 4, None
-    while at + 4 <= len(data):
-        kind, size = data[at], int.from_bytes(data[at + 1:at + 4], "big")
+    while at < length and len(head := f.read(4)) == 4:
+        kind, size = head[0], int.from_bytes(head[1:], "big")
         if kind & 0x7F == 0:
-            v = int.from_bytes(data[at + 14:at + 22], "big")
+            body = f.read(18)
+            v = int.from_bytes(body[10:], "big")
             info = {"rate": v >> 44, "channels": (v >> 41 & 7) + 1, "bits": (v >> 36 & 31) + 1, "frames": v & (1 << 36) - 1,
-                    "least": int.from_bytes(data[at + 4:at + 6], "big"), "block": int.from_bytes(data[at + 6:at + 8], "big")}
+                    "least": int.from_bytes(body[:2], "big"), "block": int.from_bytes(body[2:4], "big")}
         at += 4 + size
         if kind & 0x80:
             if info is None:
                 raise WavError("no stream information")
             return info | {"start": at}
+        f.seek(at)
     raise WavError("a FLAC file without an end of its metadata")
 
 
@@ -163,22 +177,29 @@ def frame_header(data: bytes, at: int, info: dict) -> dict | None:
     return {"first": number if variable else number * info["block"], "size": size, "kind": kind, "bits": BITS.get(bits_code, info["bits"]), "length": p + 1 - at}
 
 
-def frame_places(data: bytes, info: dict) -> list[tuple[int, int]]:
-    """``(first sample, byte)`` of every frame: a sync code whose header has its checksum and goes on where the frame before ends."""
-    out, want, at = [], 0, info["start"]
-    while (at := data.find(b"\xff", at)) >= 0:
-        h = frame_header(data, at, info)
-        if h and h["first"] == want:
+def candidates(data: bytes, info: dict, begin: int, end: int) -> list[tuple[int, int, int, int]]:
+    """``(byte, first sample, size, header's length)`` of what looks like a frame and begins in ``data[begin:end]``: a sync code whose header has its checksum."""
+    found = ((m.start(), frame_header(data, m.start(), info)) for m in _SYNC.finditer(data, begin, min(len(data), end + 1)))
+    return [(at, h["first"], h["size"], h["length"]) for at, h in found if h and at < end]
+
+
+def chained(found: Iterable[tuple[int, int, int, int]], frames: int) -> list[tuple[int, int]]:
+    """``(first sample, byte)`` of every frame: of what looks like one, in order, what goes on where the frame before ends. Other than ``frames`` samples in all (if that is known) are an error."""
+    out, want, after = [], 0, 0
+    for at, first, size, length in found:
+        if first == want and at >= after:
             out.append((want, at))
-            want += h["size"]
-            at += h["length"]
-        else:
-            at += 1
-    if info["frames"] and want != info["frames"]:
-        raise WavError(f"{want} samples were found where the file has {info['frames']}")
+            want, after = want + size, at + length
+    if frames and want != frames:
+        raise WavError(f"{want} samples were found where the file has {frames}")
     return out
 
 
+def frame_places(data: bytes, info: dict) -> list[tuple[int, int]]:
+    """``(first sample, byte)`` of every frame of a file that is at hand."""
+    return chained(candidates(data, info, info["start"], len(data)), info["frames"])
+
+
 def _subframe(r: _Bits, size: int, bits: int) -> np.ndarray:
     if r.unsigned(1):
         raise WavError("a subframe must begin with a zero")
@@ -258,66 +279,64 @@ def decode_frame(data: bytes, at: int, info: dict, end: int | None = None) -> tu
     return h["first"], np.stack(x, axis=1)
 
 
-def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None, per_task: int = RANGE, named: DataFrame | None = None) -> DataFrame:
+def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None, per_task: int = RANGE, named: DataFrame | None = None, span: int = SPAN) -> DataFrame:
     """IO1: ``(asset, channel, n, x)`` of the FLAC files below ``path``, in [-1, 1); channels are named by ``labels`` or their number.
 
-    A file's bytes are cut at frames into ranges of ``per_task`` frames; these are shuffled, and decoded apart.
-    With ``named(path, named)`` only those files, under the names that it gives.
+    Frames are searched for in spans of ``span`` bytes and decoded in ranges of ``per_task`` frames, each read where it is decoded.
+    With ``named(path, named[, first, last])`` only those files, under the names that it gives, and of them only those samples; frames that hold none aren't decoded.
+    A file whose header can't be read, or whose frames don't make up its samples, is an error.
     """
+    keys, c = ("start", "bits", "block", "frames"), F.col
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                data = bytes(content)
-                info = parse_header(data)
-                places = frame_places(data, info)
-                for k in range(0, len(places), per_task):
-                    end = places[k + per_task][1] if k + per_task < len(places) else len(data)
-                    yield pd.DataFrame({"asset": [name], "part": [k // per_task], "bits": [info["bits"]], "block": [info["block"]], "data": [data[places[k][1]:end]]})
+            found = []
+            for row in pdf.itertuples(index=False):
+                if isinstance(row.error, str):
+                    raise WavError(f"{row.path}: {row.error}")
+                begin = row.start + row.span * span
+                data = ranges.read_part(row.path, begin, begin + span + HEADER)
+                own = candidates(data, {"bits": row.bits, "block": row.block}, 0, span)
+                found.append([[v[k] + (begin if k == 0 else 0) for v in own] for k in range(4)])
+            yield pdf.drop(columns="error").assign(**{k: [v[j] for v in found] for j, k in enumerate(("at", "n", "size", "head"))})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Ranges of one file's frames; it holds a few numbers for each frame of the file."""
+        pdf, one = pdf.sort_values("span"), pdf.iloc[0]
+        every = zip(*(np.concatenate([np.asarray(v, np.int64) for v in pdf[k]]).tolist() for k in ("at", "n", "size", "head")), strict=True)
+        places = chained(every, int(one["frames"]))
+        ends = [*(at for _, at in places[1:]), int(one["length"])]
+        stops = [*(n for n, _ in places[1:]), None]
+        low = 0 if pd.isna(one["first"]) else one["first"]
+        wanted = [(at, end) for (n, at), stop, end in zip(places, stops, ends, strict=True) if (stop is None or stop > low) and (pd.isna(one["last"]) or n < one["last"])]
+        parts = [wanted[k:k + per_task] for k in range(0, len(wanted), per_task)]
+        same = {k: [one[k]] * len(parts) for k in ("path", "asset", "bits", "block", "first", "last")}
+        return pd.DataFrame(same | {"part": range(len(parts)), "at": [[a for a, _ in p] for p in parts], "till": [p[-1][1] for p in parts]})
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for asset, bits, block, data in zip(pdf["asset"], pdf["bits"], pdf["block"], pdf["data"], strict=True):
-                data, info, at = bytes(data), {"bits": int(bits), "block": int(block), "start": 0, "frames": 0}, 0
-                # places within the range, by the same rule: the first frame stands at its beginning
-                first = frame_header(data, 0, info)
-                if first is None:
-                    raise WavError("a range must begin with a frame")
-                want = first["first"]
-                places = []
-                while (at := data.find(b"\xff", at)) >= 0:
-                    h = frame_header(data, at, info)
-                    if h and h["first"] == want:
-                        places.append(at)
-                        want += h["size"]
-                        at += h["length"]
-                    else:
-                        at += 1
+            for row in pdf.itertuples(index=False):
+                base, info = int(row.at[0]), {"bits": int(row.bits), "block": int(row.block)}
+                data, places = ranges.read_part(row.path, base, int(row.till)), [int(a) - base for a in row.at]
                 for a, b in zip(places, [*places[1:], len(data)], strict=True):
                     n, x = decode_frame(data, a, info, b)
-                    for c in range(x.shape[1]):
-                        yield pd.DataFrame({"asset": asset, "channel": labels[c] if labels else str(c), "n": np.arange(n, n + len(x)), "x": x[:, c] / 2.0 ** (bits - 1)})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.flac").option("recursiveFileLookup", "true").load(path)
-    if named is not None:
-        files = files.join(named, "path").select(F.col("named").alias("path"), "content")
-    ranges = files.select("path", "content").mapInPandas(split, "asset string, part bigint, bits int, block int, data binary")
-    return ranges.repartition("asset", "part").mapInPandas(decode, "asset string, channel string, n bigint, x double")
+                    low = 0 if pd.isna(row.first) else max(0, int(row.first) - n)
+                    high = len(x) if pd.isna(row.last) else max(0, int(row.last) - n)
+                    for k in range(x.shape[1]):
+                        own = x[low:high, k]
+                        yield pd.DataFrame({"asset": row.asset, "channel": labels[k] if labels else str(k), "n": np.arange(n + low, n + low + len(own)), "x": own / 2.0 ** (info["bits"] - 1)})
+
+    files = chosen(ranges.listed(spark, path, "*.flac"), named)
+    heads = probed(files, read_header, keys)
+    zero = F.array(F.lit(0).cast("bigint"))
+    spans = heads.withColumn("span", F.explode(F.when(c("error").isNotNull() | (c("start") >= c("length")), zero).otherwise(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(length - 1 - start) div {span}")))))
+    spans = spans.select("path", "length", "asset", "first", "last", "error", "span", *(F.coalesce(k, F.lit(0)).alias(k) for k in keys))
+    numbers = "at array<bigint>, n array<bigint>, size array<bigint>, head array<bigint>"
+    found = ranges.dealt(spans, files, "path", "span").mapInPandas(search, f"path string, length bigint, asset string, first bigint, last bigint, span bigint, {', '.join(f'{k} bigint' for k in keys)}, {numbers}")
+    parts = found.groupBy("path", "asset").applyInPandas(chain, "path string, asset string, bits bigint, block bigint, first bigint, last bigint, part bigint, at array<bigint>, till bigint")
+    return ranges.dealt(parts, files, "path", "part").mapInPandas(decode, "asset string, channel string, n bigint, x double")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """IO2: ``(path, length, rate, channels, bits, frames, error)`` of the FLAC files below ``path``."""
-
-    @F.pandas_udf("rate int, channels int, bits int, frames bigint, error string")
-    def probe(content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in content:
-            try:
-                h = parse_header(bytes(b))
-                rows.append((h["rate"], h["channels"], h["bits"], h["frames"], None))
-            except WavError as e:
-                rows.append((None, None, None, None, str(e)))
-        return pd.DataFrame(rows, columns=["rate", "channels", "bits", "frames", "error"]).astype({"rate": "Int32", "channels": "Int32", "bits": "Int32", "frames": "Int64"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.flac").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", probe("content").alias("h")).select("path", "length", "h.*")
+    """IO2: ``(path, length, rate, channels, bits, frames, error)`` of the FLAC files below ``path``, whose frames aren't read."""
+    return described(probed(ranges.listed(spark, path, "*.flac"), read_header, ("rate", "channels", "bits", "frames")))

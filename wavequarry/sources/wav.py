@@ -6,13 +6,19 @@ import io
 import os
 import struct
 import tempfile
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import IO
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wavequarry.sources import ranges
+
+#: Frames of a block that one read takes.
 FRAMES = 65_536
 
 
@@ -22,25 +28,38 @@ class WavError(ValueError):
 
 def parse_header(data: bytes, length: int | None = None) -> dict:
     """IO2: rate, channels, bits, frames and where the samples start, without decoding; ``data`` may be only the beginning of a file of ``length`` bytes."""
-    length = len(data) if length is None else length
-    if data[:4] not in (b"RIFF", b"RF64") or data[8:12] != b"WAVE":
+    return read_header(io.BytesIO(data), len(data) if length is None else length)
+
+
+def read_header(f: IO[bytes], length: int) -> dict:
+    """IO2: as ``parse_header``, from an open file of ``length`` bytes; of chunks before the samples only their heads are read. Files of over 4 GiB say their size in a chunk of 64-bit numbers."""
+    head = f.read(12)
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise WavError("not a WAV file")
-    at, fmt = 12, None
-    while at + 8 <= len(data):
-        tag, size = data[at:at + 4], int.from_bytes(data[at + 4:at + 8], "little")
-        if tag == b"fmt ":
-            kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", data, at + 8)
-            if kind == 0xFFFE and size >= 26:
-                kind = struct.unpack_from("<H", data, at + 32)[0]
+    at, fmt, long = 12, None, None
+    while len(head := f.read(8)) == 8:
+        tag, size = head[:4], int.from_bytes(head[4:], "little")
+        if tag == b"ds64":
+            long = int.from_bytes(f.read(16)[8:], "little")
+        elif tag == b"fmt ":
+            body = f.read(min(size, 40))
+            if len(body) < 16:
+                raise WavError("the format ends too soon")
+            kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", body)
+            if kind == 0xFFFE and len(body) >= 26:
+                kind = struct.unpack_from("<H", body, 24)[0]
             if (kind, bits) not in ((1, 16), (1, 24), (1, 32), (3, 32), (3, 64)):
                 raise WavError(f"format {kind} with {bits} bits isn't supported")
+            if not channels or align != channels * bits // 8:
+                raise WavError(f"{channels} channels of {bits} bits don't take {align} bytes")
             fmt = {"rate": rate, "channels": channels, "bits": bits, "align": align, "real": kind == 3}
         elif tag == b"data":
             if fmt is None:
                 raise WavError("samples before their format")
-            size = min(size, length - at - 8)
-            return fmt | {"frames": size // fmt["align"], "start": at + 8}
+            size = long if long is not None and size == 0xFFFFFFFF else size
+            return fmt | {"frames": min(size, length - at - 8) // fmt["align"], "start": at + 8}
         at += 8 + size + (size & 1)
+        f.seek(at)
     raise WavError("no samples")
 
 
@@ -98,45 +117,75 @@ def atomic_path(path: str):
         raise
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """IO2: ``(path, length, rate, channels, bits, frames, duration)`` of the files below ``path``."""
+def probed(files: DataFrame, header: Callable[[IO[bytes], int], dict], keys: tuple[str, ...]) -> DataFrame:
+    """``files(path, length, ...)`` with the header's ``keys`` as numbers, and ``error`` where it can't be read. Only headers are read."""
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[dict] = []
+            for path, length in zip(pdf["path"], pdf["length"], strict=True):
+                try:
+                    with ranges.opened(path) as f:
+                        found = header(f, int(length))
+                    rows.append({k: int(found[k]) for k in keys} | {"error": None})
+                except WavError as e:
+                    rows.append(dict.fromkeys(keys) | {"error": str(e)})
+            own = pd.DataFrame(rows, columns=[*keys, "error"], index=pdf.index)
+            yield pdf.assign(**{k: own[k].astype("Int64") for k in keys}, error=own["error"].astype(object))
 
-    @F.pandas_udf("rate int, channels int, bits int, frames bigint, error string")
-    def probe(content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in content:
-            try:
-                h = parse_header(bytes(b))
-                rows.append((h["rate"], h["channels"], h["bits"], h["frames"], None))
-            except WavError as e:
-                rows.append((None, None, None, None, str(e)))
-        return pd.DataFrame(rows, columns=["rate", "channels", "bits", "frames", "error"]).astype({"rate": "Int32", "channels": "Int32", "bits": "Int32", "frames": "Int64"})
+    return files.mapInPandas(probe, T.StructType([*files.schema.fields, *(T.StructField(k, T.LongType()) for k in keys), T.StructField("error", T.StringType())]))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", probe("content").alias("h")).select("path", "length", "h.*", (F.col("h.frames") / F.col("h.rate")).alias("duration"))
 
+def described(files: DataFrame) -> DataFrame:
+    """IO2: what a user is told of probed files."""
+    return files.select("path", "length", *(F.col(k).cast("int").alias(k) for k in ("rate", "channels", "bits")), "frames", "error")
 
-def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None, named: DataFrame | None = None) -> DataFrame:
-    """IO1: ``(asset, channel, n, x)`` of the files below ``path``, read by Spark; channels are named by ``labels`` or their number.
 
-    With ``named(path, named)`` only those files, under the names that it gives; else assets are called by their paths.
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """IO2: ``(path, length, rate, channels, bits, frames, error, duration)`` of the files below ``path``, whose samples aren't read."""
+    found = probed(ranges.listed(spark, path, "*.wav"), read_header, ("rate", "channels", "bits", "frames"))
+    return described(found).withColumn("duration", F.col("frames") / F.col("rate"))
+
+
+def chosen(files: DataFrame, named: DataFrame | None) -> DataFrame:
+    """``(path, length, asset, first, last)``: the files to read, what they are called, and the samples that are wanted, ``last`` not among them.
+
+    ``named(path, named[, first, last])`` says so; a null there is the file's beginning or end. Without it all files are read, as a whole, and called by their paths.
     """
+    if named is None:
+        return files.select("path", "length", F.col("path").alias("asset"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"))
+    bound = lambda c: (F.col(c) if c in named.columns else F.lit(None)).cast("bigint").alias(c)
+    return files.join(named.select("path", F.col("named").alias("asset"), bound("first"), bound("last")), "path").select("path", "length", "asset", "first", "last")
 
-    def decode(frames):
-        for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                h = parse_header(bytes(content))
-                for at in range(0, h["frames"], FRAMES):
-                    n = min(FRAMES, h["frames"] - at)
-                    begin = h["start"] + at * h["align"]
-                    x = decode_pcm(content[begin:begin + n * h["align"]], h["bits"], h["channels"], h["real"])
-                    for c in range(h["channels"]):
-                        yield pd.DataFrame({"asset": name, "channel": labels[c] if labels else str(c), "n": np.arange(at, at + n), "x": x[:, c]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    if named is not None:
-        files = files.join(named, "path").select(F.col("named").alias("path"), "content")
-    return files.select("path", "content").mapInPandas(decode, "asset string, channel string, n bigint, x double")
+
+def read_signal(spark: SparkSession, path: str, labels: list[str] | None = None, named: DataFrame | None = None, size: int = FRAMES) -> DataFrame:
+    """IO1: ``(asset, channel, n, x)`` of the files below ``path``; channels are named by ``labels`` or their number.
+
+    With ``named(path, named[, first, last])`` only those files, under the names that it gives, and of them only those samples. Files are read by
+    blocks of ``size`` frames, each in the task that decodes it, so a long file is as many tasks' work as its bytes are worth, and samples that aren't wanted aren't read.
+    A file whose header can't be read is an error.
+    """
+    keys = ("start", "align", "bits", "channels", "real", "frames")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if isinstance(row.error, str):
+                    raise WavError(f"{row.path}: {row.error}")
+                begin, end = max(row.block * size, row.begin), min((row.block + 1) * size, row.end)
+                if begin >= end:
+                    continue
+                x = decode_pcm(ranges.read_part(row.path, row.start + begin * row.align, row.start + end * row.align), row.bits, row.channels, bool(row.real))
+                for c in range(row.channels):
+                    yield pd.DataFrame({"asset": row.asset, "channel": labels[c] if labels else str(c), "n": np.arange(begin, begin + len(x)), "x": x[:, c]})
+
+    files = chosen(ranges.listed(spark, path, "*.wav"), named)
+    begin, end = F.greatest(F.coalesce("first", F.lit(0)), F.lit(0)), F.least(F.coalesce("last", "frames"), "frames")
+    heads = probed(files, read_header, keys).withColumn("begin", begin).withColumn("end", end)
+    # a file that can't be read keeps one row, which says so
+    blocks = heads.withColumn("block", F.explode(F.when(F.col("error").isNotNull(), F.array(F.lit(0).cast("bigint"))).when(F.col("begin") < F.col("end"), F.sequence(F.expr(f"begin div {size}"), F.expr(f"(end - 1) div {size}")))))
+    wanted = blocks.select("path", "asset", "error", "block", *(F.coalesce(k, F.lit(0)).alias(k) for k in (*keys, "begin", "end")))
+    return ranges.dealt(wanted, files, "path", "block").mapInPandas(decode, "asset string, channel string, n bigint, x double")
 
 
 def encode_assets(signal: DataFrame, order: list[str], rate: int, bits: int = 24) -> DataFrame:
