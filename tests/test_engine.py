@@ -8,7 +8,7 @@ from test_flac import encode
 
 import wavequarry
 from wavequarry.__main__ import main, overlay, parser
-from wavequarry.engine import Settings, frame_size, settings_from
+from wavequarry.engine import Settings, excerpt, frame_size, reference_at, settings_from
 from wavequarry.operators import mastering
 from wavequarry.sources import wav
 
@@ -60,6 +60,54 @@ def test_beds_and_dry_runs(spark, folder, tmp_path, capsys):
     assert len(out) == 1 and (h["rate"], h["channels"], h["frames"]) == (48000, 8, 12000)
 
 
+def test_a_preview_is_the_files_middle(spark):
+    df = spark.createDataFrame([(6000,), (900,), (2001,)], "frames bigint")
+    at = lambda **k: [tuple(r) for r in df.select(*excerpt(df["frames"], RATE, Settings(preview=0.25, **k))).collect()]
+    assert at() == [(2000, 4000), (0, 2000), (0, 2000)] and at(preview_start=0.5) == [(4000, 6000), (0, 2000), (1, 2001)] and at(preview_start=-1.0)[0] == (0, 2000)
+    assert [tuple(r) for r in df.select(*excerpt(df["frames"], RATE, Settings())).distinct().collect()] == [(None, None)]
+
+
+def test_stems_matching_and_downmix(spark, folder, tmp_path, capsys):
+    t = np.arange(8000)
+    (tmp_path / "in").mkdir()
+    for name in ("two", "six"):
+        (tmp_path / f"in/{name}.wav").write_bytes(open(f"{folder}/{name}.wav", "rb").read())
+    ref = tmp_path / "ref.wav"
+    ref.write_bytes(wav.wav_bytes(np.stack([0.3 * np.sin(0.3 * t), 0.3 * np.sin(0.2 * t)], axis=1), 16000))
+
+    def separator(x, rate, makes):
+        return {k: x * (0.75 if k == makes[0] else 0.25 / (len(makes) - 1)) for k in makes}
+
+    settings = Settings("5.1.2", stems="vocals, kick", loudness=False, limit=1.0, downmix=True, downmix_surround=0.5)
+    rows = {r["asset"]: r for r in wavequarry.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), settings, separator).collect()}
+    assert rows["six"]["reason"] == "stems of more than two channels" and rows["two"]["status"] == "ok"
+    y, h = read(rows["two"]["path"])
+    source, _ = read(f"{folder}/two.wav")
+    assert (h["channels"], h["frames"]) == (8, 6000) and abs((y ** 2).sum() / (source ** 2).sum() - 1) < 1e-3  # no more and no less energy than the source
+    mixed, h2 = read(rows["two"]["downmix"])
+    labels = wavequarry.OUTPUT_LAYOUTS["5.1.2"].split()
+    of = lambda c: y[:, labels.index(c)]
+    want = np.stack([of(f"F{s}") + 0.5 ** 0.5 * of("C") + 0.5 * of(f"S{s}") for s in "LR"], axis=1)
+    assert (h2["channels"], h2["bits"]) == (2, 24) and np.abs(mixed - want * (mixed[:, 0] @ want[:, 0]) / (want[:, 0] @ want[:, 0])).max() < 1e-5
+    with pytest.raises(FileExistsError):
+        wavequarry.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), settings)
+    code = main([str(tmp_path / "in"), str(tmp_path / "out2"), "--layout", "7.1", "--frame", "256", "--no-loudness", "--match-reference", str(ref), "--no-match-spectrum", "--json"], spark)
+    heard = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    plain = {r["asset"]: r for r in wavequarry.run(spark, str(tmp_path / "in"), str(tmp_path / "out3"), Settings("7.1", frame=256, loudness=False)).collect()}
+    assert code == 0
+    for r in heard:
+        a, b = read(r["path"])[0], read(plain[r["asset"]]["path"])[0]
+        quiet = np.abs(a) < 0.9  # below the limiter's knee
+        gain = (a * b)[quiet].sum() / (b * b)[quiet].sum()
+        assert quiet.mean() > 0.9 and 1.05 < gain <= 10 ** (6 / 20) + 1e-3 and np.abs(a - gain * b)[quiet].max() < 1e-4  # brought up to the reference, within 6 dB
+    for wrong in ("none.wav", "in/../bad.wav"):
+        (tmp_path / "bad.wav").write_bytes(b"no")
+        with pytest.raises(ValueError, match="the reference"):
+            reference_at(spark, str(tmp_path / wrong), RATE)
+    with pytest.raises(ValueError, match="unknown stem"):
+        Settings(stems="tuba")
+
+
 def test_settings_and_overlays(tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"config": {"layout": "7.1", "target": -14, "bits": 16}}))
     args = parser().parse_args(["in", "out", "--manifest", str(tmp_path / "m.json"), "--set", "intensity=3,lfe_order=2", "--target", "-23", "--no-plan"])

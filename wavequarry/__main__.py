@@ -16,8 +16,10 @@ OPTIONS: dict[str, tuple[str, object, object]] = {
     "layout": ("layout", str, tuple(catalog.OUTPUT_LAYOUTS)), "input-layout": ("input_layout", str, tuple(catalog.INPUT_LAYOUTS)), "kind": ("kind", str, ("wav", "bed")), "bits": ("bits", int, (16, 24, 32)),
     "rate": ("rate", int, "positive"), "frame": ("frame", int, "positive"), "profile": ("profile", str, None), "intensity": ("intensity", float, None), "target": ("target", float, None), "eq": ("eq", str, tuple(catalog.EQ_PROFILES)),
     "compressor": ("compressor", str, tuple(catalog.COMPRESSOR_PROFILES)), "bass": ("bass", str, None), "limit": ("limit", float, "positive"), "preview": ("preview", float, "positive"), "preview-start": ("preview_start", float, None),
+    "stems": ("stems", str, None), "match-reference": ("reference", str, None), "match-strength": ("match_strength", float, None), "match-db": ("match_db", float, "positive"), "downmix-surround": ("downmix_surround", float, (0.7071, 0.5, 0.0)),
 }
-SWITCHES = {"recursive": ("recursive", True), "overwrite": ("overwrite", True), "no-linked-energy": ("linked", False), "no-plan": ("plan", False), "no-loudness": ("loudness", False)}
+SWITCHES = {"recursive": ("recursive", True), "overwrite": ("overwrite", True), "no-linked-energy": ("linked", False), "no-plan": ("plan", False), "no-loudness": ("loudness", False),
+            "downmix": ("downmix", True), "no-match-spectrum": ("match_spectrum", False), "no-match-level": ("match_level", False)}
 
 
 def positive(kind):

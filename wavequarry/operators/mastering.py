@@ -164,10 +164,13 @@ class Chain:
     bass: str | None = None
     reference: DataFrame | None = None
     strength: float = 0.7
+    most_db: float = 12.0
+    by_spectrum: bool = True
+    by_level: bool = True
 
     def apply(self, signal: DataFrame) -> DataFrame:
         if self.reference is not None:
-            signal = match(signal, self.reference, self.rate, self.strength)
+            signal = match(signal, self.reference, self.rate, self.strength, self.most_db, spectrum=self.by_spectrum, level=self.by_level)
         if not (self.eq or self.bass or self.limit is not None or self.target is not None) and self.compressor not in COMPRESSOR_PROFILES:
             if self.compressor:
                 warnings.warn(f"no compressor profile {self.compressor}", stacklevel=2)

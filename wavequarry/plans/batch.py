@@ -141,10 +141,14 @@ def write_report(document: dict, path: str) -> None:
         json.dump(document, f, indent=2, sort_keys=True)
 
 
-def downmix_sidecar(signal: DataFrame, rate: int, peak: float = -1.0, bits: int = 24) -> DataFrame:
-    """IO13: ``(asset, wav)``: the stereo downmix, turned down where its true peak exceeds ``peak`` dB."""
-    stereo = routing.downmix(signal)
+def held_downmix(signal: DataFrame, rate: int, peak: float = -1.0, surround: float = routing.HALF_POWER) -> DataFrame:
+    """IO13: ``(asset, channel, n, x)``: the stereo downmix, turned down where its true peak exceeds ``peak`` dB."""
+    stereo = routing.downmix(signal, surround)
     sides = stereo.select("asset", "n", F.explode(F.create_map(F.lit("FL"), F.col("l"), F.lit("FR"), F.col("r"))).alias("channel", "x")).select("asset", "channel", "n", "x")
     gain = mastering.loudness(sides, rate).select("asset", F.pow(F.lit(10e0), F.least(F.lit(0e0), F.lit(peak) - F.col("dbtp")) / 20).alias("gain"))
-    held = sides.join(gain, "asset").select("asset", "channel", "n", (F.col("x") * F.col("gain")).alias("x"))
-    return encode_assets(held, ["FL", "FR"], rate, bits)
+    return sides.join(gain, "asset").select("asset", "channel", "n", (F.col("x") * F.col("gain")).alias("x"))
+
+
+def downmix_sidecar(signal: DataFrame, rate: int, peak: float = -1.0, bits: int = 24) -> DataFrame:
+    """IO13: ``(asset, wav)``: the held downmix as a file's bytes."""
+    return encode_assets(held_downmix(signal, rate, peak), ["FL", "FR"], rate, bits)
