@@ -15,13 +15,15 @@ KINDS = ("email", "ip", "card", "phone")
 REMOVED, GENERAL = "term_removed", "term_general"
 #: Code points on either side of an entity in which its terms are looked for.
 WINDOW = 64
-#: Occurrences apart from any entity that every term is taken to have besides its own: a term seen once is generalised, from four on it can be removed.
-PRIOR = 1
+#: One-sided normal quantile of the share's lower bound (95 %).
+Z = 1.645
+#: Code points from which on a term that an entity's own text contains is one that spells it.
+SPELLED = 4
 #: Most frequent terms, by which words that can't be disclosing leave before a shuffle.
 FREQUENT = 65_536
-#: Least share of a term's occurrences that lie beside one entity: to be generalised, and to be removed.
+#: Least lower bound of the share of a term's occurrences that lie beside one entity: to be generalised (three of three), and to be removed (eleven of eleven).
 GENERAL_SHARE, REMOVED_SHARE = 0.5, 0.8
-#: Least disclosure in bits: share * log2(share / share of the entity among all words).
+#: Least disclosure in bits: lower bound * log2(lower bound / share of the entity among all words).
 BITS = 4.0
 
 # The patterns find what the plain ones find, in time linear in the text: what can't be
@@ -153,24 +155,34 @@ def term_counts(texts: DataFrame) -> DataFrame:
             .where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t")))
 
 
-def disclosing_terms(words: DataFrame, every: DataFrame, prior: float = PRIOR, general: float = GENERAL_SHARE,
-                     removed: float = REMOVED_SHARE, bits: float = BITS) -> DataFrame:
+def lower_share(k: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share of which ``k`` of ``n`` are seen: few occurrences are little evidence."""
+    return (k + z * z / 2 - z * F.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
+
+
+def disclosing_terms(words: DataFrame, every: DataFrame, z: float = Z, general: float = GENERAL_SHARE,
+                     removed: float = REMOVED_SHARE, bits: float = BITS, spelled: int = SPELLED) -> DataFrame:
     """``(term, kind)`` for terms whose occurrences give an entity away.
 
-    share = occurrences of the term beside the entity / (all its occurrences in
-    ``every`` + ``prior``); disclosure = share * log2(share / (entity's words / all
-    words)). A term of several entities takes the strictest kind.
+    share = the lower bound, at ``z``, of the part of all of the term's occurrences in ``every`` that lie beside the entity;
+    disclosure = share * log2(share / (entity's words / all words)). One or two occurrences are no evidence of co-occurrence and never
+    reach a threshold: such a term, or any other that stands beside one entity alone, is generalised only where the entity's own text contains it, from
+    ``spelled`` code points on (a name in an address). A term of several entities takes the strictest kind.
     """
     beside = words.groupBy("term", "entity").agg(F.count("*").alias("n_te"))
     entity = beside.groupBy("entity").agg(F.sum("n_te").alias("n_e"))
     total = every.agg(F.sum("n_t").alias("n"))
-    share = F.least(F.col("n_te"), F.col("n_t")) / (F.col("n_t") + prior)
+    k = F.least("n_te", "n_t").cast("double")
+    own = F.regexp_replace("entity", "^[a-z]+:", "")
+    spells = (F.col("n_te") >= F.col("n_t")) & (F.length("term") >= spelled) & F.contains(own, F.col("term"))
     rated = (
         beside.join(every, "term").join(entity, "entity").join(F.broadcast(total))
-        .select("term", share.alias("share"), (share * F.log2(share * F.col("n") / F.col("n_e"))).alias("bits"))
+        .select("term", lower_share(k, F.col("n_t").cast("double"), z).alias("share"), "n", "n_e", spells.alias("spells"))
+        .select("term", "share", "spells", (F.col("share") * F.log2(F.col("share") * F.col("n") / F.col("n_e"))).alias("bits"))
     )
-    return rated.where((F.col("share") >= general) & (F.col("bits") >= bits)).groupBy("term").agg(
-        F.max(F.when(F.col("share") >= removed, F.lit(REMOVED)).otherwise(F.lit(GENERAL))).alias("kind"))
+    told = (F.col("share") >= general) & (F.col("bits") >= bits)
+    return rated.where(told | F.col("spells")).groupBy("term").agg(
+        F.max(F.when(told & (F.col("share") >= removed), F.lit(REMOVED)).otherwise(F.lit(GENERAL))).alias("kind"))
 
 
 def text_terms(texts: DataFrame, terms: DataFrame, every: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -250,18 +262,26 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<s:int,e:int,kind:string>>"), step)
 
 
+def term_class(word: Column) -> Column:
+    """What a generalised term becomes: the class of its shape."""
+    bare = F.btrim(word, F.lit(_EDGES))
+    letter, digit = bare.rlike(r"\p{L}"), bare.rlike(r"\p{N}")
+    return F.when(digit & letter, "[CODE]").when(digit, "[NUMBER]").when(bare.rlike(r"^\p{Lu}"), "[NAME]").when(letter, "[WORD]").otherwise("[SIGN]")
+
+
 def _rewritten(text: Column, spans: Column) -> Column:
-    """Base spans become their kind in brackets, generalised terms [TERM]; removed terms go."""
-    mark = lambda kind: F.when(kind == REMOVED, "").when(kind == GENERAL, "[TERM]").otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+    """Base spans become their kind in brackets, generalised terms the class of their shape; removed terms go."""
+    word = lambda x: F.substr(text, x["s"] + 1, x["e"] - x["s"])
+    mark = lambda x: F.when(x["kind"] == REMOVED, "").when(x["kind"] == GENERAL, term_class(word(x))).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
     before = lambda x, i: F.when(i == 0, 0).otherwise(F.element_at(spans, F.greatest(i, F.lit(1)))["e"])
-    parts = F.transform(spans, lambda x, i: F.concat(F.substr(text, before(x, i) + 1, x["s"] - before(x, i)), mark(x["kind"])))
+    parts = F.transform(spans, lambda x, i: F.concat(F.substr(text, before(x, i) + 1, x["s"] - before(x, i)), mark(x)))
     return F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(spans, -1)["e"] + 1))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """All rows and columns of ``docs``, the text without personal data and the terms that give it away.
 
-    A text without spans, null included, stays as it is. Equal texts are treated alike; repeated
+    A text without spans, null included, stays as it is; a very long one is treated as a whole. Equal texts are treated alike; repeated
     rows and null ids are rows like others. An empty table gives none.
     """
     cols = docs.columns
