@@ -58,20 +58,28 @@ def biquad(signal: DataFrame, b: tuple[float, float, float], a: tuple[float, flo
     return _through(signal, chunks.series(np.array([[*b, 1.0, *a]])), size)
 
 
-def energy_gain(frames: DataFrame, attack: float, release: float, limit_db: float = 6.0) -> DataFrame:
-    """A gain that follows sqrt(source / routed) of ``frames([asset,] channel, n, src, out)``, held to the limit; quiet frames pass and change nothing."""
+def energy_gain(frames: DataFrame, attack: float, release: float, limit_db: float = 6.0, quiet: float | None = 1e-20) -> DataFrame:
+    """A gain that follows sqrt(source / routed) of ``frames([asset,] channel, n, src, out)``, held to the limit.
+
+    Frames with an energy up to ``quiet`` pass and change nothing. Without ``quiet`` every frame counts: a silent
+    source pulls to the lower limit, what has silence or no number under it to the upper one.
+    """
     own, top = _keys(frames), 10 ** (limit_db / 20)
+    come = [round(1 - alpha, 12) for alpha in (attack, release)]  # 0.05, not 1 - 0.95: a result may end on a half of the last digit that is kept
 
     def run(pdf):
         pdf = pdf.sort_values("n", kind="stable")
+        src, out = pdf["src"].to_numpy(np.float64), pdf["out"].to_numpy(np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.sqrt(src / out)
+        targets = np.where(np.isnan(ratio), top, np.clip(ratio, 1 / top, top))
+        passes = np.zeros(len(src), bool) if quiet is None else (src <= quiet) | (out <= quiet)
         gain, gains = 1.0, []
-        for src, out in zip(pdf["src"], pdf["out"], strict=True):
-            if src <= 1e-20 or out <= 1e-20:
+        for target, skip in zip(targets.tolist(), passes.tolist(), strict=True):
+            if skip:
                 gains.append(1.0)
                 continue
-            target = min(top, max(1 / top, (src / out) ** 0.5))
-            alpha = attack if target < gain else release
-            gain = alpha * gain + (1 - alpha) * target
+            gain = attack * gain + come[0] * target if target < gain else release * gain + come[1] * target
             gains.append(gain)
         return pdf[[*own, "n"]].assign(gain=gains)
 
