@@ -12,15 +12,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavequarry.functions import dsp
+from wavequarry.operators import chunks
 
 # Weights of the old value in the running cross-spectrum (attack, release), auto-spectra, band flux and harmonic mask;
 # the transient threshold's factor; bands; the median's half width.
 ATTACK, RELEASE, AUTO, FLUX, HARMONIC = 0.25, 0.75, 0.6, 0.85, 0.7
 SENSITIVITY, BANDS, HALF_WIDTH, EPS = 2.5, 10, 8, 1e-10
 
+#: Coherence of spectra alone: frames of a chunk, frames that warm it up, rounds of correction, values that are walked at a time.
+FRAMES, WARM, ROUNDS, WIDE = 2048, 256, 3, 1 << 18
+
 SCHEMA = "asset string, frame bigint, bin int, gamma double, direct double, transient double, harmonic double"
 
 
@@ -50,7 +56,7 @@ class FrameEngine:
     def reset(self) -> None:
         self._rest, self._held = np.zeros((2, 0)), np.zeros((2, self.size))
         self.frame, self.flushed = 0, False
-        self._lr = self._ll = self._rr = self._before = self._mask = None
+        self._shared = self._before = self._mask = None
         self._flux = np.zeros(BANDS)
 
     def push(self, l: np.ndarray, r: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -88,18 +94,8 @@ class FrameEngine:
         return out
 
     def _coherence(self, left, right):
-        """What agrees in phase with the running cross-spectrum comes in fast."""
-        new, ll, rr = left * right.conj(), np.abs(left) ** 2, np.abs(right) ** 2
-        if self._lr is None:
-            self._lr, self._ll, self._rr = new, ll, rr
-        else:
-            before = np.clip(np.abs(self._lr) ** 2 / (self._ll * self._rr + EPS), 0, 1)
-            agree = (new * self._lr.conj()).real / (np.abs(new) * np.abs(self._lr) + EPS)
-            keep = np.where(agree >= np.sqrt(before), ATTACK, RELEASE)
-            self._lr = keep * self._lr + (1 - keep) * new
-            self._ll, self._rr = AUTO * self._ll + (1 - AUTO) * ll, AUTO * self._rr + (1 - AUTO) * rr
-        return (np.clip(np.abs(self._lr) ** 2 / (self._ll * self._rr + EPS), 0, 1),
-                np.clip(self._lr.real / (np.sqrt(self._ll * self._rr) + EPS), 0, 1))
+        gamma, direct, self._shared = coherence_walk(left[None], right[None], self._shared)
+        return gamma[0], direct[0]
 
     def _transient(self, left, right):
         """A band's rise against its running mean, which takes the rise in first; spread over bins by interpolation."""
@@ -122,17 +118,106 @@ class FrameEngine:
         return self._mask
 
 
-def coherence_of(pair: DataFrame) -> DataFrame:
-    """``(asset, frame, bin, gamma, direct)`` of spectra ``pair(asset, frame, l, r)``, arrays of real bins, one or more. One task holds an asset's frames."""
+def coherence_walk(left: np.ndarray, right: np.ndarray, state: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Gamma and direct of frames (rows of bins), and the state after them: running cross-spectrum and both auto-spectra.
+
+    What agrees in phase with the running cross-spectrum comes in fast. The first frame without a state is the state.
+    """
+    back, a, b = right.conj(), np.abs(left), np.abs(right)
+    new, fast, slow = left * back, (1 - ATTACK) * left * back, (1 - RELEASE) * left * back
+    size, own_a, own_b = np.abs(new), (1 - AUTO) * a * a, (1 - AUTO) * b * b
+    cross, autos = np.empty_like(new), np.empty((2, *a.shape))
+    for k in range(len(new)):
+        if state is None:
+            state = new[k], a[k] * a[k], b[k] * b[k]
+        else:
+            lr, ll, rr = state
+            seen = np.abs(lr)
+            before = np.minimum(seen * seen / (ll * rr + EPS), 1.0)
+            agree = (new[k] * lr.conj()).real / (size[k] * seen + EPS)
+            state = np.where(agree >= np.sqrt(before), ATTACK * lr + fast[k], RELEASE * lr + slow[k]), AUTO * ll + own_a[k], AUTO * rr + own_b[k]
+        cross[k], autos[0, k], autos[1, k] = state
+    seen, both = np.abs(cross), autos[0] * autos[1]
+    return np.clip(seen * seen / (both + EPS), 0, 1), np.clip(cross.real / (np.sqrt(both) + EPS), 0, 1), state
+
+
+def _walked(pdf: pd.DataFrame, start: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """``coherence_walk`` over sorted rows, some at a time, from a state as bytes to the next."""
+    state = tuple(np.frombuffer(start).reshape(3, -1)) if start else None
+    step, gamma, direct = max(1, WIDE // len(pdf["l"].iloc[0])), [], []
+    for k in range(0, len(pdf), step):
+        l, r = (np.stack(pdf[c].iloc[k:k + step].to_list()).astype(np.float64) for c in "lr")
+        g, d, state = coherence_walk(l, r, state)
+        gamma.append(g)
+        direct.append(d)
+    return np.concatenate(gamma), np.concatenate(direct), np.concatenate(state).tobytes()
+
+
+def _seam(key: tuple, pdf: pd.DataFrame, start: bytes) -> pd.DataFrame:
+    return pd.DataFrame({"asset": [key[0]], "chunk": [key[1]], "start": [start], "end": [_walked(pdf, start)[2]]})
+
+
+def _coherence_starts(rows: DataFrame, size: int, warm: int, rounds: int) -> DataFrame:
+    """``(asset, chunk, start)``: the state, to the bit, that each chunk of ``rows(asset, chunk, frame, l, r)`` starts from, empty at the asset's start."""
+
+    def guess(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame", kind="stable")
+        lead, own = pdf[pdf["lead"]], pdf[~pdf["lead"]]
+        if not len(own):
+            return pd.DataFrame({"asset": [key[0]], "chunk": [key[1]], "start": [b""], "end": [b""]})  # no such chunk; taken out below
+        return _seam(key, own, _walked(lead, b"")[2] if len(lead) else b"")
+
+    def again(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return _seam(key, pdf.sort_values("frame", kind="stable"), known["due"].iloc[0])
+
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = (None, None), b""
+        for pdf in batches:
+            for key, part in pdf.groupby(["asset", "chunk"], sort=False):
+                if key[0] != at[0]:
+                    state = b""
+                if key != at:
+                    yield pd.DataFrame({"asset": [key[0]], "chunk": [key[1]], "start": [state]})
+                at, state = key, _walked(part, state)[2]
+
+    keys, kind = ["asset", "chunk"], "asset string, chunk bigint, start binary, end binary"
+    ends = rows.where(F.pmod("frame", F.lit(size)) >= size - warm).withColumn("chunk", F.col("chunk") + 1)
+    led = rows.withColumn("lead", F.lit(False)).unionByName(ends.withColumn("lead", F.lit(True)))
+    seams = chunks.settled(led.groupBy(*keys).applyInPandas(guess, kind).where("length(end) > 0"))
+    due = F.coalesce(F.lag("end").over(W.partitionBy("asset").orderBy("chunk")), F.expr("X''"))
+    for k in range(rounds + 1):
+        wrong = chunks.settled(seams.select(*keys, "start", due.alias("due")).where("start <> due").select(*keys, "due"))
+        if wrong.isEmpty():
+            break
+        if k < rounds:
+            right = rows.join(wrong, keys, "left_semi").groupBy(*keys).cogroup(wrong.groupBy(*keys)).applyInPandas(again, kind)
+            seams = chunks.settled(seams.join(wrong, keys, "left_anti").unionByName(right))
+        else:
+            left = rows.join(wrong, "asset", "left_semi").repartition("asset").sortWithinPartitions("asset", "frame")
+            seams = seams.join(wrong, "asset", "left_anti").select(*keys, "start").unionByName(left.mapInPandas(in_order, "asset string, chunk bigint, start binary"))
+    return seams.select(*keys, "start")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, engine, out = pdf.sort_values("frame", kind="stable"), FrameEngine(8000, 4), []
-        for frame, l, r in zip(pdf["frame"], pdf["l"], pdf["r"], strict=True):
-            gamma, direct = engine._coherence(np.asarray(l, np.complex128), np.asarray(r, np.complex128))
-            out.append(pd.DataFrame({"asset": pdf["asset"].iloc[0], "frame": frame, "bin": np.arange(len(gamma), dtype=np.int32), "gamma": gamma, "direct": direct}))
-        return pd.concat(out)
 
-    return pair.select("asset", "frame", "l", "r").groupBy("asset").applyInPandas(run, "asset string, frame bigint, bin int, gamma double, direct double")
+def coherence_of(pair: DataFrame, size: int = FRAMES, warm: int = WARM, rounds: int = ROUNDS) -> DataFrame:
+    """``(asset, frame, bin, gamma, direct)`` of spectra ``pair(asset, frame, l, r)``, arrays of real bins, one or more.
+
+    The coefficient depends on the state, so states can't be composed; but they forget. Each chunk of ``size`` frames is walked
+    from a state that the ``warm`` frames before it give. Where that isn't, bit for bit, the state that the chunk before ends with,
+    the chunk is walked again from that one, which may move its own end. What ``rounds`` of this don't settle (silence of many
+    chunks) is walked in order, one task for each such asset, in batches. A last pass gives the frames from the right states.
+    """
+    if not 0 <= warm <= size:
+        raise ValueError("the warm-up must lie within a chunk")
+    rows = chunks.settled(pair.select("asset", F.col("frame").cast("bigint").alias("frame"), "l", "r").withColumn("chunk", F.expr(f"(frame - pmod(frame, {size})) div {size}")))
+    starts = _coherence_starts(rows, size, warm, rounds)
+
+    def run(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame", kind="stable")
+        gamma, direct, _ = _walked(pdf, known["start"].iloc[0])
+        return pd.DataFrame({"asset": key[0], "frame": pdf["frame"].to_numpy(), "gamma": list(gamma), "direct": list(direct)})
+
+    done = rows.groupBy("asset", "chunk").cogroup(starts.groupBy("asset", "chunk")).applyInPandas(run, "asset string, frame bigint, gamma array<double>, direct array<double>")
+    return done.select("asset", "frame", F.posexplode(F.arrays_zip("gamma", "direct")).alias("bin", "v")).select("asset", "frame", "bin", "v.gamma", "v.direct")
 
 
 def _rows(asset: str, frames: list[tuple[int, np.ndarray]]) -> pd.DataFrame:

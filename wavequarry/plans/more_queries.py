@@ -158,9 +158,9 @@ def _sliding_median(frames):
        "6e-1 * f.ll + 4e-1 * p.l * p.l, 6e-1 * f.rr + 4e-1 * p.r * p.r FROM f JOIN pair p ON p.n = f.n + 1) "
        "SELECT n, round(greatest(0e0, least(1e0, lr * lr / (ll * rr + 1e-10))), 6) AS gamma, round(greatest(0e0, least(1e0, lr / (sqrt(ll * rr) + 1e-10))), 6) AS direct FROM f")
 def coherence(spark, sf_dir):
-    """A pair of samples is a frame of one bin."""
+    """A pair of samples is a frame of one bin; halves are rounded as in the SQL, after scaling by 10^6."""
     pair = stereo_pair(event_signal(spark, sf_dir)).select(F.lit("a").alias("asset"), F.col("n").alias("frame"), F.array("l").alias("l"), F.array("r").alias("r"))
-    return frames.coherence_of(pair).select(F.col("frame").alias("n"), _r(F.col("gamma"), "gamma"), _r(F.col("direct"), "direct"))
+    return frames.coherence_of(pair).select(F.col("frame").alias("n"), *((F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in ("gamma", "direct")))
 
 
 @query("derive_channels", _sig(", e AS (SELECT max(n) AS top FROM sig), f AS (SELECT n, x FROM sig WHERE channel = 'FR'), "
